@@ -6,11 +6,11 @@ import json
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from cellweave.functions.partials import list_matrix, matrix_list
 from cellweave.functions.scalars import ieee_divide
 from cellweave.model import UNROLL_TERMS, check_model_size
 
@@ -84,10 +84,6 @@ def distance_matrix(points: np.ndarray, centroids: np.ndarray, p: float = 2,
     return out
 
 
-def stacked(series: pd.Series) -> np.ndarray:
-    return np.stack(series.to_numpy()) if len(series) else np.empty((0, 0))
-
-
 def centroid_distances(vec: Column, centroids: np.ndarray, p: float = 2,
                        weights: np.ndarray | None = None) -> Column:
     """array<double> of the distance to each centroid.
@@ -110,11 +106,10 @@ def centroid_distances(vec: Column, centroids: np.ndarray, p: float = 2,
             per_centroid.append(root(total(terms), p))
         return F.array(*per_centroid)
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def distances(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(distance_matrix(stacked(v), c, p, w)))
+    @F.arrow_udf("array<double>")
+    def distances(v: pa.Array) -> pa.Array:
+        x = list_matrix(v).reshape(-1, c.shape[1])
+        return matrix_list(distance_matrix(x, c, p, w))
 
     return distances(vec)
 
@@ -137,12 +132,10 @@ def quadratic_form(vec: Column, mean: np.ndarray, inverse: np.ndarray) -> Column
                   for i in range(n) for j in range(i + 1, n)]
         return total(terms)
 
-    @F.pandas_udf(T.DoubleType())
-    def form(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=float)
-        x = stacked(v) - mean
-        return pd.Series(((x @ inverse) * x).sum(axis=1))
+    @F.arrow_udf("double")
+    def form(v: pa.Array) -> pa.Array:
+        x = list_matrix(v).reshape(-1, n) - mean
+        return pa.array(((x @ inverse) * x).sum(axis=1))
 
     return form(vec)
 
@@ -157,11 +150,9 @@ def linear_map(vec: Column, matrix: np.ndarray, shift: np.ndarray | None = None)
         return F.array(*[total([x[i] * F.lit(float(m[i, j])) for i in range(m.shape[0])])
                          for j in range(m.shape[1])])
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def apply(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        return pd.Series(list((stacked(v) - s) @ m))
+    @F.arrow_udf("array<double>")
+    def apply(v: pa.Array) -> pa.Array:
+        return matrix_list((list_matrix(v).reshape(-1, m.shape[0]) - s) @ m)
 
     return apply(vec)
 

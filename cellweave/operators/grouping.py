@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.functions.scalars import MODULUS  # noqa: F401  (re-exported for split helpers)
-
 DIMENSIONS = ("treatment", "replicate", "well")
 
 
