@@ -22,6 +22,8 @@ class QcConfig:
     min_dist_bottom: float = 100
     image_width: float = 1344
     image_height: float = 1024
+    # pixels of an image for the background rule; width times height unless set
+    image_area: float | None = None
     min_nucleus_area: float = 1000
     max_nucleus_area: float = 4000
     min_area_fraction: float = 1.5

@@ -14,12 +14,7 @@ QC = QcConfig(
     position_x="f1", position_y="f1", cell_area="f2", nucleus_area="f2", ratio_area="f1", solidity="f3",
     min_dist_left=1, min_dist_right=1, min_dist_top=1, min_dist_bottom=1, image_width=51, image_height=51,
     min_nucleus_area=2000, max_nucleus_area=90000, min_area_fraction=500, max_area_fraction=5000,
-    min_solidity=0.005, min_cells=1, max_cells=3)
-
-# the background rule counts pixels of an image of this area
-IMAGE_AREA = 300000
-IMAGE_QC = QcConfig(cell_area="f2", image_width=IMAGE_AREA, image_height=1, min_cells=1, max_cells=3,
-                    min_background_area=50000)
+    min_solidity=0.005, image_area=300000, min_cells=1, max_cells=3, min_background_area=50000)
 
 FILTER = FilterConfig(features=("f1", "f2"), control_treatments=(CONTROL,), cutoff_threshold=1.0,
                       cutoff_fraction=0.9, mode=0, valid_only=True)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from cellweave.config import FilterConfig
 from cellweave.functions.vectors import quadratic_form, vector
@@ -104,11 +105,18 @@ def split_controls(cells: DataFrame, cfg: FilterConfig, id_col: str = "object_id
     point = vector(cfg.features) if vec is None else vec
     control = F.col("treatment").isin(list(cfg.control_treatments))
     reference = cells.filter(F.col("is_valid") & control).select(id_col, point.alias("_vec"))
+    # about ten passes over the controls follow: keep their points, spilling to disk
+    reference = reference.persist(StorageLevel.MEMORY_AND_DISK)
     model = fit_mahalanobis(reference, "_vec", p, cfg.cutoff_fraction, id_col)
     scored = cells.withColumn(
         "mahal_dist",
         F.when(F.col("is_valid"), F.sqrt(model.squared(point))).otherwise(F.lit(float("inf"))))
-    chosen = scored.filter(control & F.col("is_valid")) if cfg.valid_only else scored.filter(control)
+    if cfg.valid_only:
+        chosen = reference.select(F.lit(True).alias("is_valid"),
+                                  F.sqrt(model.squared(F.col("_vec"))).alias("mahal_dist"))
+    else:
+        chosen = scored.filter(control).select("is_valid", "mahal_dist")
+    chosen = chosen.persist(StorageLevel.MEMORY_AND_DISK)
     stats = median_and_mad(chosen, [], "mahal_dist").first()
     med, mad = stats["median"], stats["mad"]
     c = cfg.cutoff_threshold
@@ -120,4 +128,6 @@ def split_controls(cells: DataFrame, cfg: FilterConfig, id_col: str = "object_id
         if row[1] / row[0] > 0.1:
             index = min(int(0.9 * row[0] + 1), row[0] - 1)
             upper = order_statistics(chosen, [], "mahal_dist", 0.9, {"v": lambda n: F.lit(index)}).first()["v"]
+    chosen.unpersist()
+    reference.unpersist()
     return ControlSplit(_flags(scored, 0.0, float(upper)), model, 0.0, float(upper), med, mad)

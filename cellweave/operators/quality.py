@@ -54,7 +54,8 @@ def image_codes(images: DataFrame, coded: DataFrame, cfg: QcConfig) -> DataFrame
     joined = images.select("image_id").join(per_image, "image_id", "left").select(
         "image_id", F.coalesce("n_valid", F.lit(0)).cast("bigint").alias("n_valid"),
         F.coalesce("cell_area", F.lit(0.0)).alias("cell_area"))
-    background = F.lit(float(cfg.image_width * cfg.image_height)) - F.col("cell_area")
+    area = cfg.image_width * cfg.image_height if cfg.image_area is None else cfg.image_area
+    background = F.lit(float(area)) - F.col("cell_area")
     return joined.withColumn(
         "image_code",
         F.when(F.col("n_valid") < cfg.min_cells, M.QC_NOT_ENOUGH_VALID_CELLS)
