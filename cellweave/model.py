@@ -34,7 +34,7 @@ MAX_MODEL_VALUES = 20_000_000
 
 # Distance expressions up to this many terms are unrolled into generated code;
 # larger ones run as one matrix product per Arrow batch.
-UNROLL_TERMS = 320
+UNROLL_TERMS = 128
 
 
 def check_model_size(values: int, what: str) -> None:

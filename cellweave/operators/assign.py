@@ -109,38 +109,38 @@ def dissolve_small(assigned: DataFrame, vec: str, centroids: np.ndarray, min_siz
     """Dissolve clusters below ``min_size`` in index order, one at a time; members go to the nearest
     remaining centroid, centroids stay.
 
-    A point's destination depends only on the set of clusters dissolved so far,
-    so each step is one count of the members of one cluster by their next best
-    centroid. Nothing but k counters is kept on the driver.
+    Alive sets only shrink, so a point whose own cluster is gone always sits with
+    the nearest centroid still alive: each step is one count of the members of
+    one cluster by their next destination, and only k counters reach the driver.
     """
     k = len(centroids)
-    scored = with_distances(assigned, vec, centroids, p)
+    scored = with_distances(assigned, vec, centroids, p).persist()
     sizes = np.zeros(k, dtype=np.int64)
-    for c, n in cluster_sizes(assigned).items():
+    for c, n in cluster_sizes(scored).items():
         sizes[c] = n
     alive = [True] * k
-    current = F.col("cluster")
     gone: list[int] = []
 
-    def best_alive() -> Column:
+    def current() -> Column:
         masked = F.array(*[F.col("dist")[i] if alive[i] else F.lit(float("inf")) for i in range(k)])
-        return nearest(masked)
+        kept = [i for i in range(k) if alive[i]]
+        return F.when(F.col("cluster").isin(kept), F.col("cluster")).otherwise(nearest(masked))
 
     while sum(alive) > 1:
         small = [i for i in range(k) if alive[i] and sizes[i] < min_size]
         if not small:
             break
         c = small[0]
+        members = scored.filter(current() == c)
         alive[c] = False
-        moved = F.when(current == c, best_alive()).otherwise(current)
         if sizes[c]:
-            for r in scored.filter(current == c).groupBy(best_alive().alias("to")).count().collect():
+            for r in members.groupBy(current().alias("to")).count().collect():
                 sizes[r["to"]] += r["count"]
         sizes[c] = 0
-        current = moved
         gone.append(c)
     left = {c: i for i, c in enumerate(i for i in range(k) if alive[i])}
-    return scored.withColumn("cluster", relabel(current, left)), gone
+    scored.unpersist()
+    return scored.withColumn("cluster", relabel(current(), left)), gone
 
 
 def merge_clusters(assigned: DataFrame, vec: str, p: int, keep: int, drop: int, k: int) -> tuple[DataFrame, np.ndarray]:

@@ -67,13 +67,13 @@ def block_pairs(blocks: DataFrame, n_blocks: int) -> DataFrame:
 
 def blocked_reduce(points: DataFrame, id_col: str, vec_col: str, label_col: str | None,
                    kernel: Callable[..., pd.DataFrame], schema: str,
-                   block_rows: int = BLOCK_ROWS) -> DataFrame:
+                   block_rows: int = BLOCK_ROWS, rows: int | None = None) -> DataFrame:
     """Run ``kernel(lids, llabels, L, rids, rlabels, R)`` on every block pair.
 
     The kernel reduces over the right block and returns at most a few rows per
     left point; the caller combines them with an ordinary ``groupBy(id)``.
     """
-    rows = points.count()
+    rows = points.count() if rows is None else rows
     n = max(1, math.ceil(rows / block_rows))
     pairs = block_pairs(make_blocks(points, id_col, vec_col, label_col, block_rows, rows), n)
 

@@ -270,14 +270,18 @@ def cut_single(points: DataFrame, merges: DataFrame, k: int, id_col: str = "obje
     return labels.select(F.col("id").alias(id_col), relabel(F.col("component"), names).alias("cluster"))
 
 
-def ward_linkage(points: DataFrame, vec: str, id_col: str = "object_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def ward_linkage(points: DataFrame, vec: str, id_col: str = "object_id", size_col: str | None = None,
+                 block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Merges (a, b, distance, size, round) by smallest growth of the error sum of squares.
 
     The state is one row (id, size, centroid) per cluster: distances follow from
-    √(2·nᵢnⱼ/(nᵢ+nⱼ))·‖cᵢ−cⱼ‖, so no distance table exists at any time.
+    √(2·nᵢnⱼ/(nᵢ+nⱼ))·‖cᵢ−cⱼ‖, so no distance table exists at any time. Points
+    may themselves be centroids of ``size_col`` cells.
     """
-    state = cut_lineage(points.select(F.col(id_col).cast("bigint").alias("id"), F.lit(1).cast("bigint").alias("n"),
+    size = F.lit(1) if size_col is None else F.col(size_col)
+    state = cut_lineage(points.select(F.col(id_col).cast("bigint").alias("id"), size.cast("bigint").alias("n"),
                                       F.col(vec).alias("vec")))
+    left_over = state.count()
 
     def kernel(lids, sizes, left, rids, rsizes, right) -> pd.DataFrame:
         d = _exact_euclid(left, right)
@@ -292,32 +296,30 @@ def ward_linkage(points: DataFrame, vec: str, id_col: str = "object_id", block_r
         at = hi.argmin(axis=1)
         return pd.DataFrame({"i": lids, "j": rids[at], "d": low})[np.isfinite(low)]
 
-    merges = None
-    turn = 0
-    while True:
-        turn += 1
-        cand = blocked_reduce(state, "id", "vec", "n", kernel, "i bigint, j bigint, d double", block_rows)
+    merges: list[DataFrame] = []
+    while left_over > 1:
+        cand = blocked_reduce(state, "id", "vec", "n", kernel, "i bigint, j bigint, d double", block_rows, left_over)
         nn = cut_lineage(cand.groupBy("i").agg(
             F.min(F.struct("d", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "j")).alias("m")).select(
             "i", F.col("m.j").alias("j"), F.col("m.d").alias("d")))
-        found = _reciprocal(nn)
         right = state.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
         left = state.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
-        joined = found.join(left, "a").join(right, "b")
         total = F.col("na") + F.col("nb")
-        joined = cut_lineage(joined.select(
+        joined = cut_lineage(_reciprocal(nn).join(left, "a").join(right, "b").select(
             "a", "b", "d", total.alias("n"),
             F.zip_with("va", "vb", lambda x, y: (x * F.col("na") + y * F.col("nb")) / total).alias("vec")))
-        if joined.limit(1).count() == 0:
-            break
-        rows = joined.select("a", "b", F.col("d").alias("distance"), F.col("n").alias("size"), F.lit(turn).alias("round"))
-        merges = cut_lineage(rows if merges is None else merges.union(rows))
+        merges.append(joined.select("a", "b", F.col("d").alias("distance"), F.col("n").alias("size"),
+                                    F.lit(len(merges) + 1).alias("round")))
+        left_over -= joined.count()
         touched = joined.select(F.explode(F.array("a", "b")).alias("id"))
         state = cut_lineage(state.join(touched, "id", "left_anti").union(
             joined.select(F.col("a").alias("id"), "n", "vec")))
-    if merges is None:
+    if not merges:
         return points.sparkSession.createDataFrame([], "a bigint, b bigint, distance double, size bigint, round int")
-    return merges
+    out = merges[0]
+    for m in merges[1:]:
+        out = out.union(m)
+    return out
 
 
 def index_groups(heatmap: DataFrame, names: list) -> DataFrame:
@@ -333,6 +335,8 @@ def group_dendrogram(heatmap: DataFrame, method: str = "average") -> tuple[Linka
     """Linkage of the groups of a long heatmap whose first row or column is finite. Returns tree and labels."""
     from cellweave.operators.masks import finite_groups
 
+    # one profile pass; everything after it works on the small map
+    heatmap = cut_lineage(heatmap)
     first = heatmap.agg(F.min("row_group")).first()[0]
     kept = cut_lineage(finite_groups(heatmap, first))
     names = [r[0] for r in kept.select("row_group").distinct().orderBy("row_group").collect()]
