@@ -12,6 +12,7 @@ from cellweave.functions.scalars import ieee_divide, is_finite
 from cellweave.functions.vectors import array_sum, distance_matrix, linear_map, nearest, normalised, quadratic_form
 from cellweave.operators.assign import with_distances
 from cellweave.operators.blocks import pair_rows
+from cellweave.session import cut_lineage
 
 METRICS = ("summed_minmax", "l2_norm", "l1_norm", "chi1_norm", "chi2_norm", "quadratic_chi", "summed_difference")
 NORMALISED_METRICS = ("l2_norm", "l1_norm", "chi1_norm", "chi2_norm", "quadratic_chi")
@@ -147,11 +148,15 @@ def profile_distance(pairs: DataFrame, metric: str, similarity: np.ndarray | Non
 
 
 def distance_map(profiles: DataFrame, metric: str, threshold: float = 0.0, similarity: np.ndarray | None = None,
-                 m: float = 0.5, k: int | None = None, within: Sequence[str] = ()) -> DataFrame:
+                 m: float = 0.5, k: int | None = None, within: Sequence[str] = (),
+                 materialise: bool = True) -> DataFrame:
     """Long heatmap (within…, row_group, col_group, distance): each pair once, mirrored, zero diagonal.
 
-    ``within`` restricts pairs to equal keys, e.g. the parts of one group.
+    ``within`` restricts pairs to equal keys, e.g. the parts of one group. The
+    profiles (one row per group) are written once, so the cells are read once.
     """
+    if materialise:
+        profiles = cut_lineage(profiles)
     norm = normalise_profiles(profiles, threshold)
     a = norm.select(*within, F.col("group_name").alias("row_group"), F.col("profile").alias("_p"))
     b = norm.select(*within, F.col("group_name").alias("col_group"), F.col("profile").alias("_q"))

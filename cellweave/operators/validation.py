@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from cellweave.config import SplitConfig
 from cellweave.functions.scalars import above, ieee_divide, in_fraction, portable_hash
 from cellweave.operators.blocks import pair_rows
-from cellweave.operators.order_stats import distributed_rank, order_statistics
+from cellweave.operators.moments import grouped_moments, with_group_inverse
+from cellweave.operators.order_stats import distributed_rank, order_statistics, quantile
 from cellweave.operators.profiles import cluster_profiles, distance_map
+from cellweave.session import cut_lineage
 
 
 def random_split_rows(cells: DataFrame, splits: int, fraction: float, seed_key: str, seed: int = 1) -> DataFrame:
@@ -55,8 +57,9 @@ def part_distances(members: DataFrame, group: str, part: str, vec: str, centroid
     keyed = members.withColumn("group_name", F.concat_ws("\u0001", F.col(group).cast("string"), F.col(part).cast("string")))
     profiles = cluster_profiles(keyed, vec, centroids, exp_factor, p)
     names = F.split("group_name", "\u0001")
-    profiles = profiles.select(names[0].alias("_group"), names[1].alias("group_name"), "profile")
-    heat = distance_map(profiles, metric, similarity=similarity, m=m, k=len(centroids), within=["_group"])
+    profiles = cut_lineage(profiles.select(names[0].alias("_group"), names[1].alias("group_name"), "profile"))
+    heat = distance_map(profiles, metric, similarity=similarity, m=m, k=len(centroids), within=["_group"],
+                        materialise=False)
     off = heat.filter(F.col("row_group") != F.col("col_group")).groupBy("_group").agg(F.avg("distance").alias("distance"))
     parts = profiles.groupBy("_group").agg(F.count("*").alias("n_parts")).filter("n_parts >= 2")
     return parts.join(off, "_group").select(F.col("_group").alias(group), "n_parts", "distance")
@@ -89,6 +92,7 @@ def treatment_map(heatmap: DataFrame, random_dist: DataFrame, replicate_dist: Da
                   replicate_threshold: float) -> DataFrame:
     """Heatmap with the random-split distances on the diagonal (when every group has one) and a flag
     for rows or columns whose replicate distance is above the threshold."""
+    heatmap, random_dist = cut_lineage(heatmap), cut_lineage(random_dist)
     groups = heatmap.select("row_group").distinct()
     have = groups.join(random_dist.select(F.col(group).alias("row_group")), "row_group", "left_semi").count()
     complete = have == groups.count()
@@ -180,7 +184,7 @@ def split_pair_statistics(heatmap: DataFrame) -> DataFrame:
 
     Columns where either half is NaN are left out of the comparison with others.
     """
-    h = heatmap.withColumns({"row_base": base_name(F.col("row_group")), "col_base": base_name(F.col("col_group"))})
+    h = cut_lineage(heatmap).withColumns({"row_base": base_name(F.col("row_group")), "col_base": base_name(F.col("col_group"))})
     own = h.filter((F.col("row_base") == F.col("col_base")) & (F.col("row_group") < F.col("col_group"))).select(
         F.col("row_base").alias("label"), F.col("distance").alias("self_match"))
     others = h.filter(F.col("row_base") != F.col("col_base"))
@@ -189,7 +193,6 @@ def split_pair_statistics(heatmap: DataFrame) -> DataFrame:
     stats = good.groupBy(F.col("row_base").alias("label")).agg(
         F.avg("distance").alias("mean_others"), F.min("distance").alias("min_others"),
         F.max("distance").alias("max_others"))
-    from cellweave.operators.order_stats import quantile
     med = quantile(good.select(F.col("row_base").alias("label"), "distance"), ["label"], "distance", 0.5, "median_others")
     return own.join(stats, "label", "left").join(med.drop("n"), "label", "left").select(
         "label", "self_match", "median_others", "mean_others", "min_others", "max_others",
@@ -199,7 +202,7 @@ def split_pair_statistics(heatmap: DataFrame) -> DataFrame:
 
 def modified_similarity(heatmap: DataFrame) -> DataFrame:
     """2×2 block mean per pair of originals times smaller over larger self match."""
-    h = heatmap.withColumns({"row_base": base_name(F.col("row_group")), "col_base": base_name(F.col("col_group"))})
+    h = cut_lineage(heatmap).withColumns({"row_base": base_name(F.col("row_group")), "col_base": base_name(F.col("col_group"))})
     own = h.filter((F.col("row_base") == F.col("col_base")) & (F.col("row_group") < F.col("col_group"))).select(
         F.col("row_base").alias("base"), F.col("distance").alias("self_match"))
     # a group is as far from itself as from its other half
@@ -238,9 +241,6 @@ def mahalanobis_group_map(members: DataFrame, group: str, vec: str, p: int, frac
     Group means, inverses and trim cuts are one row per group; the mean
     quadratic form follows from group moments, so cells are never paired.
     """
-    from cellweave.operators.moments import grouped_moments, with_group_inverse
-    from cellweave.session import cut_lineage
-
     rows = members.select(F.col(group).cast("string").alias("g"), F.col(id_col).alias("_id"), F.col(vec).alias("_v"))
     full = cut_lineage(with_group_inverse(grouped_moments(rows, ["g"], "_v", p), p))
 
