@@ -35,7 +35,7 @@ def running_population(cells: DataFrame, by: str = "treatment", flag: str = "is_
 def windowed_population(cells: DataFrame, time: str = "ts", by: str = "treatment", window: str = "1 day",
                         late: str = "1 hour") -> DataFrame:
     """Population per tumbling event-time window; state is dropped once the watermark has passed."""
-    return cells.withWatermark(time, late).groupBy(F.window(time, window), by).agg(
+    return cells.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window), by).agg(
         F.count("*").alias("n_cells"), F.sum("value").alias("total"))
 
 
