@@ -74,7 +74,7 @@ def main() -> int:
     con = connection(sf_dir)
     sqls, bad = entry.oracle_sql(), 0
     for name, fn in entry.queries().items():
-        if only and not any(o in name for o in only):
+        if only and not any(o == "=" + name or (o[0] != "=" and o in name) for o in only):
             continue
         t = time.time()
         try:
