@@ -93,7 +93,7 @@ def kmeans_manhattan(spark, sf):
 def kmeans_swap_threshold(spark, sf):
     z, c, _ = C.z_model(spark, sf)
     z = z.select("object_id", "vec").persist()
-    out = kmeans.swap_kmeans(z, "vec", 6, 0, start=c, max_iter=4)
+    out = kmeans.swap_kmeans(z, "vec", 6, 0, start=c, max_iter=3)
     z.unpersist()
     return spark.createDataFrame(list(enumerate(out.changed, 1)), "round int, changed bigint")
 
@@ -502,7 +502,7 @@ tm AS (SELECT treatment AS g, avg(f1) mx, avg(f2) my, var_pop(f1) a, var_pop(f2)
     "kmeans_manhattan": (kmeans_manhattan, W(
         C.MODEL + ",\n" + C.lloyd_sql(START, 2, distance=C.d_sql("z", "c", 1)), C.centres_out("r2"))),
     "kmeans_swap_threshold": (kmeans_swap_threshold, W(
-        C.MODEL + ",\n" + C.lloyd_sql(START, 4), _changed_sql(4))),
+        C.MODEL + ",\n" + C.lloyd_sql(START, 3), _changed_sql(3))),
     "kmeans_converged": (kmeans_converged, None),
     "kmedians": (kmedians, W(
         C.MODEL + ",\n" + C.lloyd_sql(START, 2, update="quantile_cont({x}, 0.5)"), C.centres_out("r2"))),
