@@ -51,14 +51,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
+def stored(df: DataFrame, name: str = "step", compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
     Unlike a checkpoint, the result carries a fresh size estimate, so later joins are planned on what was written.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     back = spark.read.schema(df.schema).parquet(path)
     back._stored_at = path
     return back
