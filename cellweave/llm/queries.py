@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cellweave.llm import bpe, exact_dedup
+from cellweave.llm import bpe, exact_dedup, huffman, packing
 from cellweave.llm.common import table
+from cellweave.session import scratch_path
 
 
 def op3_exact_dedup(spark, sf_dir):
@@ -19,7 +20,20 @@ def op5_bpe(spark, sf_dir):
                         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_token_ids(spark, sf_dir):
+    folder = scratch_path(spark, "token-ids")
+    huffman.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder, end_id=2)
+    return huffman.read_ids(spark, folder).select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op3_exact_dedup": (op3_exact_dedup, exact_dedup.ORACLE),
     "op5_bpe": (op5_bpe, None),
+    "op8_best_fit_packing": (op8_best_fit_packing, None),
+    "op10_token_ids": (op10_token_ids, None),
 }
