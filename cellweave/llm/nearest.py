@@ -85,8 +85,7 @@ def learn(sample: np.ndarray, k: int, seed: int = 7) -> Codes:
     if dims >= BITS:
         basis = axes[:, :BITS]
     else:  # fewer dimensions than bits: further random directions
-        basis = np.hstack([axes, np.linalg.qr(rng.normal(size=(dims, dims)))[0][:, :1].repeat(0, axis=1),
-                           rng.normal(size=(dims, BITS - dims)) / np.sqrt(dims)])
+        basis = np.hstack([axes, rng.normal(size=(dims, BITS - dims)) / np.sqrt(dims)])
     projected = centred @ basis
     turn = np.linalg.qr(rng.normal(size=(BITS, BITS)))[0]
     for _ in range(ROTATIONS):
@@ -190,8 +189,9 @@ def exact_cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Cosine in double precision of each row with ``q``, added up in the order of the dimensions."""
     if not len(x):
         return np.empty(0)
-    sx, sq = np.abs(x).max(axis=1, keepdims=True), np.abs(q).max()
-    x, q = x / sx, q / sq
+    # Powers of two keep the squares in range without changing a digit.
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+    q = np.ldexp(q, -np.frexp(np.abs(q).max())[1])
     dot, xx, qq = np.zeros(len(x)), np.zeros(len(x)), 0.0
     for d in range(x.shape[1]):
         dot += x[:, d] * q[d]
