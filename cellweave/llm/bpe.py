@@ -187,7 +187,9 @@ class WholeTextBpe:
         self.special = special
         self.special_split = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.store: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.bytes = 0
+        self.plain = _plain_split(spec)
         size = max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         strings = [""] * size
         for t, i in [*model["vocab"].items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]:
@@ -206,17 +208,30 @@ class WholeTextBpe:
         return token.encode() if added else bytes(_UNBYTE[c] for c in token)
 
     def _segment(self, text: str) -> bytes:
-        out: list[int] = []
+        if self.plain:
+            bare = text.strip(" \n\t\r")
+            if _PLAIN.fullmatch(bare) and not (self.special_split and self.special_split.search(bare)):
+                return b"".join([self._piece(p) for p in self.plain.findall(bare.lower())])
+        out: list[bytes] = []
         for part in self.special_split.split(text) if self.special_split else [text]:
-            if not part:
-                continue
             if part in self.special:
-                out.append(self.special[part])
-                continue
-            normal = self.tokenizer.normalizer.normalize_str(part) if self.tokenizer.normalizer else part
-            for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal):
-                out += self.core.encode(piece)
-        return array("I", out).tobytes()
+                out.append(array("I", [self.special[part]]).tobytes())
+            elif part:
+                normal = self.tokenizer.normalizer.normalize_str(part) if self.tokenizer.normalizer else part
+                out += [self._mapped(piece) for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+        return b"".join(out)
+
+    def _piece(self, piece: str) -> bytes:
+        return self._mapped(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOW))
+
+    def _mapped(self, piece: str) -> bytes:
+        """Ids of a piece in the byte alphabet, from a bounded store of those seen before."""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= MAX_SEGMENTS // 2:
+                self.pieces.clear()
+            ids = self.pieces[piece] = array("I", self.core.encode(piece)).tobytes()
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -252,6 +267,22 @@ class WholeTextBpe:
         return text.decode("utf-8", "replace").encode()
 
 
+def _plain_split(spec: dict) -> re.Pattern | None:
+    """Pattern of the pieces of text that ``_PLAIN`` matches, in lower case.
+
+    Only for files that lower-case, keep what their split pattern matches and map bytes one by one; there such text
+    needs no other step. None for any other file, and for such files any other text goes through the library's steps.
+    """
+    normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if "Lowercase" not in normal or not set(normal) <= {"NFC", "Replace", "Lowercase"} or len(steps) != 2:
+        return None
+    split, level = steps
+    if split.get("behavior") != "Removed" or not split.get("invert") or level.get("type") != "ByteLevel" or level.get("use_regex"):
+        return None
+    return re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "a-zA-ZÀ-ÖØ-öø-ſ").replace(r"\p{N}", "0-9"))
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies, reversed."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -260,6 +291,9 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 _UNBYTE = _byte_alphabet()
+_SHOW = {b: c for c, b in _UNBYTE.items()}
+#: Printable ASCII and the composed letters up to U+017F whose lower case is one letter: no other form, no white space.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
 _CODERS: dict[tuple[str, bool], WholeTextBpe] = {}
 
 
