@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cellweave.llm.common import batch_of, id_and_text, small_batches
-from cellweave.llm.tokenizing import MAX_SEGMENT_BYTES, MAX_SEGMENTS, segments, text_list
+from cellweave.llm.tokenizing import MAX_LENGTH, MAX_PIECES, MAX_SEGMENTS, PLAIN, SHOW, UNBYTE, evict, plain_split, segments, text_list
 
 NO_TOKEN = -1
 
@@ -188,8 +188,7 @@ class WholeTextBpe:
         self.special_split = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.store: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.bytes = 0
-        self.plain = _plain_split(spec)
+        self.plain = plain_split(spec)
         size = max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         strings = [""] * size
         for t, i in [*model["vocab"].items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]:
@@ -205,12 +204,12 @@ class WholeTextBpe:
         """Bytes a token stands for. Without a decoder the library joins token strings by spaces, so one follows each."""
         if not self.byte_level:
             return token.encode() + b" "
-        return token.encode() if added else bytes(_UNBYTE[c] for c in token)
+        return token.encode() if added else bytes(UNBYTE[c] for c in token)
 
     def _segment(self, text: str) -> bytes:
         if self.plain:
             bare = text.strip(" \n\t\r")
-            if _PLAIN.fullmatch(bare) and not (self.special_split and self.special_split.search(bare)):
+            if PLAIN.fullmatch(bare) and not (self.special_split and self.special_split.search(bare)):
                 return b"".join([self._piece(p) for p in self.plain.findall(bare.lower())])
         out: list[bytes] = []
         for part in self.special_split.split(text) if self.special_split else [text]:
@@ -222,14 +221,14 @@ class WholeTextBpe:
         return b"".join(out)
 
     def _piece(self, piece: str) -> bytes:
-        return self._mapped(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOW))
+        return self._mapped(piece if piece.isascii() else piece.encode().decode("latin-1").translate(SHOW))
 
     def _mapped(self, piece: str) -> bytes:
         """Ids of a piece in the byte alphabet, from a bounded store of those seen before."""
         ids = self.pieces.get(piece)
         if ids is None:
-            if len(self.pieces) >= MAX_SEGMENTS // 2:
-                self.pieces.clear()
+            if len(self.pieces) >= MAX_PIECES:
+                evict(self.pieces)
             ids = self.pieces[piece] = array("I", self.core.encode(piece)).tobytes()
         return ids
 
@@ -241,14 +240,16 @@ class WholeTextBpe:
             return b"".join(map(store.__getitem__, cut))
         except KeyError:
             pass
-        if len(store) + len(cut) > MAX_SEGMENTS or self.bytes > MAX_SEGMENT_BYTES:
-            store.clear()
-            self.bytes = 0
+        if len(store) + len(cut) > MAX_SEGMENTS:
+            evict(store)
         for s in cut:
             if s not in store:
-                store[s] = ids = self._segment(s)
-                self.bytes += len(s) + len(ids)
-        return b"".join(map(store.__getitem__, cut))
+                store[s] = self._segment(s)
+        out = b"".join(map(store.__getitem__, cut))
+        for s in cut:
+            if len(s) > MAX_LENGTH:
+                store.pop(s, None)
+        return out
 
     def decode(self, raw: bytes, chunk: int = 1 << 18) -> bytes:
         """UTF-8 bytes of the decoded text; invalid bytes become U+FFFD, as in the library."""
@@ -267,33 +268,6 @@ class WholeTextBpe:
         return text.decode("utf-8", "replace").encode()
 
 
-def _plain_split(spec: dict) -> re.Pattern | None:
-    """Pattern of the pieces of text that ``_PLAIN`` matches, in lower case.
-
-    Only for files that lower-case, keep what their split pattern matches and map bytes one by one; there such text
-    needs no other step. None for any other file, and for such files any other text goes through the library's steps.
-    """
-    normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    if "Lowercase" not in normal or not set(normal) <= {"NFC", "Replace", "Lowercase"} or len(steps) != 2:
-        return None
-    split, level = steps
-    if split.get("behavior") != "Removed" or not split.get("invert") or level.get("type") != "ByteLevel" or level.get("use_regex"):
-        return None
-    return re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "a-zA-ZÀ-ÖØ-öø-ſ").replace(r"\p{N}", "0-9"))
-
-
-def _byte_alphabet() -> dict[str, int]:
-    """The printable character that stands for each byte in byte-level vocabularies, reversed."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
-_UNBYTE = _byte_alphabet()
-_SHOW = {b: c for c, b in _UNBYTE.items()}
-#: Printable ASCII and the composed letters up to U+017F whose lower case is one letter: no other form, no white space.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
 _CODERS: dict[tuple[str, bool], WholeTextBpe] = {}
 
 

@@ -5,11 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cellweave.llm import bpe, exact_dedup, huffman, line_dedup, nearest, ngram_join, packing, toxicity
+from cellweave.llm import bpe, exact_dedup, huffman, line_dedup, nearest, ngram_join, packing, suffix_dedup, token_counts, toxicity
 from cellweave.llm.common import table
 from cellweave.session import scratch_path
 
 
+def op1_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op2_suffix_array_dedup(spark, sf_dir):
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -48,6 +56,8 @@ def op10_token_ids(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_token_counts": (op1_token_counts, None),
+    "op2_suffix_array_dedup": (op2_suffix_array_dedup, None),
     "op3_exact_dedup": (op3_exact_dedup, exact_dedup.ORACLE),
     "op4_ngram_jaccard_join": (op4_ngram_jaccard_join, None),
     "op5_bpe": (op5_bpe, None),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from cellweave.llm import queries
 
-QUERIES: dict = dict(queries.QUERIES)
+QUERIES: dict = {**queries.QUERIES, "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)}

@@ -7,6 +7,7 @@ repeat a lot, so each worker keeps the ids of those it has seen in a bounded sto
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -16,9 +17,10 @@ import pyarrow as pa
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Bounds of the segment store of one worker process, in entries and in bytes of keys and ids.
-MAX_SEGMENTS = 600_000
-MAX_SEGMENT_BYTES = 48 << 20
+#: Entries in the two stores of one worker process: segments, and pieces between the tokenizer's own splits.
+MAX_SEGMENTS, MAX_PIECES = 1_200_000, 400_000
+#: Longer segments are encoded anew each time. When a store is full, entries longer than SHORT make room.
+MAX_LENGTH, SHORT = 64, 7
 
 _AWKWARD = re.compile(r"\s[ \n\t\r]|[\0\t\r\x0b\x0c\x1c-\x1f]")
 _SEGMENT = re.compile(r"\s*\S+|\s+")
@@ -46,6 +48,48 @@ def _split_at_spaces(text: str) -> list[str]:
     return out
 
 
+def plain_split(spec: dict) -> re.Pattern | None:
+    """Pattern of the pieces of text that ``PLAIN`` matches, in lower case.
+
+    Only for files that lower-case, keep what their split pattern matches and map bytes one by one; there such text
+    needs no other step. None for any other file, and for such files any other text goes through the library's steps.
+    """
+    normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if "Lowercase" not in normal or not set(normal) <= {"NFC", "Replace", "Lowercase"} or len(steps) != 2:
+        return None
+    split, level = steps
+    if split.get("behavior") != "Removed" or not split.get("invert") or level.get("type") != "ByteLevel" or level.get("use_regex"):
+        return None
+    return re.compile(split["pattern"]["Regex"].replace(r"\p{L}", "a-zA-ZÀ-ÖØ-öø-ſ").replace(r"\p{N}", "0-9"))
+
+
+def _byte_alphabet() -> dict[str, int]:
+    """The printable character that stands for each byte in byte-level vocabularies, reversed."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+UNBYTE = _byte_alphabet()
+SHOW = {b: c for c, b in UNBYTE.items()}
+#: Printable ASCII and the composed letters up to U+017F whose lower case is one letter: no other form, no white space.
+PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
+
+
+def evict(store: dict[str, bytes]) -> None:
+    """Make room: short entries are the frequent ones and stay, unless they alone fill the store."""
+    kept = {k: v for k, v in store.items() if len(k) <= SHORT}
+    store.clear()
+    if len(kept) < MAX_PIECES // 2:
+        store.update(kept)
+
+
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
+#: A word with its space before and full stops or commas after it: three splits of the byte-level pattern at most.
+_BYTE_WORD = re.compile(f"([ \n]?)([{_LETTERS}]+)([.,]*)")
+
+
 class SegmentEncoder:
     """Ids of whole texts as little-endian unsigned 32- or 16-bit integers."""
 
@@ -57,28 +101,69 @@ class SegmentEncoder:
         self.tokenizer.no_padding()
         if not special_in_text:
             self.tokenizer.encode_special_tokens = True
-        self.code, self.store, self.bytes = code, {}, 0
-
-    def _learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
+        spec = json.load(open(path, encoding="utf-8"))
+        level = spec.get("pre_tokenizer") or {}
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.plain = plain_split(spec)
+        self.byte_words = spec.get("normalizer") is None and level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get(
+            "add_prefix_space")
+        self.code, self.store, self.pieces = code, {}, {}
+
+    def _splits(self, segment: str) -> list[str] | None:
+        """What the library's own splitting makes of a simple segment, in the byte alphabet; None if it is not simple."""
+        if self.byte_words:
+            m = _BYTE_WORD.fullmatch(segment)
+            if m is None:
+                return None
+            before, word, after = m.groups()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(SHOW)
+            parts = ["Ġ" + word] if before == " " else ["Ċ", word] if before else [word]
+            return parts + [after] if after else parts
+        if self.plain:
+            bare = segment.strip(" \n\t\r")
+            if not PLAIN.fullmatch(bare) or "<" in bare and any(s in bare for s in self.special):
+                return None
+            return [p if p.isascii() else p.encode().decode("latin-1").translate(SHOW) for p in self.plain.findall(bare.lower())]
+        return None
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.pieces) >= MAX_PIECES:
+                evict(self.pieces)
+            ids = self.pieces[piece] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+        return ids
+
+    def _learn(self, new: list[str], into: dict[str, bytes]) -> None:
+        rest = []
+        for s in new:
+            splits = self._splits(s)
+            if splits is None:
+                rest.append(s)
+            else:
+                into[s] = b"".join([self._piece(p) for p in splits]) if len(splits) > 1 else self._piece(splits[0]) if splits else b""
+        for i in range(0, len(rest), 1024):
+            part = rest[i:i + 1024]
             for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = array(self.code, e.ids).tobytes()
-                self.store[s] = ids
-                self.bytes += len(s) + len(ids)
+                into[s] = array(self.code, e.ids).tobytes()
 
     def encode(self, texts: list[str], end_id: int | None = None) -> list[bytes]:
         """One byte string of ids for each text, followed by ``end_id`` if given."""
         cut = [segments(t) for t in texts]
-        new = {s for c in cut for s in c if s not in self.store}
-        if len(self.store) + len(new) > MAX_SEGMENTS or self.bytes > MAX_SEGMENT_BYTES:
-            self.store.clear()
-            self.bytes = 0
-            new = {s for c in cut for s in c}
-        self._learn(list(new))
+        store = self.store
+        new = {s for c in cut for s in c if s not in store}
+        if len(store) + len(new) > MAX_SEGMENTS:
+            evict(store)
+            new = {s for c in cut for s in c if s not in store}
+        self._learn(list(new), store)
         end = array(self.code, [end_id]).tobytes() if end_id is not None else b""
-        get = self.store.__getitem__
-        return [b"".join(map(get, c)) + end for c in cut]
+        get = store.__getitem__
+        out = [b"".join(map(get, c)) + end for c in cut]
+        for s in new:
+            if len(s) > MAX_LENGTH:
+                del store[s]
+        return out
 
 
 _ENCODERS: dict[tuple, SegmentEncoder] = {}

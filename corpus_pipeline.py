@@ -1 +1,60 @@
-"""placeholder"""
+"""A training-corpus pipeline: five operators one after another over ``documents``.
+
+Each stage works on the documents its predecessor kept; its result is written as Parquet and read back. All stages but
+the last return the columns of ``documents``; the last returns the packed pieces of what is left.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from cellweave.llm import exact_dedup, ngram_join, packing, suffix_dedup, toxicity
+from cellweave.llm.common import table
+from cellweave.session import forget, stored
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.drop_copies(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.keep_one_of_each(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier document holds; all documents stay."""
+    return suffix_dedup.drop_repeats(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("exact_dedup", without_copies),
+    ("ngram_jaccard_join", without_near_copies),
+    ("suffix_array_dedup", without_repeats),
+    ("best_fit_packing", packed),
+]
+
+#: Scores, MinHash and packing have no SQL form; the stages are tested against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        forget(before)
+    return docs
