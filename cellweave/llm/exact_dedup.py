@@ -136,10 +136,10 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     rows = fingerprints(docs)
     maybe_repeated = _probe(rows)
     keep = _groups(rows.filter(maybe_repeated("_h"))).select(F.col("_sha").alias("_g"), F.col("keep_id").alias("_k"))
-    keyed = _keyed(docs).withColumn("_again", maybe_repeated("_h"))
+    keyed = _keyed(docs.select(F.struct("*").alias("row"), "doc_id", "text")).drop("text").withColumn("_again", maybe_repeated("_h"))
     same = (F.col("_sha") == F.col("_g")) & F.col("doc_id").cast("bigint").eqNullSafe(F.col("_k"))
     first = keyed.filter("_again").join(keep, same, "left_semi").dropDuplicates(["_sha"])
-    return keyed.filter("not _again").unionByName(first).select(*docs.columns)
+    return keyed.filter("not _again").unionByName(first).select("row.*")
 
 
 ORACLE = r"""

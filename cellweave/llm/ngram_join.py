@@ -256,4 +256,5 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     Rows with a null id and texts without words stay. Only ids travel to the filter, not texts.
     """
     gone = stored(similar_documents(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("_id"))
+    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("row.*")

@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -283,14 +284,13 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
         F.col("doc").alias("_doc"), F.col("tid").alias("_tid"), "removed")
 
     @F.pandas_udf("string")
-    def cut(text, removed):
-        import pandas as pd
-
+    def cut(text: pd.Series, removed: pd.Series) -> pd.Series:
         return pd.Series([cut_spans(t, r) if r is not None else t for t, r in zip(text, removed)], dtype=object)
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    mine = (F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)) == F.col("_doc")) & (F.xxhash64(text) == F.col("_tid"))
-    joined = docs.join(spans, mine, "left").withColumn("_cut", F.when(F.col("removed").isNull(), F.col("text")).otherwise(cut(text, "removed")))
-    made = {"text": F.col("_cut"), "n_chars": F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length("_cut").cast("bigint"))
-            if "n_chars" in docs.columns else None}
-    return joined.select(*[made[c].alias(c) if made.get(c) is not None else F.col(c) for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("_doc"), F.xxhash64(text).alias("_tid"))
+    joined = rows.join(spans, ["_doc", "_tid"], "left").withColumn(
+        "cut", F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(cut(F.col("row.text"), "removed")))
+    made = {"text": F.col("cut"), "n_chars": F.when(F.col("removed").isNull(), F.col("row")["n_chars"]).otherwise(
+        F.length("cut").cast("bigint")) if "n_chars" in docs.columns else None}
+    return joined.select(*[(F.col("row")[c] if made.get(c) is None else made[c]).alias(c) for c in docs.columns])
