@@ -114,16 +114,16 @@ def texts_as_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 # --- groups too large for one task ------------------------------------------------------------------------------------
 
-def block_pairs(rows: DataFrame, key: str, id_col: str, block: int, keep: list[str]) -> DataFrame:
-    """Every pair of rows of a key meets in exactly one task group, and no task group holds more than about 2·``block`` rows.
+def block_pairs(members: DataFrame, key: str, id_col: str, block: int) -> DataFrame:
+    """Every pair of ids of a key meets in exactly one task group, and no task group holds more than about 2·``block`` ids.
 
-    A key with n rows is split by a hash of ``id_col`` into n / ``block`` blocks; each unordered pair of blocks is a
-    group (``key``, _lo, _hi), and a row goes to the groups that name its block, with its own block in _b. Keys with
-    one row disappear, since they have no pair.
+    A key with n ids is split by a hash of the id into n / ``block`` blocks; each unordered pair of blocks is a group
+    (``key``, _lo, _hi), and an id goes to the groups that name its block, with its own block in _b. Keys with one id
+    disappear, since they have no pair. Only keys and ids move here; join what belongs to an id afterwards.
     """
-    counts = stored(rows.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1"), "group-sizes")
-    sized = rows.join(counts, key)
+    counts = stored(members.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1"), "group-sizes")
     blocks = F.ceil(F.col("_n") / F.lit(block)).cast("int")
-    placed = sized.select(key, *keep, blocks.alias("_k"), F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), blocks).cast("int").alias("_b"))
-    return placed.select(key, *keep, "_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_o")).select(
-        key, *keep, "_b", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi"))
+    placed = members.select(key, id_col).join(counts.hint("merge"), key).select(
+        key, id_col, blocks.alias("_k"), F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), blocks).cast("int").alias("_b"))
+    return placed.select(key, id_col, "_b", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_o")).select(
+        key, id_col, "_b", F.least("_b", "_o").alias("_lo"), F.greatest("_b", "_o").alias("_hi"))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cellweave.llm.common import batch_of, block_pairs, id_and_text, mix64, small_batches, texts_as_words, window_hashes
 from cellweave.llm.components import components
-from cellweave.session import stored
+from cellweave.session import forget, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: MinHash values in bands of ROWS: a pair at the threshold misses all bands with a chance of 3 in a million.
@@ -141,8 +141,11 @@ def candidate_clusters(reps: DataFrame) -> DataFrame:
     """(rep, cluster) of the classes that have a candidate which survives pruning; reps: (rep, sig), one row per class."""
     limits = drop_limits()
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)])
-    rows = reps.select("rep", F.explode(bands).alias("band"), "sig")
-    keys = stored(reps.select(F.explode(bands).alias("band")).groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"), "bands")
+    members = stored(reps.select("rep", F.explode(bands).alias("band")), "bands")
+    # Near copies share most of their bands: of bands with the same members (128 bits of a hash of the set) one is enough.
+    buckets = members.groupBy("band").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).filter("n > 1")
+    chosen = stored(buckets.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band"), "buckets")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +158,9 @@ def candidate_clusters(reps: DataFrame) -> DataFrame:
         if edges:
             yield batch_of(schema, *zip(*edges))
 
-    pairs = block_pairs(rows.join(keys, "band", "left_semi"), "band", "rep", BAND_BLOCK, ["rep", "sig"])
+    narrow = stored(members.join(chosen.hint("merge"), "band", "left_semi"), "bucket-members")
+    forget(members)
+    pairs = block_pairs(narrow, "band", "rep", BAND_BLOCK).join(reps.hint("merge"), "rep")
     edges = pairs.groupBy("band", "_lo", "_hi").applyInArrow(run, "u bigint, v bigint")
     return components(edges).withColumnsRenamed({"id": "rep", "component": "cluster"})
 
@@ -172,7 +177,7 @@ def verified_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, thresh
             yield batch_of(schema, *(batch.column(c) for c in ("rep", "cluster", "copies", "sig")), found)
 
     # The class representative is one of its documents; a repeated id has several texts, of which the set key picks its own.
-    texts = id_and_text(docs).join(members, F.col("doc_id") == F.col("rep")).select("text", "rep", "cluster", "copies", "sig")
+    texts = id_and_text(docs).join(members.hint("merge"), F.col("doc_id") == F.col("rep")).select("text", "rep", "cluster", "copies", "sig")
     withsets = stored(texts.mapInArrow(sets, "rep bigint, cluster bigint, copies bigint, sig binary, shingles binary"), "cluster-sets")
     out = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
@@ -198,7 +203,7 @@ def verified_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, thresh
         if rows:
             yield batch_of(out, *zip(*rows))
 
-    pairs = block_pairs(withsets, "cluster", "rep", CLUSTER_BLOCK, ["rep", "copies", "sig", "shingles"])
+    pairs = block_pairs(withsets, "cluster", "rep", CLUSTER_BLOCK).join(withsets.drop("cluster").hint("merge"), "rep")
     return pairs.groupBy("cluster", "_lo", "_hi").applyInArrow(run, "u bigint, v bigint, n bigint")
 
 
