@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cellweave.model import check_model_size
 
-WIDE = 128
+#: Partial matrices the driver adds up itself.
+PARTS = 64
 
 
 def list_matrix(column: pa.Array) -> np.ndarray:
@@ -44,13 +44,48 @@ def partition_sums(df: DataFrame, vec: str, kernel: Callable[[np.ndarray], np.nd
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(rows, dtype=np.int32)), matrix_list(acc)], names=["row", "part"])
 
-    partial = df.select(vec).mapInArrow(run, "row int, part array<double>")
+    return _added_up(df.select(vec).mapInArrow(run, "row int, part array<double>"), rows, width, True)
+
+
+def packed_blocks(df: DataFrame, vec: str, rows_per_block: int = 4096) -> DataFrame:
+    """Points as matrices of doubles, one per row: (block binary). Persist it to read the points many times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows_per_block):
+                x = np.ascontiguousarray(list_matrix(batch.column(0).slice(i, rows_per_block)), dtype=float)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()])], names=["block"])
+
+    return df.select(vec).mapInArrow(run, "block binary")
+
+
+def block_sums(blocks: DataFrame, features: int, kernel: Callable[[np.ndarray], np.ndarray], rows: int, width: int,
+               many: bool = True) -> np.ndarray:
+    """``partition_sums`` over packed blocks; ``many``: over more than PARTS partitions."""
+    check_model_size(rows * width, "partial sums")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = np.zeros((rows, width))
+        for batch in batches:
+            for raw in batch.column(0):
+                acc += kernel(np.frombuffer(raw.as_buffer(), dtype=float).reshape(-1, features))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows, dtype=np.int32)), matrix_list(acc)], names=["row", "part"])
+
+    return _added_up(blocks.mapInArrow(run, "row int, part array<double>"), rows, width, many)
+
+
+def _added_up(partial: DataFrame, rows: int, width: int, many: bool) -> np.ndarray:
+    """Sum of the partial matrices, of which at most PARTS come to the driver: tasks add up ``many`` first."""
+    if many:
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            acc = np.zeros((rows, width))
+            for batch in batches:
+                np.add.at(acc, batch.column(0).to_numpy(), list_matrix(batch.column(1)).reshape(-1, width))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows, dtype=np.int32)), matrix_list(acc)], names=["row", "part"])
+
+        partial = partial.repartition(PARTS).mapInArrow(add, "row int, part array<double>")
     out = np.zeros((rows, width))
-    if width <= WIDE:
-        for r in partial.groupBy("row").agg(*[F.sum(F.col("part")[i]) for i in range(width)]).collect():
-            out[r[0]] = r[1:]
-    else:
-        long = partial.select("row", F.posexplode("part").alias("i", "x")).groupBy("row", "i").agg(F.sum("x").alias("x"))
-        for r in long.collect():
-            out[r["row"], r["i"]] = r["x"]
+    found = partial.toArrow()
+    np.add.at(out, found.column("row").to_numpy(), list_matrix(found.column("part").combine_chunks()).reshape(-1, width))
     return out

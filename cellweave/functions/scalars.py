@@ -50,9 +50,14 @@ def portable_hash(key: str, seed: int) -> Column:
     return F.expr(portable_hash_sql(f"`{key}`", seed))
 
 
+def fraction_limit(fraction: float) -> int:
+    """Hashes below this make up ``fraction`` of all."""
+    return round(fraction * MODULUS)
+
+
 def in_fraction(key: str, seed: int, fraction: float) -> Column:
     """Membership of a seeded random part that holds ``fraction`` of all rows."""
-    return portable_hash(key, seed) % 1000 < F.lit(int(round(fraction * 1000)))
+    return portable_hash(key, seed) < F.lit(fraction_limit(fraction))
 
 
 def uniform01(key: str, seed: int) -> Column:

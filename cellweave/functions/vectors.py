@@ -63,33 +63,75 @@ def minkowski(a: Column, b: Column, p: float = 2, weights: Column | None = None)
     return root(F.aggregate(diff, F.lit(0.0), lambda acc, d: acc + power(d, p)), p)
 
 
+#: Doubles a batch kernel holds at once.
+KERNEL_VALUES = 2_000_000
+
+
+def balanced_sum(terms: np.ndarray) -> np.ndarray:
+    """Sum over the last axis in the order of ``total``, so both give the same bits."""
+    while terms.shape[-1] > 1:
+        even = terms.shape[-1] // 2 * 2
+        paired = terms[..., 0:even:2] + terms[..., 1:even:2]
+        terms = paired if even == terms.shape[-1] else np.concatenate([paired, terms[..., even:]], axis=-1)
+    return terms[..., 0] if terms.shape[-1] else np.zeros(terms.shape[:-1])
+
+
+def row_blocks(rows: int, values_per_row: int) -> list[slice]:
+    step = max(1, KERNEL_VALUES // max(values_per_row, 1))
+    return [slice(i, i + step) for i in range(0, rows, step)]
+
+
 def distance_matrix(points: np.ndarray, centroids: np.ndarray, p: float = 2,
                     weights: np.ndarray | None = None) -> np.ndarray:
-    """Batch kernel: rows × centroids. Runs inside tasks on one Arrow batch at a time."""
-    if weights is not None and np.ndim(weights) == 2:
-        cols = [distance_matrix(points, centroids[k:k + 1], p, weights[k]) for k in range(len(centroids))]
-        return np.concatenate(cols, axis=1)
-    if weights is not None:
-        points, centroids = points * weights, centroids * weights
-    if p == 2:
-        # shift by the centroid mean keeps the expanded square accurate
-        shift = centroids.mean(axis=0)
-        a, b = points - shift, centroids - shift
-        sq = (a * a).sum(axis=1)[:, None] - 2.0 * (a @ b.T) + (b * b).sum(axis=1)[None, :]
-        return np.sqrt(np.maximum(sq, 0.0))
-    out = np.empty((len(points), len(centroids)))
-    for k, c in enumerate(centroids):
-        d = np.abs(points - c)
-        out[:, k] = d.sum(axis=1) if p == 1 else (d ** p).sum(axis=1) ** (1.0 / p)
+    """Batch kernel: rows × centroids, always from true differences. Runs inside tasks on one Arrow batch at a time."""
+    k, n = centroids.shape
+    out = np.empty((len(points), k))
+    for rows in row_blocks(len(points), k * n):
+        d = points[rows, None, :] - centroids[None]
+        if weights is not None:
+            d *= weights
+        if p == 2:
+            out[rows] = np.sqrt(balanced_sum(d * d))
+        else:
+            d = np.abs(d)
+            out[rows] = balanced_sum(d) if p == 1 else balanced_sum(d ** p) ** (1.0 / p)
     return out
 
 
+def nearest_rows(points: np.ndarray, centroids: np.ndarray, p: float = 2,
+                 weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(index, distance) of the nearest centroid of each row: the same answer as the least of ``distance_matrix``.
+
+    For Euclidean distances one matrix product finds the candidates, those that rounding cannot tell from the least;
+    their distances come from true differences, and ties go to the lowest index.
+    """
+    if p != 2 or (weights is not None and np.ndim(weights) == 2) or not len(points):
+        d = distance_matrix(points, centroids, p, weights)
+        best = d.argmin(axis=1)
+        return best, d[np.arange(len(points)), best]
+    a, b = (points, centroids) if weights is None else (points * weights, centroids * weights)
+    shift = b.mean(axis=0)
+    a, b = a - shift, b - shift
+    na, nb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    sq = na[:, None] - 2.0 * (a @ b.T) + nb[None, :]
+    slack = 1e-12 * (na + nb.max()) * max(points.shape[1], 1)
+    near = sq <= (sq.min(axis=1) + slack)[:, None]
+    best = near.argmax(axis=1)
+    for i in np.flatnonzero(near.sum(axis=1) > 1):
+        options = np.flatnonzero(near[i])
+        best[i] = options[distance_matrix(points[i:i + 1], centroids[options], p, weights)[0].argmin()]
+    d = points - centroids[best]
+    if weights is not None:
+        d = d * weights
+    return best, np.sqrt(balanced_sum(d * d))
+
+
 def centroid_distances(vec: Column, centroids: np.ndarray, p: float = 2,
                        weights: np.ndarray | None = None) -> Column:
     """array<double> of the distance to each centroid.
 
-    Few terms become generated code; many terms become one matrix product per
-    Arrow batch. Nothing is joined or shuffled either way. ``weights`` has one
+    Few terms become generated code; many terms become a kernel per Arrow batch
+    that adds up the same differences in the same order. Nothing is joined or shuffled either way. ``weights`` has one
     entry per feature, or one row per centroid.
     """
     c = np.asarray(centroids, dtype=float)
@@ -135,7 +177,13 @@ def quadratic_form(vec: Column, mean: np.ndarray, inverse: np.ndarray) -> Column
     @F.arrow_udf("double")
     def form(v: pa.Array) -> pa.Array:
         x = list_matrix(v).reshape(-1, n) - mean
-        return pa.array(((x @ inverse) * x).sum(axis=1))
+        i, j = np.triu_indices(n, 1)
+        cross = inverse[i, j] + inverse[j, i]
+        out = np.empty(len(x))
+        for rows in row_blocks(len(x), n * (n + 1) // 2):
+            y = x[rows]
+            out[rows] = balanced_sum(np.hstack([y * y * np.diag(inverse), y[:, i] * y[:, j] * cross]))
+        return pa.array(out)
 
     return form(vec)
 
@@ -152,7 +200,11 @@ def linear_map(vec: Column, matrix: np.ndarray, shift: np.ndarray | None = None)
 
     @F.arrow_udf("array<double>")
     def apply(v: pa.Array) -> pa.Array:
-        return matrix_list((list_matrix(v).reshape(-1, m.shape[0]) - s) @ m)
+        x = list_matrix(v).reshape(-1, m.shape[0]) - s
+        out = np.empty((len(x), m.shape[1]))
+        for rows in row_blocks(len(x), m.size):
+            out[rows] = balanced_sum(x[rows, None, :] * m.T[None])
+        return matrix_list(out)
 
     return apply(vec)
 

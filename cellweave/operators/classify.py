@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from cellweave.functions.scalars import portable_hash
+from cellweave.functions.scalars import in_fraction, portable_hash
 
 
 def training_rows(df: DataFrame, label: str, seed_key: str, per_group: int, seed: int = 0) -> DataFrame:
@@ -74,7 +74,7 @@ def confusion_matrix(df: DataFrame, labels: Sequence[str], vec: str, seed_key: s
     index = F.create_map(*[F.lit(x) for i, g in enumerate(names) for x in (g, float(i))])
     data = named.select(F.col(seed_key).alias("_k"), index[F.col("_label")].alias("_y"),
                         array_to_vector(vec).alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
-    inside = portable_hash("_k", seed) % 1000 < int(fraction * 1000)
+    inside = in_fraction("_k", seed, fraction)
     model = OneVsRest(classifier=_svc(max_iter), featuresCol="_v", labelCol="_y", predictionCol="prediction",
                       parallelism=4).fit(
         data.filter(inside))

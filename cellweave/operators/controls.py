@@ -11,10 +11,8 @@ from pyspark.storagelevel import StorageLevel
 
 from cellweave.config import FilterConfig
 from cellweave.functions.vectors import quadratic_form, vector
-from cellweave.model import UNROLL_TERMS
 from cellweave.operators.moments import Moments, inverse_covariance, moments
 from cellweave.operators.order_stats import distributed_rank, median_and_mad, order_statistics
-from cellweave.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -49,9 +47,6 @@ def fit_mahalanobis(reference: DataFrame, vec: str, p: int, fraction: float = 0.
     if keep >= first.n_reference:
         return first
     scored = reference.select(id_col, vec, first.squared(F.col(vec)).alias("_d"))
-    if p * p > UNROLL_TERMS:
-        # batch products may differ in the last bit between runs: fix the distances once
-        scored = cut_lineage(scored)
     cut = order_statistics(scored, [], "_d", fraction, {"cut": lambda n: F.lit(keep - 1)}).first()["cut"]
     below, ties = F.col("_d") < F.lit(cut), F.col("_d") == F.lit(cut)
     counts = scored.agg(F.sum(below.cast("bigint")), F.sum(ties.cast("bigint"))).first()

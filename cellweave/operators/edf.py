@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.functions.scalars import portable_hash
+from cellweave.functions.scalars import in_fraction
 from cellweave.functions.vectors import total
 from cellweave.operators.order_stats import running_totals
 
@@ -121,9 +121,8 @@ def bootstrap_quality(long: DataFrame, control: str, treated: str, seed_key: str
     in the resamples it belongs to, and all of them share one ranged pass.
     """
     main = ks_by_feature(long, F.col(control), F.col(treated)).select("feature", F.col("ks").alias("ks_treated"))
-    per_mille = F.lit(int(round(part * 1000)))
     hits = [
-        F.when(portable_hash(seed_key, seed + 2 * i + half) % 1000 < per_mille,
+        F.when(in_fraction(seed_key, seed + 2 * i + half, part),
                F.struct(F.lit(i).alias("b"), F.lit(half).alias("half")))
         for i in range(b) for half in (0, 1)]
     sampled = long.filter(F.col(control)).select(

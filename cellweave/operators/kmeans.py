@@ -13,16 +13,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.functions.partials import list_matrix, matrix_list, partition_sums
+from cellweave.functions.partials import PARTS, block_sums, list_matrix, matrix_list, packed_blocks
 from cellweave.functions.scalars import MODULUS
-from cellweave.functions.vectors import centroid_distances, distance_matrix, nearest, total
+from cellweave.functions.vectors import balanced_sum, centroid_distances, distance_matrix, nearest, nearest_rows, total
 from cellweave.model import UNROLL_TERMS, check_model_size
-from cellweave.operators.assign import assign_nearest, with_distances
+from cellweave.operators.assign import assign_nearest
 from cellweave.operators.order_stats import median_and_mad, quantile
 
+#: Points a seeding pass brings to the driver.
+FAR_POINTS = 2048
+
 DistanceFn = Callable[[Column, np.ndarray], Column]
 
 
@@ -40,7 +44,8 @@ def farthest_first(points: DataFrame, vec: str, k: int, p: float = 2, id_col: st
                    first: np.ndarray | None = None) -> tuple[np.ndarray, list]:
     """Seeds: the lowest id, then k−1 times the point farthest from its nearest seed (ties to the lowest id).
 
-    One combining aggregate per seed. Returns the k×p seeds and their ids.
+    Each pass brings FAR_POINTS points back, which settle as many seeds as no other point could be. Returns the k×p
+    seeds and their ids.
     """
     if first is None:
         row = points.agg(F.min_by(F.struct(F.col(id_col).alias("i"), F.col(vec).alias("v")), id_col)).first()[0]
@@ -50,46 +55,40 @@ def farthest_first(points: DataFrame, vec: str, k: int, p: float = 2, id_col: st
     while len(seeds) < k:
         check_model_size(len(seeds) * len(seeds[0]), "seeds")
         d = F.array_min(centroid_distances(F.col(vec), np.array(seeds), p))
-        row = (
-            points.select(F.col(id_col).alias("i"), F.col(vec).alias("v"), d.alias("d"))
-            .agg(F.min_by(F.struct("i", "v"), F.struct(-F.col("d"), F.col("i")))).first()[0])
-        seeds.append(np.array(row["v"], dtype=float))
-        ids.append(row["i"])
+        far = points.select(F.col(id_col).alias("i"), F.col(vec).alias("v"), d.alias("d")).orderBy(F.desc("d"), "i").limit(FAR_POINTS).collect()
+        # No other point is farther than the last of these, and distances only fall: while the farthest of
+        # them is beyond that, it is the farthest of all.
+        x, low = np.array([r["v"] for r in far], dtype=float), np.array([r["d"] for r in far])
+        bound = low[-1] if len(far) == FAR_POINTS else -np.inf
+        fresh = 0
+        while len(seeds) < k:
+            at = min(np.flatnonzero(low == low.max()), key=lambda r: far[r]["i"])
+            if fresh and low[at] <= bound:
+                break
+            seeds.append(x[at])
+            ids.append(far[at]["i"])
+            fresh += 1
+            low = np.minimum(low, distance_matrix(x, x[at:at + 1], p)[:, 0])
     return np.array(seeds), ids
 
 
-def _round_sums(points: DataFrame, vec: str, centroids: np.ndarray, previous: np.ndarray | None, p: float,
+def _round_sums(blocks: DataFrame, many: bool, centroids: np.ndarray, previous: np.ndarray | None, p: float,
                 weights: np.ndarray | None) -> np.ndarray:
     """Per cluster: p coordinate sums, count, Σd², points that changed since ``previous``."""
     k, n = centroids.shape
-    if 2 * centroids.size <= UNROLL_TERMS:
-        df = with_distances(points, vec, centroids, p, weights, out="_d")
-        df = df.select(vec, nearest(F.col("_d")).alias("_c"), F.array_min("_d").alias("_m"))
-        if previous is not None:
-            df = with_distances(df, vec, previous, p, weights, out="_o")
-            moved = (nearest(F.col("_o")) != F.col("_c")).cast("bigint")
-        else:
-            moved = F.lit(1)
-        rows = df.groupBy("_c").agg(
-            *[F.sum(F.col(vec)[i]) for i in range(n)], F.count("*"), F.sum(F.col("_m") * F.col("_m")),
-            F.sum(moved)).collect()
-        out = np.zeros((k, n + 3))
-        for r in rows:
-            out[r[0]] = r[1:]
-        return out
 
     def kernel(x: np.ndarray) -> np.ndarray:
-        d = distance_matrix(x, centroids, p, weights)
-        best = d.argmin(axis=1)
-        low = d[np.arange(len(x)), best]
-        moved = np.ones(len(x)) if previous is None else (
-            distance_matrix(x, previous, p, weights).argmin(axis=1) != best).astype(float)
-        member = np.zeros((len(x), k))
-        member[np.arange(len(x)), best] = 1.0
-        return np.hstack([member.T @ x, member.sum(axis=0)[:, None], (member.T @ (low * low))[:, None],
-                          (member.T @ moved)[:, None]])
+        best, low = nearest_rows(x, centroids, p, weights)
+        moved = np.ones(len(x)) if previous is None else (nearest_rows(x, previous, p, weights)[0] != best).astype(float)
+        out = np.zeros((k, n + 3))
+        order = np.argsort(best, kind="stable")
+        first = np.flatnonzero(np.diff(best[order], prepend=-1))
+        if len(first):
+            rows = np.hstack([x, np.ones((len(x), 1)), (low * low)[:, None], moved[:, None]])[order]
+            out[best[order][first]] = np.add.reduceat(rows, first, axis=0)
+        return out
 
-    return partition_sums(points, vec, kernel, k, n + 3)
+    return block_sums(blocks, n, kernel, k, n + 3, many)
 
 
 def _farthest_points(points: DataFrame, vec: str, centroids: np.ndarray, count: int, p: float,
@@ -108,15 +107,17 @@ def lloyd(points: DataFrame, vec: str, start: np.ndarray, p: float = 2, max_iter
     Stops when the summed squared centre shift falls below ``tol``, or, if a
     swap threshold is given, when at most that many points changed cluster. An
     empty cluster moves to a farthest point, or keeps its centre without ``refill``.
-    Keep ``points`` persisted: each round is one pass over them.
+    Points are packed into matrices once; each round is one pass over those.
     """
     c = np.array(start, dtype=float)
     check_model_size(c.size, "centroids")
     result = Clustering(c)
     previous = None
     n = c.shape[1]
+    blocks = packed_blocks(points, vec).persist(StorageLevel.MEMORY_AND_DISK)
+    many = blocks.rdd.getNumPartitions() > PARTS
     for _ in range(max_iter):
-        sums = _round_sums(points, vec, c, previous if swap_threshold is not None else None, p, weights)
+        sums = _round_sums(blocks, many, c, previous if swap_threshold is not None else None, p, weights)
         count = sums[:, n]
         result.inertia.append(float(sums[:, n + 1].sum()))
         result.changed.append(int(sums[:, n + 2].sum()))
@@ -133,6 +134,7 @@ def lloyd(points: DataFrame, vec: str, start: np.ndarray, p: float = 2, max_iter
         result.centroids = c
         if swap_threshold is None and shift < tol:
             break
+    blocks.unpersist()
     return result
 
 
@@ -192,7 +194,7 @@ def robust_distances(vec: Column, centroids: np.ndarray, mad: np.ndarray, sharpn
     @F.arrow_udf("array<double>")
     def distances(v: pa.Array) -> pa.Array:
         x = list_matrix(v).reshape(-1, c.shape[1])[:, used]
-        out = [(1.0 - np.exp(-sharpness * np.abs(x - row[used]) / m[used])).sum(axis=1) for row in c]
+        out = [balanced_sum(1.0 - np.exp(np.abs(x - row[used]) * (-sharpness / m[used]))) for row in c]
         return matrix_list(np.stack(out, axis=1))
 
     return distances(vec)

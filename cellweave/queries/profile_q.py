@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cellweave import fixtures as X
 from cellweave.config import SplitConfig
-from cellweave.functions.scalars import portable_hash_sql
+from cellweave.functions.scalars import fraction_limit, portable_hash_sql
 from cellweave.operators import grouping, masks, normalize, profiles, validation
 from cellweave.queries import base as B
 from cellweave.queries import cluster_base as C
@@ -352,7 +352,7 @@ def _similarity_sql(metric: str) -> str:
 
 def _split_hits(n: int, fraction: float, seed: int, source: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT *, {i} AS part FROM {source} WHERE {portable_hash_sql('seed_key', seed + i)} % 1000 < {int(fraction * 1000)}"
+        f"SELECT *, {i} AS part FROM {source} WHERE {portable_hash_sql('seed_key', seed + i)} < {fraction_limit(fraction)}"
         for i in range(n))
 
 

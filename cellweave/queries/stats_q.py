@@ -321,7 +321,7 @@ def _bootstrap_sql(b: int) -> str:
         for half in (0, 1):
             h = S.portable_hash_sql("seed_key", 11 + 2 * i + half)
             parts.append(f"SELECT feature, value, {i} AS b, {half} AS half FROM long"
-                         f" WHERE treatment = 'N' AND {h} % 1000 < 200")
+                         f" WHERE treatment = 'N' AND {h} < {S.fraction_limit(0.2)}")
     return LONG + ",\nsamples AS (" + " UNION ALL ".join(parts) + """),
 bc AS (SELECT feature, b, value, count(CASE WHEN half=0 THEN 1 END) a, count(CASE WHEN half=1 THEN 1 END) c
        FROM samples GROUP BY 1, 2, 3),
