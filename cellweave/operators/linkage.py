@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 
 from cellweave.model import check_model_size
 from cellweave.operators.blocks import BLOCK_ROWS, blocked_reduce
-from cellweave.operators.order_stats import distributed_rank
+from cellweave.operators.order_stats import distributed_rank, running_totals
 from cellweave.operators.silhouette import _exact_euclid
-from cellweave.session import cut_lineage
+from cellweave.session import cut_lineage, forget
 
 TABLE_METHODS = ("single", "complete", "average", "weighted", "ward")
 
@@ -65,27 +65,24 @@ def table_linkage(distances: DataFrame, method: str = "average", row: str = "row
     """
     if method not in TABLE_METHODS:
         raise ValueError(f"no such linkage method: {method}")
-    spark = distances.sparkSession
     edges = distances.filter(F.col(row) != F.col(col)).select(
         F.col(row).cast("bigint").alias("x"), F.lit(1).cast("bigint").alias("nx"),
         F.col(col).cast("bigint").alias("y"), F.lit(1).cast("bigint").alias("ny"), F.col(value).alias("d"))
     edges = cut_lineage(edges)
-    merges: list[tuple] = []
+    merges: DataFrame | None = None
     turn = 0
     while True:
         turn += 1
         nn = edges.groupBy(F.col("x").alias("i")).agg(
             F.min(F.struct("d", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "y", "nx", "ny")).alias("m"))
         nn = nn.select("i", F.col("m.y").alias("j"), F.col("m.d").alias("d"), (F.col("m.nx") + F.col("m.ny")).alias("n"))
-        found = _reciprocal(nn).join(nn.select(F.col("i").alias("a"), "n"), "a").collect()
-        if not found:
-            break
-        check_model_size(len(merges) + len(found), "linkage")
-        merges += [(r["a"], r["b"], r["d"], r["n"], turn) for r in found]
-        pairs = spark.createDataFrame(
-            [(x, r["a"], r["d"]) for r in found for x in (r["a"], r["b"])], "old bigint, new bigint, h double")
-        edges = cut_lineage(_collapse(_collapse(edges, pairs, method), pairs, method).filter("x <> y"))
-    return spark.createDataFrame(merges, "a bigint, b bigint, distance double, size bigint, round int")
+        found = cut_lineage(_reciprocal(nn).join(nn.select(F.col("i").alias("a"), "n"), "a").select(
+            "a", "b", F.col("d").alias("distance"), F.col("n").cast("bigint").alias("size"), F.lit(turn).alias("round")))
+        if found.isEmpty():
+            return found if merges is None else merges
+        pairs = found.select(F.explode(F.array("a", "b")).alias("old"), F.col("a").alias("new"), F.col("distance").alias("h"))
+        edges = cut_lineage(_collapse(_collapse(edges, pairs, method), pairs, method).filter("x <> y"), edges)
+        merges = found if merges is None else merges.union(found)
 
 
 @dataclass(frozen=True)
@@ -133,40 +130,68 @@ def linkage_frame(spark, tree: Linkage) -> DataFrame:
     return spark.createDataFrame([(i, a, b, d, n) for i, (a, b, d, n) in enumerate(tree.rows)], LINKAGE_SCHEMA)
 
 
-def merge_scan(tree: Linkage, sizes: np.ndarray, sums: np.ndarray, squares: np.ndarray) -> list[tuple]:
-    """After each merge: total of the cluster variances, mean of the positive ones, how many are positive.
+ORDER = ("distance", "round", "a", "b")
+
+
+def _variance(n: Column, s: Column, q: Column) -> Column:
+    """Variance of a cluster with moments (n, Σx, Σx²), summed over the features."""
+    per_feature = F.zip_with(s, q, lambda a, b: F.greatest(b / n - (a / n) * (a / n), F.lit(0.0)))
+    return F.when(n > 0, F.aggregate(per_feature, F.lit(0.0), lambda t, x: t + x)).otherwise(F.lit(0.0))
+
 
-    Leaf moments are (n, Σx, Σx²) per feature; a cluster's variance is the sum over features.
+def merge_history(merges: DataFrame, leaves: DataFrame) -> DataFrame:
+    """One row per merge with members and variance of the two clusters before and of the one after it.
+
+    ``leaves``: (id, n, s, q), the moments of each leaf. The merges of a round do not depend on each other, so moments
+    go up the tree round by round, each a join of its merges with the clusters alive.
     """
-    n = list(np.asarray(sizes, dtype=float))
-    s, q = [np.asarray(x, dtype=float) for x in sums], [np.asarray(x, dtype=float) for x in squares]
-
-    def variance(i: int) -> float:
-        return float(np.maximum(q[i] / n[i] - (s[i] / n[i]) ** 2, 0.0).sum()) if n[i] else 0.0
-
-    alive = {i: variance(i) for i in range(tree.n)}
-    out = []
-    for step, (a, b, _, _) in enumerate(tree.rows):
-        n.append(n[a] + n[b])
-        s.append(s[a] + s[b])
-        q.append(q[a] + q[b])
-        del alive[a], alive[b]
-        alive[tree.n + step] = variance(tree.n + step)
-        positive = [v for v in alive.values() if v > 1e-12]
-        out.append((step, float(sum(alive.values())), float(np.mean(positive)) if positive else 0.0, len(positive)))
+    alive = cut_lineage(leaves.select(F.col("id").cast("bigint").alias("id"), F.col("n").cast("double").alias("n"), "s", "q",
+                                      F.lit(1).cast("bigint").alias("members")))
+    out = None
+    for turn in range(1, (merges.agg(F.max("round")).first()[0] or 0) + 1):
+        a = alive.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "s", "q", "members")])
+        b = alive.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "s", "q", "members")])
+        added = {c: F.zip_with(f"{c}_a", f"{c}_b", lambda x, y: x + y) for c in ("s", "q")}
+        step = cut_lineage(merges.filter(F.col("round") == turn).join(a, "a").join(b, "b").select(
+            *ORDER, (F.col("n_a") + F.col("n_b")).alias("n"), added["s"].alias("s"), added["q"].alias("q"),
+            (F.col("members_a") + F.col("members_b")).alias("members"), "members_a", "members_b",
+            _variance(F.col("n_a"), F.col("s_a"), F.col("q_a")).alias("v_a"), _variance(F.col("n_b"), F.col("s_b"), F.col("q_b")).alias("v_b")))
+        gone = step.select(F.explode(F.array("a", "b")).alias("id"))
+        alive = cut_lineage(alive.join(gone, "id", "left_anti").unionByName(
+            step.select(F.col("a").alias("id"), "n", "s", "q", "members")), alive)
+        rows = step.select(*ORDER, "members", "members_a", "members_b", _variance(F.col("n"), F.col("s"), F.col("q")).alias("v"), "v_a", "v_b")
+        out = rows if out is None else out.union(rows)
     return out
 
 
-def big_cluster_scan(tree: Linkage, minimum: int, leaf_sizes: list[int] | None = None) -> list[tuple[int, int]]:
-    """(merge_no, clusters with at least ``minimum`` members after it)."""
-    size = list(leaf_sizes or [1] * tree.n)
-    big = sum(x >= minimum for x in size)
-    out = []
-    for step, (a, b, _, _) in enumerate(tree.rows):
-        size.append(size[a] + size[b])
-        big += (size[-1] >= minimum) - (size[a] >= minimum) - (size[b] >= minimum)
-        out.append((step, big))
-    return out
+def merge_scan(history: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(merge_no, total_variance, mean_positive, n_positive) after each merge: totals of the leaves plus running changes."""
+    def positive(v: str) -> Column:
+        return (F.col(v) > 1e-12).cast("bigint")
+
+    v = _variance(F.col("n").cast("double"), F.col("s"), F.col("q"))
+    start = leaves.select(v.alias("v")).agg(
+        F.sum("v").alias("t"), F.sum(F.col("v") * positive("v")).alias("p"), F.sum(positive("v")).alias("k")).first()
+    sums = {
+        "_t": F.col("v") - F.col("v_a") - F.col("v_b"),
+        "_p": F.col("v") * positive("v") - F.col("v_a") * positive("v_a") - F.col("v_b") * positive("v_b"),
+        "_k": positive("v") - positive("v_a") - positive("v_b"), "_no": F.lit(1).cast("bigint")}
+    run = running_totals(history, [], ORDER, sums)
+    n = F.col("_k") + F.lit(start["k"])
+    return run.select((F.col("_no") - 1).alias("merge_no"), (F.col("_t") + F.lit(start["t"])).alias("total_variance"),
+                      F.when(n > 0, (F.col("_p") + F.lit(start["p"])) / n).otherwise(F.lit(0.0)).alias("mean_positive"),
+                      n.alias("n_positive"))
+
+
+def big_cluster_scan(history: DataFrame, leaves: DataFrame, minimum: int) -> DataFrame:
+    """(merge_no, n_big): clusters with at least ``minimum`` leaves after each merge."""
+    def big(c: str) -> Column:
+        return (F.col(c) >= minimum).cast("bigint")
+
+    start = leaves.count() if minimum <= 1 else 0
+    run = running_totals(history, [], ORDER, {
+        "_b": big("members") - big("members_a") - big("members_b"), "_no": F.lit(1).cast("bigint")})
+    return run.select((F.col("_no") - 1).alias("merge_no"), (F.col("_b") + start).alias("n_big"))
 
 
 # ---- points -------------------------------------------------------------------
@@ -229,7 +254,7 @@ def minimum_spanning_tree(points: DataFrame, vec: str, id_col: str = "object_id"
             .otherwise(F.col("other")).alias("parent"))
         roots = _jump(cut_lineage(links))
         state = cut_lineage(state.join(roots.withColumnRenamed("node", "comp"), "comp").select(
-            "id", "vec", F.col("parent").alias("comp")))
+            "id", "vec", F.col("parent").alias("comp")), state)
     if edges is None:
         return spark.createDataFrame([], "lo bigint, hi bigint, distance double")
     return edges
@@ -240,7 +265,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("lo").alias("id"), F.col("hi").alias("to")).union(
         edges.select(F.col("hi").alias("id"), F.col("lo").alias("to")))
     both = cut_lineage(both)
-    labels = cut_lineage(nodes.select("id", F.col("id").alias("component")))
+    labels = last = cut_lineage(nodes.select("id", F.col("id").alias("component")))
     while True:
         seen = both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("component").alias("_low"))
         step = labels.join(seen, "id", "left").select(
@@ -248,7 +273,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         jump = step.select(F.col("id").alias("_c"), F.col("_c").alias("_cc"))
         step = cut_lineage(step.join(jump, "_c").select("id", F.least("_c", "_cc").alias("component"), "_old"))
         moved = step.filter("component <> _old").limit(1).count()
-        labels = step.select("id", "component")
+        forget(last)
+        last, labels = step, step.select("id", "component")
         if not moved:
             return labels
 
@@ -313,7 +339,7 @@ def ward_linkage(points: DataFrame, vec: str, id_col: str = "object_id", size_co
         left_over -= joined.count()
         touched = joined.select(F.explode(F.array("a", "b")).alias("id"))
         state = cut_lineage(state.join(touched, "id", "left_anti").union(
-            joined.select(F.col("a").alias("id"), "n", "vec")))
+            joined.select(F.col("a").alias("id"), "n", "vec")), state)
     if not merges:
         return points.sparkSession.createDataFrame([], "a bigint, b bigint, distance double, size bigint, round int")
     out = merges[0]
@@ -331,8 +357,8 @@ def index_groups(heatmap: DataFrame, names: list) -> DataFrame:
         F.when(F.col("row_group") == F.col("col_group"), F.lit(0.0)).otherwise(F.col("distance")).alias("distance"))
 
 
-def group_dendrogram(heatmap: DataFrame, method: str = "average") -> tuple[Linkage, list]:
-    """Linkage of the groups of a long heatmap whose first row or column is finite. Returns tree and labels."""
+def group_merges(heatmap: DataFrame, method: str = "average") -> tuple[DataFrame, list]:
+    """Merges (a, b, distance, size, round) of the groups of a long heatmap whose first row or column is finite, and their names."""
     from cellweave.operators.masks import finite_groups
 
     # one profile pass; everything after it works on the small map
@@ -340,5 +366,10 @@ def group_dendrogram(heatmap: DataFrame, method: str = "average") -> tuple[Linka
     first = heatmap.agg(F.min("row_group")).first()[0]
     kept = cut_lineage(finite_groups(heatmap, first))
     names = [r[0] for r in kept.select("row_group").distinct().orderBy("row_group").collect()]
-    merges = table_linkage(index_groups(kept, names), method)
+    return table_linkage(index_groups(kept, names), method), names
+
+
+def group_dendrogram(heatmap: DataFrame, method: str = "average") -> tuple[Linkage, list]:
+    """The same as a numbered tree on the driver, for cuts and drawings. Returns tree and labels."""
+    merges, names = group_merges(heatmap, method)
     return linkage_rows(merges, len(names)), names

@@ -12,6 +12,8 @@ from cellweave.operators.grouping import with_group_name
 from cellweave.operators.profiles import distance_map, soft_profiles
 from cellweave.queries import base as B
 from cellweave.queries import cluster_base as C
+from cellweave.queries.profile_q import heat_sql, soft_sql
+from cellweave.session import cut_lineage
 
 W, r = B.with_sql, B.r
 WEIGHTS = [1.0, 0.5, 2.0, 0.25]
@@ -351,28 +353,92 @@ def cut_linkage(spark, sf):
     return spark.createDataFrame(list(zip(names, tree.cut(4))), "group_name string, cluster int")
 
 
-def merge_scan(spark, sf):
-    """Variance totals over the merges of the well dendrogram."""
-    tree, names = linkage.group_dendrogram(_well_map(spark, sf), "average")
+def _merge_history(spark, sf):
+    merges, names = linkage.group_merges(_well_map(spark, sf), "average")
     z = with_group_name(B.z_cells(spark, sf), ["well"])
     v = F.col("vec")
-    rows = {x["group_name"]: x for x in z.groupBy("group_name").agg(
+    ids = F.create_map(*[F.lit(x) for i, g in enumerate(names) for x in (g, i)])
+    leaves = cut_lineage(z.groupBy(F.try_element_at(ids, F.col("group_name")).alias("id")).agg(
         F.count("*").alias("n"), F.array(*[F.sum(v[i]) for i in range(4)]).alias("s"),
-        F.array(*[F.sum(v[i] * v[i]) for i in range(4)]).alias("q")).collect()}
-    scan = linkage.merge_scan(tree, [rows[g]["n"] for g in names], [rows[g]["s"] for g in names],
-                              [rows[g]["q"] for g in names])
-    return spark.createDataFrame(scan, "merge_no int, total_variance double, mean_positive double, n_positive int")
+        F.array(*[F.sum(v[i] * v[i]) for i in range(4)]).alias("q")).filter("id is not null"))
+    return linkage.merge_history(merges, leaves), leaves
+
+
+def merge_scan(spark, sf):
+    """Variance totals over the merges of the well dendrogram."""
+    return linkage.merge_scan(*_merge_history(spark, sf)).select(
+        "merge_no", r("total_variance"), r("mean_positive"), "n_positive")
 
 
 def big_cluster_scan(spark, sf):
     """Ten merges after which most clusters have at least three groups."""
-    tree, _ = linkage.group_dendrogram(_well_map(spark, sf), "average")
-    df = spark.createDataFrame(linkage.big_cluster_scan(tree, 3), "merge_no int, n_big int")
-    return df.orderBy(F.desc("n_big"), "merge_no").limit(10)
+    return linkage.big_cluster_scan(*_merge_history(spark, sf), 3).orderBy(F.desc("n_big"), "merge_no").limit(10)
 
 
 # ---- SQL ------------------------------------------------------------------------
 
+SOFT_WELLS = C.MODEL + "," + soft_sql("'[' || well || ']'") + """,
+sn AS (SELECT group_name, cluster, value / sum(value) OVER (PARTITION BY group_name) AS p FROM soft)"""
+
+#: Distance of a cluster z to the union of x and y, by method: a = d(x, z), b = d(y, z), h = d(x, y).
+COMBINED = {
+    "single": "least(a.d, b.d)", "complete": "greatest(a.d, b.d)", "weighted": "(a.d + b.d) / 2",
+    "average": "(nx.n * a.d + ny.n * b.d) / (nx.n + ny.n)",
+    "ward": "sqrt(greatest((nx.n + nz.n) * a.d * a.d + (ny.n + nz.n) * b.d * b.d - nz.n * m.d * m.d, 0) / (nx.n + ny.n + nz.n))"}
+
+
+def _agglomerate_sql(method: str, steps: int = 11) -> str:
+    """CTEs of a linkage of the wells, merge by merge: d = distances, n = clusters, lab = leaves, m = merges."""
+    parts = [f""", heat AS MATERIALIZED ({heat_sql("l1_norm", "sn")}),
+g AS MATERIALIZED (SELECT group_name, row_number() OVER (ORDER BY group_name) - 1 AS id FROM (SELECT DISTINCT row_group AS group_name FROM heat)),
+d0 AS MATERIALIZED (SELECT a.id AS x, b.id AS y, distance AS d FROM heat JOIN g a ON row_group = a.group_name
+  JOIN g b ON col_group = b.group_name WHERE a.id <> b.id),
+n0 AS MATERIALIZED (SELECT id, id AS node, 1 AS n FROM g), lab0 AS MATERIALIZED (SELECT id AS leaf, id FROM g)"""]
+    for k in range(steps):
+        parts.append(f""",
+m{k} AS MATERIALIZED (SELECT x, y, d FROM d{k} WHERE x < y ORDER BY d, x, y LIMIT 1),
+w{k} AS MATERIALIZED (SELECT a.y AS z, {COMBINED[method]} AS d FROM m{k} m JOIN d{k} a ON a.x = m.x JOIN d{k} b ON b.x = m.y AND b.y = a.y
+  JOIN n{k} nx ON nx.id = m.x JOIN n{k} ny ON ny.id = m.y JOIN n{k} nz ON nz.id = a.y),
+d{k + 1} AS MATERIALIZED (SELECT e.x, e.y, e.d FROM d{k} e, m{k} m WHERE e.x NOT IN (m.x, m.y) AND e.y NOT IN (m.x, m.y)
+  UNION ALL SELECT m.x, z, w.d FROM w{k} w, m{k} m UNION ALL SELECT z, m.x, w.d FROM w{k} w, m{k} m),
+n{k + 1} AS MATERIALIZED (SELECT c.id, CASE WHEN c.id = m.x THEN (SELECT count(*) FROM g) + {k} ELSE c.node END AS node,
+  CASE WHEN c.id = m.x THEN c.n + o.n ELSE c.n END AS n FROM n{k} c, m{k} m JOIN n{k} o ON o.id = m.y WHERE c.id <> m.y),
+lab{k + 1} AS MATERIALIZED (SELECT leaf, CASE WHEN l.id = m.y THEN m.x ELSE l.id END AS id FROM lab{k} l, m{k} m)""")
+    return "".join(parts)
+
+
+def _linkage_sql(method: str, steps: int = 11) -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT {k}::BIGINT AS merge_no, least(a.node, b.node) AS \"left\", greatest(a.node, b.node) AS \"right\", round(m.d, 6) + 0.0 AS distance,"
+        f" (a.n + b.n)::BIGINT AS size FROM m{k} m JOIN n{k} a ON a.id = m.x JOIN n{k} b ON b.id = m.y" for k in range(steps))
+    return W(SOFT_WELLS + _agglomerate_sql(method, steps), rows)
+
+
+def _cut_sql(k: int) -> str:
+    """Clusters after all but the last k - 1 merges of twelve wells, numbered by their smallest leaf."""
+    return W(SOFT_WELLS + _agglomerate_sql("average"), f"""SELECT group_name, (dense_rank() OVER (ORDER BY l.id) - 1)::INT AS cluster
+       FROM lab{12 - k} l JOIN g ON g.id = l.leaf""")
+
+
+def _scan_sql() -> str:
+    moments = ", ".join(f"sum(z{i + 1}) AS s{i}, sum(z{i + 1} * z{i + 1}) AS q{i}" for i in range(4))
+    added = ", ".join(f"sum(s{i}) AS s{i}, sum(q{i}) AS q{i}" for i in range(4))
+    variance = " + ".join(f"greatest(q{i} / n - pow(s{i} / n, 2), 0)" for i in range(4))
+    ctes = f""", leaves AS MATERIALIZED (SELECT g.id AS leaf, count(*) AS n, {moments} FROM z JOIN g ON group_name = '[' || well || ']' GROUP BY 1)"""
+    rows = " UNION ALL ".join(
+        f"SELECT {k}::BIGINT AS merge_no, round(sum(v), 6) + 0.0 AS total_variance, round(avg(v) FILTER (v > 1e-12), 6) + 0.0 AS mean_positive,"
+        f" count(*) FILTER (v > 1e-12) AS n_positive FROM (SELECT {variance} AS v FROM (SELECT l.id, sum(n) AS n, {added}"
+        f" FROM lab{k + 1} l JOIN leaves USING (leaf) GROUP BY 1)) HAVING count(*) > 0" for k in range(11))
+    return W(SOFT_WELLS + _agglomerate_sql("average") + ctes, rows)
+
+
+def _big_sql() -> str:
+    rows = " UNION ALL ".join(
+        f"SELECT {k}::BIGINT AS merge_no, count(*) FILTER (c >= 3) AS n_big FROM (SELECT id, count(*) AS c FROM lab{k + 1} GROUP BY 1) HAVING count(*) > 0"
+        for k in range(11))
+    return W(SOFT_WELLS + _agglomerate_sql("average"), f"SELECT * FROM ({rows}) ORDER BY n_big DESC, merge_no LIMIT 10")
+
+
 PTS = """pts AS (SELECT vec_id AS object_id, label AS cluster, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
 
 
@@ -596,12 +662,12 @@ ab AS (SELECT object_id, own, max(CASE WHEN own = other THEN m END) AS a, min(CA
     "gap_statistic": (gap_statistic, None),
     "within_cluster_distance": (within_cluster_distance, W(C.MODEL, """SELECT round(sum(w), 5) + 0.0 AS w FROM (
        SELECT sum(d*d)/count(*) AS w FROM asg GROUP BY cluster)""")),
-    **{f"linkage_{m}_groups": (_dendrogram(m), None) for m in linkage.TABLE_METHODS},
+    **{f"linkage_{m}_groups": (_dendrogram(m), _linkage_sql(m)) for m in linkage.TABLE_METHODS},
     "linkage_single_points": (linkage_single_points, None),
     "cut_single_linkage": (cut_single_linkage, None),
     "linkage_ward_points": (linkage_ward_points, None),
-    "cut_linkage": (cut_linkage, None),
-    "merge_scan": (merge_scan, None),
-    "big_cluster_scan": (big_cluster_scan, None),
+    "cut_linkage": (cut_linkage, _cut_sql(4)),
+    "merge_scan": (merge_scan, _scan_sql()),
+    "big_cluster_scan": (big_cluster_scan, _big_sql()),
 }
 

@@ -198,13 +198,25 @@ def test_ward_on_points(spark):
     np.testing.assert_allclose(got, naive_linkage(dist(x, x), "ward"), atol=1e-9)
 
 
-def test_merge_scans():
-    tree = linkage.Linkage(4, [(0, 1, 1.0, 2), (2, 3, 2.0, 2), (4, 5, 3.0, 4)])
-    x = np.array([[0.0], [1.0], [4.0], [6.0]])
-    scan = linkage.merge_scan(tree, [1] * 4, x, x * x)
-    assert scan[0][1:] == (0.25, 0.25, 1)
-    assert scan[1][1] == pytest.approx(1.25) and scan[2][1] == pytest.approx(x.var())
-    assert linkage.big_cluster_scan(tree, 2) == [(0, 1), (1, 2), (2, 1)]
+def test_merge_scans(spark):
+    merges = spark.createDataFrame([(0, 1, 1.0, 2, 1), (2, 3, 2.0, 2, 1), (0, 2, 3.0, 4, 2)], "a bigint, b bigint, distance double, size bigint, round int")
+    x = np.array([0.0, 1.0, 4.0, 6.0])
+    leaves = spark.createDataFrame([(i, 1, [float(v)], [float(v * v)]) for i, v in enumerate(x)], "id bigint, n bigint, s array<double>, q array<double>")
+    history = linkage.merge_history(merges, leaves)
+    scan = sorted(tuple(r) for r in linkage.merge_scan(history, leaves).collect())
+    assert scan[0] == (0, 0.25, 0.25, 1)
+    assert scan[1][1] == pytest.approx(1.25) and scan[2][1] == pytest.approx(x.var()) and scan[2][3] == 1
+    assert sorted(tuple(r) for r in linkage.big_cluster_scan(history, leaves, 2).collect()) == [(0, 1), (1, 2), (2, 1)]
+
+
+def test_stored_steps_keep_size_estimates_small(spark):
+    """Each round joins the step before with itself; estimates must not multiply from round to round."""
+    from cellweave.session import cut_lineage
+
+    step = spark.range(500).selectExpr("id", "id AS to")
+    for _ in range(6):
+        step = cut_lineage(step.join(step.select("id", step["to"].alias("next")), "id").select("id", "next").toDF("id", "to"), step)
+    assert step._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 32
 
 
 def test_random_seed_clustering_has_a_dump(blobs):
