@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cellweave.llm.common import batch_of, id_and_text, small_batches
-from cellweave.llm.tokenizing import MAX_LENGTH, MAX_PIECES, MAX_SEGMENTS, PLAIN, SHOW, UNBYTE, evict, plain_split, segments, text_list
+from cellweave.llm.tokenizing import MAX_PIECES, MAX_SEGMENTS, PLAIN, SHOW, UNBYTE, Store, plain_split, segments, text_list
 
 NO_TOKEN = -1
 
@@ -186,8 +186,8 @@ class WholeTextBpe:
         special = {t["content"]: t["id"] for t in spec["added_tokens"]} if special_in_text else {}
         self.special = special
         self.special_split = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
-        self.store: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Store(lambda piece: array("I", self.core.encode(piece)).tobytes(), MAX_PIECES)
+        self.store = Store(self._segment, MAX_SEGMENTS)
         self.plain = plain_split(spec)
         size = max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         strings = [""] * size
@@ -217,39 +217,15 @@ class WholeTextBpe:
                 out.append(array("I", [self.special[part]]).tobytes())
             elif part:
                 normal = self.tokenizer.normalizer.normalize_str(part) if self.tokenizer.normalizer else part
-                out += [self._mapped(piece) for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+                out += [self.pieces[piece] for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
         return b"".join(out)
 
     def _piece(self, piece: str) -> bytes:
-        return self._mapped(piece if piece.isascii() else piece.encode().decode("latin-1").translate(SHOW))
-
-    def _mapped(self, piece: str) -> bytes:
-        """Ids of a piece in the byte alphabet, from a bounded store of those seen before."""
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= MAX_PIECES:
-                evict(self.pieces)
-            ids = self.pieces[piece] = array("I", self.core.encode(piece)).tobytes()
-        return ids
+        return self.pieces[piece if piece.isascii() else piece.encode().decode("latin-1").translate(SHOW)]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        cut = segments(text)
-        store = self.store
-        try:
-            return b"".join(map(store.__getitem__, cut))
-        except KeyError:
-            pass
-        if len(store) + len(cut) > MAX_SEGMENTS:
-            evict(store)
-        for s in cut:
-            if s not in store:
-                store[s] = self._segment(s)
-        out = b"".join(map(store.__getitem__, cut))
-        for s in cut:
-            if len(s) > MAX_LENGTH:
-                store.pop(s, None)
-        return out
+        return b"".join(map(self.store.__getitem__, segments(text)))
 
     def decode(self, raw: bytes, chunk: int = 1 << 18) -> bytes:
         """UTF-8 bytes of the decoded text; invalid bytes become U+FFFD, as in the library."""

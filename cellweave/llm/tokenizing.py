@@ -18,11 +18,10 @@ import pyarrow as pa
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries in the two stores of one worker process: segments, and pieces between the tokenizer's own splits.
-MAX_SEGMENTS, MAX_PIECES = 1_200_000, 400_000
-#: Longer segments are encoded anew each time. When a store is full, entries longer than SHORT make room.
+MAX_SEGMENTS, MAX_PIECES = 700_000, 900_000
+#: Longer keys are made anew each time. When a store is full, keys longer than SHORT make room.
 MAX_LENGTH, SHORT = 64, 7
 
-_AWKWARD = re.compile(r"\s[ \n\t\r]|[\0\t\r\x0b\x0c\x1c-\x1f]")
 _SEGMENT = re.compile(r"\s*\S+|\s+")
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 
@@ -31,7 +30,8 @@ def segments(text: str) -> list[str]:
     """Cut a text into pieces that any tokenizer with white space before the word encodes one by one."""
     if not text:
         return []
-    if not _AWKWARD.search(text):
+    plain = text.replace("\n", " ")
+    if plain.isprintable() and "  " not in plain:  # no white space but single spaces and newlines
         return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
     if _CONTROL.search(text):  # white space to Python, not to the tokenizer
         return [text]
@@ -77,12 +77,26 @@ SHOW = {b: c for c, b in UNBYTE.items()}
 PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
 
 
-def evict(store: dict[str, bytes]) -> None:
-    """Make room: short entries are the frequent ones and stay, unless they alone fill the store."""
-    kept = {k: v for k, v in store.items() if len(k) <= SHORT}
-    store.clear()
-    if len(kept) < MAX_PIECES // 2:
-        store.update(kept)
+class Store(dict):
+    """Bounded memory of ``make(key)``: asking for an unknown key makes and keeps its value.
+
+    When full, short keys, which are the frequent ones, stay, unless they alone would fill it. Long keys are not kept.
+    """
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(key) <= MAX_LENGTH:
+            if len(self) >= self.most:
+                kept = {k: v for k, v in self.items() if len(k) <= SHORT}
+                self.clear()
+                if len(kept) < self.most // 2:
+                    self.update(kept)
+            self[key] = value
+        return value
 
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
@@ -107,63 +121,40 @@ class SegmentEncoder:
         self.plain = plain_split(spec)
         self.byte_words = spec.get("normalizer") is None and level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get(
             "add_prefix_space")
-        self.code, self.store, self.pieces = code, {}, {}
-
-    def _splits(self, segment: str) -> list[str] | None:
-        """What the library's own splitting makes of a simple segment, in the byte alphabet; None if it is not simple."""
-        if self.byte_words:
-            m = _BYTE_WORD.fullmatch(segment)
-            if m is None:
-                return None
-            before, word, after = m.groups()
-            if not word.isascii():
-                word = word.encode().decode("latin-1").translate(SHOW)
-            parts = ["Ġ" + word] if before == " " else ["Ċ", word] if before else [word]
-            return parts + [after] if after else parts
-        if self.plain:
-            bare = segment.strip(" \n\t\r")
-            if not PLAIN.fullmatch(bare) or "<" in bare and any(s in bare for s in self.special):
-                return None
-            return [p if p.isascii() else p.encode().decode("latin-1").translate(SHOW) for p in self.plain.findall(bare.lower())]
-        return None
+        self.code = code
+        self.pieces = Store(self._piece, MAX_PIECES)
+        self.store = Store(self._byte_segment if self.byte_words else self._plain_segment if self.plain else self._whole, MAX_SEGMENTS)
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= MAX_PIECES:
-                evict(self.pieces)
-            ids = self.pieces[piece] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
-        return ids
-
-    def _learn(self, new: list[str], into: dict[str, bytes]) -> None:
-        rest = []
-        for s in new:
-            splits = self._splits(s)
-            if splits is None:
-                rest.append(s)
-            else:
-                into[s] = b"".join([self._piece(p) for p in splits]) if len(splits) > 1 else self._piece(splits[0]) if splits else b""
-        for i in range(0, len(rest), 1024):
-            part = rest[i:i + 1024]
-            for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                into[s] = array(self.code, e.ids).tobytes()
+        """Ids of a split in the byte alphabet."""
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(piece)]).tobytes()
+
+    def _whole(self, segment: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(segment, add_special_tokens=False).ids).tobytes()
+
+    def _byte_segment(self, segment: str) -> bytes:
+        m = _BYTE_WORD.fullmatch(segment)
+        if m is None:
+            return self._whole(segment)
+        before, word, after = m.groups()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(SHOW)
+        pieces = self.pieces
+        ids = pieces["Ġ" + word] if before == " " else pieces["Ċ"] + pieces[word] if before else pieces[word]
+        return ids + pieces[after] if after else ids
+
+    def _plain_segment(self, segment: str) -> bytes:
+        bare = segment.strip(" \n\t\r")
+        if not PLAIN.fullmatch(bare) or "<" in bare and any(s in bare for s in self.special):
+            return self._whole(segment)
+        pieces = self.pieces
+        return b"".join([pieces[p if p.isascii() else p.encode().decode("latin-1").translate(SHOW)] for p in self.plain.findall(bare.lower())])
 
     def encode(self, texts: list[str], end_id: int | None = None) -> list[bytes]:
         """One byte string of ids for each text, followed by ``end_id`` if given."""
-        cut = [segments(t) for t in texts]
-        store = self.store
-        new = {s for c in cut for s in c if s not in store}
-        if len(store) + len(new) > MAX_SEGMENTS:
-            evict(store)
-            new = {s for c in cut for s in c if s not in store}
-        self._learn(list(new), store)
         end = array(self.code, [end_id]).tobytes() if end_id is not None else b""
-        get = store.__getitem__
-        out = [b"".join(map(get, c)) + end for c in cut]
-        for s in new:
-            if len(s) > MAX_LENGTH:
-                del store[s]
-        return out
+        get = self.store.__getitem__
+        return [b"".join(map(get, segments(t))) + end for t in texts]
 
 
 _ENCODERS: dict[tuple, SegmentEncoder] = {}
