@@ -46,13 +46,13 @@ def main() -> None:
         seconds[name] = round(time.perf_counter() - start, 3)
     notes = {}
     if not only or "kmeans_uniform" in only:
-        pts = uniform_points(spark, sf_dir, 50).repartition(spark.sparkContext.defaultParallelism).persist()
+        pts = uniform_points(spark, sf_dir, 50).limit(100_000).repartition(spark.sparkContext.defaultParallelism).persist()
         n = pts.count()
         for k in (20, 50):
             start = time.perf_counter()
             seeds = kmeans.farthest_first(pts, "vec", k)[0]
             seeded = time.perf_counter()
-            fit = kmeans.lloyd(pts, "vec", seeds, max_iter=40)
+            fit = kmeans.lloyd(pts, "vec", seeds, swap_threshold=0, max_iter=10_000, refill=False)
             name = f"kmeans_uniform_p50_k{k}"
             seconds[name] = round(time.perf_counter() - start, 3)
             notes[name] = {"n": n, "rounds": fit.rounds, "seeding": round(seeded - start, 3),

@@ -67,7 +67,7 @@ def separability_map(pairs: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, labels: Sequence[str], vec: str, seed_key: str, fraction: float = 0.5,
-                     seed: int = 1, max_iter: int = 5) -> DataFrame:
+                     seed: int = 1, max_iter: int = 15) -> DataFrame:
     """(label, prediction, n): one-vs-rest linear SVMs trained on a seeded part, counted on the rest."""
     named = df.withColumn("_label", F.concat_ws("_", *[F.col(c).cast("string") for c in labels]))
     names = [r[0] for r in named.select("_label").distinct().orderBy("_label").collect()]

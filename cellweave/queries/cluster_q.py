@@ -147,7 +147,7 @@ def library_kmeans(spark, sf):
 
 def gaussian_mixture(spark, sf):
     z = B.z_cells(spark, sf).select("object_id", "vec")
-    return kmeans.gaussian_mixture(z, "vec", 3, max_iter=20).groupBy("cluster").agg(
+    return kmeans.gaussian_mixture(z, "vec", 3).groupBy("cluster").agg(
         F.count("*").alias("n_cells"), F.avg("probability").alias("mean_probability"))
 
 
@@ -160,7 +160,7 @@ def cluster_medoids_manhattan(spark, sf):
 
 
 def kmedoids(spark, sf):
-    c, ids, costs = silhouette.kmedoids(_points(spark, sf).select("object_id", "vec"), "vec", 4, max_iter=5)
+    c, ids, costs = silhouette.kmedoids(_points(spark, sf).select("object_id", "vec"), "vec", 4)
     return spark.createDataFrame([(i, int(x), costs[-1]) for i, x in enumerate(ids)],
                                  "cluster int, object_id bigint, total_cost double")
 
@@ -186,7 +186,14 @@ def seed_clustering(spark, sf):
 
 def random_seed_clustering(spark, sf):
     z = B.z_cells(spark, sf).select("object_id", "vec", "seed_key")
-    out, c = seeds.random_seed_clustering(z, "vec", 6, objects=1000, seed=5, hash_col="seed_key")
+    out, c = seeds.random_seed_clustering(z, "vec", 6, seed=5, hash_col="seed_key")
+    return out.groupBy("cluster").agg(F.count("*").alias("n_cells")).withColumn("n_clusters", F.lit(len(c)))
+
+
+def random_seed_dump(spark, sf):
+    """The same with the first half of the joins; the rest goes to the dump cluster."""
+    z = B.z_cells(spark, sf).select("object_id", "vec", "seed_key")
+    out, c = seeds.random_seed_clustering(z, "vec", 6, objects=z.count() // 2, seed=5, hash_col="seed_key")
     return out.groupBy("cluster").agg(F.count("*").alias("n_cells")).withColumn("n_clusters", F.lit(len(c)))
 
 
@@ -304,8 +311,8 @@ def silhouette_values(spark, sf):
 
 
 def gap_statistic(spark, sf):
-    pts = X.points(spark, sf).select("object_id", F.slice("vec", 1, 4).alias("vec"))
-    return gap.choose_k(gap.gap_curve(pts, "vec", 4, 3, "object_id", b=2, max_iter=5))
+    pts = X.points(spark, sf).select("object_id", "vec")
+    return gap.choose_k(gap.gap_curve(pts, "vec", 64, 3, "object_id", b=5))
 
 
 def within_cluster_distance(spark, sf):
@@ -604,9 +611,19 @@ cost AS (SELECT a.cluster, a.object_id, sum(list_sum(list_transform(list_zip(a.v
     "random_seed_clustering": (random_seed_clustering, "WITH RECURSIVE " + B.Z + f""",
 seeds AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, object_id) - 1 AS int) AS cluster, object_id, s1, s2, s3, s4 FROM (
   SELECT object_id, {portable_hash_sql('seed_key', 5)} AS h, z1 AS s1, z2 AS s2, z3 AS s3, z4 AS s4 FROM z
-  ORDER BY h, object_id LIMIT 6)),""" + _seed_join_sql() + "," + COMPONENTS.format(taken="so.merge_no < 1000") + """,
+  ORDER BY h, object_id LIMIT 6)),""" + _seed_join_sql() + "," + COMPONENTS.format(taken="true") + """,
+k AS (SELECT max(cluster) + 1 AS k FROM comp),
+lab AS (SELECT so.object_id, coalesce(own.cluster, c.cluster) AS cluster
+  FROM so CROSS JOIN k JOIN comp c USING (seed) LEFT JOIN (
+    SELECT s.object_id, comp.cluster FROM seeds s JOIN comp ON comp.seed = s.cluster) own USING (object_id))
+SELECT cluster, count(*) AS n_cells, CAST((SELECT max(cluster) + 1 FROM lab) AS int) AS n_clusters FROM lab GROUP BY 1"""),
+    "random_seed_dump": (random_seed_dump, "WITH RECURSIVE " + B.Z + f""",
+seeds AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h, object_id) - 1 AS int) AS cluster, object_id, s1, s2, s3, s4 FROM (
+  SELECT object_id, {portable_hash_sql('seed_key', 5)} AS h, z1 AS s1, z2 AS s2, z3 AS s3, z4 AS s4 FROM z
+  ORDER BY h, object_id LIMIT 6)),
+share AS (SELECT count(*) // 2 AS n FROM z),""" + _seed_join_sql() + "," + COMPONENTS.format(taken="so.merge_no < (SELECT n FROM share)") + """,
 k AS (SELECT max(cluster) + 1 AS k FROM comp),
-lab AS (SELECT so.object_id, coalesce(own.cluster, CASE WHEN merge_no < 1000 THEN c.cluster ELSE k END) AS cluster
+lab AS (SELECT so.object_id, coalesce(own.cluster, CASE WHEN merge_no < (SELECT n FROM share) THEN c.cluster ELSE k END) AS cluster
   FROM so CROSS JOIN k JOIN comp c USING (seed) LEFT JOIN (
     SELECT s.object_id, comp.cluster FROM seeds s JOIN comp ON comp.seed = s.cluster) own USING (object_id))
 SELECT cluster, count(*) AS n_cells, CAST((SELECT max(cluster) + 1 FROM lab) AS int) AS n_clusters FROM lab GROUP BY 1"""),

@@ -268,6 +268,53 @@ def f_test_scores(spark, sf):
     return classify.f_test_scores(cells, "band", "vec", X.FEATURES).select("feature", r("f_value", 4))
 
 
+# ---- parameters and extractors ---------------------------------------------------------
+
+
+def _nation_lists(spark, sf):
+    """One list parameter per region, its items separated by all the separators there are."""
+    n = X.table(spark, sf, "nation").select(
+        F.col("n_regionkey").alias("region"), F.struct("n_nationkey", "n_name").alias("x"))
+    items = F.sort_array(F.collect_list("x"))
+    texts = F.transform(items, lambda x: F.concat_ws(",", x["n_nationkey"].cast("string"), F.concat(x["n_nationkey"].cast("string"), F.lit(".5")),
+                                                     F.concat(F.lit(" "), F.replace(x["n_name"], F.lit(" "), F.lit("_")))))
+    return n.groupBy("region").agg(F.array_join(texts, "; ").alias("text"))
+
+
+def list_parameters(spark, sf):
+    """Items of list parameters, as int before float before string."""
+    return _nation_lists(spark, sf).select("region", F.posexplode(sweep.typed_items(F.col("text"))).alias("pos", "item")).select(
+        "region", "pos", "item.as_int", "item.as_float", "item.as_string")
+
+
+def _grid(spark, sf):
+    names = [r[0] for r in X.table(spark, sf, "region").select("r_name").orderBy("r_name").collect()]
+    keys = [r[0] for r in X.table(spark, sf, "nation").select("n_regionkey").distinct().orderBy("n_regionkey").collect()]
+    return sweep.parameter_grid(spark, SweepConfig(
+        methods=tuple(names), param1=tuple(keys), param2=(-1, 1), param3=(1, 2), param4=(20,), exp_factors=(-1.0, 10.0),
+        metrics=("l1_norm", "quadratic_chi")))
+
+
+def parameter_grid(spark, sf):
+    """All combinations of list parameters taken from the dimension tables."""
+    return _grid(spark, sf)
+
+
+def parameter_groups(spark, sf):
+    """Parameter sets that differ in the exponent only."""
+    return sweep.grid_groups(_grid(spark, sf), "exp_factor").select(
+        *[c for c in sweep.GRID_KEYS if c != "exp_factor"], F.array_join(F.col("exp_factor_values").cast("array<string>"), "|").alias("exp_factors"))
+
+
+def custom_extractors(spark, sf):
+    """Well and plate read from columns of another shape by callables, numbered by first appearance."""
+    extract = {"row": lambda c: F.substring(c, 1, 1), "number": lambda c: F.regexp_extract(c, "([0-9]+)$", 1)}
+    parts = X.table(spark, sf, "part").withColumn("image", F.col("p_brand"))
+    for label, get in extract.items():
+        parts, _ = csv_sets.encode_dimension(parts, get(F.col("image")), ["p_partkey"], label)
+    return parts.groupBy("row_name", "row_index", "number_name", "number_index").agg(F.count("*").alias("n_parts"))
+
+
 # ---- whole stages ---------------------------------------------------------------------
 
 
@@ -276,7 +323,7 @@ def _clustered(spark, sf, method="k-means", k=4):
     flt = FilterConfig(("f1", "f2"), (X.CONTROL,), run_mahal_dist=False)
     out = stages.filter_stage(cells, flt).cells
     return stages.run_clustering(out, X.FEATURES, [X.CONTROL], ClusterConfig(
-        method=method, k=k, discard_size=20, dissolve_size=30, max_iter=5, max_depth=3))
+        method=method, k=k, discard_size=20, dissolve_size=30, max_depth=3))
 
 
 def clustering_driver(spark, sf):
@@ -319,6 +366,11 @@ def parameter_sweep(spark, sf):
 # ---- SQL --------------------------------------------------------------------------------
 
 LABELS = ", ".join(f"'[{i}]'" for i in range(12))
+GRID = """SELECT r_name AS method, param1, param2, param3, 20.0::DOUBLE AS param4, exp_factor, profile_metric FROM region
+  CROSS JOIN (SELECT DISTINCT n_regionkey::DOUBLE AS param1 FROM nation) CROSS JOIN (VALUES (-1.0::DOUBLE), (1.0)) a(param2)
+  CROSS JOIN (VALUES (1.0::DOUBLE), (2.0)) b(param3) CROSS JOIN (VALUES (-1.0::DOUBLE), (10.0)) c(exp_factor)
+  CROSS JOIN (VALUES ('l1_norm'), ('quadratic_chi')) d(profile_metric)"""
+
 QUERIES = {
     "csv_import": (csv_import, W(B.CELLS, """SELECT supplier_id AS image_no, 'W' || supplier_id % 12 AS "Metadata_Well",
        'img/dapi/' || supplier_id || '.tif' AS file, count(*) AS n_objects, round(sum(f2), 2) + 0.0 AS sum_f2,
@@ -339,6 +391,18 @@ w AS (SELECT well, CAST(row_number() OVER (ORDER BY m) - 1 AS int) AS i FROM (
   SELECT well, min((image_id, object_id)) AS m FROM cells GROUP BY 1))""", """SELECT treatment AS treatment_name,
   t.i AS treatment_index, CAST(well AS varchar) AS well_name, w.i AS well_index, count(*) AS n_cells
   FROM cells JOIN t USING (treatment) JOIN w USING (well) GROUP BY treatment, t.i, well, w.i""")),
+    "list_parameters": (list_parameters, r"""WITH t AS (SELECT n_regionkey AS region, string_agg(n_nationkey || ',' || n_nationkey || '.5, '
+  || replace(n_name, ' ', '_'), '; ' ORDER BY n_nationkey) AS text FROM nation GROUP BY 1),
+i AS (SELECT region, list_filter(regexp_split_to_array(text, '[\s,;]+'), lambda x: x <> '') AS items FROM t),
+e AS (SELECT region, unnest(items) AS item, (generate_subscripts(items, 1) - 1)::INT AS pos FROM i)
+SELECT region, pos, CASE WHEN item NOT LIKE '%.%' THEN try_cast(item AS BIGINT) END AS as_int, try_cast(item AS DOUBLE) AS as_float, item AS as_string FROM e"""),
+    "parameter_grid": (parameter_grid, GRID),
+    "parameter_groups": (parameter_groups, f"""SELECT method, param1, param2, param3, param4, profile_metric,
+  string_agg(exp_factor::VARCHAR, '|' ORDER BY exp_factor) AS exp_factors FROM ({GRID}) GROUP BY ALL"""),
+    "custom_extractors": (custom_extractors, """WITH p AS (SELECT p_partkey, left(p_brand, 1) AS row_name, regexp_extract(p_brand, '([0-9]+)$', 1) AS number_name FROM part),
+r AS (SELECT row_name, (row_number() OVER (ORDER BY min(p_partkey), row_name) - 1)::INT AS row_index FROM p GROUP BY 1),
+n AS (SELECT number_name, (row_number() OVER (ORDER BY min(p_partkey), number_name) - 1)::INT AS number_index FROM p GROUP BY 1)
+SELECT row_name, row_index, number_name, number_index, count(*) AS n_parts FROM p JOIN r USING (row_name) JOIN n USING (number_name) GROUP BY ALL"""),
     "virtual_ids": (virtual_ids, """SELECT CAST(0 AS bigint) AS plate, 0 AS quality_control, count(*) AS n_cells,
        count(DISTINCT l_orderkey) AS n_images FROM lineitem"""),
     "database_selection": (database_selection, W(B.CELLS, """SELECT image_id, object_id, f1, f2 FROM cells WHERE image_id IN (
