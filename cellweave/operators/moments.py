@@ -14,10 +14,6 @@ from cellweave.functions.partials import list_matrix, partition_sums
 from cellweave.functions.vectors import linear_map
 from cellweave.model import check_model_size
 
-# Up to this many features every covariance is one aggregate expression;
-# wider tables sum one Gram matrix per partition.
-AGGREGATE_FEATURES = 24
-
 
 @dataclass(frozen=True)
 class Moments:
@@ -27,22 +23,16 @@ class Moments:
 
 
 def moments(df: DataFrame, vec: str, p: int) -> Moments:
-    """Count, mean and 1/N covariance in two map-side combined passes (centred, so stable)."""
+    """Count, mean and 1/N covariance: one Gram matrix of the centred rows per partition, added up."""
     check_model_size(p * p, "covariance")
     row = df.agg(F.count("*"), *[F.avg(F.col(vec)[i]) for i in range(p)]).first()
     n, mean = row[0], np.array([np.nan if x is None else x for x in row[1:]], dtype=float)
     cov = np.full((p, p), np.nan)
     if n == 0:
         return Moments(0, mean, cov)
-    if p <= AGGREGATE_FEATURES:
-        x = [F.col(vec)[i] - F.lit(float(mean[i])) for i in range(p)]
-        pairs = [(i, j) for i in range(p) for j in range(i, p)]
-        sums = df.agg(*[F.sum(x[i] * x[j]) for i, j in pairs]).first()
-        for (i, j), s in zip(pairs, sums):
-            cov[i, j] = cov[j, i] = s / n
-    else:
-        gram = partition_sums(df, vec, lambda m: (m - mean).T @ (m - mean), p, p)
-        cov = gram / n
+    gram = partition_sums(df, vec, lambda m: (m[:, :p] - mean).T @ (m[:, :p] - mean), p, p)
+    # the two halves of a matrix product may differ in the last bit
+    cov = (gram + gram.T) / (2 * n)
     return Moments(n, mean, cov)
 
 

@@ -6,17 +6,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.functions.partials import partition_sums
 from cellweave.functions.scalars import ieee_divide, is_finite, is_inf
-from cellweave.functions.vectors import linear_map
+from cellweave.functions.vectors import linear_map, vector
 from cellweave.operators.masks import has_nan
-from cellweave.operators.moments import AGGREGATE_FEATURES, moments
+from cellweave.operators.moments import moments
 
 
 @dataclass(frozen=True)
@@ -103,18 +102,16 @@ def select_features(cells: DataFrame, features: Sequence[str], min_stddev: float
 
 
 def correlation(cells: DataFrame, features: Sequence[str]) -> np.ndarray:
+    """Pearson correlation of all pairs, from one covariance matrix; NaN where a feature does not vary."""
     p = len(features)
-    if p <= AGGREGATE_FEATURES:
-        pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
-        out = np.eye(p)
-        if pairs:
-            row = cells.agg(*[F.corr(F.col(features[i]).cast("double"), F.col(features[j]).cast("double"))
-                              for i, j in pairs]).first()
-            for (i, j), c in zip(pairs, row):
-                out[i, j] = out[j, i] = np.nan if c is None else c
-        return out
-    table = VectorAssembler(inputCols=list(features), outputCol="_v").transform(cells.select(*features))
-    return Correlation.corr(table, "_v").first()[0].toArray()
+    if p < 2:
+        return np.eye(p)
+    cov = moments(cells.select(vector(features).alias("_v")), "_v", p).cov
+    sd = np.sqrt(np.diag(cov))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = cov / np.outer(sd, sd)
+    np.fill_diagonal(out, 1.0)
+    return out
 
 
 def pca_projection(df: DataFrame, vec: str, n: int, out: str = "components") -> DataFrame:

@@ -146,14 +146,14 @@ def duplicate_at_random(cells: DataFrame, seed_key: str, id_col: str = "object_i
     cut = order_statistics(hashed, ["treatment"], "_h", 0.5, {"cut": lambda n: n - F.floor(n / 2) - 1})
     joined = hashed.join(cut.select("treatment", "cut", F.col("n").alias("_n")), "treatment")
     below = joined.filter("_h < cut").groupBy("treatment").agg(F.count("*").alias("_below"))
-    ties = distributed_rank(joined.filter("_h = cut").select("treatment", id_col), [id_col], ["treatment"]).select(
-        id_col, F.col("position").alias("_tie"))
-    full = joined.join(below, "treatment", "left").join(ties, id_col, "left")
-    rank_ok = (F.col("_h") < F.col("cut")) | (
-        F.col("_tie") + F.coalesce("_below", F.lit(0)) <= F.col("_n") - F.floor(F.col("_n") / 2))
-    keep = F.coalesce(rank_ok, F.lit(False))
-    return full.select(*[c for c in cells.columns if c != "treatment"],
-                       F.when(keep, F.col("treatment")).otherwise(F.concat("treatment", F.lit("*"))).alias("treatment"))
+    tied = F.col("_h").eqNullSafe(F.col("cut"))
+    # Only the rows at the cut are ranked; all others are decided where they are.
+    ties = distributed_rank(joined.filter(tied), [id_col], ["treatment"]).join(below, "treatment", "left").withColumn(
+        "_keep", F.col("position") + F.coalesce("_below", F.lit(0)) <= F.col("_n") - F.floor(F.col("_n") / 2))
+    rest = joined.filter(~tied).withColumn("_keep", F.coalesce(F.col("_h") < F.col("cut"), F.lit(False)))
+    name = F.when(F.col("_keep"), F.col("treatment")).otherwise(F.concat("treatment", F.lit("*"))).alias("treatment")
+    out = [*[c for c in cells.columns if c != "treatment"], name]
+    return rest.select(*out).unionByName(ties.select(*out))
 
 
 def replicate_directory(path: Column) -> Column:
