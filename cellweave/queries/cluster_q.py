@@ -544,6 +544,20 @@ nc AS (SELECT cluster AS nk, avg(z1) c1, avg(z2) c2, avg(z3) c3, avg(z4) c4 FROM
 near AS (SELECT object_id, treatment, cluster, min_by(nk, (d, nk)) AS best FROM (
   SELECT closed.*, nk, {C.d_sql('z', 'c')} AS d FROM closed CROSS JOIN nc) GROUP BY 1, 2, 3)"""
 
+def _dissolve_sql() -> str:
+    ctes = [C.MODEL, """lim AS (SELECT count(*) // 6 AS n FROM asg),
+a0 AS MATERIALIZED (SELECT object_id, cluster FROM asg), alive0 AS (SELECT DISTINCT cluster FROM cent)"""]
+    for i in range(6):
+        ctes.append(f"""f{i} AS MATERIALIZED (SELECT (SELECT count(*) FROM a{i} WHERE cluster = {i}) < n AND (SELECT count(*) FROM alive{i}) > 1
+  AND {i} IN (SELECT cluster FROM alive{i}) AS small FROM lim),
+alive{i + 1} AS MATERIALIZED (SELECT cluster FROM alive{i}, f{i} WHERE NOT (cluster = {i} AND small)),
+b{i} AS (SELECT object_id, min_by(cluster, (d, cluster)) AS best FROM cd WHERE cluster IN (SELECT cluster FROM alive{i + 1}) GROUP BY 1),
+a{i + 1} AS MATERIALIZED (SELECT a.object_id, CASE WHEN small AND a.cluster = {i} THEN best ELSE a.cluster END AS cluster
+  FROM a{i} a JOIN b{i} USING (object_id), f{i})""")
+    return W(",\n".join(ctes), """SELECT CAST((SELECT count(*) FROM alive6 s WHERE s.cluster < a6.cluster) AS int) AS cluster, count(*) AS n_cells
+       FROM a6 GROUP BY a6.cluster""")
+
+
 QUERIES = {
     "point_centroid_distances": (_distances(2), _dist_sql(2)),
     "minkowski_p1": (_distances(1), _dist_sql(1)),
@@ -645,7 +659,7 @@ SELECT cluster, count(*) AS n_cells, CAST((SELECT max(cluster) + 1 FROM lab) AS
        CASE WHEN cluster < 0 THEN best ELSE cluster END AS cluster, treatment, count(*) AS n_cells FROM near GROUP BY 1, 2""")),
     "discard_small_reassign_all": (discard_small_reassign_all, W(
         DISCARD_SQL, "SELECT best AS cluster, treatment, count(*) AS n_cells FROM near GROUP BY 1, 2")),
-    "dissolve_small_clusters": (dissolve_small_clusters, None),
+    "dissolve_small_clusters": (dissolve_small_clusters, _dissolve_sql()),
     "merge_clusters": (merge_clusters, W(C.MODEL, """SELECT CASE WHEN cluster = 4 THEN 1 WHEN cluster > 4 THEN cluster - 1
        ELSE cluster END AS cluster, count(*) AS n_cells, round(avg(z1), 6) + 0.0 AS c1, round(avg(z2), 6) + 0.0 AS c2,
        round(avg(z3), 6) + 0.0 AS c3, round(avg(z4), 6) + 0.0 AS c4 FROM asg GROUP BY 1""")),
