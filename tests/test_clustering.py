@@ -216,7 +216,7 @@ def test_stored_steps_keep_size_estimates_small(spark):
     step = spark.range(500).selectExpr("id", "id AS to")
     for _ in range(6):
         step = cut_lineage(step.join(step.select("id", step["to"].alias("next")), "id").select("id", "next").toDF("id", "to"), step)
-    assert step._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bitLength() < 32
+    assert step._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 32
 
 
 def test_random_seed_clustering_has_a_dump(blobs):
