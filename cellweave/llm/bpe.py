@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cellweave.llm.common import batch_of, id_and_text, small_batches
-from cellweave.llm.tokenizing import MAX_PIECES, MAX_SEGMENTS, PLAIN, SHOW, UNBYTE, Store, plain_split, segments, text_list
+from cellweave.llm.tokenizing import _USED_IN, HELD, MAX_PIECES, MAX_SEGMENTS, PLAIN, SHOW, UNBYTE, Store, free_other_stages, plain_split, segments, stage, text_list
 
 NO_TOKEN = -1
 
@@ -245,10 +245,13 @@ class WholeTextBpe:
 
 
 _CODERS: dict[tuple[str, bool], WholeTextBpe] = {}
+HELD.append(_CODERS)
 
 
 def coder(path: str, special_in_text: bool = True) -> WholeTextBpe:
     """The coder of this worker process."""
+    free_other_stages()
+    _USED_IN[0] = stage()
     if (path, special_in_text) not in _CODERS:
         _CODERS[path, special_in_text] = WholeTextBpe(path, special_in_text)
     return _CODERS[path, special_in_text]

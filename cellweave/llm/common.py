@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.llm.tokenizing import free_other_stages
 from cellweave.session import ship_package, stored
 
 #: Rows of Python text held at once in a task; long texts come in smaller batches by bytes.
@@ -24,7 +25,11 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def small_batches(batches, size: int = BATCH_BYTES):
-    """Split Arrow batches so that each holds about ``size`` bytes of data (one row at least)."""
+    """Split Arrow batches so that each holds about ``size`` bytes of data (one row at least).
+
+    Every operator over texts reads its batches here, so this is where a worker lets go of the coders of earlier stages.
+    """
+    free_other_stages()
     for batch in batches:
         rows = batch.num_rows
         if not rows:

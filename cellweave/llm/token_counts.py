@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cellweave.llm.common import batch_of, id_and_text, small_batches
-from cellweave.llm.tokenizing import text_list
+from cellweave.llm.tokenizing import _USED_IN, HELD, free_other_stages, stage, text_list
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-MAX_PARTS = 600_000
+MAX_PARTS = 500_000
 _PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -111,10 +111,13 @@ class UnigramCounter:
 
 
 _COUNTERS: dict[str, UnigramCounter] = {}
+HELD.append(_COUNTERS)
 
 
 def counter(path: str) -> UnigramCounter:
     """The counter of this worker process for a sentencepiece file."""
+    free_other_stages()
+    _USED_IN[0] = stage()
     if path not in _COUNTERS:
         _COUNTERS[path] = UnigramCounter(*unigram_vocabulary(path))
     return _COUNTERS[path]

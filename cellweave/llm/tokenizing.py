@@ -7,6 +7,7 @@ repeat a lot, so each worker keeps the ids of those it has seen in a bounded sto
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -14,11 +15,12 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries in the two stores of one worker process: segments, and pieces between the tokenizer's own splits.
-MAX_SEGMENTS, MAX_PIECES = 700_000, 900_000
+MAX_SEGMENTS, MAX_PIECES = 500_000, 600_000
 #: Longer keys are made anew each time. When a store is full, keys longer than SHORT make room.
 MAX_LENGTH, SHORT = 64, 7
 
@@ -158,10 +160,28 @@ class SegmentEncoder:
 
 
 _ENCODERS: dict[tuple, SegmentEncoder] = {}
+#: Stage the worker's coders were last used in, and the tables that hold them.
+_USED_IN: list[int] = [-1]
+HELD: list[dict] = [_ENCODERS]
+
+
+def stage() -> int:
+    context = TaskContext.get()
+    return context.stageId() if context else -1
+
+
+def free_other_stages() -> None:
+    """Drop this worker's coders unless they serve the current stage: workers outlive stages, their stores need not."""
+    if any(HELD) and _USED_IN[0] != stage():
+        for table in HELD:
+            table.clear()
+        gc.collect()
 
 
 def encoder(path: str, code: str = "I", special_in_text: bool = True) -> SegmentEncoder:
-    """The encoder of this worker process; its store outlives a task."""
+    """The encoder of this worker process; its store outlives a task, not a stage."""
+    free_other_stages()
+    _USED_IN[0] = stage()
     key = (path, code, special_in_text)
     if key not in _ENCODERS:
         _ENCODERS[key] = SegmentEncoder(*key)
