@@ -141,7 +141,7 @@ def encode_tokens(docs: DataFrame, path: str, end_id: int | None, id_col: str =
         for batch in small_batches(batches):
             yield batch_of(schema, batch.column("doc_id"), own.encode(text_list(batch.column("text")), end_id))
 
-    return stored(id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids binary"), "tokens", "zstd")
+    return stored(id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, ids binary"), "tokens")
 
 
 def count_ids(tokens: DataFrame) -> np.ndarray:
