@@ -1,6 +1,7 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Documents become sets of word shingles; documents with the same set are one class and are joined through one of them.
+A class has a number of its own, whatever ids its documents bear; its smallest id is looked up at the end.
 Classes are compared by MinHash values. Classes that agree in a band of values meet as candidates; for each candidate
 pair the values are compared in small steps, and with m agreements out of n the pair is dropped as soon as the posterior
 probability of a similarity of at least the threshold (uniform prior) falls below ``TOLERANCE``. The pairs that stay
@@ -117,9 +118,19 @@ def _signatures(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(-1, VALUES)
 
 
+def _set_key(s: np.ndarray) -> bytes:
+    """128 bits of a shingle set."""
+    return np.array([mix64(s).sum(dtype=np.uint64), mix64(s * _MULTIPLIERS[0]).sum(dtype=np.uint64)], dtype="<u8").tobytes()
+
+
+def _with_text_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, tid, text): tid tells apart texts that share an id."""
+    return id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("tid"), "text")
+
+
 def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, set_key, sig) per document, stored: a 128-bit key of its shingle set and its MinHash values; null without words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary())])
+    """(doc_id, tid, set_key, sig) per document, stored: a 128-bit key of its shingle set and its MinHash values; null without words."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2 << 20):
@@ -129,22 +140,21 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             sigs: list[bytes | None] = [None] * len(sets)
             if full:
                 for i, row in zip(full, signature([sets[i] for i in full])):
-                    s = sets[i]
-                    keys[i] = np.array([mix64(s).sum(dtype=np.uint64), mix64(s * _MULTIPLIERS[0]).sum(dtype=np.uint64)], dtype="<u8").tobytes()
+                    keys[i] = _set_key(sets[i])
                     sigs[i] = row.astype("<u4").tobytes()
-            yield batch_of(schema, batch.column("doc_id"), keys, sigs)
+            yield batch_of(schema, batch.column("doc_id"), batch.column("tid"), keys, sigs)
 
-    return stored(id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, set_key binary, sig binary"), "signatures")
+    return stored(_with_text_key(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, tid bigint, set_key binary, sig binary"), "signatures")
 
 
 def candidate_clusters(reps: DataFrame) -> DataFrame:
-    """(rep, cluster) of the classes that have a candidate which survives pruning; reps: (rep, sig), one row per class."""
+    """(cls, cluster) of the classes that have a candidate which survives pruning; reps: (cls, sig), one row per class."""
     limits = drop_limits()
     bands = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + 4 * ROWS * b, 4 * ROWS)) for b in range(BANDS)])
-    members = stored(reps.select("rep", F.explode(bands).alias("band")), "bands")
+    members = stored(reps.select("cls", F.explode(bands).alias("band")), "bands")
     # Near copies share most of their bands: of bands with the same members (128 bits of a hash of the set) one is enough.
     buckets = members.groupBy("band").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).filter("n > 1")
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y")).filter("n > 1")
     chosen = stored(buckets.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band"), "buckets")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -152,40 +162,44 @@ def candidate_clusters(reps: DataFrame) -> DataFrame:
         t, left, right, same = _two_blocks(batches)
         if not len(left) or not len(right):
             return
-        rep, sig = t.column("rep").to_numpy(), _signatures(t.column("sig"))
+        cls, sig = t.column("cls").to_numpy(), _signatures(t.column("sig"))
         i, j = surviving_pairs(sig[left], sig[right], limits, same)
-        edges = _forest(rep[left][i], rep[right][j])
+        edges = _forest(cls[left][i], cls[right][j])
         if edges:
             yield batch_of(schema, *zip(*edges))
 
     narrow = stored(members.join(chosen.hint("merge"), "band", "left_semi"), "bucket-members")
     forget(members)
-    pairs = block_pairs(narrow, "band", "rep", BAND_BLOCK).join(reps.hint("merge"), "rep")
+    pairs = block_pairs(narrow, "band", "cls", BAND_BLOCK).join(reps.hint("merge"), "cls")
     edges = pairs.groupBy("band", "_lo", "_hi").applyInArrow(run, "u bigint, v bigint")
-    return components(edges).withColumnsRenamed({"id": "rep", "component": "cluster"})
+    return components(edges).withColumnsRenamed({"id": "cls", "component": "cluster"})
 
 
 def verified_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
     """Rows (u, v, n) of verified links between classes: spanning edges (u, v) with n = 0, and link counts (u, null, n)."""
     limits = drop_limits(threshold)
-    members = stored(reps.join(clusters, "rep").select("rep", "cluster", "copies", "sig"), "members")
-    schema = pa.schema([("rep", pa.int64()), ("cluster", pa.int64()), ("copies", pa.int64()), ("sig", pa.binary()), ("shingles", pa.binary())])
+    members = stored(reps.join(clusters, "cls").select("cls", "cluster", "set_key", "copies", "sig", "first.*"), "members")
+    schema = pa.schema([("cls", pa.int64()), ("cluster", pa.int64()), ("copies", pa.int64()), ("sig", pa.binary()), ("shingles", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2 << 20):
-            found = [s.astype("<u8").tobytes() for s in shingle_sets(batch.column("text"))]
-            yield batch_of(schema, *(batch.column(c) for c in ("rep", "cluster", "copies", "sig")), found)
-
-    # The class representative is one of its documents; a repeated id has several texts, of which the set key picks its own.
-    texts = id_and_text(docs).join(members.hint("merge"), F.col("doc_id") == F.col("rep")).select("text", "rep", "cluster", "copies", "sig")
-    withsets = stored(texts.mapInArrow(sets, "rep bigint, cluster bigint, copies bigint, sig binary, shingles binary"), "cluster-sets")
+            found = shingle_sets(batch.column("text"))
+            own = [i for i, k in enumerate(batch.column("set_key").to_pylist()) if _set_key(found[i]) == k]
+            yield batch_of(schema, *(batch.column(c).take(own) for c in ("cls", "cluster", "copies", "sig")),
+                           [found[i].astype("<u8").tobytes() for i in own])
+
+    # A class is read from the text of its first document; rows that repeat both id and text come several times, and one is used.
+    texts = _with_text_key(docs).join(members.hint("merge"), ["doc_id", "tid"]).select("text", "cls", "cluster", "set_key", "copies", "sig")
+    withsets = stored(texts.mapInArrow(sets, "cls bigint, cluster bigint, copies bigint, sig binary, shingles binary").withColumn(
+        "row", F.monotonically_increasing_id()), "cluster-sets")
+    one = withsets.groupBy("cls", "cluster").agg(F.min("row").alias("row"))
     out = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, left, right, same = _two_blocks(batches)
         if not len(left) or not len(right):
             return
-        rep, copies, sig = t.column("rep").to_numpy(), t.column("copies").to_numpy(), _signatures(t.column("sig"))
+        cls, copies, sig = t.column("cls").to_numpy(), t.column("copies").to_numpy(), _signatures(t.column("sig"))
         shingles = [np.frombuffer(x, dtype="<u8") for x in t.column("shingles").to_pylist()]
         i, j = surviving_pairs(sig[left], sig[right], limits, same)
         if not len(i):
@@ -195,15 +209,15 @@ def verified_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, thresh
         common = _overlaps(shingles, i, j)
         good = common >= threshold * (n[i] + n[j] - common) - 1e-9
         i, j = i[good], j[good]
-        links = np.zeros(len(rep), dtype=np.int64)
+        links = np.zeros(len(cls), dtype=np.int64)
         np.add.at(links, i, copies[j])
         np.add.at(links, j, copies[i])
         some = np.flatnonzero(links)
-        rows = [(int(rep[x]), None, int(links[x])) for x in some] + [(u, v, 0) for u, v in _forest(rep[i], rep[j])]
+        rows = [(int(cls[x]), None, int(links[x])) for x in some] + [(u, v, 0) for u, v in _forest(cls[i], cls[j])]
         if rows:
             yield batch_of(out, *zip(*rows))
 
-    pairs = block_pairs(withsets, "cluster", "rep", CLUSTER_BLOCK).join(withsets.drop("cluster").hint("merge"), "rep")
+    pairs = block_pairs(one, "cluster", "row", CLUSTER_BLOCK).join(withsets.drop("cluster").hint("merge"), "row")
     return pairs.groupBy("cluster", "_lo", "_hi").applyInArrow(run, "u bigint, v bigint, n bigint")
 
 
@@ -227,6 +241,28 @@ def _overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarra
     return out
 
 
+def _classified(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, tid, rep_id, n_links, keeper) for every row: keeper is the smallest (doc_id, tid) it reaches over links, null without a set or id."""
+    rows = classes_of(docs, id_col, text_col)
+    with_set = rows.filter("set_key is not null and doc_id is not null")
+    reps = stored(with_set.groupBy("set_key").agg(
+        F.min(F.struct("doc_id", "tid")).alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig")).withColumn(
+        "cls", F.monotonically_increasing_id()), "classes")
+    clusters = stored(candidate_clusters(reps.select("cls", "sig")), "clusters")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = stored(verified_links(source, reps, clusters, threshold), "links")
+    linked = stored(found.filter("v is null").groupBy(F.col("u").alias("cls")).agg(F.sum("n").alias("links")), "link-counts")
+    reach = stored(components(found.filter("v is not null").select("u", "v")).withColumnRenamed("id", "cls").join(reps.select("cls", "first"), "cls"), "reach")
+    keepers = reach.groupBy("component").agg(F.min("first").alias("keeper"))
+    table = stored(reps.join(linked, "cls", "left").join(reach.select("cls", "component").join(keepers, "component"), "cls", "left").select(
+        "set_key", F.col("first.doc_id").alias("rep_id"), F.coalesce("keeper", "first").alias("keeper"),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "class-table")
+    joined = with_set.select("doc_id", "tid", "set_key").join(table, "set_key").select("doc_id", "tid", "rep_id", "n_links", "keeper")
+    alone = rows.filter("set_key is null or doc_id is null").select(
+        "doc_id", "tid", F.col("doc_id").alias("rep_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(None).cast(table.schema["keeper"].dataType).alias("keeper"))
+    return joined.unionByName(alone)
+
+
 def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, n_links, rep_id for every row: documents with a Jaccard similarity of at least ``threshold``.
 
@@ -234,32 +270,25 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, id_col: str
     document; ``class_id`` is the smallest id it reaches over links (its own without any); ``rep_id`` is the smallest id
     with the same shingle set. A text without words (null, empty, white space) has no set, so no links. A text of fewer
     words than a shingle is one shingle. Rows with a null id take no part and come back with null ids and no links; rows
-    that share an id must share a text, else each counts under its own set. Other columns are ignored.
+    that share an id are documents of their own, each with the links of its own text. Other columns are ignored.
     """
-    rows = classes_of(docs, id_col, text_col)
-    with_set = rows.filter("set_key is not null and doc_id is not null")
-    reps = stored(with_set.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes")
-    # An id that stands for two sets would mix them; its further sets get no cluster of their own.
-    single = reps.dropDuplicates(["rep"])
-    clusters = stored(candidate_clusters(single.select("rep", "sig")), "clusters")
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = stored(verified_links(source, single, clusters, threshold), "links")
-    linked = stored(found.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links")), "link-counts")
-    reach = stored(components(found.filter("v is not null").select("u", "v")), "reach")
-    table = stored(reps.join(linked, "rep", "left").join(reach.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
-        "set_key", "rep", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "class-table")
-    joined = with_set.select("doc_id", "set_key").join(table, "set_key").select(
-        "doc_id", "class_id", "n_links", F.col("rep").alias("rep_id"))
-    alone = rows.filter("set_key is null or doc_id is null").select(
-        "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("doc_id").alias("rep_id"))
-    return joined.unionByName(alone)
+    return _classified(docs, threshold, id_col, text_col).select(
+        "doc_id", F.coalesce("keeper.doc_id", "doc_id").alias("class_id"), "n_links", "rep_id")
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents of a class other than the one with its smallest id; all columns kept.
+    """``docs`` with one row of each class, one with its smallest id; all columns kept.
 
-    Rows with a null id and texts without words stay. Only ids travel to the filter, not texts.
+    Of texts that share that id one is kept, the one of the smallest hash. Rows with a null id and texts without words stay.
+    Only ids and hashes travel to the filter, not texts.
     """
-    gone = stored(similar_documents(docs, threshold).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("_id"))
-    return rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("row.*")
+    ids = stored(_classified(docs, threshold, "doc_id", "text").filter("keeper is not null").select(
+        F.col("doc_id").alias("_gone"), F.col("tid").alias("_gone_tid"), F.expr("doc_id = keeper.doc_id and tid = keeper.tid").alias("kept")), "near-copies")
+    gone = ids.filter("not kept").select("_gone", "_gone_tid").distinct()
+    again = stored(ids.filter("kept").groupBy("_gone", "_gone_tid").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated-rows")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_tid"))
+    same = lambda t: (F.col("_id") == t["_gone"]) & (F.col("_tid") == t["_gone_tid"])
+    left = rows.join(gone, same(gone), "left_anti")
+    if not again.isEmpty():
+        left = left.join(again, same(again), "left_anti").unionByName(left.join(again, same(again), "left_semi").dropDuplicates(["_id", "_tid"]))
+    return left.select("row.*")

@@ -99,6 +99,29 @@ def test_join_of_awkward_tables(spark):
     assert sorted(left.collect(), key=repr) == [(1, "a b c d e f", 7), (None, "a b c d e f", 7)]
 
 
+def test_join_of_repeated_ids(spark):
+    text = [f"w{i}" for i in range(60)]
+    near, other = " ".join(text[:-1] + ["x"]), " ".join(f"v{i}" for i in range(60))
+    text, near_other = " ".join(text), other.replace("v59", "y")
+    rows = [(1, text), (1, text), (2, near), (3, other), (3, near + " z"), (4, near_other), (4, "alone under a shared id here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = similar(list(enumerate(t for _, t in rows)))
+    smallest = lambda k: min(rows[j][0] for j in sets if sets[j][0] == sets[k][0])
+    for _ in range(2):
+        got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.similar_documents(df).collect())
+        assert got == sorted((rows[k][0], smallest(k), n) for k, (_, n) in sets.items())
+        assert got[:3] == [(1, 1, 3), (1, 1, 3), (2, 1, 3)]
+        df = df.orderBy(F.desc("text"))
+    assert sorted((r["doc_id"], r["text"]) for r in ngram_join.keep_one_of_each(df).collect()) == sorted([(1, text), (3, other), (4, rows[-1][1])])
+
+
+def test_join_of_a_hot_id_stays_linear(spark):
+    rows = [(1 if i % 3 else i, t) for i, t in near_group(600)]
+    sets = similar(list(enumerate(t for _, t in rows)))
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r["n_links"] for r in got) == sorted(n for _, n in sets.values())
+
+
 def test_pruning_keeps_likely_pairs():
     limits = ngram_join.drop_limits()
     agree = np.random.default_rng(1).random((20_000, ngram_join.VALUES)) < 0.8  # pairs right at the threshold
