@@ -50,10 +50,15 @@ SIZE = OTHER + 1
 
 _WORDS = re.compile(r"\S+")
 _LETTER = re.compile(r"[^\W\d_]")
-_STRETCH = re.compile(r"([^\W\d_])\1\1")
+_STRETCH = re.compile(r"([^\W\d_])\1\1|([^\W\d_])\2.*([^\W\d_])\3")
+_LONG_RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
+_ALIKE = re.compile(r"[0-9@$!|+(<€£¡*#%&]+")
+_JOINTS = re.compile(r"[./\\_,;:?\"'=~\[\]{}…–—-]+")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€£])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+€£])){2,}(?!\S)")
 _INNER = re.compile(r"[0-9@$!|+(<€£¡*#%&]")
 _EDGE = ".,;:!?\"'()[]{}«»„“”…-–—*#%&$"
+#: Characters of a token read at once, and how many of them the next reading shares.
+TOKEN, TOKEN_OVERLAP = 64, 32
 _CODES = np.full(1 << 16, OTHER, dtype=np.int64)
 
 
@@ -191,14 +196,38 @@ class Restorer:
             core = w.strip(_EDGE)
             if core:
                 out.append(core)
-            if (_INNER.search(w) and _LETTER.search(w) and (_INNER.search(core) or len(w) - len(core) > 1)) or _STRETCH.search(w):
-                tail = w.rstrip(".,;:?\"')]}")
-                if len(tail) <= 64:
-                    out.append(self.word(tail))
-                    if core and core != tail:
-                        out.append(self.word(core[:64]))
+            if suspicious(w, core):
+                out += self.token(w, core)
         return out
 
+    def token(self, w: str, core: str) -> list[str]:
+        """Readings of a suspicious token: as a whole, without punctuation around it, and of each part between joints."""
+        tail = w.rstrip(".,;:?\"')]}")
+        forms = {tail, tail.lstrip("\"'([{"), core}
+        parts = [x for x in _JOINTS.split(tail) if x]
+        if len(parts) > 1:
+            forms.update(x for x in parts if suspicious(x, x.strip(_EDGE)))
+        out = []
+        for form in sorted(forms):
+            form = _LONG_RUN.sub(r"\1\1\1", form)  # the lattice reads all runs from three on alike
+            for i in range(0, max(len(form) - TOKEN_OVERLAP, 1), TOKEN - TOKEN_OVERLAP):
+                out.append(self.word(form[i:i + TOKEN]))
+        return [x for x in out if x]
+
+
+def suspicious(w: str, core: str) -> bool:
+    """Look-alikes among letters or at least two kinds of them alone, a letter three times, or two letters twice each."""
+    if _INNER.search(w):
+        if _LETTER.search(w):
+            if _INNER.search(core) or len(w) - len(core) > 1:
+                return True
+        else:
+            alone = w.strip(".,;:?\"')]}[{")
+            if _ALIKE.fullmatch(alone) and len(set(alone)) > 1 or len(_JOINTS.split(alone)) > 1 and any(
+                    _ALIKE.fullmatch(x) and len(set(x)) > 1 for x in _JOINTS.split(alone)):
+                return True
+    return _STRETCH.search(w) is not None
+
 
 def features(words: list[str]) -> set[str]:
     """Words and word beginnings (marked by a trailing star) of one document."""

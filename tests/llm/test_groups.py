@@ -282,6 +282,14 @@ def test_restores_disguised_words(scorer):
     assert caught >= 0.9 * len(plain) and flagged <= 0.05 * len(plain)
 
 
+def test_restores_long_and_letterless_tokens(scorer):
+    restorer = toxicity.Restorer(scorer[2].model)
+    for seen, meant in (("l" + "o" * 60 + "ser", "loser"), ("lloosseerr", "loser"), ("$#1+", "shit"), ("($#1+),", "shit"), ("you/1d10t/go", "idiot"),
+                        ("_".join(["plain"] * 20 + ["m0r0n"]), "moron"), (".".join(["word"] * 15 + ["tr@sh"] + ["word"] * 15), "trash")):
+        assert meant in restorer.words(f"the {seen} of"), seen
+    assert len(restorer.words("1x" * 5000)) > 200  # all of it is read
+
+
 def test_viterbi_finds_the_cheapest_reading(scorer):
     restorer = toxicity.Restorer(scorer[2].model)
 
