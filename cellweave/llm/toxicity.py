@@ -54,11 +54,18 @@ _STRETCH = re.compile(r"([^\W\d_])\1\1|([^\W\d_])\2.*([^\W\d_])\3")
 _LONG_RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
 _ALIKE = re.compile(r"[0-9@$!|+(<€£¡*#%&]+")
 _JOINTS = re.compile(r"[./\\_,;:?\"'=~\[\]{}…–—-]+")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€£])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+€£])){2,}(?!\S)")
+_BETWEEN = r"[\s.,\-_*/\\]"
+_SINGLE = r"(?:[^\W_]|[@$!|+€£])"
+#: Single characters apart, three or more; what stands around them is anything but a letter or digit (or the rest of "don't").
+_SPACED = re.compile(rf"(?<![^\W_])(?<![^\W_]['’]){_SINGLE}(?:{_BETWEEN}++{_SINGLE}){{2,}}(?![^\W_])(?!['’][^\W_])")
+_GAP = re.compile(_BETWEEN + "+")
+_LAST_SIGNS = re.compile(r"(?: [@$!|+€£])+$")
 _INNER = re.compile(r"[0-9@$!|+(<€£¡*#%&]")
 _EDGE = ".,;:!?\"'()[]{}«»„“”…-–—*#%&$"
 #: Characters of a token read at once, and how many of them the next reading shares.
 TOKEN, TOKEN_OVERLAP = 64, 32
+#: The same for a stretch of single characters, gaps included.
+SPACED, SPACED_OVERLAP = 384, 128
 _CODES = np.full(1 << 16, OTHER, dtype=np.int64)
 
 
@@ -185,13 +192,13 @@ class Restorer:
         """Lower-case words of a text with suspicious ones restored next to their plain form."""
         text = text.lower()
         out = []
-        if _SPACED.search(text):
-            for m in _SPACED.finditer(text):
-                if len(m[0]) <= 400:  # a stretch of single characters longer than any word: its own words follow below
-                    out += self.spaced(m[0]).split()
-                else:
-                    for i in range(0, len(m[0]), 200):
-                        out += self.spaced(m[0][i:i + 240]).split()
+        for m in _SPACED.finditer(text):
+            stretch = _GAP.sub(" ", m[0])
+            # A sign at the end may be a letter or punctuation.
+            for read in {stretch, _LAST_SIGNS.sub("", stretch)}:
+                # A stretch of single characters longer than any word is read in overlapping windows.
+                for i in range(0, max(len(read) - SPACED_OVERLAP, 1), SPACED - SPACED_OVERLAP):
+                    out += self.spaced(read[i:i + SPACED]).split()
         for w in set(text.split()):
             core = w.strip(_EDGE)
             if core:

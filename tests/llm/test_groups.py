@@ -290,6 +290,15 @@ def test_restores_long_and_letterless_tokens(scorer):
     assert len(restorer.words("1x" * 5000)) > 200  # all of it is read
 
 
+def test_restores_spaced_words_next_to_punctuation(scorer):
+    restorer = toxicity.Restorer(scorer[2].model)
+    for seen, meant in (("you i d i o t, go", "idiot"), ("(i d i o t)", "idiot"), ('"i d i o t"', "idiot"), ("such s t u p i d. go", "stupid"),
+                        ("the i   d   i   o   t of", "idiot"), ("the i\td\ti\no\nt of", "idiot"), ("the i/d/i/o/t of", "idiot"),
+                        ("[m-o-r-o-n]!", "moron"), ("the t r a s h !", "trash"), ("i,d,i,o,t?", "idiot")):
+        assert meant in restorer.words(seen), seen
+    assert not toxicity._SPACED.search("don't a b, f's") and not toxicity._SPACED.search("go, me to us")
+
+
 def test_viterbi_finds_the_cheapest_reading(scorer):
     restorer = toxicity.Restorer(scorer[2].model)
 
