@@ -8,10 +8,10 @@ left. Kept suffixes are sorted by their words, to the right in one array and to
 the right (first array) and to the left (second array). A match that runs past the ``REACH`` words compared is carried on
 by the next kept position, which lies within it.
 
-What comes out: every passage of at least PASSAGE words that also stands elsewhere (in another document or another place
-of the same one) is covered by repeated spans; every repeated span is at least PASSAGE words long, and each of its words
-lies in a run of at least HEAD words that stands elsewhere. Removed spans are the same with "elsewhere" read as "earlier":
-at a smaller (doc_id, position). The earliest copy of everything stays.
+Matches of one place may be with different partners, so their union only proposes spans: it covers every passage of PASSAGE
+words that also stands elsewhere (in another document or another place of the same one). Each run of PASSAGE words within
+the proposed spans is then looked up by its hash, and what comes out is exactly the words of the runs that stand elsewhere.
+Removed spans are the same with "elsewhere" read as "earlier": at a smaller (doc_id, position). The earliest copy stays.
 
 Suffixes with the same REACH words collapse before they are sorted, with a partial sum before the shuffle, so a passage
 in a third of all documents is one row per task. Word comparisons beyond HEAD use 32-bit hashes of words.
@@ -220,6 +220,48 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, tid, repeated, removed): spans in words [from, to) of the documents that have a repeated one, stored."""
     keyed = _keyed(docs, id_col, text_col)
+    runs = _runs(keyed, _proposed(keyed))
+    seen = runs.groupBy("h").agg(F.min(F.struct("doc", "tid", "pos")).alias("first"), F.max(F.struct("doc", "tid", "pos")).alias("last"))
+    again = stored(seen.filter("first <> last").select("h", F.col("first.doc").alias("_doc"), F.col("first.tid").alias("_tid"), F.col("first.pos").alias("_pos")), "repeated-runs")
+    placed = runs.join(again, "h").select("doc", "tid", "pos", F.expr("doc = _doc and tid = _tid and pos = _pos").alias("is_first"))
+    per_doc = placed.groupBy("doc", "tid").agg(F.collect_list("pos").alias("places"), F.collect_list(F.when(~F.col("is_first"), F.col("pos"))).alias("later"))
+    schema = pa.schema([("doc", pa.int64()), ("tid", pa.int64()), ("repeated", pa.list_(pa.list_(pa.int32()))), ("removed", pa.list_(pa.list_(pa.int32())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("doc", "tid", "places", "later")]
+            rows = [(doc, tid, *([list(s) for s in _union([(p, p + PASSAGE) for p in at])] for at in both)) for doc, tid, *both in zip(*columns)]
+            if rows:
+                yield batch_of(schema, *zip(*rows))
+
+    out = stored(per_doc.mapInArrow(run, "doc bigint, tid bigint, repeated array<array<int>>, removed array<array<int>>"), "spans")
+    forget(runs)
+    return out
+
+
+def _runs(keyed: DataFrame, proposed: DataFrame) -> DataFrame:
+    """(h, doc, tid, pos): hash and place of each run of PASSAGE words within the proposed spans, stored."""
+    schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("tid", pa.int64()), ("pos", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 2 << 20):
+            words, ends = texts_as_words(batch.column("text"))
+            doc, tid, parts = batch.column("doc").to_numpy(), batch.column("tid").to_numpy(), []
+            for i, spans in enumerate(batch.column("proposed").to_pylist()):
+                w = words[ends[i]:ends[i + 1]]
+                for s, e in spans:
+                    h = window_hashes(w[s:e], PASSAGE).view(np.int64)
+                    parts.append((h, np.full(len(h), doc[i]), np.full(len(h), tid[i]), np.arange(s, s + len(h), dtype=np.int32)))
+            if parts:
+                yield batch_of(schema, *(np.concatenate(c) for c in zip(*parts)))
+
+    # Rows that repeat id and text give the same places, which count as one.
+    texts = keyed.join(proposed, ["doc", "tid"]).select("doc", "tid", "text", "proposed")
+    return stored(texts.mapInArrow(run, "h bigint, doc bigint, tid bigint, pos int"), "runs", "zstd")
+
+
+def _proposed(keyed: DataFrame) -> DataFrame:
+    """(doc, tid, proposed): spans in words [from, to) in which all repeated passages lie, stored."""
     kept = anchors(keyed)
     often = stored(kept.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
     places = stored(kept.join(often, "gram", "left_semi").groupBy("doc", "tid").agg(F.collect_set("pos").alias("places")), "places")
@@ -227,29 +269,24 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     forget(often)
     occ = occurrences(keyed, places)
     found = match_lengths(occ)
-    # The first place of a suffix is earlier than its other places, so those match an earlier one over their whole reach.
-    found = found.withColumnsRenamed({"doc": "_doc", "tid": "_tid", "pos": "_pos"})
-    is_first = (F.col("doc") == F.col("_doc")) & (F.col("tid") == F.col("_tid")) & (F.col("pos") == F.col("_pos"))
-    matched = occ.drop("tail").join(found, ["side", "head", "tail_key"]).select(
-        "doc", "tid", F.struct("side", "pos", "longest", F.when(is_first, F.col("earlier")).otherwise(F.col("longest")).alias("earlier")).alias("m"))
-    schema = pa.schema([("doc", pa.int64()), ("tid", pa.int64()), ("repeated", pa.list_(pa.list_(pa.int32()))), ("removed", pa.list_(pa.list_(pa.int32())))])
+    matched = occ.drop("tail").join(found.select("side", "head", "tail_key", "longest"), ["side", "head", "tail_key"]).select(
+        "doc", "tid", F.struct("side", "pos", "longest").alias("m"))
+    schema = pa.schema([("doc", pa.int64()), ("tid", pa.int64()), ("proposed", pa.list_(pa.list_(pa.int32())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, tid, ms in zip(*(batch.column(c).to_pylist() for c in ("doc", "tid", "ms"))):
-                both = []
-                for length in ("longest", "earlier"):
-                    spans = [(m["pos"], m["pos"] + m[length]) if m["side"] == 0 else (m["pos"] + GRAM - m[length], m["pos"] + GRAM)
-                             for m in ms if m[length]]
-                    both.append([list(s) for s in _union(spans)])
-                if both[0]:
-                    rows.append((doc, tid, both[0], both[1]))
+                spans = _union([(m["pos"], m["pos"] + m["longest"]) if m["side"] == 0 else (m["pos"] + GRAM - m["longest"], m["pos"] + GRAM) for m in ms])
+                if spans:
+                    rows.append((doc, tid, [list(s) for s in spans]))
             if rows:
                 yield batch_of(schema, *zip(*rows))
 
     per_doc = matched.groupBy("doc", "tid").agg(F.collect_set("m").alias("ms"))
-    return stored(per_doc.mapInArrow(run, "doc bigint, tid bigint, repeated array<array<int>>, removed array<array<int>>"), "spans")
+    out = stored(per_doc.mapInArrow(run, "doc bigint, tid bigint, proposed array<array<int>>"), "proposed")
+    forget(occ)
+    return out
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

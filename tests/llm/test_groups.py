@@ -178,6 +178,18 @@ def test_spans_cover_all_passages_and_nothing_else(spark, sf, source):
             assert least[d] <= spans <= most[d]
 
 
+def test_spans_are_exactly_the_repeated_passages(spark):
+    rows, r = planted(), random.Random(8)
+    for k in range(40):  # two lines of 40 words side by side, each of which stands alone elsewhere
+        a, b = ([f"{x}{k}w{r.random()}" for _ in range(40)] for x in "ab")
+        rows += [(2000 + k, " ".join(a + [f"u{k}"] * 3)), (3000 + k, " ".join([f"v{k}"] * 3 + b)), (4000 + k, " ".join(a + b))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {x["doc_id"]: x for x in suffix_dedup.repeated_passages(df).collect()}
+    for want, part in zip(covered(rows, suffix_dedup.PASSAGE), ("repeated", "removed")):
+        for d, _ in rows:
+            assert {p for s, e in (got[d][part] if d in got else []) for p in range(s, e)} == want[d], d
+
+
 def test_passages_of_awkward_tables(spark):
     text = " ".join(f"w{i}" for i in range(80))
     df = spark.createDataFrame([(7, text, 1), (7, text, 1), (None, "x " + text, 2), (8, None, 3), (3, "y " + text + " z", 4)],
