@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from cellweave.llm import bpe, exact_dedup, huffman, line_dedup, nearest, ngram_join, packing, suffix_dedup, token_counts, toxicity
+from cellweave.llm import (bpe, exact_dedup, hard_negatives, huffman, line_dedup, mixing, nearest, ngram_join, packing, periodic_runs,
+                           suffix_dedup, token_counts, toxicity)
 from cellweave.llm.common import table
 from cellweave.session import scratch_path
 
@@ -55,6 +56,19 @@ def op10_token_ids(spark, sf_dir):
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    turned = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(turned, F.col("vec_id") % 100 == 0)
+
+
+def op12_periodic_runs(spark, sf_dir):
+    return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op13_source_mix(spark, sf_dir):
+    return mixing.mix_sources(table(spark, sf_dir, "documents"), mixing.WEIGHTS)
+
+
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_suffix_array_dedup": (op2_suffix_array_dedup, None),
@@ -66,4 +80,7 @@ QUERIES = {
     "op8_best_fit_packing": (op8_best_fit_packing, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_token_ids": (op10_token_ids, None),
+    "op11_hard_negatives": (op11_hard_negatives, hard_negatives.ORACLE),
+    "op12_periodic_runs": (op12_periodic_runs, None),
+    "op13_source_mix": (op13_source_mix, mixing.ORACLE),
 }
