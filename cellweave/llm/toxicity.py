@@ -21,14 +21,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import batch_of, id_and_text, small_batches
 from cellweave.llm.tokenizing import text_list
-from cellweave.session import stored
+from cellweave.session import forget, stored
 
 #: Labelled rows the classifier is fitted on at most: those of the smallest hash of their id.
 SAMPLE_ROWS = 40_000
@@ -51,6 +50,7 @@ SIZE = OTHER + 1
 _WORDS = re.compile(r"\S+")
 _LETTER = re.compile(r"[^\W\d_]")
 _STRETCH = re.compile(r"([^\W\d_])\1\1|([^\W\d_])\2.*([^\W\d_])\3")
+_DOUBLED = re.compile(r"(.)\1")
 _LONG_RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
 _ALIKE = re.compile(r"[0-9@$!|+(<€£¡*#%&]+")
 _JOINTS = re.compile(r"[./\\_,;:?\"'=~\[\]{}…–—-]+")
@@ -61,9 +61,14 @@ _SPACED = re.compile(rf"(?<![^\W_])(?<![^\W_]['’]){_SINGLE}(?:{_BETWEEN}++{_SI
 _GAP = re.compile(_BETWEEN + "+")
 _LAST_SIGNS = re.compile(r"(?: [@$!|+€£])+$")
 _INNER = re.compile(r"[0-9@$!|+(<€£¡*#%&]")
+#: A look-alike next to a letter at the beginning of a token, or at its end; "!" ends sentences and is none there.
+_RIM_START = re.compile(r"[\"'\[{«“„]*[!(*#%&$](?=[^\W\d_])")
+_RIM_END = re.compile(r"[^\W\d_][*#%&$][.,;:?!\"')\]}»”…]*$")
 _EDGE = ".,;:!?\"'()[]{}«»„“”…-–—*#%&$"
 #: Characters of a token read at once, and how many of them the next reading shares.
 TOKEN, TOKEN_OVERLAP = 64, 32
+#: Tokens whose readings a worker keeps.
+KEPT_TOKENS = 1 << 18
 #: The same for a stretch of single characters, gaps included.
 SPACED, SPACED_OVERLAP = 384, 128
 _CODES = np.full(1 << 16, OTHER, dtype=np.int64)
@@ -124,9 +129,10 @@ def trigram_model(counts: np.ndarray) -> np.ndarray:
 class Restorer:
     """Reads suspicious stretches as the likeliest letters; bounded store of readings per worker."""
 
-    def __init__(self, model: np.ndarray, lexicon: frozenset[str] = frozenset()):
-        self.model = model
-        self.lexicon = lexicon
+    def __init__(self, model: np.ndarray):
+        # A list of floats is read faster than an array, element by element.
+        self.model = model.astype(np.float64).ravel().tolist()
+        self.known: dict[str, tuple[str, ...]] = {}
         self.word = lru_cache(1 << 16)(self._word)
         self.spaced = lru_cache(1 << 14)(self._spaced)
 
@@ -159,27 +165,37 @@ class Restorer:
         return steps
 
     def decode(self, steps: list[list[tuple[str, float]]]) -> str:
-        """Cheapest path through the lattice; a state is the last two classes, ties go to the first option listed."""
-        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        model = self.model
-        for options in [*steps, [(" ", 0.0)]]:
+        """Cheapest path through the lattice; a state is the last two classes, ties go to the first option listed.
+
+        What comes before the first choice and beyond two letters after the last one costs every path the same.
+        """
+        choices = [i for i, options in enumerate(steps) if len(options) > 1]
+        if not choices:
+            return "".join([options[0][0] for options in steps]).strip()
+        model, code = self.model, _CODE.get
+        before = "".join([options[0][0] for options in steps[:choices[0]]])
+        after = "".join([options[0][0] for options in steps[choices[-1] + 1:]])
+        a, b = ([0, 0] + [code(ch, OTHER) for ch in before[-2:]])[-2:]
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(a, b): (0.0, ())}
+        for options in [*steps[choices[0]:choices[-1] + 1], [((after + " ")[:2], 0.0)]]:
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (cost, path) in best.items():
                 for s, w in options:
                     x, y, total = a, b, cost + w
                     for ch in s:
-                        z = _CODE.get(ch, OTHER)
-                        total -= float(model[x, y, z])
+                        z = code(ch, OTHER)
+                        total -= model[(x * SIZE + y) * SIZE + z]
                         x, y = y, z
                     known = new.get((x, y))
                     if known is None or total < known[0]:
                         new[x, y] = (total, (path, s))
             best = new
-        path = min(best.values(), key=lambda v: v[0])[1]
-        out = []
+        path = min(best.values(), key=lambda v: v[0])[1][0]  # without the letters after it
+        out = [after]
         while path:
             path, s = path
             out.append(s)
+        out.append(before)
         return "".join(reversed(out)).strip()
 
     def _word(self, word: str) -> str:
@@ -188,9 +204,8 @@ class Restorer:
     def _spaced(self, text: str) -> str:
         return self.decode(self.lattice(text, apart=True))
 
-    def words(self, text: str) -> list[str]:
-        """Lower-case words of a text with suspicious ones restored next to their plain form."""
-        text = text.lower()
+    def apart(self, text: str) -> list[str]:
+        """Words read from single characters that stand apart in a lower-case text."""
         out = []
         for m in _SPACED.finditer(text):
             stretch = _GAP.sub(" ", m[0])
@@ -199,12 +214,29 @@ class Restorer:
                 # A stretch of single characters longer than any word is read in overlapping windows.
                 for i in range(0, max(len(read) - SPACED_OVERLAP, 1), SPACED - SPACED_OVERLAP):
                     out += self.spaced(read[i:i + SPACED]).split()
-        for w in set(text.split()):
+        return out
+
+    def forms(self, w: str) -> tuple[str, ...]:
+        """The plain form of a token and, where it is suspicious, its readings; kept for the next time."""
+        got = self.known.get(w)
+        if got is None:
             core = w.strip(_EDGE)
-            if core:
-                out.append(core)
+            got = (core,) if core else ()
             if suspicious(w, core):
-                out += self.token(w, core)
+                got += tuple(self.token(w, core))
+            if len(self.known) >= KEPT_TOKENS:
+                self.known.clear()
+            if len(w) <= TOKEN:
+                self.known[w] = got
+        return got
+
+    def words(self, text: str) -> list[str]:
+        """Lower-case words of a text with suspicious ones restored next to their plain form."""
+        text = text.lower()
+        out = self.apart(text)
+        known = self.known.get
+        for w in set(text.split()):
+            out += known(w) or self.forms(w)
         return out
 
     def token(self, w: str, core: str) -> list[str]:
@@ -214,8 +246,13 @@ class Restorer:
         parts = [x for x in _JOINTS.split(tail) if x]
         if len(parts) > 1:
             forms.update(x for x in parts if suspicious(x, x.strip(_EDGE)))
+        # One vowel left out may be any; the corpus does not know which word is meant.
+        forms.update(x.replace("*", v) for x in tuple(forms) if x.count("*") == 1 for v in LOOKALIKES["*"])
         out = []
         for form in sorted(forms):
+            if form.isalpha() and not _DOUBLED.search(form):
+                out.append(form)
+                continue
             form = _LONG_RUN.sub(r"\1\1\1", form)  # the lattice reads all runs from three on alike
             for i in range(0, max(len(form) - TOKEN_OVERLAP, 1), TOKEN - TOKEN_OVERLAP):
                 out.append(self.word(form[i:i + TOKEN]))
@@ -223,10 +260,10 @@ class Restorer:
 
 
 def suspicious(w: str, core: str) -> bool:
-    """Look-alikes among letters or at least two kinds of them alone, a letter three times, or two letters twice each."""
-    if _INNER.search(w):
+    """Look-alikes among or next to letters or at least two kinds of them alone, a letter three times, or two letters twice each."""
+    if not w.isalpha() and _INNER.search(w):
         if _LETTER.search(w):
-            if _INNER.search(core) or len(w) - len(core) > 1:
+            if _INNER.search(core) or len(w) - len(core) > 1 or _RIM_END.search(w) or _RIM_START.match(w) and not ("(" in w and ")" in w):
                 return True
         else:
             alone = w.strip(".,;:?\"')]}[{")
@@ -238,12 +275,9 @@ def suspicious(w: str, core: str) -> bool:
 
 def features(words: list[str]) -> set[str]:
     """Words and word beginnings (marked by a trailing star) of one document."""
-    out = set()
-    for w in words:
-        out.add(w)
-        for n in BEGINNINGS:
-            if len(w) > n:
-                out.add(w[:n] + "*")
+    out = set(words)
+    for n in BEGINNINGS:
+        out |= {w[:n] + "*" for w in words if len(w) > n}
     return out
 
 
@@ -267,49 +301,72 @@ class Scorer:
     def __init__(self, model: np.ndarray, weights: dict[str, float], curve: np.ndarray):
         self.model, self.weights, self.curve = model, weights, curve
 
-    def evidence(self, words: list[str]) -> tuple[float, float, float]:
-        """(largest weight, mean of the three largest, the smallest below zero) of a document's words and beginnings."""
-        get = self.weights.get
-        found = sorted((w for f in features(words) if (w := get(f)) is not None), reverse=True)
-        if not found:
-            return 0.0, 0.0, 0.0
-        return found[0], sum(found[:3]) / 3, min(found[-1], 0.0)
-
     def score(self, evidence: np.ndarray) -> np.ndarray:
         z = evidence @ self.curve[:-1] + self.curve[-1]
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def feature_counts(train: DataFrame, model: np.ndarray) -> tuple[dict[str, tuple[int, int]], int, int]:
-    """Document counts (toxic, other) of the most telling words and beginnings, and the two totals."""
-    schema = pa.schema([("f", pa.string()), ("t", pa.int64()), ("o", pa.int64())])
+class Judge:
+    """Evidence of texts under a scorer."""
+
+    def __init__(self, scorer: Scorer):
+        self.scorer, self.restorer = scorer, Restorer(scorer.model)
+
+    def evidence(self, text: str) -> tuple[float, float, float]:
+        """(largest weight, mean of the three largest, the smallest below zero) of a document's words and beginnings."""
+        found = sorted([w for w in map(self.scorer.weights.get, features(self.restorer.words(text))) if w is not None], reverse=True)
+        return (found[0], sum(found[:3]) / 3, min(found[-1], 0.0)) if found else (0.0, 0.0, 0.0)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return self.scorer.score(np.array([self.evidence(t) for t in texts]).reshape(-1, 3))
+
+
+def training_features(train: DataFrame, model: np.ndarray) -> DataFrame:
+    """(y, f): label and distinct features of each training row, stored; at most SAMPLE_ROWS rows are read and decoded once."""
+    schema = pa.schema([("y", pa.int32()), ("f", pa.list_(pa.string()))])
     shared = train.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(shared.value)
+        for batch in small_batches(batches, 1 << 20):
+            ys = [int(y == 1) for y in batch.column("toxic").to_pylist()]
+            yield batch_of(schema, ys, [sorted(features(restorer.words(t))) for t in text_list(batch.column("text"))])
+
+    return stored(train.mapInArrow(run, "y int, f array<string>"), "training-features", "zstd")
+
+
+def feature_counts(seen: DataFrame) -> tuple[dict[str, tuple[int, int]], int, int]:
+    """Document counts (toxic, other) of the most telling words and beginnings, and the two totals."""
+    schema = pa.schema([("f", pa.string()), ("t", pa.int64()), ("o", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            seen = {0: Counter(), 1: Counter()}
-            for text, y in zip(text_list(batch.column("text")), batch.column("toxic").to_pylist()):
-                seen[int(y == 1)].update(features(restorer.words(text)))
-                seen[int(y == 1)][""] += 1
-            names = list(seen[0].keys() | seen[1].keys())
-            yield batch_of(schema, names, [seen[1][f] for f in names], [seen[0][f] for f in names])
-
-    counts = stored(train.mapInArrow(run, "f string, t bigint, o bigint").groupBy("f").agg(
+            counts = {0: Counter(), 1: Counter()}
+            for y, fs in zip(batch.column("y").to_pylist(), batch.column("f").to_pylist()):
+                counts[y].update(fs)
+                counts[y][""] += 1
+            names = list(counts[0].keys() | counts[1].keys())
+            yield batch_of(schema, names, [counts[1][f] for f in names], [counts[0][f] for f in names])
+
+    counts = stored(seen.mapInArrow(run, "f string, t bigint, o bigint").groupBy("f").agg(
         F.sum("t").alias("t"), F.sum("o").alias("o")), "feature-counts")
     total = counts.filter("f = ''").first()
     n_toxic, n_other = (total["t"], total["o"]) if total else (0, 0)
     share_t, share_o = (F.col("t") + 0.5) / (n_toxic + 1), (F.col("o") + 0.5) / (n_other + 1)
     telling = counts.filter(f"f <> '' and t + o >= {MIN_SEEN}").orderBy(
         F.desc(F.abs(F.log(share_t / share_o)) * F.sqrt(F.col("t") + F.col("o"))), "f").limit(MAX_WEIGHTS)
-    return {r["f"]: (r["t"], r["o"]) for r in telling.collect()}, n_toxic, n_other
+    out = {r["f"]: (r["t"], r["o"]) for r in telling.collect()}
+    forget(counts)
+    return out, n_toxic, n_other
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     """Count the corpus, then learn weights and curve; without labelled rows of both kinds every score is the smoothed base rate."""
     model = trigram_model(trigram_counts(docs))
     train = stored(training_rows(docs, labels), "training")
-    counts, n_toxic, n_other = feature_counts(train, model)
+    seen = training_features(train, model)
+    forget(train)
+    counts, n_toxic, n_other = feature_counts(seen)
     weights = {}
     for f, (t, o) in counts.items():
         # Half a sighting on either side, and a prior of the base rates for rare words.
@@ -317,25 +374,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     scorer = Scorer(model, weights, np.array([0.0, 0.0, 0.0, math.log((n_toxic + 0.5) / (n_other + 0.5))]))
     if n_toxic and n_other:
         # Each document is judged by weights from which its own sightings are taken out.
-        rows = _left_out_evidence(train, model, counts, n_toxic, n_other)
+        rows = _left_out_evidence(seen, counts, n_toxic, n_other)
         scorer.curve = _logistic(rows[:, :3], rows[:, 3])
+    forget(seen)
     return scorer
 
 
-def _left_out_evidence(train: DataFrame, model: np.ndarray, counts: dict[str, tuple[int, int]], n_toxic: int, n_other: int) -> np.ndarray:
+def _left_out_evidence(seen: DataFrame, counts: dict[str, tuple[int, int]], n_toxic: int, n_other: int) -> np.ndarray:
     """Rows (evidence..., label) of the training documents, at most SAMPLE_ROWS."""
-    shared = train.sparkSession.sparkContext.broadcast((model, counts))
+    shared = seen.sparkSession.sparkContext.broadcast(counts)
     schema = pa.schema([("a", pa.float64()), ("b", pa.float64()), ("c", pa.float64()), ("y", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model_, counts_ = shared.value
-        restorer = Restorer(model_)
+        counts_ = shared.value
         for batch in small_batches(batches):
             rows = []
-            for text, y in zip(text_list(batch.column("text")), batch.column("toxic").to_pylist()):
-                y = int(y == 1)
+            for y, fs in zip(batch.column("y").to_pylist(), batch.column("f").to_pylist()):
                 found = []
-                for f in features(restorer.words(text)):
+                for f in fs:
                     if f in counts_:
                         t, o = counts_[f]
                         t, o = t - y, o - (1 - y)
@@ -346,7 +402,7 @@ def _left_out_evidence(train: DataFrame, model: np.ndarray, counts: dict[str, tu
             if rows:
                 yield batch_of(schema, *zip(*rows))
 
-    got = train.mapInArrow(run, "a double, b double, c double, y double").toPandas()
+    got = seen.mapInArrow(run, "a double, b double, c double, y double").toPandas()
     return got.to_numpy(dtype=np.float64).reshape(-1, 4)
 
 
@@ -374,11 +430,9 @@ def score_documents(docs: DataFrame, scorer: Scorer, threshold: float = 0.3) ->
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        restorer = Restorer(own.model)
+        judge = Judge(shared.value)
         for batch in small_batches(batches):
-            found = [own.evidence(restorer.words(t)) for t in text_list(batch.column("text"))]
-            yield batch_of(schema, batch.column("doc_id"), own.score(np.array(found).reshape(-1, 3)))
+            yield batch_of(schema, batch.column("doc_id"), judge.scores(text_list(batch.column("text"))))
 
     scored = id_and_text(docs).mapInArrow(run, "doc_id bigint, score double")
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
@@ -391,15 +445,18 @@ def score_all(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that are predicted toxic; all columns kept, texts scored where they are scanned."""
+    """``docs`` without the rows that are predicted toxic; all columns kept, texts scored where they are scanned.
+
+    A null or empty text has no words and gets the score of no evidence; it stays unless that is toxic. Null and repeated
+    ids stay as they are, rows that repeat are judged alike, an empty table stays empty. Columns may have any name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def toxic(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = shared.value
-        restorer = Restorer(own.model)
-        for t in texts:
-            found = [own.evidence(restorer.words(x or "")) for x in t]
-            yield pd.Series(own.score(np.array(found).reshape(-1, 3)) >= threshold, dtype=bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(shared.value)
+        for batch in small_batches(batches):
+            clean = judge.scores([t or "" for t in batch.column(at).to_pylist()]) < threshold
+            yield batch.filter(pa.array(clean))
 
-    return docs.filter(~toxic(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.mapInArrow(run, docs.schema)

@@ -166,16 +166,35 @@ def planted(n=250, seed=3):
     return rows + [(900, ""), (902, " ".join(["re"] * 300)), (903, " ".join(["a", "b", "c"] * 80)), (904, "long " * 30_000)]
 
 
-@pytest.mark.parametrize("source", ["planted", "documents"])
-def test_spans_cover_all_passages_and_nothing_else(spark, sf, source):
-    rows = planted() if source == "planted" else documents(spark, sf)
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS pos", "2 AS tid", "3 AS head")
+def found_words(rows, df):
     got = {r["doc_id"]: r for r in suffix_dedup.repeated_passages(df).collect()}
-    must, may = covered(rows, suffix_dedup.PASSAGE), covered(rows, suffix_dedup.HEAD)
-    for d, _ in rows:
-        for part, (least, most) in zip(("repeated", "removed"), zip(must, may)):
-            spans = {p for s, e in (got[d][part] if d in got else []) for p in range(s, e)}
-            assert least[d] <= spans <= most[d]
+    return [{d: {p for s, e in (got[d][part] if d in got else []) for p in range(s, e)} for d, _ in rows} for part in ("repeated", "removed")]
+
+
+def test_spans_of_documents_equal_brute_force(spark, sf):
+    rows = documents(spark, sf)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS pos", "2 AS tid", "3 AS head")
+    for got, want in zip(found_words(rows, df), covered(rows, suffix_dedup.PASSAGE)):
+        assert got == {d: want[d] for d, _ in rows} and any(got.values())
+
+
+def test_a_head_with_many_tails_spreads_and_loses_nothing(spark):
+    """One line of 50 words in every document: its suffixes fill many partitions, which compare their rims."""
+    r = random.Random(2)
+    line, common = [f"l{i}" for i in range(50)], [[f"c{k}x{i}" for i in range(40)] for k in range(5)]
+    rows = [(i, " ".join([f"a{i}"] * 5 + line + (r.choice(common) if i % 3 else [f"b{i}y{j}" for j in range(40)]))) for i in range(400)]
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        keyed = suffix_dedup._keyed(df, "doc_id", "text")
+        places = suffix_dedup.anchors(keyed).groupBy("doc", "tid").agg(F.collect_set("pos").alias("places"))
+        occ = suffix_dedup.occurrences(keyed, places)
+        head = occ.groupBy("head").count().orderBy(F.desc("count")).first()
+        assert head["count"] >= 400 and suffix_dedup.match_lengths(occ).count() > 0
+        for got, want in zip(found_words(rows, df), covered(rows, suffix_dedup.PASSAGE)):
+            assert got == {d: want[d] for d, _ in rows}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def test_spans_are_exactly_the_repeated_passages(spark):
@@ -279,7 +298,7 @@ def disguised(word, r):
 
 def test_restores_disguised_words(scorer):
     docs, labels, own = scorer
-    restorer, r = toxicity.Restorer(own.model), random.Random(5)
+    restorer, judge, r = toxicity.Restorer(own.model), toxicity.Judge(own), random.Random(5)
     for seen, meant in (("1d10t", "idiot"), ("m0r0n", "moron"), ("i d i o t", "idiot"), ("w-o-r-t-h-l-e-s-s", "worthless"), ("looooser", "loser"), ("tr@sh", "trash")):
         assert meant in restorer.words(f"the {seen} of")
     plain = docs.join(labels.filter("toxic = 0"), "doc_id", "left_semi").filter("lang = 'en'").orderBy("doc_id").limit(60).collect()
@@ -287,10 +306,10 @@ def test_restores_disguised_words(scorer):
     caught = flagged = 0
     for row in plain:
         w = (row["text"] or "").split()
-        flagged += own.score(np.array([own.evidence(restorer.words(" ".join(w)))]))[0] >= 0.3
+        flagged += judge.scores([" ".join(w)])[0] >= 0.3
         for _ in range(2):
             w.insert(r.randrange(len(w) + 1), disguised(r.choice(lexicon), r))
-        caught += own.score(np.array([own.evidence(restorer.words(" ".join(w)))]))[0] >= 0.3
+        caught += judge.scores([" ".join(w)])[0] >= 0.3
     assert caught >= 0.9 * len(plain) and flagged <= 0.05 * len(plain)
 
 
@@ -302,6 +321,25 @@ def test_restores_long_and_letterless_tokens(scorer):
     assert len(restorer.words("1x" * 5000)) > 200  # all of it is read
 
 
+def test_restores_disguises_at_the_rim_of_a_word(scorer):
+    restorer = toxicity.Restorer(scorer[2].model)
+    for seen, meant in (("$tupid", "stupid"), ("!diot", "idiot"), ("*diot", "idiot"), ("#ell", "hell"), ("(unt", "cunt"), ("kis$", "kiss"),
+                        ("stupid$", "stupids"), ('"$tupid,"', "stupid"), ("tra$#!", "trash")):
+        assert meant in restorer.words(f"the {seen} of"), seen
+    for plain in ("stupid!", "(see)", "word,", "100%", "end.)", "$100", "it's", "(a)"):
+        assert not toxicity.suspicious(plain, plain.strip(toxicity._EDGE)), plain
+
+
+def test_kept_tokens_change_no_evidence(spark, sf, scorer):
+    own = scorer[2]
+    judge, restorer = toxicity.Judge(own), toxicity.Restorer(own.model)
+    texts = [t or "" for _, t in documents(spark, sf)[:60]] + ["", "the $tupid 1d10t, i d i o t"]
+    for text in texts * 2:
+        found = sorted((own.weights[f] for f in toxicity.features(restorer.words(text)) if f in own.weights), reverse=True)
+        want = (found[0], sum(found[:3]) / 3, min(found[-1], 0.0)) if found else (0.0, 0.0, 0.0)
+        assert judge.evidence(text) == want
+
+
 def test_restores_spaced_words_next_to_punctuation(scorer):
     restorer = toxicity.Restorer(scorer[2].model)
     for seen, meant in (("you i d i o t, go", "idiot"), ("(i d i o t)", "idiot"), ('"i d i o t"', "idiot"), ("such s t u p i d. go", "stupid"),
@@ -320,7 +358,7 @@ def test_viterbi_finds_the_cheapest_reading(scorer):
             total += w
             for ch in s:
                 z = toxicity._CODE.get(ch, toxicity.OTHER)
-                total -= float(restorer.model[a, b, z])
+                total -= restorer.model[(a * toxicity.SIZE + b) * toxicity.SIZE + z]
                 a, b = b, z
         return total
 
