@@ -2,19 +2,20 @@
 
 Only suffixes at content-selected positions are kept: the positions of minimisers, that is, of the smallest hash of
 ``GRAM`` words in any window of ``WINDOW`` words. Equal passages select equal positions, and a passage of ``PASSAGE`` words
-holds at least one that leaves ``HEAD`` words to its right within the passage, and one that leaves ``HEAD`` words to its
-left. Kept suffixes are sorted by their words, to the right in one array and to the left in another; suffixes that share
-``HEAD`` words are neighbours or lie between such neighbours, and comparing neighbours gives how far the match extends to
-the right (first array) and to the left (second array). A match that runs past the ``REACH`` words compared is carried on
-by the next kept position, which lies within it.
-
-Matches of one place may be with different partners, so their union only proposes spans: it covers every passage of PASSAGE
-words that also stands elsewhere (in another document or another place of the same one). Each run of PASSAGE words within
-the proposed spans is then looked up by its hash, and what comes out is exactly the words of the runs that stand elsewhere.
-Removed spans are the same with "elsewhere" read as "earlier": at a smaller (doc_id, position). The earliest copy stays.
-
-Suffixes with the same REACH words collapse before they are sorted, with a partial sum before the shuffle, so a passage
-in a third of all documents is one row per task. Word comparisons beyond HEAD use 32-bit hashes of words.
+holds at least one whose next ``HEAD`` words lie within the passage. Suffixes whose head of ``HEAD`` words stands nowhere
+else are dropped. The others are sorted twice, by the words after the head and, outwards, by the words before it; the
+neighbour in the first array that shares most gives how far a match extends to the right, in the second to the left. A match
+that runs past the ``TAIL`` words compared is carried on by the next kept position, which lies within them.
+
+The matches of one place may be with different partners, so left and right together propose a span; it covers every passage
+of PASSAGE words that also stands elsewhere (in another document or another place of the same one). Each run of PASSAGE
+words within the proposed spans is then looked up by its hash, and what comes out is exactly the words of the runs that
+stand elsewhere. Removed spans are the same with "elsewhere" read as "earlier": at a smaller (doc_id, position). The
+earliest copy stays.
+
+Suffixes with the same head and tail collapse before they are sorted, with a partial sum before the shuffle, so a passage
+in a third of all documents is one row per task. The arrays are range-partitioned by (head, tail), and partitions compare
+their rims, so a head with very many different tails spreads over many tasks. Tails are compared by 32-bit hashes of words.
 """
 
 from __future__ import annotations
@@ -34,8 +35,7 @@ from cellweave.session import forget, stored
 PASSAGE, GRAM, WINDOW = 50, 10, 35
 HEAD = PASSAGE - (WINDOW - GRAM)
 #: Between two kept positions of a document lie fewer words than a window has grams.
-REACH = HEAD + WINDOW - GRAM + 1
-TAIL = REACH - HEAD
+TAIL = WINDOW - GRAM + 1
 _LAST = (1 << 63) - 1
 
 
@@ -45,14 +45,13 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("tid"), text.alias("text"))
 
 
-def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, gram hashes) of the smallest gram of every window, the leftmost of equals."""
+def minimisers(words: np.ndarray) -> np.ndarray:
+    """Positions of the smallest gram of every window, the leftmost of equals."""
     grams = window_hashes(words, GRAM)
     width = WINDOW - GRAM + 1
     if len(grams) < width:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    at = np.unique(_window_argmin(grams, width))
-    return at, grams[at]
+        return np.empty(0, dtype=np.int64)
+    return np.unique(_window_argmin(grams, width))
 
 
 def _window_argmin(x: np.ndarray, width: int) -> np.ndarray:
@@ -71,8 +70,8 @@ def _window_argmin(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(keyed: DataFrame) -> DataFrame:
-    """(doc, tid, pos, gram) of the kept positions, stored."""
-    schema = pa.schema([("doc", pa.int64()), ("tid", pa.int64()), ("pos", pa.int32()), ("gram", pa.int64())])
+    """(doc, tid, pos, head) of the kept positions and the hash of the HEAD words there, stored."""
+    schema = pa.schema([("doc", pa.int64()), ("tid", pa.int64()), ("pos", pa.int32()), ("head", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 4 << 20):
@@ -81,19 +80,21 @@ def anchors(keyed: DataFrame) -> DataFrame:
             parts = []
             for i in range(len(doc)):
                 if ends[i + 1] - ends[i] >= PASSAGE:
-                    at, gram = minimisers(words[ends[i]:ends[i + 1]])
-                    parts.append((np.full(len(at), doc[i]), np.full(len(at), tid[i]), at.astype(np.int32), gram.view(np.int64)))
+                    w = words[ends[i]:ends[i + 1]]
+                    at = minimisers(w)
+                    at = at[at <= len(w) - HEAD]
+                    parts.append((np.full(len(at), doc[i]), np.full(len(at), tid[i]), at.astype(np.int32), window_hashes(w, HEAD)[at].view(np.int64)))
             if parts:
                 yield batch_of(schema, *(np.concatenate(c) for c in zip(*parts)))
 
-    return stored(keyed.mapInArrow(run, "doc bigint, tid bigint, pos int, gram bigint"), "anchors")
+    return stored(keyed.mapInArrow(run, "doc bigint, tid bigint, pos int, head bigint"), "anchors")
 
 
 _OCC = "side int, head bigint, tail binary, tail_key bigint, doc bigint, tid bigint, pos int"
 
 
 def occurrences(keyed: DataFrame, places: DataFrame) -> DataFrame:
-    """One row per kept position and side, stored: hash of its first HEAD words, the next TAIL words, and where it is."""
+    """One row per kept position and side, stored: its head, the TAIL words after (side 0) or before it, outwards, and where it is."""
     schema = pa.schema([("side", pa.int32()), ("head", pa.int64()), ("tail", pa.binary()), ("tail_key", pa.int64()),
                         ("doc", pa.int64()), ("tid", pa.int64()), ("pos", pa.int32())])
 
@@ -104,14 +105,13 @@ def occurrences(keyed: DataFrame, places: DataFrame) -> DataFrame:
             for i, (doc, tid, places_) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("tid").to_pylist(),
                                                         batch.column("places").to_pylist())):
                 w = words[ends[i]:ends[i + 1]]
-                for side, sequence in enumerate((w, w[::-1])):
-                    heads = window_hashes(sequence, HEAD).view(np.int64)
-                    short = (sequence >> np.uint64(32)).astype(">u4").tobytes()
-                    for pos in sorted(places_):
-                        at = pos if side == 0 else len(w) - (pos + GRAM)
-                        if at < len(heads):
-                            tail = short[4 * (at + HEAD):4 * (at + REACH)]
-                            rows.append((side, heads[at], tail, xxhash.xxh64_intdigest(tail) - (1 << 63), doc, tid, pos))
+                heads = window_hashes(w, HEAD).view(np.int64)
+                short = (w >> np.uint64(32)).astype(">u4")
+                right, left = short.tobytes(), short[::-1].tobytes()
+                for pos in sorted(places_):
+                    after, before = 4 * (pos + HEAD), 4 * (len(w) - pos)
+                    for side, tail in ((0, right[after:after + 4 * TAIL]), (1, left[before:before + 4 * TAIL])):
+                        rows.append((side, heads[pos], tail, xxhash.xxh64_intdigest(tail) - (1 << 63), doc, tid, pos))
                 if len(rows) > 20_000:
                     yield batch_of(schema, *zip(*rows))
                     rows = []
@@ -123,47 +123,6 @@ def occurrences(keyed: DataFrame, places: DataFrame) -> DataFrame:
     return stored(texts.mapInArrow(run, _OCC), "suffixes", "zstd")
 
 
-class _Neighbours:
-    """Walks suffixes in sorted order and tells, for each, its longest match with any other and with an earlier one.
-
-    The stack holds suffixes still waiting for an earlier one on their right, earliest at the bottom; ``below`` is how
-    much each shares with the one under it.
-    """
-
-    def __init__(self):
-        self.stack: list[list] = []
-        self.head, self.tail, self.previous = None, b"", None
-        self.out: list[tuple] = []
-
-    def close(self) -> None:
-        for key, row, below, longest, copies in self.stack:
-            self._emit(row, longest, below, copies)
-        self.stack = []
-
-    def _emit(self, row: tuple, longest: int, earlier: int, copies: int) -> None:
-        side, head, tail_key, words, first = row
-        longest = words if copies > 1 else longest
-        if longest:
-            self.out.append((side, head, tail_key, longest, earlier, *first))
-
-    def push(self, side: int, head: int, tail: bytes, tail_key: int, key: tuple, copies: int) -> None:
-        if (side, head) != self.head:
-            self.close()
-            self.head, shared = (side, head), 0
-        else:
-            shared = HEAD + _common(self.tail, tail)
-            self.previous[3] = max(self.previous[3], shared)
-        self.tail = tail
-        run = shared
-        while self.stack and self.stack[-1][0] > key:
-            e = self.stack.pop()
-            self._emit(e[1], e[3], max(e[2], run), e[4])
-            run = min(run, e[2])
-        entry = [key, (side, head, tail_key, HEAD + len(tail) // 4, key), run if self.stack else 0, shared, copies]
-        self.stack.append(entry)
-        self.previous = entry
-
-
 def _common(a: bytes, b: bytes) -> int:
     """Words two tails share from their start."""
     n = min(len(a), len(b)) // 4
@@ -179,31 +138,55 @@ def _common(a: bytes, b: bytes) -> int:
     return lo
 
 
+_MATCH = "side int, head bigint, tail_key bigint, longest int, part int, tail binary"
+
+
 def match_lengths(occ: DataFrame) -> DataFrame:
-    """(side, head, tail_key, longest, earlier, and the first place) of the distinct suffixes that match another; ``earlier`` holds there."""
-    distinct = occ.groupBy("side", "head", "tail_key").agg(
-        F.min(F.struct("doc", "tid", "pos")).alias("first"), F.max(F.struct("doc", "tid", "pos")).alias("last"), F.first("tail").alias("tail")).withColumn(
-        "copies", F.when(F.col("first") == F.col("last"), 1).otherwise(2))
+    """(side, head, tail_key, longest) of the distinct suffixes that share their head with another place, stored.
+
+    longest is HEAD and the words of the tail shared with the neighbour that shares most; a suffix of several places
+    matches itself over its whole tail.
+    """
+    distinct = occ.groupBy("side", "head", "tail_key", "tail").agg(F.count("*").alias("n"))
     parts = int(occ.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = distinct.repartition(parts, "side", "head").sortWithinPartitions("side", "head", "tail").select(
-        "side", "head", "tail", "tail_key", "first.*", "copies")
-    schema = pa.schema([("side", pa.int32()), ("head", pa.int64()), ("tail_key", pa.int64()), ("longest", pa.int32()), ("earlier", pa.int32()),
-                        ("doc", pa.int64()), ("tid", pa.int64()), ("pos", pa.int32())])
+    ordered = distinct.select("side", "head", "tail", "tail_key", (F.col("n") > 1).alias("many")).repartitionByRange(
+        parts, "side", "head", "tail").sortWithinPartitions("side", "head", "tail").withColumn("part", F.spark_partition_id())
+    schema = pa.schema([("side", pa.int32()), ("head", pa.int64()), ("tail_key", pa.int64()), ("longest", pa.int32()), ("part", pa.int32()), ("tail", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk = _Neighbours()
+        before: list | None = None  # the suffix whose next neighbour is still to come: what is emitted of it
+        first = True
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("side", "head", "tail", "tail_key", "doc", "tid", "pos", "copies")]
-            for side, head, tail, tail_key, doc, tid, pos, copies in zip(*columns):
-                walk.push(side, head, tail, tail_key, (doc, tid, pos), copies)
-            if walk.out:
-                yield batch_of(schema, *zip(*walk.out))
-                walk.out = []
-        walk.close()
-        if walk.out:
-            yield batch_of(schema, *zip(*walk.out))
+            columns = [batch.column(c).to_pylist() for c in ("side", "head", "tail", "tail_key", "many", "part")]
+            rows: list[list] = []
+            for side, head, tail, tail_key, many, part in zip(*columns):
+                now = [side, head, tail_key, HEAD + len(tail) // 4 if many else 0, part, tail]
+                if before is not None:
+                    if before[0] == side and before[1] == head:
+                        shared = HEAD + _common(before[5], tail)
+                        before[3], now[3] = max(before[3], shared), max(now[3], shared)
+                    if not first:
+                        before[5] = None
+                    # The first suffix of a partition goes out with its tail, for the partition before.
+                    rows.append(before)
+                    first = False
+                before = now
+            rows = [r for r in rows if r[3] or r[5] is not None]
+            if rows:
+                yield batch_of(schema, *zip(*rows))
+        if before is not None:
+            yield batch_of(schema, *zip(before))
 
-    return stored(ordered.mapInArrow(run, "side int, head bigint, tail_key bigint, longest int, earlier int, doc bigint, tid bigint, pos int"), "matches")
+    found = stored(ordered.mapInArrow(run, _MATCH), "matches")
+    # Rims: the first and the last suffix of each partition, two rows a task.
+    rims = sorted(found.filter("tail is not null").collect(), key=lambda r: (r["side"], r["head"], r["tail"]))
+    over = [(r["side"], r["head"], r["tail_key"], HEAD + _common(a["tail"], b["tail"])) for a, b in zip(rims, rims[1:])
+            if a["part"] != b["part"] and (a["side"], a["head"]) == (b["side"], b["head"]) for r in (a, b)]
+    inner = found.filter("longest > 0").select("side", "head", "tail_key", "longest")
+    if not over:
+        return inner
+    rim = occ.sparkSession.createDataFrame(over, "side int, head bigint, tail_key bigint, longest int")
+    return inner.union(rim).groupBy("side", "head", "tail_key").agg(F.max("longest").alias("longest"))
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -220,7 +203,9 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, tid, repeated, removed): spans in words [from, to) of the documents that have a repeated one, stored."""
     keyed = _keyed(docs, id_col, text_col)
-    runs = _runs(keyed, _proposed(keyed))
+    proposed = _proposed(keyed)
+    runs = _runs(keyed, proposed)
+    forget(proposed)
     seen = runs.groupBy("h").agg(F.min(F.struct("doc", "tid", "pos")).alias("first"), F.max(F.struct("doc", "tid", "pos")).alias("last"))
     again = stored(seen.filter("first <> last").select("h", F.col("first.doc").alias("_doc"), F.col("first.tid").alias("_tid"), F.col("first.pos").alias("_pos")), "repeated-runs")
     placed = runs.join(again, "h").select("doc", "tid", "pos", F.expr("doc = _doc and tid = _tid and pos = _pos").alias("is_first"))
@@ -236,6 +221,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     out = stored(per_doc.mapInArrow(run, "doc bigint, tid bigint, repeated array<array<int>>, removed array<array<int>>"), "spans")
     forget(runs)
+    forget(again)
     return out
 
 
@@ -263,11 +249,12 @@ def _runs(keyed: DataFrame, proposed: DataFrame) -> DataFrame:
 def _proposed(keyed: DataFrame) -> DataFrame:
     """(doc, tid, proposed): spans in words [from, to) in which all repeated passages lie, stored."""
     kept = anchors(keyed)
-    often = stored(kept.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
-    places = stored(kept.join(often, "gram", "left_semi").groupBy("doc", "tid").agg(F.collect_set("pos").alias("places")), "places")
+    often = stored(kept.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head"), "heads")
+    places = stored(kept.join(often, "head", "left_semi").groupBy("doc", "tid").agg(F.collect_set("pos").alias("places")), "places")
     forget(kept)
     forget(often)
     occ = occurrences(keyed, places)
+    forget(places)
     found = match_lengths(occ)
     matched = occ.drop("tail").join(found.select("side", "head", "tail_key", "longest"), ["side", "head", "tail_key"]).select(
         "doc", "tid", F.struct("side", "pos", "longest").alias("m"))
@@ -277,7 +264,7 @@ def _proposed(keyed: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, tid, ms in zip(*(batch.column(c).to_pylist() for c in ("doc", "tid", "ms"))):
-                spans = _union([(m["pos"], m["pos"] + m["longest"]) if m["side"] == 0 else (m["pos"] + GRAM - m["longest"], m["pos"] + GRAM) for m in ms])
+                spans = _union([(m["pos"], m["pos"] + m["longest"]) if m["side"] == 0 else (m["pos"] + HEAD - m["longest"], m["pos"] + HEAD) for m in ms])
                 if spans:
                     rows.append((doc, tid, [list(s) for s in spans]))
             if rows:
