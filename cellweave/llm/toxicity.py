@@ -246,9 +246,8 @@ class Restorer:
         parts = [x for x in _JOINTS.split(tail) if x]
         if len(parts) > 1:
             forms.update(x for x in parts if suspicious(x, x.strip(_EDGE)))
-        # One vowel left out may be any; the corpus does not know which word is meant.
-        forms.update(x.replace("*", v) for x in tuple(forms) if x.count("*") == 1 for v in LOOKALIKES["*"])
-        out = []
+        # A single sign is also read as each letter it looks like, whatever the corpus says.
+        out = [x.replace(sign[0], v) for x in forms if len(sign := _INNER.findall(x)) == 1 for v in LOOKALIKES[sign[0]]]
         for form in sorted(forms):
             if form.isalpha() and not _DOUBLED.search(form):
                 out.append(form)
