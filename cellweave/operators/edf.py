@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellweave.functions.scalars import in_fraction
 from cellweave.functions.vectors import total
+from cellweave.model import check_model_size
+from cellweave.operators.blocks import pair_rows
 from cellweave.operators.order_stats import running_totals
+from cellweave.session import cut_lineage
 
 
 def _sup_difference(counts: DataFrame, keys: Sequence[str], value: str, n1: str, n2: str) -> DataFrame:
@@ -40,29 +47,152 @@ def ks_by_feature(long: DataFrame, in_first: Column, in_second: Column,
     return _sup_difference(counts, list(keys), "value", "_n1", "_n2")
 
 
+#: Doubles a kernel compares at once.
+KS_VALUES = 1 << 20
+
+
+class _PairMaxima:
+    """Running maxima of F_i − F_j over the values of one key, which come in order.
+
+    F_i − F_j can only rise at a value of group i, so each row is compared with the other groups once: the work is rows
+    times groups, not values times pairs.
+    """
+
+    def __init__(self, groups: np.ndarray, sizes: np.ndarray, before: np.ndarray):
+        self.groups, self.sizes, self.count = groups, sizes.astype(float), before.astype(float)
+        start = self.count / self.sizes
+        self.top = start[:, None] - start[None, :]
+
+    def add(self, place: np.ndarray, group: np.ndarray, count: np.ndarray) -> None:
+        """Rows (number of the value from 0 on, position of the group, count), ordered by value; no value is cut in two."""
+        f = np.zeros((int(place[-1]) + 1, len(self.groups)))
+        f[place, group] = count
+        np.cumsum(f, axis=0, out=f)
+        f += self.count
+        self.count = f[-1].copy()
+        f /= self.sizes
+        order = np.argsort(group, kind="stable")
+        first = np.flatnonzero(np.diff(group[order], prepend=-1))
+        rows = f[place[order]]
+        gaps = rows[np.arange(len(order)), group[order]][:, None] - rows
+        own = group[order][first]
+        self.top[own] = np.maximum(self.top[own], np.maximum.reduceat(gaps, first, axis=0))
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j = np.triu_indices(len(self.groups), 1)
+        return self.groups[i], self.groups[j], np.maximum(self.top, self.top.T)[i, j]
+
+
+def _maxima(v: np.ndarray, g: np.ndarray, c: np.ndarray, n: np.ndarray, before: dict[int, tuple[int, int]]) -> _PairMaxima:
+    """Maxima over the rows (value, group, count, size of the group) of one key; ``before``: group → (count, size) so far."""
+    groups = np.unique(np.concatenate([g, np.fromiter(before, dtype=g.dtype, count=len(before))]))
+    at = np.searchsorted(groups, g)
+    sizes, held = np.ones(len(groups)), np.zeros(len(groups))
+    sizes[at] = n
+    for name, (count, size) in before.items():
+        k = np.searchsorted(groups, name)
+        held[k], sizes[k] = count, size
+    out = _PairMaxima(groups, sizes, held)
+    fresh = np.concatenate([[True], (v[1:] != v[:-1]) & ~(np.isnan(v[1:]) & np.isnan(v[:-1]))])
+    starts = np.append(np.flatnonzero(fresh), len(v))
+    number = np.cumsum(fresh) - 1
+    step, lo = max(1, KS_VALUES // len(groups)), 0
+    while lo < len(starts) - 1:
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + step, side="right")) - 1)
+        rows = slice(starts[lo], starts[hi])
+        out.add(number[rows] - lo, at[rows], c[rows])
+        lo = hi
+    return out
+
+
+def ks_pairs(rows: DataFrame, keys: Sequence[str], group: str = "g", value: str = "value") -> DataFrame:
+    """(keys…, i, j, ks): largest gap between the EDFs of every two groups (ints, i < j) that a key holds.
+
+    Equal values of a group combine first. The counts are range-partitioned by (keys, value), so a key with a third of all
+    values spreads over many tasks; only the key a partition begins with has values before it, and how many of each group
+    these are is sent along (partitions times groups numbers, checked). One kernel per partition returns the maxima of all
+    pairs. NULL values and groups are left out, NaN is the largest value; keys are not NULL.
+    """
+    spark, keys = rows.sparkSession, list(keys)
+    counts = cut_lineage(rows.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(
+        *keys, F.col(value).cast("double").alias("_v"), F.col(group).cast("int").alias("_g")).agg(F.count("*").alias("_c")))
+    sizes = counts.groupBy(*keys, "_g").agg(F.sum("_c").alias("_n"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The borders are sampled: fix them before they are used twice.
+    ranged = cut_lineage(counts.join(sizes, [*keys, "_g"]).repartitionByRange(parts, *keys, "_v").withColumn("_pid", F.spark_partition_id()), counts)
+    sums = cut_lineage(ranged.groupBy(*keys, "_g", "_pid").agg(F.sum("_c").alias("_c"), F.first("_n").alias("_n")))
+    check_model_size(2 * parts * (1 + (sums.agg(F.max("_g")).first()[0] or 0)), "EDF counts at the borders of partitions")
+    several = sums.groupBy(*keys).agg(F.count_distinct("_pid").alias("_p")).filter("_p > 1").drop("_p")
+    before: dict[tuple, dict[int, tuple[int, int]]] = {}
+    now, upto = None, {}
+    for r in sums.join(several, keys, "left_semi").orderBy(*keys, "_pid").collect():
+        key, at = tuple(r[k] for k in keys), (r["_pid"], *(r[k] for k in keys))
+        if key != now:
+            now, upto = key, {}
+        if at not in before:
+            before[at] = dict(upto)
+        upto[r["_g"]] = (upto.get(r["_g"], (0, 0))[0] + r["_c"], r["_n"])
+    shared = spark.sparkContext.broadcast(before)
+    names = ["_pid", *keys]
+    schema = T.StructType([ranged.schema[k] for k in keys] + [
+        T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("ks", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered: list[pa.RecordBatch] = []
+        key: tuple | None = None
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            if gathered:
+                t = pa.Table.from_batches(gathered)
+                v, g, c, n = (t.column(x).to_numpy() for x in ("_v", "_g", "_c", "_n"))
+                i, j, ks = _maxima(v, g, c, n, shared.value.get(key, {})).result()
+                if len(ks):
+                    columns = [pa.array([x] * len(ks), type=t.schema.field(k).type) for k, x in zip(keys, key[1:])]
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(ks)], names=[*keys, "i", "j", "ks"])
+
+        for batch in batches:
+            new = np.zeros(max(batch.num_rows - 1, 0), dtype=bool)
+            for x in names:
+                column = batch.column(x)
+                new |= pc.not_equal(column.slice(1), column.slice(0, max(batch.num_rows - 1, 0))).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for s, e in zip(edges, edges[1:]):
+                own = tuple(batch.column(x)[s].as_py() for x in names)
+                if own != key:
+                    yield from finished()
+                    gathered, key = [], own
+                gathered.append(batch.slice(s, e - s))
+        yield from finished()
+
+    ordered = ranged.repartition(parts, "_pid").sortWithinPartitions(*names, "_v", "_g").select(*names, "_v", "_g", "_c", "_n")
+    return ordered.mapInArrow(run, schema).groupBy(*keys, "i", "j").agg(F.max("ks").alias("ks"))
+
+
+def numbered(df: DataFrame, group: str, groups: Sequence, name: str = "g") -> DataFrame:
+    """Adds the position of each row's group in ``groups``; rows of other groups go."""
+    names = df.sparkSession.createDataFrame(list(enumerate(groups)), T.StructType([
+        T.StructField(name, T.IntegerType()), T.StructField(group, df.schema[group].dataType)]))
+    return df.join(names, group)
+
+
 def pairwise_ks(long: DataFrame, group: str, groups: Sequence) -> DataFrame:
     """KS distance of every pair of groups for every feature: (feature, group_i, group_j, ks), i < j.
 
-    The groups are columns of one running count, so the data are ranged once for
-    all pairs and no group is ever paired row by row.
+    A pair of which a group has no value of a feature is NaN there. The data are ranged once for all pairs and no group
+    is ever paired row by row.
     """
     names = list(groups)
-    counts = long.groupBy("feature", "value").agg(
-        *[F.sum((F.col(group) == F.lit(g)).cast("bigint")).alias(f"_n{i}") for i, g in enumerate(names)])
-    run = running_totals(counts, ["feature"], ["value"], {f"_c{i}": F.col(f"_n{i}") for i in range(len(names))})
-    totals = counts.groupBy("feature").agg(*[F.sum(f"_n{i}").alias(f"_t{i}") for i in range(len(names))])
-    joined = run.join(totals, "feature")
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-
-    def edf(i: int) -> Column:
-        return F.when(F.col(f"_t{i}") > 0, F.col(f"_c{i}") / F.col(f"_t{i}")).otherwise(F.lit(float("nan")))
-
-    maxima = joined.groupBy("feature").agg(
-        *[F.max(F.abs(edf(i) - edf(j))).alias(f"k_{i}_{j}") for i, j in pairs])
-    entries = F.array(*[
-        F.struct(F.lit(names[i]).alias("group_i"), F.lit(names[j]).alias("group_j"), F.col(f"k_{i}_{j}").alias("ks"))
-        for i, j in pairs])
-    return maxima.select("feature", F.explode(entries).alias("e")).select("feature", "e.group_i", "e.group_j", "e.ks")
+    check_model_size(len(names), "groups")
+    found = ks_pairs(numbered(long, group, names), ["feature"])
+    left = long.sparkSession.createDataFrame(list(enumerate(names)), T.StructType([
+        T.StructField("i", T.IntegerType()), T.StructField("group_i", long.schema[group].dataType)]))
+    every = pair_rows(left, left.toDF("j", "group_j"), "i", "j", condition=F.col("i") < F.col("j"))
+    # one row per feature and pair, as in the result
+    features = found.select("feature").distinct().withColumn("_one", F.lit(1))
+    frame = every.withColumn("_one", F.lit(1)).join(features, "_one").drop("_one")
+    return frame.join(found, ["feature", "i", "j"], "left").select(
+        "feature", "group_i", "group_j", F.coalesce("ks", F.lit(float("nan"))).alias("ks"))
 
 
 def edf_weights(pair_ks: DataFrame) -> DataFrame:

@@ -261,6 +261,13 @@ def weighted_edf_map(spark, sf):
     return edf.edf_distance_matrix(pairs, edf.edf_weights(pairs)).select("group_i", "group_j", r("distance"))
 
 
+def ks_label_pairs(spark, sf):
+    """KS distance of every two labels for each of the 64 components of the embeddings."""
+    long = X.points(spark, sf).select("treatment", F.posexplode("vec").alias("feature", "value"))
+    labels = [r[0] for r in long.select("treatment").distinct().orderBy("treatment").collect()]
+    return edf.pairwise_ks(long, "treatment", labels).select("feature", "group_i", "group_j", r("ks"))
+
+
 def ks_p_values(spark, sf):
     cells = filtered(spark, sf).filter("is_valid").withColumn("d2", F.col("mahal_dist") * F.col("mahal_dist"))
     return edf.ks_against(cells, "treatment", X.CONTROL, "d2", ["A", "N", "R"]).select(
@@ -504,6 +511,15 @@ t AS (SELECT f1, f2, f3, f4, f3*0.1 AS f6, f2*2+f1 AS f7, f4+1000 AS f8 FROM val
         PAIRS, "SELECT feature, round(mean_ks, 6) + 0.0 AS mean_ks, round(weight, 6) + 0.0 AS weight FROM kwn")),
     "weighted_edf_map": (weighted_edf_map, W(PAIRS, _both_ways(
         "SELECT group_i, group_j, sqrt(sum(ks*weight*ks*weight)) AS d FROM ks JOIN kwn USING (feature) GROUP BY 1, 2"))),
+    "ks_label_pairs": (ks_label_pairs, """WITH long AS (SELECT label AS g, unnest(embedding)::DOUBLE AS value,
+  unnest(range(len(embedding)))::INT AS feature FROM embeddings),
+v AS (SELECT DISTINCT feature, value FROM long), gs AS (SELECT DISTINCT g FROM long),
+n AS (SELECT feature, g, value, count(*) AS c FROM long GROUP BY 1, 2, 3),
+f AS (SELECT v.feature, gs.g, v.value, sum(coalesce(c, 0)) OVER (PARTITION BY v.feature, gs.g ORDER BY v.value)
+    / sum(coalesce(c, 0)) OVER (PARTITION BY v.feature, gs.g) AS f
+  FROM v CROSS JOIN gs LEFT JOIN n ON n.feature = v.feature AND n.g = gs.g AND n.value = v.value)
+SELECT a.feature, a.g AS group_i, b.g AS group_j, round(max(abs(a.f - b.f)), 6) + 0.0 AS ks
+FROM f a JOIN f b ON a.feature = b.feature AND a.value = b.value AND a.g < b.g GROUP BY 1, 2, 3"""),
     "ks_p_values": (ks_p_values, W(B.FLT + """,
 tc AS (SELECT mahal_dist*mahal_dist AS value, count(CASE WHEN treatment='N' THEN 1 END) n,
         count(CASE WHEN treatment='A' THEN 1 END) a, count(CASE WHEN treatment='R' THEN 1 END) r

@@ -144,3 +144,24 @@ def test_scalars(spark):
         ieee_divide(F.lit(0.0), F.lit(0.0)).alias("c"), rename_wild_type(F.lit("wt1-wt")).alias("d"),
         rename_wild_type(F.lit("xwt")).alias("e")).first()
     assert (row["a"], row["b"], row["d"], row["e"]) == (np.inf, -np.inf, "mock1-mock", "xwt") and np.isnan(row["c"])
+
+
+def test_ks_of_four_hundred_groups_equals_brute_force(spark):
+    """Ties, one hot feature over many partitions, groups without a value, NaN; every pair against sorted samples."""
+    r = np.random.default_rng(3)
+    rows = [("hot", int(g), float(v)) for g, v in zip(r.integers(0, 400, 12_000), np.round(r.normal(size=12_000), 2))]
+    rows += [("rare", int(g), float(v)) for g, v in zip(r.integers(0, 5, 60), r.integers(0, 4, 60))]
+    rows += [("rare", 1, float("nan")), ("rare", 2, None), ("rare", None, 1.0)]
+    long = spark.createDataFrame(rows, "feature string, grp int, value double")
+    got = {(x["feature"], x["group_i"], x["group_j"]): x["ks"] for x in edf.pairwise_ks(long, "grp", list(range(400))).collect()}
+    assert len(got) == 2 * 400 * 399 // 2
+    for feature in ("hot", "rare"):
+        samples = {}
+        for f, g, v in rows:
+            if f == feature and g is not None and v is not None:
+                samples.setdefault(g, []).append(np.inf if np.isnan(v) else v)
+        grid = np.unique(np.concatenate(list(samples.values())))
+        f = {g: np.searchsorted(np.sort(x), grid, side="right") / len(x) for g, x in samples.items()}
+        for (name, i, j), ks in got.items():
+            if name == feature:
+                assert np.isnan(ks) if i not in f or j not in f else ks == np.abs(f[i] - f[j]).max()
