@@ -95,3 +95,4 @@ class SweepConfig:
     exp_factors: tuple = (-1.0,)
     metrics: tuple[str, ...] = ("summed_minmax",)
     splits: SplitConfig = field(default_factory=SplitConfig)
+    penetrance_filter: bool = True

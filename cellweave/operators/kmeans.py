@@ -72,23 +72,18 @@ def farthest_first(points: DataFrame, vec: str, k: int, p: float = 2, id_col: st
     return np.array(seeds), ids
 
 
-def _round_sums(blocks: DataFrame, many: bool, centroids: np.ndarray, previous: np.ndarray | None, p: float,
-                weights: np.ndarray | None) -> np.ndarray:
-    """Per cluster: p coordinate sums, count, Σd², points that changed since ``previous``."""
+def member_sums(x: np.ndarray, centroids: np.ndarray, previous: np.ndarray | None, p: float, weights: np.ndarray | None) -> np.ndarray:
+    """Per cluster: p coordinate sums, count, Σd², points that changed since ``previous``. Runs inside tasks."""
     k, n = centroids.shape
-
-    def kernel(x: np.ndarray) -> np.ndarray:
-        best, low = nearest_rows(x, centroids, p, weights)
-        moved = np.ones(len(x)) if previous is None else (nearest_rows(x, previous, p, weights)[0] != best).astype(float)
-        out = np.zeros((k, n + 3))
-        order = np.argsort(best, kind="stable")
-        first = np.flatnonzero(np.diff(best[order], prepend=-1))
-        if len(first):
-            rows = np.hstack([x, np.ones((len(x), 1)), (low * low)[:, None], moved[:, None]])[order]
-            out[best[order][first]] = np.add.reduceat(rows, first, axis=0)
-        return out
-
-    return block_sums(blocks, n, kernel, k, n + 3, many)
+    best, low = nearest_rows(x, centroids, p, weights)
+    moved = np.ones(len(x)) if previous is None else (nearest_rows(x, previous, p, weights)[0] != best).astype(float)
+    out = np.zeros((k, n + 3))
+    order = np.argsort(best, kind="stable")
+    first = np.flatnonzero(np.diff(best[order], prepend=-1))
+    if len(first):
+        rows = np.hstack([x, np.ones((len(x), 1)), (low * low)[:, None], moved[:, None]])[order]
+        out[best[order][first]] = np.add.reduceat(rows, first, axis=0)
+    return out
 
 
 def _farthest_points(points: DataFrame, vec: str, centroids: np.ndarray, count: int, p: float,
@@ -109,33 +104,59 @@ def lloyd(points: DataFrame, vec: str, start: np.ndarray, p: float = 2, max_iter
     empty cluster moves to a farthest point, or keeps its centre without ``refill``.
     Points are packed into matrices once; each round is one pass over those.
     """
-    c = np.array(start, dtype=float)
-    check_model_size(c.size, "centroids")
-    result = Clustering(c)
-    previous = None
-    n = c.shape[1]
-    blocks = packed_blocks(points, vec).persist(StorageLevel.MEMORY_AND_DISK)
-    many = blocks.rdd.getNumPartitions() > PARTS
-    for _ in range(max_iter):
-        sums = _round_sums(blocks, many, c, previous if swap_threshold is not None else None, p, weights)
+    fit = LloydFit(start, p, tol, swap_threshold, weights, refill)
+    lloyd_rounds(points, vec, [fit], max_iter, id_col)
+    return fit.result
+
+
+class LloydFit:
+    """Centres of one fit, those of the round before, and when it stops."""
+
+    def __init__(self, start: np.ndarray, p: float = 2, tol: float = 1e-4, swap_threshold: int | None = None,
+                 weights: np.ndarray | None = None, refill: bool = True):
+        self.c, self.previous, self.done = np.array(start, dtype=float), None, False
+        self.p, self.tol, self.swap_threshold, self.weights, self.refill = p, tol, swap_threshold, weights, refill
+        self.result = Clustering(self.c)
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return member_sums(x, self.c, self.previous if self.swap_threshold is not None else None, self.p, self.weights)
+
+    def advance(self, sums: np.ndarray, farthest: Callable[[np.ndarray, int], list[np.ndarray]]) -> None:
+        """Next centres from the sums of a round; ``farthest`` gives so many points far from all centres."""
+        c, n, result = self.c, self.c.shape[1], self.result
         count = sums[:, n]
         result.inertia.append(float(sums[:, n + 1].sum()))
         result.changed.append(int(sums[:, n + 2].sum()))
         result.rounds += 1
         new = np.where(count[:, None] > 0, sums[:, :n] / np.maximum(count, 1)[:, None], c)
         empty = np.flatnonzero(count == 0)
-        if refill and len(empty):
-            for slot, far in zip(empty, _farthest_points(points, vec, c, len(empty), p, weights, id_col)):
+        if self.refill and len(empty):
+            for slot, far in zip(empty, farthest(c, len(empty))):
                 new[slot] = far
-        if swap_threshold is not None and previous is not None and result.changed[-1] <= swap_threshold:
-            break
+        if self.swap_threshold is not None and self.previous is not None and result.changed[-1] <= self.swap_threshold:
+            self.done = True
+            return
         shift = float(((new - c) ** 2).sum())
-        previous, c = c, new
-        result.centroids = c
-        if swap_threshold is None and shift < tol:
+        self.previous, self.c = c, new
+        result.centroids = new
+        self.done = self.swap_threshold is None and shift < self.tol
+
+
+def lloyd_rounds(points: DataFrame, vec: str, fits: list[LloydFit], max_iter: int, id_col: str = "object_id") -> None:
+    """Run all fits to their ends, each round one pass over the packed points for all that still move."""
+    n = fits[0].c.shape[1]
+    check_model_size(sum(f.c.size for f in fits), "centroids")
+    blocks = packed_blocks(points, vec).persist(StorageLevel.MEMORY_AND_DISK)
+    many = blocks.rdd.getNumPartitions() > PARTS
+    for _ in range(max_iter):
+        live = [f for f in fits if not f.done]
+        if not live:
             break
+        sums = block_sums(blocks, n, lambda x: np.vstack([f.sums(x) for f in live]), sum(len(f.c) for f in live), n + 3, many)
+        ends = np.cumsum([len(f.c) for f in live])
+        for f, own in zip(live, np.split(sums, ends[:-1])):
+            f.advance(own, lambda c, count: _farthest_points(points, vec, c, count, f.p, f.weights, id_col))
     blocks.unpersist()
-    return result
 
 
 def kmeans(points: DataFrame, vec: str, k: int, p: float = 2, start: np.ndarray | None = None, **kw) -> Clustering:

@@ -15,6 +15,8 @@ from cellweave.operators.blocks import pair_rows
 from cellweave.session import cut_lineage
 
 METRICS = ("summed_minmax", "l2_norm", "l1_norm", "chi1_norm", "chi2_norm", "quadratic_chi", "summed_difference")
+#: Compares the values of the cells themselves, not their profiles: ``edf.group_distances``.
+EDF_METRIC = "kolmo_smirnov"
 NORMALISED_METRICS = ("l2_norm", "l1_norm", "chi1_norm", "chi2_norm", "quadratic_chi")
 
 
@@ -162,14 +164,17 @@ def distance_map(profiles: DataFrame, metric: str, threshold: float = 0.0, simil
     b = norm.select(*within, F.col("group_name").alias("col_group"), F.col("profile").alias("_q"))
     pairs = pair_rows(a, b, "row_group", "col_group", on=within, condition=F.col("row_group") > F.col("col_group"))
     half = profile_distance(pairs, metric, similarity, m, k).select(*within, "row_group", "col_group", "distance")
+    return mirrored(half, profiles.select(*within, F.col("group_name").alias("name")), within)
+
+
+def mirrored(half: DataFrame, names: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """Long heatmap of (within…, row_group, col_group, distance) with each pair once: both directions and a zero per name."""
     both = half.select(
         *within, "distance",
         F.explode(F.array(F.struct(F.col("row_group").alias("a"), F.col("col_group").alias("b")),
                           F.struct(F.col("col_group").alias("a"), F.col("row_group").alias("b")))).alias("e"))
     off = both.select(*within, F.col("e.a").alias("row_group"), F.col("e.b").alias("col_group"), "distance")
-    diagonal = profiles.select(*within, F.col("group_name").alias("row_group"),
-                               F.col("group_name").alias("col_group"), F.lit(0.0).alias("distance"))
-    return off.union(diagonal)
+    return off.union(names.select(*within, F.col("name").alias("row_group"), F.col("name").alias("col_group"), F.lit(0.0).alias("distance")))
 
 
 def similarity_map(heatmap: DataFrame, metric: str) -> DataFrame:

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from cellweave.config import SplitConfig
 from cellweave.functions.scalars import above, ieee_divide, in_fraction, portable_hash
+from cellweave.operators import edf
 from cellweave.operators.blocks import pair_rows
 from cellweave.operators.moments import grouped_moments, with_group_inverse
 from cellweave.operators.order_stats import distributed_rank, order_statistics, quantile
-from cellweave.operators.profiles import cluster_profiles, distance_map
+from cellweave.operators.profiles import EDF_METRIC, cluster_profiles, distance_map
 from cellweave.session import cut_lineage
 
 
@@ -52,8 +53,15 @@ def part_distances(members: DataFrame, group: str, part: str, vec: str, centroid
                    m: float = 0.5) -> DataFrame:
     """Mean off-diagonal profile distance between the non-empty parts of each group: (group, n_parts, distance).
 
-    Profiles are one row per (group, part); parts pair only inside their group.
+    Profiles are one row per (group, part); parts pair only inside their group. With the metric ``kolmo_smirnov`` the
+    values of the cells are compared, each feature weighted by the agreement of the groups on it.
     """
+    if metric == EDF_METRIC:
+        rows = members.select(F.col(group).cast("string").alias("_group"), F.col(part).cast("string").alias("_part"), F.col(vec).alias("_vec"))
+        weights = cut_lineage(edf.agreement_weights(rows, "_group", "_vec")) if rows.select("_group").distinct().count() > 1 else None
+        off = edf.group_distances(rows, ["_group"], "_part", "_vec", weights).groupBy("_group").agg(F.avg("distance").alias("distance"))
+        parts = rows.groupBy("_group").agg(F.count_distinct("_part").alias("n_parts")).filter("n_parts >= 2")
+        return parts.join(off, "_group").select(F.col("_group").alias(group), "n_parts", "distance")
     keyed = members.withColumn("group_name", F.concat_ws("\u0001", F.col(group).cast("string"), F.col(part).cast("string")))
     profiles = cluster_profiles(keyed, vec, centroids, exp_factor, p)
     names = F.split("group_name", "\u0001")

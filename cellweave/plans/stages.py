@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from cellweave.config import ClusterConfig, FilterConfig, ProfileConfig, QcConfig
-from cellweave.operators import assign, controls, grouping, kdtree, kmeans, linkage, masks, normalize, profiles, quality
+from cellweave.operators import assign, controls, edf, grouping, kdtree, kmeans, linkage, masks, normalize, profiles, quality
 from cellweave.operators import seeds as seed_ops
 from cellweave.operators import silhouette, validation
 from cellweave.session import cut_lineage
@@ -155,6 +155,9 @@ def run_profiling(result: ClusterResult, descriptions: Sequence[Sequence[str]],
         prof = cut_lineage(profiles.cluster_profiles(rows, "vec", result.centroids, cfg.exp_factor, cfg.p, groups))
         if method == "mahalanobis":
             heat = validation.mahalanobis_group_map(rows, "group_name", "vec", len(result.scaling.features), groups=groups)
+        elif cfg.metric == profiles.EDF_METRIC:
+            weights = cut_lineage(edf.agreement_weights(rows, "group_name", "vec"))
+            heat = profiles.mirrored(edf.group_distances(rows, [], "group_name", "vec", weights), prof.select(F.col("group_name").alias("name")))
         else:
             heat = profiles.distance_map(prof, cfg.metric, cfg.threshold, similarity, cfg.normalization, k, materialise=False)
         heat = cut_lineage(heat)

@@ -13,7 +13,8 @@ from cellweave.operators import classify, linkage, normalize
 from cellweave.plans import stages, sweep
 from cellweave.queries import base as B
 from cellweave.queries import cluster_base as C
-from cellweave.queries.profile_q import WELLS, _map, heat_sql
+from cellweave.queries.profile_q import FLTZ, WELLS, _map, heat_sql, split_hits
+from cellweave.queries.quality_q import split
 from cellweave.session import scratch_path
 from cellweave.sources import csv_sets, database, dataset, exports
 from cellweave.streaming import jobs
@@ -359,12 +360,57 @@ def parameter_sweep(spark, sf):
     flt = FilterConfig(("f1", "f2"), (X.CONTROL,), run_mahal_dist=False)
     cells = stages.filter_stage(B.qc_cells(spark, sf), flt).cells
     return sweep.run_sweep(cells, X.FEATURES, [X.CONTROL], SweepConfig(
-        methods=("random", "library-k-means"), param1=(4,), param4=(2,), metrics=("summed_minmax", "l1_norm"),
-        splits=SplitConfig(2, 0.5, 0.0)), "seed_key", replicate="plate")
+        methods=("k-means", "swap-k-means", "random"), param1=(4, 8), param2=(-1, 3), param4=(2,), exp_factors=(-1.0, 10.0),
+        metrics=("summed_minmax", "quadratic_chi", "kolmo_smirnov"), splits=SplitConfig(3, 0.5, 0.0)), "seed_key", replicate="plate")
+
+
+def sweep_given_centres(spark, sf):
+    """Two given models, two exponents, two metrics: all maps and qualities from one pass over the cells."""
+    given = {f"given{k}": C.z_model(spark, sf, label, k)[1] for k, label in ((6, C.LABEL), (3, C.COARSE))}
+    cfg = SweepConfig(methods=tuple(given), param1=(6,), param4=(0,), exp_factors=(-1.0, 0.0), metrics=("l1_norm", "summed_minmax"),
+                      splits=SplitConfig(3, 0.5, 0.0))
+    out = sweep.run_sweep(split(spark, sf).cells, X.FEATURES, [X.CONTROL], cfg, "seed_key", replicate="plate", given=given)
+    return out.select("method", "n_clusters", "exp_factor", "profile_metric", r("quality"), r("random_quality"), r("replicate_quality"), r("control_distance"))
 
 
 # ---- SQL --------------------------------------------------------------------------------
 
+
+def _sweep_sql() -> str:
+    ctes = FLTZ + f""",
+nc AS (SELECT * FROM z WHERE is_non_control),
+elig AS (SELECT treatment FROM nc GROUP BY 1 HAVING count(*) >= 2),
+codes AS (SELECT object_id, 'g' AS kind, '' AS o, treatment AS i FROM nc
+  UNION ALL SELECT object_id, 'p', treatment, plate::VARCHAR FROM nc WHERE treatment IN (FROM elig)
+  UNION ALL SELECT object_id, 'c', '', treatment || '_' || plate FROM nc WHERE treatment = 'N'
+  UNION ALL SELECT object_id, 'r', treatment, part::VARCHAR FROM ({split_hits(3, 0.5, 1, "nc")}) WHERE treatment IN (FROM elig)),
+size AS (SELECT count(DISTINCT treatment) AS n_groups FROM nc)"""
+    rows = []
+    for k, label in ((6, C.LABEL), (3, C.COARSE)):
+        ctes += f""",
+cent{k} AS (SELECT {label} AS cluster, avg(z1) c1, avg(z2) c2, avg(z3) c3, avg(z4) c4 FROM z GROUP BY 1),
+delta{k} AS MATERIALIZED (SELECT min({C.d_sql('a.c', 'b.c')}) AS delta FROM cent{k} a JOIN cent{k} b ON a.cluster <> b.cluster),
+cd{k} AS (SELECT object_id, cluster, {C.d_sql('z', 'c')} AS d FROM nc CROSS JOIN cent{k})"""
+        for e, raw in (("soft", "exp(-d / delta)"), ("flat", """CASE WHEN min(d) OVER (PARTITION BY object_id) = 0
+      THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0 / d END""")):
+            t = f"{e}{k}"
+            ctes += f""",
+s_{t} AS (SELECT object_id, cluster, {raw} AS s FROM cd{k}, delta{k}),
+m_{t} AS (SELECT object_id, cluster, s / sum(s) OVER (PARTITION BY object_id) AS m FROM s_{t}),
+v_{t} AS (SELECT kind, o, i, cluster, sum(m) AS v FROM codes JOIN m_{t} USING (object_id) GROUP BY ALL),
+p_{t} AS MATERIALIZED (SELECT kind, o, i, cluster, v / sum(v) OVER (PARTITION BY kind, o, i) AS p FROM v_{t})"""
+            for metric, expr in (("l1_norm", "sum(abs(x.p - y.p))"), ("summed_minmax", "1 - sum(pow(least(x.p, y.p), 2)) / sum(pow(greatest(x.p, y.p), 2))")):
+                ctes += f""",
+d_{t}_{metric} AS (SELECT x.kind, x.o, {expr} AS d FROM p_{t} x JOIN p_{t} y
+  ON x.kind = y.kind AND x.o = y.o AND x.cluster = y.cluster AND x.i > y.i GROUP BY x.kind, x.o, x.i, y.i),
+q_{t}_{metric} AS (SELECT avg(d) FILTER (kind = 'g') AS g, avg(d) FILTER (kind = 'r') AS r, avg(d) FILTER (kind = 'p') AS p,
+  avg(d) FILTER (kind = 'c') AS c, count(*) FILTER (kind = 'r') AS n FROM (SELECT kind, o, avg(d) AS d FROM d_{t}_{metric} GROUP BY 1, 2))"""
+                rows.append(f"""SELECT 'given{k}' AS method, {k} AS n_clusters, {-1.0 if e == 'soft' else 0.0}::DOUBLE AS exp_factor, '{metric}' AS profile_metric,
+  round(g - CASE WHEN n = n_groups THEN r ELSE 0 END, 6) + 0.0 AS quality, round(g - r, 6) + 0.0 AS random_quality,
+  round(g - p, 6) + 0.0 AS replicate_quality, round(c, 6) + 0.0 AS control_distance FROM q_{t}_{metric}, size""")
+    return W(ctes.replace("GROUP BY ALL", "GROUP BY kind, o, i, cluster"), " UNION ALL ".join(rows))
+
+
 LABELS = ", ".join(f"'[{i}]'" for i in range(12))
 GRID = """SELECT r_name AS method, param1, param2, param3, 20.0::DOUBLE AS param4, exp_factor, profile_metric FROM region
   CROSS JOIN (SELECT DISTINCT n_regionkey::DOUBLE AS param1 FROM nation) CROSS JOIN (VALUES (-1.0::DOUBLE), (1.0)) a(param2)
@@ -462,4 +508,5 @@ f AS (SELECT feature, sum(g.n*(m-gm)*(m-gm)) AS ssb, sum(total) AS sst, any_valu
     "mahalanobis_profiling": (mahalanobis_profiling, None),
     "component_filter": (component_filter, None),
     "parameter_sweep": (parameter_sweep, None),
+    "sweep_given_centres": (sweep_given_centres, _sweep_sql()),
 }

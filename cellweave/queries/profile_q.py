@@ -350,7 +350,7 @@ def _similarity_sql(metric: str) -> str:
        round(1 - distance / (SELECT max(distance) FROM heat), 6) + 0.0 AS similarity FROM heat""")
 
 
-def _split_hits(n: int, fraction: float, seed: int, source: str) -> str:
+def split_hits(n: int, fraction: float, seed: int, source: str) -> str:
     return " UNION ALL ".join(
         f"SELECT *, {i} AS part FROM {source} WHERE {portable_hash_sql('seed_key', seed + i)} < {fraction_limit(fraction)}"
         for i in range(n))
@@ -390,7 +390,7 @@ def _runs_sql() -> str:
 cent{k} AS (SELECT {label} AS cluster, avg(z1) c1, avg(z2) c2, avg(z3) c3, avg(z4) c4 FROM z GROUP BY 1),
 delta{k} AS MATERIALIZED (SELECT min({C.d_sql('a.c', 'b.c')}) AS delta FROM cent{k} a JOIN cent{k} b ON a.cluster <> b.cluster),
 cd{k} AS (SELECT z.*, cluster, {C.d_sql('z', 'c')} AS d FROM z CROSS JOIN cent{k}),"""
-        out += parts_sql(f"rnd{k}", _split_hits(2, 0.5, 1, f"cd{k}")).replace(", delta)", f", delta{k})")
+        out += parts_sql(f"rnd{k}", split_hits(2, 0.5, 1, f"cd{k}")).replace(", delta)", f", delta{k})")
         out += "," + parts_sql(f"rep{k}", f"SELECT *, plate AS part FROM cd{k}").replace(", delta)", f", delta{k})")
         unions += [f"SELECT 'random' AS kind, {k} AS param1, grp AS label, distance AS value FROM rnd{k}",
                    f"SELECT 'replicate', {k}, grp, distance FROM rep{k}"]
@@ -457,12 +457,12 @@ hh AS (SELECT *, CAST(replace(replace(row_group, '[', ''), ']', '') AS int) AS a
   round(avg(CASE WHEN abs(a - b) = 1 THEN distance END), 6) + 0.0 AS neighbour_mean,
   round(avg(CASE WHEN abs(a - b) > 1 THEN distance END), 6) + 0.0 AS other_mean FROM hh GROUP BY 1""")),
     "random_splits": (random_splits, W(B.QC, f"""SELECT part AS split, treatment, count(*) AS n_cells
-       FROM ({_split_hits(3, 0.5, 1, 'valid')}) GROUP BY 1, 2""")),
+       FROM ({split_hits(3, 0.5, 1, 'valid')}) GROUP BY 1, 2""")),
     "exact_random_split": (exact_random_split, W(B.QC, f"""SELECT object_id FROM (SELECT object_id,
        row_number() OVER (ORDER BY {portable_hash_sql('seed_key', 4)}, object_id) AS rn, count(*) OVER () AS n FROM valid)
        WHERE rn <= round_even(n * 0.3, 0)""")),
     "random_split_distance": (random_split_distance, W(
-        C.model_sql(FLTZ) + "," + ELIGIBLE + "," + DELTA_CTE + "," + parts_sql("rnd", _split_hits(3, 0.5, 1, "ec")),
+        C.model_sql(FLTZ) + "," + ELIGIBLE + "," + DELTA_CTE + "," + parts_sql("rnd", split_hits(3, 0.5, 1, "ec")),
         "SELECT grp AS treatment, n_parts, round(distance, 6) + 0.0 AS distance FROM rnd WHERE n_parts >= 2")),
     "replicate_split_distance": (replicate_split_distance, W(
         C.model_sql(FLTZ) + "," + ELIGIBLE + "," + DELTA_CTE + "," + parts_sql("rep", "SELECT *, plate AS part FROM ec"),
@@ -474,7 +474,7 @@ cn AS (SELECT group_name, cluster, value AS p FROM soft WHERE left(group_name, 1
        FROM ({heat_sql('l2_norm', 'cn')}) WHERE row_group <> col_group""")),
     "treatment_map": (treatment_map, W(
         C.MODEL + "," + soft_sql("treatment") + ", sn AS (SELECT group_name, cluster, value AS p FROM soft), heat AS ("
-        + heat_sql("l1_norm", "sn") + ")," + parts_sql("rnd", _split_hits(3, 0.5, 1, "cd")) + ","
+        + heat_sql("l1_norm", "sn") + ")," + parts_sql("rnd", split_hits(3, 0.5, 1, "cd")) + ","
         + parts_sql("rep", "SELECT *, plate AS part FROM cd")
         + ", bad AS (SELECT grp FROM rep WHERE distance > (SELECT avg(distance) FROM rep))",
         """SELECT row_group, col_group, round(CASE WHEN row_group = col_group THEN
