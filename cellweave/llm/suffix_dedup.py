@@ -23,11 +23,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellweave.llm.common import batch_of, small_batches, texts_as_words, window_hashes, word_spans
 from cellweave.session import forget, stored
@@ -186,7 +187,8 @@ def match_lengths(occ: DataFrame) -> DataFrame:
     if not over:
         return inner
     rim = occ.sparkSession.createDataFrame(over, "side int, head bigint, tail_key bigint, longest int")
-    return inner.union(rim).groupBy("side", "head", "tail_key").agg(F.max("longest").alias("longest"))
+    # Written, so that Spark may split a suffix of very many places in the join that follows.
+    return stored(inner.union(rim).groupBy("side", "head", "tail_key").agg(F.max("longest").alias("longest")), "matches-with-rims")
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -303,18 +305,28 @@ def cut_spans(text: str, spans: list[list[int]]) -> str:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with removed spans cut out of ``text`` and ``n_chars`` (if there) counted anew; rows and columns stay."""
+    """``docs`` with removed spans cut out of ``text`` and ``n_chars`` (if there) counted anew; rows and columns stay.
+
+    A null text stays null, an empty one empty. Rows with the same id and text count as one document and are cut alike;
+    so do rows without an id that share a text. An id of 2**63 - 1 is taken for none. Columns may have any name; an empty table stays empty.
+    """
     spans = _spans(docs, "doc_id", "text").filter(F.size("removed") > 0).select(
         F.col("doc").alias("_doc"), F.col("tid").alias("_tid"), "removed")
+    names = docs.columns
+    counted = "n_chars" in names and docs.schema["n_chars"].dataType == T.LongType()
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, removed: pd.Series) -> pd.Series:
-        return pd.Series([cut_spans(t, r) if r is not None else t for t, r in zip(text, removed)], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            columns = dict(zip(names, batch.column("row").flatten()))
+            removed = batch.column("removed").to_pylist()
+            hit = [r is not None for r in removed]
+            if any(hit):
+                texts = [cut_spans(t, r) if r is not None else t for t, r in zip(columns["text"].to_pylist(), removed)]
+                columns["text"] = pa.array(texts, columns["text"].type)
+                if counted:
+                    columns["n_chars"] = pc.if_else(pa.array(hit), pc.cast(pc.utf8_length(columns["text"]), pa.int64()), columns["n_chars"])
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("_doc"), F.xxhash64(text).alias("_tid"))
-    joined = rows.join(spans, ["_doc", "_tid"], "left").withColumn(
-        "cut", F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(cut(F.col("row.text"), "removed")))
-    made = {"text": F.col("cut"), "n_chars": F.when(F.col("removed").isNull(), F.col("row")["n_chars"]).otherwise(
-        F.length("cut").cast("bigint")) if "n_chars" in docs.columns else None}
-    return joined.select(*[(F.col("row")[c] if made.get(c) is None else made[c]).alias(c) for c in docs.columns])
+    return rows.join(spans, ["_doc", "_tid"], "left").select("row", "removed").mapInArrow(run, docs.schema)

@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -385,21 +386,26 @@ def _left_out_evidence(seen: DataFrame, counts: dict[str, tuple[int, int]], n_to
     schema = pa.schema([("a", pa.float64()), ("b", pa.float64()), ("c", pa.float64()), ("y", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts_ = shared.value
+        names, both = pa.array(list(shared.value)), np.array(list(shared.value.values()), dtype=np.int64).reshape(-1, 2)
         for batch in small_batches(batches):
-            rows = []
-            for y, fs in zip(batch.column("y").to_pylist(), batch.column("f").to_pylist()):
-                found = []
-                for f in fs:
-                    if f in counts_:
-                        t, o = counts_[f]
-                        t, o = t - y, o - (1 - y)
-                        if t + o >= MIN_SEEN:
-                            found.append(math.log((t + 0.3) / (n_toxic + 1 - y)) - math.log((o + 0.3) / (n_other + y)))
-                found.sort(reverse=True)
-                rows.append((found[0], sum(found[:3]) / 3, min(found[-1], 0.0), y) if found else (0.0, 0.0, 0.0, y))
-            if rows:
-                yield batch_of(schema, *zip(*rows))
+            lists, y = batch.column("f"), batch.column("y").to_numpy()
+            row = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), -1).to_numpy()
+            row, at = row[at >= 0], at[at >= 0]
+            own = y[row]
+            t, o = both[at, 0] - own, both[at, 1] - (1 - own)
+            some = t + o >= MIN_SEEN
+            row, own, t, o = row[some], own[some], t[some], o[some]
+            w = np.log((t + 0.3) / (n_toxic + 1 - own)) - np.log((o + 0.3) / (n_other + own))
+            order = np.lexsort((-w, row))
+            row, w = row[order], w[order]
+            out = np.zeros((4, len(y)))
+            out[3] = y
+            first, n = np.searchsorted(row, np.arange(len(y))), np.bincount(row, minlength=len(y))
+            for i in np.flatnonzero(n):
+                found = w[first[i]:first[i] + n[i]]
+                out[:3, i] = found[0], found[:3].sum() / 3, min(found[-1], 0.0)
+            yield batch_of(schema, *out)
 
     got = seen.mapInArrow(run, "a double, b double, c double, y double").toPandas()
     return got.to_numpy(dtype=np.float64).reshape(-1, 4)
