@@ -8,13 +8,10 @@ Ties break by (distance, smaller id, larger id) everywhere.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cellweave.model import check_model_size
 from cellweave.operators.blocks import BLOCK_ROWS, blocked_reduce
@@ -85,52 +82,53 @@ def table_linkage(distances: DataFrame, method: str = "average", row: str = "row
         merges = found if merges is None else merges.union(found)
 
 
-@dataclass(frozen=True)
-class Linkage:
-    """Driver-side merge list of a group-level tree: (left, right, distance, size), new ids from n on."""
+ORDER = ("distance", "round", "a", "b")
 
-    n: int
-    rows: list[tuple[int, int, float, int]]
 
-    def cut(self, k: int) -> list[int]:
-        """Cluster of each leaf after the first n−k merges, relabelled in order of the smallest leaf."""
-        parent = list(range(2 * self.n - 1))
-        for i, (a, b, _, _) in enumerate(self.rows[: max(0, self.n - k)]):
-            parent[a] = parent[b] = self.n + i
+# ---- trees ----------------------------------------------------------------------
 
-        def root(x: int) -> int:
-            while parent[x] != x:
-                x = parent[x]
-            return x
 
-        order: dict[int, int] = {}
-        return [order.setdefault(root(i), len(order)) for i in range(self.n)]
+def ordered_merges(merges: DataFrame) -> DataFrame:
+    """Merges with merge_no (from 0): by height, children first on ties; stored."""
+    ranked = distributed_rank(merges, ORDER)
+    return cut_lineage(ranked.withColumn("merge_no", F.col("position") - 1).drop("position"))
 
 
-def linkage_rows(merges: DataFrame, n: int) -> Linkage:
-    """Order merges by height (children first on ties) and number the new clusters from n on."""
-    check_model_size(n, "linkage")
-    node = list(range(n))
-    rows = []
-    ordered = sorted(merges.collect(), key=lambda r: (r["distance"], r["round"], r["a"], r["b"]))
-    for i, r in enumerate(ordered):
-        left, right = sorted((node[r["a"]], node[r["b"]]))
-        rows.append((left, right, float(r["distance"]), int(r["size"])))
-        node[r["a"]] = n + i
-    return Linkage(n, rows)
+def numbered_tree(ordered: DataFrame, n: int) -> DataFrame:
+    """(merge_no, left, right, distance, size) of ordered merges of n leaves; the cluster of merge i is n + i.
 
+    A merge keeps a, its smallest member, and b is not met again. So the right-hand node is the last merge that kept b,
+    and the left-hand node the merge before this one among those that kept a: the one before in a running count per a,
+    which a cluster that takes part in most merges does not bring to one task.
+    """
+    last = ordered.groupBy(F.col("a").alias("b")).agg(F.max("merge_no").alias("_last"))
+    steps = cut_lineage(distributed_rank(ordered, ["merge_no"], ["a"], "_step"))
+    before = steps.select("a", (F.col("_step") + 1).alias("_step"), F.col("merge_no").alias("_before"))
+    joined = steps.join(before, ["a", "_step"], "left").join(last, "b", "left")
+    one, two = F.coalesce(F.col("_before") + n, "a"), F.coalesce(F.col("_last") + n, "b")
+    return joined.select("merge_no", F.least(one, two).alias("left"), F.greatest(one, two).alias("right"),
+                         F.col("distance").cast("double").alias("distance"), F.col("size").cast("bigint").alias("size"))
 
-LINKAGE_SCHEMA = T.StructType([
-    T.StructField("merge_no", T.LongType()), T.StructField("left", T.LongType()),
-    T.StructField("right", T.LongType()), T.StructField("distance", T.DoubleType()),
-    T.StructField("size", T.LongType())])
 
+def numbered_components(labels: DataFrame) -> DataFrame:
+    """(id, cluster) from (id, component): components numbered by their smallest id, which is their name."""
+    names = distributed_rank(labels.select("component").distinct(), ["component"])
+    return labels.join(names, "component").select("id", (F.col("position") - 1).cast("int").alias("cluster"))
 
-def linkage_frame(spark, tree: Linkage) -> DataFrame:
-    return spark.createDataFrame([(i, a, b, d, n) for i, (a, b, d, n) in enumerate(tree.rows)], LINKAGE_SCHEMA)
 
+def cut_tree(ordered: DataFrame, leaves: DataFrame, k: int) -> DataFrame:
+    """(id, cluster) of the leaves after the first n − k merges; clusters numbered by their smallest leaf.
 
-ORDER = ("distance", "round", "a", "b")
+    Each merge hangs b on a once; following these links doubles the distance every round.
+    """
+    n = leaves.count()
+    links = ordered.filter(F.col("merge_no") < n - k).select(F.col("b").alias("id"), "a")
+    parents = leaves.select(F.col("id").cast("bigint").alias("id")).join(links, "id", "left").select(
+        F.col("id").alias("node"), F.coalesce("a", "id").alias("parent"))
+    return numbered_components(_jump(cut_lineage(parents)).select(F.col("node").alias("id"), F.col("parent").alias("component")))
+
+
+# ---- merge histories --------------------------------------------------------------
 
 
 def _variance(n: Column, s: Column, q: Column) -> Column:
@@ -291,9 +289,7 @@ def cut_single(points: DataFrame, merges: DataFrame, k: int, id_col: str = "obje
     n = points.count()
     nodes = points.select(F.col(id_col).cast("bigint").alias("id"))
     labels = connected_components(nodes, merges.filter(F.col("merge_no") < n - k))
-    names = {r[0]: i for i, r in enumerate(labels.select("component").distinct().orderBy("component").collect())}
-    from cellweave.operators.assign import relabel
-    return labels.select(F.col("id").alias(id_col), relabel(F.col("component"), names).alias("cluster"))
+    return numbered_components(labels).withColumnRenamed("id", id_col)
 
 
 def ward_linkage(points: DataFrame, vec: str, id_col: str = "object_id", size_col: str | None = None,
@@ -348,28 +344,34 @@ def ward_linkage(points: DataFrame, vec: str, id_col: str = "object_id", size_co
     return out
 
 
-def index_groups(heatmap: DataFrame, names: list) -> DataFrame:
-    """Heatmap rows with the group positions of ``names`` as ids, zero diagonal."""
-    entries = F.create_map(*[F.lit(x) for i, g in enumerate(names) for x in (g, i)])
-    return heatmap.select(
-        F.try_element_at(entries, F.col("row_group")).alias("row_id"),
-        F.try_element_at(entries, F.col("col_group")).alias("col_id"),
-        F.when(F.col("row_group") == F.col("col_group"), F.lit(0.0)).otherwise(F.col("distance")).alias("distance"))
+def index_groups(heatmap: DataFrame, names: DataFrame) -> DataFrame:
+    """Heatmap rows with the ids of ``names`` (id, group_name), zero diagonal."""
+    row, col = names.toDF("row_id", "row_group"), names.toDF("col_id", "col_group")
+    return heatmap.join(row, "row_group").join(col, "col_group").select(
+        "row_id", "col_id", F.when(F.col("row_id") == F.col("col_id"), F.lit(0.0)).otherwise(F.col("distance")).alias("distance"))
 
 
-def group_merges(heatmap: DataFrame, method: str = "average") -> tuple[DataFrame, list]:
-    """Merges (a, b, distance, size, round) of the groups of a long heatmap whose first row or column is finite, and their names."""
+def group_merges(heatmap: DataFrame, method: str = "average") -> tuple[DataFrame, DataFrame]:
+    """Merges (a, b, distance, size, round) of the groups of a long heatmap whose first row or column is finite, and the
+    groups (id, group_name) in order of their names."""
     from cellweave.operators.masks import finite_groups
 
     # one profile pass; everything after it works on the small map
     heatmap = cut_lineage(heatmap)
     first = heatmap.agg(F.min("row_group")).first()[0]
     kept = cut_lineage(finite_groups(heatmap, first))
-    names = [r[0] for r in kept.select("row_group").distinct().orderBy("row_group").collect()]
+    ranked = distributed_rank(kept.select(F.col("row_group").alias("group_name")).distinct(), ["group_name"])
+    names = cut_lineage(ranked.select((F.col("position") - 1).alias("id"), "group_name"))
     return table_linkage(index_groups(kept, names), method), names
 
 
-def group_dendrogram(heatmap: DataFrame, method: str = "average") -> tuple[Linkage, list]:
-    """The same as a numbered tree on the driver, for cuts and drawings. Returns tree and labels."""
+def group_dendrogram(heatmap: DataFrame, method: str = "average") -> tuple[DataFrame, DataFrame]:
+    """Numbered tree (merge_no, left, right, distance, size) of the groups, and the groups (id, group_name)."""
+    merges, names = group_merges(heatmap, method)
+    return numbered_tree(ordered_merges(merges), names.count()), names
+
+
+def cut_groups(heatmap: DataFrame, k: int, method: str = "average") -> DataFrame:
+    """(group_name, cluster) of the tree cut at k clusters."""
     merges, names = group_merges(heatmap, method)
-    return linkage_rows(merges, len(names)), names
+    return cut_tree(ordered_merges(merges), names, k).join(names, "id").select("group_name", "cluster")

@@ -332,7 +332,7 @@ def _well_map(spark, sf):
 def _dendrogram(method):
     def run(spark, sf):
         tree, _ = linkage.group_dendrogram(_well_map(spark, sf), method)
-        return linkage.linkage_frame(spark, tree).select("merge_no", "left", "right", r("distance"), "size")
+        return tree.select("merge_no", "left", "right", r("distance"), "size")
     return run
 
 
@@ -356,18 +356,16 @@ def linkage_ward_points(spark, sf):
 
 
 def cut_linkage(spark, sf):
-    tree, names = linkage.group_dendrogram(_well_map(spark, sf), "average")
-    return spark.createDataFrame(list(zip(names, tree.cut(4))), "group_name string, cluster int")
+    return linkage.cut_groups(_well_map(spark, sf), 4)
 
 
 def _merge_history(spark, sf):
     merges, names = linkage.group_merges(_well_map(spark, sf), "average")
     z = with_group_name(B.z_cells(spark, sf), ["well"])
     v = F.col("vec")
-    ids = F.create_map(*[F.lit(x) for i, g in enumerate(names) for x in (g, i)])
-    leaves = cut_lineage(z.groupBy(F.try_element_at(ids, F.col("group_name")).alias("id")).agg(
+    leaves = cut_lineage(z.groupBy("group_name").agg(
         F.count("*").alias("n"), F.array(*[F.sum(v[i]) for i in range(4)]).alias("s"),
-        F.array(*[F.sum(v[i] * v[i]) for i in range(4)]).alias("q")).filter("id is not null"))
+        F.array(*[F.sum(v[i] * v[i]) for i in range(4)]).alias("q")).join(names, "group_name").drop("group_name"))
     return linkage.merge_history(merges, leaves), leaves
 
 

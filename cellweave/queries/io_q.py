@@ -241,7 +241,7 @@ def svm_separability(spark, sf):
 def separability_dendrogram(spark, sf):
     pairs, _ = classify.pairwise_separability(_labelled(spark, sf), "g", "vec", ["0", "1", "2", "3"], "object_id")
     tree, _ = linkage.group_dendrogram(classify.separability_map(pairs), "average")
-    return linkage.linkage_frame(spark, tree)
+    return tree
 
 
 def _confusion(spark, sf):

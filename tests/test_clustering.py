@@ -174,11 +174,46 @@ def test_table_linkage(spark, method):
     d = dist(x, x)
     table = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(13) for j in range(13)],
                                   "row_id bigint, col_id bigint, distance double")
-    tree = linkage.linkage_rows(linkage.table_linkage(table, method), 13)
-    heights = [h for _, _, h, _ in tree.rows]
+    ordered = linkage.ordered_merges(linkage.table_linkage(table, method))
+    rows = linkage.numbered_tree(ordered, 13).orderBy("merge_no").collect()
+    heights = [r["distance"] for r in rows]
     np.testing.assert_allclose(heights, naive_linkage(d, method), atol=1e-9)
-    assert heights == sorted(heights) and tree.rows[-1][3] == 13
-    assert len(set(tree.cut(4))) == 4
+    assert heights == sorted(heights) and rows[-1]["size"] == 13
+    merges = [(r["a"], r["b"]) for r in ordered.orderBy("merge_no").collect()]
+    assert [(r["left"], r["right"]) for r in rows] == by_hand(merges, 13)[0]
+    got = {r["id"]: r["cluster"] for r in linkage.cut_tree(ordered, spark.range(13), 4).collect()}
+    assert [got[i] for i in range(13)] == by_hand(merges, 13, 4)[1] and len(set(got.values())) == 4
+
+
+def by_hand(merges, n, k=1):
+    """Nodes of each merge, and clusters after the first n - k, one merge after another."""
+    node, out, parent = list(range(n)), [], list(range(n))
+    for i, (a, b) in enumerate(merges):
+        out.append(tuple(sorted((node[a], node[b]))))
+        node[a] = n + i
+        if i < n - k:
+            parent[b] = a
+    for i in range(n):
+        parent[i] = parent[parent[i]]  # a is smaller than b, so its own link is settled
+    order = {}
+    return out, [order.setdefault(parent[i], len(order)) for i in range(n)]
+
+
+@pytest.mark.parametrize("shape", ["chain", "pairs"])
+def test_tree_of_a_hundred_thousand_leaves(spark, shape):
+    """One cluster that takes part in every merge, and a balanced tree; nothing is collected to number or cut them."""
+    n = 100_000
+    b = F.col("id") + 1
+    low = b.bitwiseAND(-b)
+    a, turn = (F.lit(0).cast("bigint"), F.lit(1)) if shape == "chain" else (b - low, F.log2(low).cast("int") + 1)
+    distance = b.cast("double") if shape == "chain" else turn.cast("double")
+    merges = spark.range(n - 1).select(a.alias("a"), b.alias("b"), distance.alias("distance"), F.lit(2).cast("bigint").alias("size"), turn.alias("round"))
+    ordered = linkage.ordered_merges(merges)
+    pairs = [(r["a"], r["b"]) for r in ordered.orderBy("merge_no").collect()]
+    nodes, clusters = by_hand(pairs, n, 37)
+    assert [(r["left"], r["right"]) for r in linkage.numbered_tree(ordered, n).orderBy("merge_no").collect()] == nodes
+    got = linkage.cut_tree(ordered, spark.range(n), 37).orderBy("id").collect()
+    assert [r["cluster"] for r in got] == clusters
 
 
 def test_spanning_tree_and_cut(spark):
