@@ -176,18 +176,23 @@ def quadratic_form(vec: Column, mean: np.ndarray, inverse: np.ndarray) -> Column
 
     @F.arrow_udf("double")
     def form(v: pa.Array) -> pa.Array:
-        x = list_matrix(v).reshape(-1, n) - mean
-        i, j = np.triu_indices(n, 1)
-        cross = inverse[i, j] + inverse[j, i]
-        out = np.empty(len(x))
-        for rows in row_blocks(len(x), n * (n + 1) // 2):
-            y = x[rows]
-            out[rows] = balanced_sum(np.hstack([y * y * np.diag(inverse), y[:, i] * y[:, j] * cross]))
-        return pa.array(out)
+        return pa.array(quadratic_rows(list_matrix(v).reshape(-1, n), mean, inverse))
 
     return form(vec)
 
 
+def quadratic_rows(x: np.ndarray, mean: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """The same for the rows of a matrix; equal rows give equal bits wherever they stand."""
+    n = len(mean)
+    i, j = np.triu_indices(n, 1)
+    cross = inverse[i, j] + inverse[j, i]
+    out = np.empty(len(x))
+    for rows in row_blocks(len(x), n * (n + 1) // 2):
+        y = x[rows] - mean
+        out[rows] = balanced_sum(np.hstack([y * y * np.diag(inverse), y[:, i] * y[:, j] * cross]))
+    return out
+
+
 def linear_map(vec: Column, matrix: np.ndarray, shift: np.ndarray | None = None) -> Column:
     """Row vector times ``matrix`` after subtracting ``shift``."""
     m = np.asarray(matrix, dtype=float)

@@ -12,7 +12,7 @@ from cellweave.config import SplitConfig
 from cellweave.functions.scalars import above, ieee_divide, in_fraction, portable_hash
 from cellweave.operators import edf
 from cellweave.operators.blocks import pair_rows
-from cellweave.operators.moments import grouped_moments, with_group_inverse
+from cellweave.operators.moments import grouped_moments, mean_forms, own_group_forms, with_group_inverse
 from cellweave.operators.order_stats import distributed_rank, order_statistics, quantile
 from cellweave.operators.profiles import EDF_METRIC, cluster_profiles, distance_map
 from cellweave.session import cut_lineage
@@ -246,24 +246,15 @@ def mahalanobis_group_map(members: DataFrame, group: str, vec: str, p: int, frac
                           id_col: str = "object_id", groups: DataFrame | None = None) -> DataFrame:
     """Mean squared Mahalanobis distance of group j to the trimmed reference of group i (asymmetric).
 
-    Group means, inverses and trim cuts are one row per group; the mean
-    quadratic form follows from group moments, so cells are never paired.
+    Group means, inverses and trim cuts are one row per group; the mean quadratic form follows from group moments, so
+    cells are never paired or joined with a matrix. Groups with a singular covariance give NULL.
     """
     rows = members.select(F.col(group).cast("string").alias("g"), F.col(id_col).alias("_id"), F.col(vec).alias("_v"))
     full = cut_lineage(with_group_inverse(grouped_moments(rows, ["g"], "_v", p), p))
 
-    def form(mean: str, inv: str, x: Column) -> Column:
-        out = F.lit(0.0)
-        for i in range(p):
-            for j in range(p):
-                out = out + (x[i] - F.col(mean)[i]) * (x[j] - F.col(mean)[j]) * F.col(inv)[i * p + j]
-        return out
-
     trimmed = full
     if fraction < 1.0:
-        own = rows.join(full.select("g", "mean", "inverse"), "g").select(
-            "g", "_id", "_v", form("mean", "inverse", F.col("_v")).alias("_d"))
-        own = cut_lineage(own)
+        own = cut_lineage(own_group_forms(rows, full, "_v", p, "_d"))
         keep = lambda n: F.least(F.bround(n * F.lit(fraction)).cast("bigint") + 1, n)
         cut = order_statistics(own, ["g"], "_d", fraction, {"cut": lambda n: keep(n) - 1}).select("g", "cut", "n")
         joined = own.join(cut, "g")
@@ -274,15 +265,7 @@ def mahalanobis_group_map(members: DataFrame, group: str, vec: str, p: int, frac
             (F.col("_d") < F.col("cut"))
             | (F.col("_tie") + F.coalesce("_below", F.lit(0)) <= keep(F.col("n"))))
         trimmed = cut_lineage(with_group_inverse(grouped_moments(chosen, ["g"], "_v", p), p))
-    ref = trimmed.select(F.col("g").alias("row_group"), F.col("mean").alias("_mi"), F.col("inverse").alias("_inv"))
-    test = full.select(F.col("g").alias("col_group"), F.col("mean").alias("_mj"), F.col("cov").alias("_cj"))
-    pairs = pair_rows(ref, test, "row_group", "col_group")
-    value = F.lit(0.0)
-    for i in range(p):
-        for j in range(p):
-            cross = F.col("_cj")[i * p + j] + (F.col("_mj")[i] - F.col("_mi")[i]) * (F.col("_mj")[j] - F.col("_mi")[j])
-            value = value + F.col("_inv")[i * p + j] * cross
-    out = pairs.select("row_group", "col_group", value.alias("distance"))
+    out = mean_forms(trimmed, full, p)
     if groups is None:
         return out
     names = groups.select(F.col("group_name").cast("string").alias("row_group"))

@@ -61,6 +61,12 @@ def mahalanobis_group_map(spark, sf):
     return validation.mahalanobis_group_map(v, "treatment", "vec", 2, 0.8).select("row_group", "col_group", r("distance"))
 
 
+def mahalanobis_embedding_map(spark, sf):
+    """Group map over all 64 components of the embeddings, in three groups of labels."""
+    v = X.points(spark, sf).withColumn("g", (F.col("treatment") % 3).cast("string"))
+    return validation.mahalanobis_group_map(v, "g", "vec", 64, 0.9).select("row_group", "col_group", r("distance", 4))
+
+
 # ---- k-means family -----------------------------------------------------------
 
 
@@ -569,6 +575,7 @@ zm AS (SELECT avg(z1) m1, avg(z2) m2, var_pop(z1) a, var_pop(z2) b, covar_pop(z1
 zs AS (SELECT *, sqrt(a*b - c*c) AS s, sqrt(a + b + 2*sqrt(a*b - c*c)) AS t FROM zm),
 pp AS (SELECT object_id, (z1-m1)*(b+s)/(s*t) - (z2-m2)*c/(s*t) AS x, (z2-m2)*(a+s)/(s*t) - (z1-m1)*c/(s*t) AS y FROM xy, zs)""",
         "sqrt(pow(a.x-b.x, 2) + pow(a.y-b.y, 2))")),
+    "mahalanobis_embedding_map": (mahalanobis_embedding_map, None),
     "mahalanobis_group_map": (mahalanobis_group_map, W(B.QC + """,
 gm AS (SELECT treatment AS g, avg(f1) mx, avg(f2) my, var_pop(f1) a, var_pop(f2) b, covar_pop(f1,f2) c FROM valid GROUP BY 1),
 own AS (SELECT v.*, row_number() OVER (PARTITION BY treatment ORDER BY

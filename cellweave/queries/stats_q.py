@@ -121,6 +121,13 @@ def inverse_covariance(spark, sf):
                                  "i int, j int, value double").select("i", "j", r("value"))
 
 
+def label_covariances(spark, sf):
+    """Covariance of all 64 components within each label."""
+    rows = moments.grouped_moments(X.points(spark, sf), ["treatment"], "vec", 64)
+    return rows.select(F.col("treatment").alias("label"), "n", F.posexplode("cov").alias("at", "c")).select(
+        "label", "n", F.floor(F.col("at") / 64).cast("int").alias("i"), (F.col("at") % 64).cast("int").alias("j"), r("c", 8, "covariance"))
+
+
 def mahalanobis_trimmed(spark, sf):
     v = B.valid_cells(spark, sf).withColumn("vec", F.array("f1", "f2"))
     out = controls.mahalanobis_squared(v.filter("treatment = 'N'"), v, "vec", 2, 0.9)
@@ -459,6 +466,11 @@ m AS (SELECT feature, count(*) AS n, quantile_cont(value, 0.5) AS med FROM long
     "covariance": (covariance, W(B.Z, " UNION ALL ".join(
         f"SELECT 'z{i}' AS feature_i, 'z{j}' AS feature_j, round(covar_pop(z{i}, z{j}), 6) + 0.0 AS covariance FROM z"
         for i in range(1, 5) for j in range(1, 5)))),
+    "label_covariances": (label_covariances, """WITH l AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding)))::INT AS i FROM embeddings),
+m AS (SELECT label, i, avg(x) AS m FROM l GROUP BY 1, 2),
+c AS (SELECT vec_id, label, i, x - m AS y FROM l JOIN m USING (label, i))
+SELECT a.label, count(*) AS n, a.i, b.i AS j, round(sum(a.y * b.y) / count(*), 8) + 0.0 AS covariance
+FROM c a JOIN c b ON a.vec_id = b.vec_id GROUP BY a.label, a.i, b.i"""),
     "inverse_covariance": (inverse_covariance, W(B.Z + """,
 c AS (SELECT var_pop(z1) a, var_pop(z2) b, covar_pop(z1, z2) c FROM z)""",
        """SELECT 0 AS i, 0 AS j, round(b/(a*b-c*c), 6) + 0.0 AS value FROM c

@@ -165,3 +165,32 @@ def test_ks_of_four_hundred_groups_equals_brute_force(spark):
         for (name, i, j), ks in got.items():
             if name == feature:
                 assert np.isnan(ks) if i not in f or j not in f else ks == np.abs(f[i] - f[j]).max()
+
+
+def test_group_map_of_wide_points_equals_brute_force(spark, sf):
+    """64 components, a hot group, a NULL key and small blocks; moments, trimming and mean forms against NumPy."""
+    from cellweave.operators import validation
+
+    got = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id", "CAST(embedding AS array<double>) AS vec", "label").collect()
+    rows = [(r["vec_id"], list(map(float, r["vec"])), "hot" if r["label"] < 6 else "cold") for r in got]
+    x, g = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    df = spark.createDataFrame(rows + [(-1, [0.0] * 64, None), (-2, None, "hot")], "object_id bigint, vec array<double>, g string").repartition(7)
+    found = {r["g"]: r for r in moments.grouped_moments(df, ["g"], "vec", 64).collect()}
+    assert set(found) == {"hot", "cold", None} and found[None]["n"] == 1
+    for k in ("hot", "cold"):
+        assert found[k]["n"] == (g == k).sum()
+        np.testing.assert_allclose(found[k]["mean"], x[g == k].mean(axis=0), atol=1e-12)
+        np.testing.assert_allclose(np.reshape(found[k]["cov"], (64, 64)), np.cov(x[g == k].T, bias=True), atol=1e-12)
+    ids = np.array([r[0] for r in rows])
+    far = {(r["row_group"], r["col_group"]): r["distance"] for r in validation.mahalanobis_group_map(df.filter("g is not null and vec is not null"), "g", "vec", 64, 0.9).collect()}
+
+    def form(y, ref):
+        gap = y - ref.mean(axis=0)
+        return np.einsum("ni,ij,nj->n", gap, np.linalg.inv(np.cov(ref.T, bias=True)), gap)
+
+    for a in ("hot", "cold"):
+        own = x[g == a]
+        n = len(own)
+        order = np.lexsort((ids[g == a], form(own, own)))[:min(n, round(n * 0.9) + 1)]
+        for b in ("hot", "cold"):
+            assert far[a, b] == pytest.approx(form(x[g == b], own[order]).mean(), rel=1e-6)
