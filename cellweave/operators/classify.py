@@ -8,25 +8,30 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from cellweave.functions.scalars import in_fraction, portable_hash
+from cellweave.operators import svm
+from cellweave.operators.edf import numbered
+
+
+#: Parts of a label that are ranked apart before their best rows are ranked together.
+RANK_PARTS = 64
 
 
 def training_rows(df: DataFrame, label: str, seed_key: str, per_group: int, seed: int = 0) -> DataFrame:
     """At most ``per_group`` rows of each label in hash order (the sample of the operator).
 
-    Every task keeps its own best rows per label; only those are ranked.
+    A label is ranked in parts first, so at most RANK_PARTS times ``per_group`` of its rows meet.
     """
-    ranked = df.withColumn("_h", F.struct(portable_hash(seed_key, seed), F.col(seed_key)))
-    groups = [r[0] for r in df.select(label).distinct().collect()]
-    out = None
-    for g in groups:
-        part = ranked.filter(F.col(label) == F.lit(g)).orderBy("_h").limit(per_group)
-        out = part if out is None else out.union(part)
-    return out.drop("_h")
+    order = [portable_hash(seed_key, seed), F.col(seed_key)]
+    part = df.withColumn("_part", F.pmod(F.xxhash64(F.col(seed_key), F.lit(5)), F.lit(RANK_PARTS)))
+    for keys in ([label, "_part"], [label]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        part = part.withColumn("_rank", rank).filter(F.col("_rank") <= per_group).drop("_rank")
+    return part.drop("_part")
 
 
 def _svc(max_iter: int = 15) -> LinearSVC:
@@ -37,24 +42,19 @@ def pairwise_separability(df: DataFrame, label: str, vec: str, groups: Sequence,
                           per_group: int = 1000) -> tuple[DataFrame, dict]:
     """Accuracy of a linear SVM for each pair of groups, trained on samples, scored on all their rows.
 
-    Returns (row_group, col_group, accuracy) for i < j and the models.
+    All pairs are trained in shared passes and scored in one. Returns (row_group, col_group, accuracy) for i < j, and the
+    weights (the last is the offset) of each pair.
     """
-    base = df.filter(F.col(label).isin(list(groups))).select(
-        F.col(label).alias("_g"), F.col(seed_key).alias("_k"), array_to_vector(vec).alias("_v")).persist(
+    names = list(groups)
+    base = numbered(df.select(F.col(label).alias("_g"), F.col(seed_key).alias("_k"), F.col(vec).alias("_v")), "_g", names, "_c").persist(
         StorageLevel.MEMORY_AND_DISK)
-    train = training_rows(base, "_g", "_k", per_group).persist(StorageLevel.MEMORY_AND_DISK)
-    rows, models = [], {}
-    for i, a in enumerate(groups):
-        for b in groups[i + 1:]:
-            y = (F.col("_g") == F.lit(b)).cast("double")
-            pair = F.col("_g").isin([a, b])
-            model = _svc().fit(train.filter(pair).withColumn("_y", y))
-            scored = model.transform(base.filter(pair).withColumn("_y", y))
-            acc = scored.agg(F.avg((F.col("prediction") == F.col("_y")).cast("double"))).first()[0]
-            rows.append((str(a), str(b), float(acc)))
-            models[(a, b)] = model
-    train.unpersist()
+    first = base.select(F.size("_v")).first()
+    p = first[0] if first else 0
+    fitted = svm.fit_pairs(training_rows(base, "_c", "_k", per_group), "_c", "_v", p, len(names))
+    hits = svm.count_hits(base, "_c", "_v", p, fitted)
     base.unpersist()
+    rows = [(str(names[i]), str(names[j]), float(h / n) if n else float("nan")) for (i, j), (h, n) in zip(fitted.pairs.tolist(), hits.tolist())]
+    models = {(names[i], names[j]): w for (i, j), w in zip(fitted.pairs.tolist(), fitted.weights)}
     return df.sparkSession.createDataFrame(rows, "row_group string, col_group string, accuracy double"), models
 
 
@@ -84,9 +84,9 @@ def confusion_matrix(df: DataFrame, labels: Sequence[str], vec: str, seed_key: s
     return out
 
 
-def feature_ranking(model, features: Sequence[str], spark) -> DataFrame:
-    """Squared SVM weights relative to the largest."""
-    w = np.asarray(model.coefficients.toArray()) ** 2
+def feature_ranking(weights: np.ndarray, features: Sequence[str], spark) -> DataFrame:
+    """Squared SVM weights relative to the largest; the offset does not count."""
+    w = np.asarray(weights, dtype=float)[:len(features)] ** 2
     return spark.createDataFrame([(f, float(x / w.max())) for f, x in zip(features, w)], "feature string, score double").orderBy(
         F.desc("score"), "feature")
 

@@ -233,15 +233,18 @@ def _labelled(spark, sf):
     return X.points(spark, sf).withColumn("g", F.col("treatment").cast("string"))
 
 
+def _separability(spark, sf):
+    rows = _labelled(spark, sf)
+    labels = [x[0] for x in rows.select("g").distinct().orderBy("g").collect()]
+    return classify.pairwise_separability(rows, "g", "vec", labels, "object_id")[0]
+
+
 def svm_separability(spark, sf):
-    pairs, _ = classify.pairwise_separability(_labelled(spark, sf), "g", "vec", ["0", "1", "2", "3"], "object_id")
-    return pairs
+    return _separability(spark, sf)
 
 
 def separability_dendrogram(spark, sf):
-    pairs, _ = classify.pairwise_separability(_labelled(spark, sf), "g", "vec", ["0", "1", "2", "3"], "object_id")
-    tree, _ = linkage.group_dendrogram(classify.separability_map(pairs), "average")
-    return tree
+    return linkage.group_dendrogram(classify.separability_map(_separability(spark, sf)), "average")[0]
 
 
 def _confusion(spark, sf):
