@@ -86,7 +86,7 @@ def member_sums(x: np.ndarray, centroids: np.ndarray, previous: np.ndarray | Non
     return out
 
 
-def _farthest_points(points: DataFrame, vec: str, centroids: np.ndarray, count: int, p: float,
+def farthest_points(points: DataFrame, vec: str, centroids: np.ndarray, count: int, p: float,
                      weights: np.ndarray | None, id_col: str) -> list[np.ndarray]:
     d = F.array_min(centroid_distances(F.col(vec), centroids, p, weights))
     rows = points.select(F.col(id_col).alias("i"), F.col(vec).alias("v"), d.alias("d")).orderBy(
@@ -144,19 +144,27 @@ class LloydFit:
 
 def lloyd_rounds(points: DataFrame, vec: str, fits: list[LloydFit], max_iter: int, id_col: str = "object_id") -> None:
     """Run all fits to their ends, each round one pass over the packed points for all that still move."""
+    blocks = packed_blocks(points, vec).persist(StorageLevel.MEMORY_AND_DISK)
+    run_rounds(blocks, fits[0].c.shape[1], fits, max_iter, lambda x, live: np.vstack([f.sums(x) for f in live]),
+               lambda f: lambda c, count: farthest_points(points, vec, c, count, f.p, f.weights, id_col))
+    blocks.unpersist()
+
+
+def run_rounds(blocks: DataFrame, width: int, fits: list[LloydFit], max_iter: int,
+               sums_of: Callable[[np.ndarray, list[LloydFit]], np.ndarray],
+               farthest_of: Callable[[LloydFit], Callable[[np.ndarray, int], list[np.ndarray]]]) -> None:
+    """Rounds over blocks of ``width`` columns, of which ``sums_of`` makes the stacked sums of the fits that still move."""
     n = fits[0].c.shape[1]
     check_model_size(sum(f.c.size for f in fits), "centroids")
-    blocks = packed_blocks(points, vec).persist(StorageLevel.MEMORY_AND_DISK)
     many = blocks.rdd.getNumPartitions() > PARTS
     for _ in range(max_iter):
         live = [f for f in fits if not f.done]
         if not live:
             break
-        sums = block_sums(blocks, n, lambda x: np.vstack([f.sums(x) for f in live]), sum(len(f.c) for f in live), n + 3, many)
+        sums = block_sums(blocks, width, lambda x: sums_of(x, live), sum(len(f.c) for f in live), n + 3, many)
         ends = np.cumsum([len(f.c) for f in live])
         for f, own in zip(live, np.split(sums, ends[:-1])):
-            f.advance(own, lambda c, count: _farthest_points(points, vec, c, count, f.p, f.weights, id_col))
-    blocks.unpersist()
+            f.advance(own, farthest_of(f))
 
 
 def kmeans(points: DataFrame, vec: str, k: int, p: float = 2, start: np.ndarray | None = None, **kw) -> Clustering:

@@ -318,7 +318,7 @@ def silhouette_values(spark, sf):
 
 def gap_statistic(spark, sf):
     pts = X.points(spark, sf).select("object_id", "vec")
-    return gap.choose_k(gap.gap_curve(pts, "vec", 64, 3, "object_id", b=5))
+    return gap.choose_k(gap.gap_curve(pts, "vec", 64, 20, "object_id", b=5))
 
 
 def within_cluster_distance(spark, sf):

@@ -265,3 +265,22 @@ def test_gap_finds_separated_blobs(blobs):
     _, df = blobs
     curve = gap.choose_k(gap.gap_curve(df, "vec", 3, 4, "object_id", b=3, max_iter=10))
     assert curve.first()["best_k"] == 3
+
+
+def test_gap_curve_equals_single_fits(blobs):
+    """All (k, box) together against one k-means after another on points that Spark makes."""
+    import math
+
+    from cellweave.operators.assign import assign_nearest
+
+    _, df = blobs
+    p = len(df.first()["vec"])
+    curve = gap.gap_curve(df, "vec", p, 4, "object_id", b=2).orderBy("k").collect()
+    sets = [df] + [gap.reference_points(df, "vec", p, i, "object_id") for i in range(2)]
+    for r in curve:
+        logs = []
+        for s in sets:
+            fit = kmeans.kmeans(s.select("object_id", "vec"), "vec", r["k"])
+            logs.append(math.log(gap.within_cluster_distance(assign_nearest(s, "vec", fit.centroids))))
+        assert r["gap"] == pytest.approx(np.mean(logs[1:]) - logs[0], rel=1e-9)
+        assert r["sk"] == pytest.approx(np.std(logs[1:]) * math.sqrt(1.5), abs=1e-9)
