@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.functions.scalars import in_fraction
+from cellweave.functions.scalars import MODULUS, fraction_limit
 from cellweave.functions.vectors import total
 from cellweave.model import check_model_size
 from cellweave.operators.blocks import pair_rows
@@ -265,25 +266,128 @@ def ks_against(df: DataFrame, group: str, reference, value: str, groups: Sequenc
 
 
 def bootstrap_count(n: int, fraction: float = 0.1, limit: int = 200) -> int:
-    return int(min(fraction * n, limit))
+    """Pairs of resamples for n control cells: a tenth, rounded half up, at most ``limit``."""
+    return int(min(math.floor(fraction * n + 0.5), limit))
 
 
-def bootstrap_quality(long: DataFrame, control: str, treated: str, seed_key: str, b: int,
+class _Resamples:
+    """Membership of keys in 2·b seeded resamples; column 2·i + half is half ``half`` of pair i. Runs inside tasks."""
+
+    def __init__(self, b: int, part: float, seed: int):
+        seeds = np.array([seed + 2 * i + half for i in range(b) for half in (0, 1)], dtype=np.int64)
+        self.b, self.shift, self.limit = b, seeds * 1013904223 % MODULUS, fraction_limit(part)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        v = (keys[:, None] % MODULUS + self.shift[None, :]) % MODULUS
+        return (v * v % MODULUS * 48271 + v) % MODULUS < self.limit
+
+
+def resample_ks(rows: DataFrame, feature: str, value: str, key: str, b: int, part: float, seed: int) -> DataFrame:
+    """(feature, b, ks): KS distance of the two halves of each pair of resamples, NaN if one is empty.
+
+    Rows are ranged by (feature, value) once; what runs along is a vector of 2·b counts, and no row is copied for the
+    resamples it belongs to. A first pass counts each partition, so that the second knows what came before and in all.
+    """
+    check_model_size(2 * b, "resamples")
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = rows.schema[feature].dataType
+    clean = rows.filter(F.col(value).isNotNull()).select(F.col(feature).alias("_f"), F.col(value).cast("double").alias("_v"), (F.col(key) % MODULUS).alias("_k"))
+    ranged = cut_lineage(clean.repartitionByRange(parts, "_f", "_v").withColumn("_pid", F.spark_partition_id()))
+    member = _Resamples(b, part, seed)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        kinds: list = []
+        for batch in batches:
+            kinds = [batch.column("_f").type]
+            own = batch.column("_f").dictionary_encode()
+            code, pid = own.indices.to_numpy(), batch.column("_pid").to_numpy()
+            names = own.dictionary.to_pylist()
+            inside = member(batch.column("_k").to_numpy())
+            for c in np.unique(code):
+                for n in np.unique(pid[code == c]):
+                    at = (int(n), names[c])
+                    held[at] = held.get(at, 0) + inside[(code == c) & (pid == n)].sum(axis=0)
+        if held:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in held], pa.int32()), pa.array([k[1] for k in held], kinds[0]), pa.array([v.tolist() for v in held.values()], pa.list_(pa.int64()))],
+                names=["_pid", "_f", "counts"])
+
+    counts = ranged.mapInArrow(counted, T.StructType([
+        T.StructField("_pid", T.IntegerType()), T.StructField("_f", kind), T.StructField("counts", T.ArrayType(T.LongType()))]))
+    before: dict[tuple, np.ndarray] = {}
+    whole: dict = {}
+    per: dict[tuple, np.ndarray] = {}
+    counts = cut_lineage(counts)
+    check_model_size(counts.count() * 2 * b, "resample counts of partitions")
+    for r in counts.collect():
+        at = (r["_f"], r["_pid"])
+        per[at] = per.get(at, 0) + np.array(r["counts"], dtype=np.int64)
+    for f, pid in sorted(per):
+        before[pid, f] = whole.get(f, np.zeros(2 * b, dtype=np.int64))
+        whole[f] = before[pid, f] + per[f, pid]
+    shared = spark.sparkContext.broadcast((before, whole))
+    schema = T.StructType([T.StructField("feature", kind), T.StructField("b", T.IntegerType()), T.StructField("ks", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before_, whole_ = shared.value
+        now, f_type = None, None
+        held = top = tail = None  # counts so far, largest gaps, and the EDFs' gaps at the last value seen
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            if now is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([now[1]] * b, f_type), pa.array(np.arange(b, dtype=np.int32)), pa.array(np.maximum(top, tail))], names=["feature", "b", "ks"])
+
+        for batch in batches:
+            f_type = batch.column("_f").type
+            own = batch.column("_f").dictionary_encode()
+            code, names = own.indices.to_numpy(), own.dictionary.to_pylist()
+            pid, v, k = (batch.column(c).to_numpy() for c in ("_pid", "_v", "_k"))
+            cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(pid) != 0)) + 1
+            for s, e in zip([0, *cuts], [*cuts, len(v)]):
+                if s == e:
+                    continue
+                at = (int(pid[s]), names[code[s]])
+                if at != now:
+                    yield from finished()
+                    now, held, last = at, before_[at].copy(), None
+                    top, tail = np.zeros(b), np.zeros(b)
+                for lo in range(int(s), int(e), 2048):
+                    x = v[lo:min(lo + 2048, int(e))]
+                    run_ = held + np.cumsum(member(k[lo:lo + len(x)]), axis=0)
+                    share = run_ / np.maximum(whole_[at[1]], 1)
+                    gap = np.abs(share[:, 0::2] - share[:, 1::2])
+                    # A gap counts where a value ends; whether the last one does, the next rows say.
+                    ends = np.append((x[1:] != x[:-1]) & ~(np.isnan(x[1:]) & np.isnan(x[:-1])), False)
+                    if last is not None and not (last == x[0] or np.isnan(last) and np.isnan(x[0])):
+                        top = np.maximum(top, tail)
+                    if ends.any():
+                        top = np.maximum(top, gap[ends].max(axis=0))
+                    held, tail, last = run_[-1], gap[-1], x[-1]
+        yield from finished()
+
+    found = ranged.repartition(parts, "_pid").sortWithinPartitions("_pid", "_f", "_v").mapInArrow(run, schema)
+    empty = spark.createDataFrame(
+        [(f, i) for f, n in whole.items() for i in range(b) if not n[2 * i] or not n[2 * i + 1]], T.StructType([schema["feature"], schema["b"]]))
+    most = found.groupBy("feature", "b").agg(F.max("ks").alias("ks"))
+    none = empty.withColumn("_none", F.lit(True))
+    return most.join(none, ["feature", "b"], "left").select("feature", "b", F.when(F.col("_none"), F.lit(float("nan"))).otherwise(F.col("ks")).alias("ks"))
+
+
+def bootstrap_quality(long: DataFrame, control: str, treated: str, seed_key: str, b: int | None = None,
                       part: float = 0.2, seed: int = 11) -> DataFrame:
-    """Per feature: KS(control, treated) minus the mean KS of b pairs of control resamples.
+    """Per feature: KS(control, treated) minus the mean KS of b pairs of control resamples, by default ``bootstrap_count``
+    of the control cells.
 
-    Resample membership is a seeded hash of the row: a control cell appears only
-    in the resamples it belongs to, and all of them share one ranged pass.
+    Resample membership is a seeded hash of the row: a control cell appears only in the resamples it belongs to.
     """
     main = ks_by_feature(long, F.col(control), F.col(treated)).select("feature", F.col("ks").alias("ks_treated"))
-    hits = [
-        F.when(in_fraction(seed_key, seed + 2 * i + half, part),
-               F.struct(F.lit(i).alias("b"), F.lit(half).alias("half")))
-        for i in range(b) for half in (0, 1)]
-    sampled = long.filter(F.col(control)).select(
-        "feature", "value", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h"))
-    sampled = sampled.select("feature", "value", "h.b", "h.half")
-    boot = ks_by_feature(sampled, F.col("half") == 0, F.col("half") == 1, keys=["feature", "b"])
+    cells = long.filter(F.col(control))
+    if b is None:
+        most = cells.groupBy("feature").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
+        b = bootstrap_count(most or 0)
+    boot = resample_ks(cells, "feature", "value", seed_key, b, part, seed)
     means = boot.groupBy("feature").agg(F.avg("ks").alias("ks_bootstrap"))
     return main.join(means, "feature").withColumn("quality", F.col("ks_treated") - F.col("ks_bootstrap"))
 

@@ -148,9 +148,10 @@ def duplicate_at_random(cells: DataFrame, seed_key: str, id_col: str = "object_i
     """Each treatment becomes ``name`` (larger half) and ``name*`` (n//2 cells) in hash order.
 
     The half is a rank cut: one order statistic per treatment plus ranked ties,
-    so a treatment may be of any size.
+    so a treatment may be of any size. Cells without a treatment stay as they are.
     """
-    hashed = cells.withColumn("_h", portable_hash(seed_key, seed).cast("double"))
+    nameless = cells.filter(F.col("treatment").isNull())
+    hashed = cells.filter(F.col("treatment").isNotNull()).withColumn("_h", portable_hash(seed_key, seed).cast("double"))
     cut = order_statistics(hashed, ["treatment"], "_h", 0.5, {"cut": lambda n: n - F.floor(n / 2) - 1})
     joined = hashed.join(cut.select("treatment", "cut", F.col("n").alias("_n")), "treatment")
     below = joined.filter("_h < cut").groupBy("treatment").agg(F.count("*").alias("_below"))
@@ -161,7 +162,7 @@ def duplicate_at_random(cells: DataFrame, seed_key: str, id_col: str = "object_i
     rest = joined.filter(~tied).withColumn("_keep", F.coalesce(F.col("_h") < F.col("cut"), F.lit(False)))
     name = F.when(F.col("_keep"), F.col("treatment")).otherwise(F.concat("treatment", F.lit("*"))).alias("treatment")
     out = [*[c for c in cells.columns if c != "treatment"], name]
-    return rest.select(*out).unionByName(ties.select(*out))
+    return rest.select(*out).unionByName(ties.select(*out)).unionByName(nameless.select(*[c for c in cells.columns if c != "treatment"], "treatment"))
 
 
 def replicate_directory(path: Column) -> Column:

@@ -285,7 +285,7 @@ def _bootstrap(spark, sf):
     valid = B.valid_cells(spark, sf).withColumns({
         "is_ctrl": F.col("treatment") == "N", "is_treated": F.col("treatment") != "N"})
     long = summaries.melt(valid, X.FEATURES, ["is_ctrl", "is_treated", "seed_key"])
-    return edf.bootstrap_quality(long, "is_ctrl", "is_treated", "seed_key", 5)
+    return edf.bootstrap_quality(long, "is_ctrl", "is_treated", "seed_key")
 
 
 def bootstrap_features(spark, sf):
@@ -329,14 +329,15 @@ def _both_ways(body: str) -> str:
             f" UNION ALL SELECT group_j, group_i, round(d, 6) + 0.0 FROM ({body})")
 
 
-def _bootstrap_sql(b: int) -> str:
-    parts = []
-    for i in range(b):
-        for half in (0, 1):
-            h = S.portable_hash_sql("seed_key", 11 + 2 * i + half)
-            parts.append(f"SELECT feature, value, {i} AS b, {half} AS half FROM long"
-                         f" WHERE treatment = 'N' AND {h} < {S.fraction_limit(0.2)}")
-    return LONG + ",\nsamples AS (" + " UNION ALL ".join(parts) + """),
+def _bootstrap_sql() -> str:
+    m = S.MODULUS
+    return LONG + f""",
+ctl AS (SELECT feature, value, seed_key % {m} AS k FROM long WHERE treatment = 'N'),
+number AS (SELECT least(floor(0.1 * (SELECT count(*) FROM valid WHERE treatment = 'N') + 0.5)::INT, 200) AS nb),
+pairs AS (SELECT t.i // 2 AS b, t.i % 2 AS half, (11 + t.i) * 1013904223 % {m} AS s FROM number, range(nb * 2) t(i)),
+keys AS (SELECT k, b, half FROM (SELECT DISTINCT k FROM ctl), pairs
+  WHERE ((k + s) % {m} * ((k + s) % {m}) % {m} * 48271 + (k + s) % {m}) % {m} < {S.fraction_limit(0.2)}),
+samples AS (SELECT feature, value, b, half FROM ctl JOIN keys USING (k)),
 bc AS (SELECT feature, b, value, count(CASE WHEN half=0 THEN 1 END) a, count(CASE WHEN half=1 THEN 1 END) c
        FROM samples GROUP BY 1, 2, 3),
 bcum AS (SELECT feature, b, sum(a) OVER w / sum(a) OVER (PARTITION BY feature, b) fa,
@@ -544,9 +545,9 @@ k AS (SELECT 'A' AS group_name, max(abs(fa - fn)) AS ks, any_value(sqrt(n*a/(n+a
 l AS (SELECT group_name, ks, (en + 0.12 + 0.11/en) * ks AS lam FROM k)""", """SELECT group_name, round(ks, 6) + 0.0 AS ks,
        round(CASE WHEN lam < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, (SELECT sum(2 * pow(-1, j - 1) * exp(-2.0*j*j*lam*lam))
          FROM range(1, 101) t(j)))) END, 6) + 0.0 AS p_value FROM l""")),
-    "bootstrap_features": (bootstrap_features, W(_bootstrap_sql(5), """SELECT feature, round(ks_treated, 6) + 0.0 AS ks_treated,
+    "bootstrap_features": (bootstrap_features, W(_bootstrap_sql(), """SELECT feature, round(ks_treated, 6) + 0.0 AS ks_treated,
        round(ks_bootstrap, 6) + 0.0 AS ks_bootstrap, round(quality, 6) + 0.0 AS quality FROM quality""")),
-    "best_features": (best_features, W(_bootstrap_sql(5), """SELECT * FROM (SELECT feature,
+    "best_features": (best_features, W(_bootstrap_sql(), """SELECT * FROM (SELECT feature,
        row_number() OVER (ORDER BY quality DESC, feature) AS rank FROM quality) WHERE rank <= 2""")),
 }
 

@@ -71,6 +71,9 @@ def read_sets(spark: SparkSession, path: str, image_postfix: str, object_postfix
                 values.update({n if n.startswith(prefix) else prefix + n: v for n, v in tables[k][i].items()})
             rows.append({"base": base, "kind": "object", "row_no": i, "image_values": image, "values": values,
                          "error": None})
+        if len(tables[image_kind]) > 1:
+            rows.append({"base": base, "kind": "error", "row_no": -1, "image_values": image, "values": {},
+                         "error": f"image file has {len(tables[image_kind])} rows, the first is used"})
         if not rows:
             rows = [{"base": base, "kind": "empty", "row_no": -1, "image_values": image, "values": {}, "error": None}]
         return pd.DataFrame(rows)

@@ -61,7 +61,9 @@ def merge_datasets(parts: Sequence[DataFrame], features: Sequence[str],
         names = merged.groupBy(d).agg(F.min("dataset_no").alias("first_dataset"))
         order = Window.orderBy("first_dataset", d)
         tables[d] = names.select(d, (F.row_number().over(order) - 1).alias(f"{d}_index"))
-        merged = merged.join(tables[d], d)
+        # a missing name is a name of its own
+        index = tables[d].withColumnRenamed(d, "_name")
+        merged = merged.join(index, merged[d].eqNullSafe(index["_name"])).drop("_name")
     return merged, tables
 
 

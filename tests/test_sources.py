@@ -97,3 +97,17 @@ def test_quadratic_chi_against_loops(spark, k):
                 z = (q[i] - q[j]) / d
                 want = z @ a @ z
             assert got[(f"g{i}", f"g{j}")] == pytest.approx(want, abs=1e-10)
+
+
+def test_missing_names_lose_no_rows(spark):
+    from cellweave.operators.validation import duplicate_at_random
+    from cellweave.sources.dataset import merge_datasets
+
+    rows = [(i, i * 31, [None, "a", "wt1"][i % 3], ["r", None, ""][i % 3], None, float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "object_id bigint, seed_key bigint, treatment string, replicate string, well string, f double")
+    merged, tables = merge_datasets([df, df], ["f"])
+    assert merged.count() == 120 and tables["treatment"].count() == 3 and tables["well"].count() == 1
+    assert merged.filter("treatment_index is null or well_index is null").count() == 0
+    split = duplicate_at_random(df, "seed_key")
+    counts = {r["treatment"]: r["count"] for r in split.groupBy("treatment").count().collect()}
+    assert counts == {None: 20, "a": 10, "a*": 10, "wt1": 10, "wt1*": 10}

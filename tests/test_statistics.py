@@ -194,3 +194,29 @@ def test_group_map_of_wide_points_equals_brute_force(spark, sf):
         order = np.lexsort((ids[g == a], form(own, own)))[:min(n, round(n * 0.9) + 1)]
         for b in ("hot", "cold"):
             assert far[a, b] == pytest.approx(form(x[g == b], own[order]).mean(), rel=1e-6)
+
+
+def test_bootstrap_count_rounds():
+    assert [edf.bootstrap_count(n) for n in (0, 4, 5, 14, 15, 1994, 1995, 10_000)] == [0, 0, 1, 1, 2, 199, 200, 200]
+
+
+@pytest.mark.parametrize("partitions", ["3", "40"])
+def test_resamples_equal_one_by_one(spark, partitions):
+    """Vectors of running counts against each pair alone: ties, many partitions, an empty half."""
+    from cellweave.functions.scalars import in_fraction
+
+    r = np.random.default_rng(1)
+    rows = [("a" if i % 3 else "b", float(np.round(r.normal(), 1)), i * 7919 + 3) for i in range(900)] + [("c", 1.0, 5), ("c", 2.0, 6), ("c", None, 7)]
+    long = spark.createDataFrame(rows, "feature string, value double, k bigint")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    got = {(x["feature"], x["b"]): x["ks"] for x in edf.resample_ks(long, "feature", "value", "k", 6, 0.2, 11).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(got) == 18 and np.isnan(got["c", 0])
+    clean = long.filter("value is not null")
+    for b in range(6):
+        halves = [clean.filter(in_fraction("k", 11 + 2 * b + h, 0.2)).collect() for h in (0, 1)]
+        for f in "ab":
+            x, y = ([z["value"] for z in half if z["feature"] == f] for half in halves)
+            grid = np.unique(x + y)
+            gap = np.abs(np.searchsorted(np.sort(x), grid, "right") / len(x) - np.searchsorted(np.sort(y), grid, "right") / len(y)).max()
+            assert got[f, b] == pytest.approx(gap)
