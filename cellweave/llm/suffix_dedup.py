@@ -94,7 +94,15 @@ def anchors(keyed: DataFrame) -> DataFrame:
 _OCC = "side int, head bigint, tail binary, tail_key bigint, doc bigint, tid bigint, pos int"
 
 
-def occurrences(keyed: DataFrame, places: DataFrame) -> DataFrame:
+def texts_with(keyed: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc, tid, text, places) of the documents that have a kept position, stored: all that later steps read of the texts.
+
+    Rows that repeat id and text give the same rows here, which later steps count once.
+    """
+    return stored(keyed.join(places, ["doc", "tid"]).select("doc", "tid", "text", "places"), "texts", "zstd")
+
+
+def occurrences(texts: DataFrame) -> DataFrame:
     """One row per kept position and side, stored: its head, the TAIL words after (side 0) or before it, outwards, and where it is."""
     schema = pa.schema([("side", pa.int32()), ("head", pa.int64()), ("tail", pa.binary()), ("tail_key", pa.int64()),
                         ("doc", pa.int64()), ("tid", pa.int64()), ("pos", pa.int32())])
@@ -119,8 +127,6 @@ def occurrences(keyed: DataFrame, places: DataFrame) -> DataFrame:
             if rows:
                 yield batch_of(schema, *zip(*rows))
 
-    # Rows that repeat id and text give the same rows here, which the caller counts once.
-    texts = keyed.join(places, ["doc", "tid"]).select("doc", "tid", "text", "places")
     return stored(texts.mapInArrow(run, _OCC), "suffixes", "zstd")
 
 
@@ -205,9 +211,10 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, tid, repeated, removed): spans in words [from, to) of the documents that have a repeated one, stored."""
     keyed = _keyed(docs, id_col, text_col)
-    proposed = _proposed(keyed)
-    runs = _runs(keyed, proposed)
+    proposed, texts = _proposed(keyed)
+    runs = _runs(texts, proposed)
     forget(proposed)
+    forget(texts)
     seen = runs.groupBy("h").agg(F.min(F.struct("doc", "tid", "pos")).alias("first"), F.max(F.struct("doc", "tid", "pos")).alias("last"))
     again = stored(seen.filter("first <> last").select("h", F.col("first.doc").alias("_doc"), F.col("first.tid").alias("_tid"), F.col("first.pos").alias("_pos")), "repeated-runs")
     placed = runs.join(again, "h").select("doc", "tid", "pos", F.expr("doc = _doc and tid = _tid and pos = _pos").alias("is_first"))
@@ -227,7 +234,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out
 
 
-def _runs(keyed: DataFrame, proposed: DataFrame) -> DataFrame:
+def _runs(texts: DataFrame, proposed: DataFrame) -> DataFrame:
     """(h, doc, tid, pos): hash and place of each run of PASSAGE words within the proposed spans, stored."""
     schema = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("tid", pa.int64()), ("pos", pa.int32())])
 
@@ -244,19 +251,20 @@ def _runs(keyed: DataFrame, proposed: DataFrame) -> DataFrame:
                 yield batch_of(schema, *(np.concatenate(c) for c in zip(*parts)))
 
     # Rows that repeat id and text give the same places, which count as one.
-    texts = keyed.join(proposed, ["doc", "tid"]).select("doc", "tid", "text", "proposed")
-    return stored(texts.mapInArrow(run, "h bigint, doc bigint, tid bigint, pos int"), "runs", "zstd")
+    rows = texts.join(proposed, ["doc", "tid"]).select("doc", "tid", "text", "proposed")
+    return stored(rows.mapInArrow(run, "h bigint, doc bigint, tid bigint, pos int"), "runs", "zstd")
 
 
-def _proposed(keyed: DataFrame) -> DataFrame:
-    """(doc, tid, proposed): spans in words [from, to) in which all repeated passages lie, stored."""
+def _proposed(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, tid, proposed), spans in words [from, to) in which all repeated passages lie, and the texts they lie in; stored."""
     kept = anchors(keyed)
     often = stored(kept.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head"), "heads")
     places = stored(kept.join(often, "head", "left_semi").groupBy("doc", "tid").agg(F.collect_set("pos").alias("places")), "places")
     forget(kept)
     forget(often)
-    occ = occurrences(keyed, places)
+    texts = texts_with(keyed, places)
     forget(places)
+    occ = occurrences(texts)
     found = match_lengths(occ)
     matched = occ.drop("tail").join(found.select("side", "head", "tail_key", "longest"), ["side", "head", "tail_key"]).select(
         "doc", "tid", F.struct("side", "pos", "longest").alias("m"))
@@ -275,7 +283,8 @@ def _proposed(keyed: DataFrame) -> DataFrame:
     per_doc = matched.groupBy("doc", "tid").agg(F.collect_set("m").alias("ms"))
     out = stored(per_doc.mapInArrow(run, "doc bigint, tid bigint, proposed array<array<int>>"), "proposed")
     forget(occ)
-    return out
+    forget(found)
+    return out, texts
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

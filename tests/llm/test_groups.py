@@ -188,7 +188,7 @@ def test_a_head_with_many_tails_spreads_and_loses_nothing(spark):
         df = spark.createDataFrame(rows, "doc_id bigint, text string")
         keyed = suffix_dedup._keyed(df, "doc_id", "text")
         places = suffix_dedup.anchors(keyed).groupBy("doc", "tid").agg(F.collect_set("pos").alias("places"))
-        occ = suffix_dedup.occurrences(keyed, places)
+        occ = suffix_dedup.occurrences(suffix_dedup.texts_with(keyed, places))
         head = occ.groupBy("head").count().orderBy(F.desc("count")).first()
         assert head["count"] >= 400 and suffix_dedup.match_lengths(occ).count() > 0
         for got, want in zip(found_words(rows, df), covered(rows, suffix_dedup.PASSAGE)):
