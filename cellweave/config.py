@@ -64,6 +64,8 @@ class ClusterConfig:
     sharpness: float = 1.0
     max_depth: int = 4
     target: int | None = None
+    # small clusters whose centroids average, complete and weighted linkage start from
+    micro: int = 256
 
 
 @dataclass(frozen=True)

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from cellweave.config import ClusterConfig, FilterConfig, ProfileConfig, QcConfig
+from cellweave.functions.vectors import distance_matrix
 from cellweave.operators import assign, controls, edf, grouping, kdtree, kmeans, linkage, masks, normalize, profiles, quality
 from cellweave.operators import seeds as seed_ops
 from cellweave.operators import silhouette, validation
 from cellweave.session import cut_lineage
 
 METHODS = ("k-means", "swap-k-means", "k-medians", "k-medoids", "weighted-k-means", "robust-centres", "lloyd", "random",
-           "kd-tree", "seed", "random-seed", "single", "ward", "mahalanobis", "gaussian-mixture", "library-k-means")
+           "kd-tree", "seed", "random-seed", "single", "ward", "average", "complete", "weighted", "mahalanobis", "gaussian-mixture",
+           "library-k-means")
 
 
 def qc_stage(objects: DataFrame, images: DataFrame, cfg: QcConfig, features: Sequence[str] = ()) -> DataFrame:
@@ -84,6 +86,8 @@ def _fit(points: DataFrame, p: int, cfg: ClusterConfig, id_col: str) -> tuple[Da
             labelled = kmeans.gaussian_mixture(points, "vec", k, seed=cfg.seed).drop("probability")
         elif m in ("single", "ward"):
             labelled = _cut_points(points, m, k, id_col)
+        elif m in ("average", "complete", "weighted"):
+            labelled = _cut_micro(points, m, k, cfg, id_col)
         else:
             raise ValueError(f"no such clustering method: {m}")
         labelled = cut_lineage(labelled.select(*points.columns, "cluster"))
@@ -104,6 +108,23 @@ def _cut_points(points: DataFrame, method: str, k: int, id_col: str) -> DataFram
     return ids.join(linkage.cut_single(ids, merges, k, "_no"), "_no").drop("_no")
 
 
+def _cut_micro(points: DataFrame, method: str, k: int, cfg: ClusterConfig, id_col: str) -> DataFrame:
+    """Tree cut of the centroids of ``cfg.micro`` small clusters; a point goes where its small cluster goes.
+
+    These linkages need the distances of all pairs, so they start from small clusters, each counting once; with no more
+    distinct points than that, each point is a small cluster of its own.
+    """
+    seeds = kmeans.farthest_first(points, "vec", cfg.micro, cfg.p, id_col)[0]
+    centres = np.unique(kmeans.lloyd(points, "vec", seeds, cfg.p, cfg.max_iter, swap_threshold=0, refill=False, id_col=id_col).centroids, axis=0)
+    d, n = distance_matrix(centres, centres, cfg.p), len(centres)
+    spark = points.sparkSession
+    table = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(n) for j in range(n)], "row_id bigint, col_id bigint, distance double")
+    cut = linkage.cut_tree(linkage.ordered_merges(linkage.table_linkage(table, method)), spark.range(n), k)
+    names = {r["id"]: r["cluster"] for r in cut.collect()}  # at most ``cfg.micro`` rows
+    near = assign.assign_nearest(points, "vec", centres, cfg.p).drop("dist")
+    return near.withColumn("cluster", assign.relabel(F.col("cluster"), names))
+
+
 def run_clustering(cells: DataFrame, features: Sequence[str], controls_: Sequence[str], cfg: ClusterConfig,
                    group: str | None = None, id_col: str = "object_id") -> ClusterResult:
     """Non-control cells of a group: z-score by controls, cluster, clean up small clusters, ClusterID column.

@@ -125,3 +125,15 @@ def test_only_phenotypes_are_clustered(spark):
     assert got == {"A": 10}
     calm = sweep.phenotype_cells(df.filter("treatment IN ('N', 'B')"), ["N"])
     assert calm.filter("is_non_control").count() == 5
+
+
+@pytest.mark.parametrize("method", ["average", "complete", "weighted"])
+def test_linkages_of_points_start_from_small_clusters(cells, method):
+    got = stages.run_clustering(cells, ["f1", "f2", "f3"], ["N"], ClusterConfig(method, 6, discard_size=0, dissolve_size=0, micro=40))
+    kept = got.cells.collect()
+    blob = {r["object_id"]: min(r["object_id"] // 90, 5) for r in kept}
+    seen = {}
+    for r in kept:
+        seen.setdefault(blob[r["object_id"]], set()).add(r["cluster"])
+    assert len(got.centroids) == 6 and len({r["cluster"] for r in kept}) == 6
+    assert len(seen[5]) == 1 and not seen[5] & set().union(*(seen[b] for b in range(5)))  # the far points are a cluster
