@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.model import check_model_size
+from cellweave.operators import regions
 from cellweave.operators.blocks import BLOCK_ROWS, blocked_reduce
 from cellweave.operators.order_stats import distributed_rank, running_totals
 from cellweave.operators.silhouette import _exact_euclid
@@ -208,42 +209,138 @@ def _jump(parents: DataFrame) -> DataFrame:
             return current
 
 
-def minimum_spanning_tree(points: DataFrame, vec: str, id_col: str = "object_id",
-                          block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Edges (lo, hi, distance) of the Euclidean minimum spanning tree of points with long ids.
+def _shortest_edges(lids, lcomps, left, rids, rcomps, right) -> pd.DataFrame:
+    """Shortest edge of every component of two blocks to another component in them; of equally short ones the smallest ids."""
+    d = _exact_euclid(left, right)
+    d[lcomps[:, None] == rcomps[None, :]] = np.inf
+    parts = []
+    for ids, comps, others, foreign, dist in ((lids, lcomps, rids, rcomps, d), (rids, rcomps, lids, lcomps, d.T)):
+        low = dist.min(axis=1)
+        ties = dist == low[:, None]
+        lo = np.where(ties, np.minimum(ids[:, None], others[None, :]), np.iinfo(np.int64).max)
+        best_lo = lo.min(axis=1)
+        hi = np.where(ties & (lo == best_lo[:, None]), np.maximum(ids[:, None], others[None, :]), np.iinfo(np.int64).max)
+        at = hi.argmin(axis=1)
+        row = np.arange(len(ids))
+        order = np.lexsort((hi[row, at], best_lo, low, comps))
+        first = order[np.diff(comps[order], prepend=comps[order[0]] - 1) != 0]
+        keep = first[np.isfinite(low[first])]
+        parts.append(pd.DataFrame({"comp": comps[keep], "other": foreign[at[keep]], "d": low[keep], "lo": best_lo[keep], "hi": hi[keep, at[keep]]}))
+    return pd.concat(parts)
+
+
+_EDGE_ROWS = "comp bigint, other bigint, d double, lo bigint, hi bigint"
+
+
+def _edges_between(packed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Candidates of the listed block pairs (lb, rb)."""
+    side = lambda b, x: packed.select(F.col("block").alias(b), F.col("ids").alias(f"{x}ids"), F.col("comps").alias(f"{x}comps"),
+                                      F.col("vecs").alias(f"{x}vecs"))
+    joined = pairs.join(side("lb", "l"), "lb").join(side("rb", "r"), "rb").repartition("lb", "rb")
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                yield _shortest_edges(np.asarray(r.lids), np.asarray(r.lcomps), np.stack(r.lvecs),
+                                      np.asarray(r.rids), np.asarray(r.rcomps), np.stack(r.rvecs))
+
+    return joined.select("lids", "lcomps", "lvecs", "rids", "rcomps", "rvecs").mapInPandas(run, _EDGE_ROWS)
+
+
+def _edges_within(packed: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                x = np.asarray(r.ids), np.asarray(r.comps), np.stack(r.vecs)
+                yield _shortest_edges(*x, *x)
+
+    return packed.select("ids", "comps", "vecs").mapInPandas(run, _EDGE_ROWS)
+
+
+def _nearest_foreign(described: DataFrame, p: int, n_blocks: int) -> DataFrame:
+    """(lb, rb): for every block the one with the nearest centre that may hold another component."""
+
+    def kernel(lids, llabels, left, rids, rlabels, right) -> pd.DataFrame:
+        d = regions.centre_distances(left, right, p)
+        alone = (left[:, -1] == 0)[:, None] & (right[:, -1] == 0)[None, :] & (llabels[:, None] == rlabels[None, :])
+        d[alone | (lids[:, None] == rids[None, :])] = np.inf
+        at = d.argmin(axis=1)
+        low = d[np.arange(len(lids)), at]
+        return pd.DataFrame({"lb": lids, "rb": rids[at], "d": low})[np.isfinite(low)]
+
+    near = regions.block_pairs_by(described, kernel, "lb int, rb int, d double", n_blocks)
+    return near.groupBy("lb").agg(F.min(F.struct("d", "rb")).alias("m")).select("lb", F.col("m.rb").alias("rb"))
 
-    Each round every component finds its shortest outgoing edge through block
-    pairs (one candidate per point and block, never all pairs); components at
-    least halve, so there are at most log₂ N rounds.
+
+def _reachable(described: DataFrame, p: int, n_blocks: int) -> DataFrame:
+    """(lb, rb), lb < rb: block pairs near enough to hold a shorter edge than those known, other than the ones compared.
+
+    The array of a block ends with the longest known edge of its components, its nearest block and whether it is mixed.
     """
-    spark = points.sparkSession
-    state = cut_lineage(points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).alias("vec"),
-                                      F.col(id_col).cast("bigint").alias("comp")))
 
     def kernel(lids, llabels, left, rids, rlabels, right) -> pd.DataFrame:
-        d = _exact_euclid(left, right)
-        d[llabels[:, None] == rlabels[None, :]] = np.inf
-        low = d.min(axis=1)
-        ties = d == low[:, None]
-        # among equally near points the pair with the smaller ids wins
-        lo = np.where(ties, np.minimum(lids[:, None], rids[None, :]), np.iinfo(np.int64).max)
-        best_lo = lo.min(axis=1)
-        hi = np.where(ties & (lo == best_lo[:, None]), np.maximum(lids[:, None], rids[None, :]), np.iinfo(np.int64).max)
-        at = hi.argmin(axis=1)
-        keep = np.isfinite(low)
-        return pd.DataFrame({"comp": llabels, "other": rlabels[at], "d": low, "lo": best_lo,
-                             "hi": hi[np.arange(len(lids)), at]})[keep]
+        reach = np.maximum(left[:, -3][:, None], right[:, -3][None, :])
+        near = regions.least_distances(left, right, p) <= reach
+        near &= lids[:, None] < rids[None, :]
+        near &= (left[:, -1] > 0)[:, None] | (right[:, -1] > 0)[None, :] | (llabels[:, None] != rlabels[None, :])
+        near &= (left[:, -2][:, None] != rids[None, :]) & (right[:, -2][None, :] != lids[:, None])
+        i, j = np.nonzero(near)
+        return pd.DataFrame({"lb": lids[i], "rb": rids[j]})
 
+    return regions.block_pairs_by(described, kernel, "lb int, rb int", n_blocks)
+
+
+def minimum_spanning_tree(points: DataFrame, vec: str, id_col: str = "object_id",
+                          block_rows: int = BLOCK_ROWS, compared: list | None = None) -> DataFrame:
+    """Edges (lo, hi, distance) of the Euclidean minimum spanning tree of points with long ids.
+
+    Points stand in compact blocks of known extent. In each round every component first takes the shortest edge leaving it
+    within its blocks and towards the nearest block of another component; then only blocks near enough to hold a shorter
+    edge are compared. A block pair gives one candidate per component, never all pairs; components at least halve, so
+    there are at most log₂ N rounds. ``compared`` receives (block pairs compared, all block pairs) per round.
+    """
+    spark = points.sparkSession
+    own = cut_lineage(points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).alias("vec")))
+    rows = own.count()
+    if rows < 2:
+        return spark.createDataFrame([], "lo bigint, hi bigint, distance double")
+    p = own.select(F.size("vec")).first()[0]
+    placed, n_blocks = regions.compact_blocks(own, "vec", "id", rows, block_rows)
+    state = cut_lineage(placed.select("id", "vec", "block", F.col("id").alias("comp")), own)
+    shapes = cut_lineage(regions.extents(state, "vec")) if n_blocks > 1 else None
+    used = shapes.count() if n_blocks > 1 else 1
     edges = None
     while True:
-        cand = blocked_reduce(state, "id", "vec", "comp", kernel,
-                              "comp bigint, other bigint, d double, lo bigint, hi bigint", block_rows)
+        packed = cut_lineage(state.groupBy("block").agg(F.collect_list(F.struct("id", "comp", "vec")).alias("r")).select(
+            "block", F.col("r.id").alias("ids"), F.col("r.comp").alias("comps"), F.col("r.vec").alias("vecs")))
+        cand, done = _edges_within(packed), used
+        if used > 1:
+            present = cut_lineage(state.groupBy("block", "comp").agg(F.count("*").alias("n")))
+            label = present.groupBy("block").agg(F.min("comp").alias("label"), (F.min("comp") != F.max("comp")).cast("double").alias("mixed"))
+            seen = shapes.join(label, "block")
+            tail = lambda *cols: F.concat("extent", F.array(*[F.col(c).cast("double") if isinstance(c, str) else c for c in cols])).alias("extent")
+            nearest = cut_lineage(_nearest_foreign(seen.select("block", "label", tail("mixed")), p, used))
+            first = nearest.select(F.least("lb", "rb").alias("lb"), F.greatest("lb", "rb").alias("rb")).distinct()
+            cand = early = cut_lineage(cand.union(_edges_between(packed, first)))
+            known = early.groupBy("comp").agg(F.min("d").alias("d"))
+            reach = present.join(known, "comp", "left").groupBy("block").agg(F.max(F.coalesce("d", F.lit(float("inf")))).alias("reach"))
+            described = seen.join(reach, "block").join(nearest.toDF("block", "near"), "block", "left").withColumn("near", F.coalesce("near", F.lit(-1)))
+            rest = _reachable(described.select("block", "label", tail("reach", "near", "mixed")), p, used)
+            if compared is not None:
+                done += first.count() + rest.count()
+            cand = cand.union(_edges_between(packed, rest))
+        if compared is not None:
+            compared.append((done, used * (used + 1) // 2))
         best = cut_lineage(cand.groupBy("comp").agg(F.min(F.struct("d", "lo", "hi", "other")).alias("m")).select(
             "comp", "m.*"))
+        if used > 1:
+            for step in (present, nearest, early):
+                forget(step)
+        forget(packed)
         if best.limit(1).count() == 0:
             break
         new = best.select("lo", "hi", F.col("d").alias("distance")).distinct()
-        edges = cut_lineage(new if edges is None else edges.union(new))
+        edges = cut_lineage(new if edges is None else edges.union(new), edges)
         # the two ends of a mutual edge: the smaller component is the root
         back = best.select(F.col("comp").alias("other"), F.col("other").alias("_back"))
         links = best.join(back, "other").select(
@@ -252,7 +349,7 @@ def minimum_spanning_tree(points: DataFrame, vec: str, id_col: str = "object_id"
             .otherwise(F.col("other")).alias("parent"))
         roots = _jump(cut_lineage(links))
         state = cut_lineage(state.join(roots.withColumnRenamed("node", "comp"), "comp").select(
-            "id", "vec", F.col("parent").alias("comp")), state)
+            "id", "vec", "block", F.col("parent").alias("comp")), state)
     if edges is None:
         return spark.createDataFrame([], "lo bigint, hi bigint, distance double")
     return edges
