@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.functions.partials import list_matrix
 from cellweave.functions.vectors import distance_matrix
+from cellweave.model import MAX_MODEL_VALUES, check_model_size
 from cellweave.operators.assign import assign_nearest
 from cellweave.operators.blocks import BLOCK_ROWS, blocked_reduce
 from cellweave.operators.kmeans import farthest_first
+from cellweave.operators.regions import grow_tree, region
+from cellweave.session import cut_lineage, forget
 
-PAIR_COLUMNS = ["lids", "llabels", "lvecs", "rids", "rlabels", "rvecs"]
+#: Regions of all clusters together that bound the sums of medoids, and members left that are summed in one pass.
+CELLS, FEW = 2048, 1024
+#: Sums that differ by less than this share are equal: they are added in any order.
+TIE = 1e-12
 
 
 def point_cluster_sums(assigned: DataFrame, vec: str, p: float = 2, id_col: str = "object_id",
@@ -82,49 +91,134 @@ def point_distance_summary(points: DataFrame, vec: str, p: float = 2, id_col: st
         F.col("id").alias(id_col), (F.col("total") / F.col("n")).alias("mean_distance"), "nearest", "farthest")
 
 
-def _within_label_pairs(assigned: DataFrame, vec: str, id_col: str, block_rows: int) -> DataFrame:
-    """Block pairs inside each cluster only; a big cluster splits into many blocks."""
-    sizes = {r["cluster"]: r["count"] for r in assigned.groupBy("cluster").count().collect()}
-    blocks = {c: max(1, math.ceil(n / block_rows)) for c, n in sizes.items()}
-    first, at = {}, 0
-    for c in sorted(blocks):
-        first[c], at = at, at + blocks[c]
-    base = F.create_map(*[F.lit(x) for c in first for x in (c, first[c])])
-    width = F.create_map(*[F.lit(x) for c in blocks for x in (c, blocks[c])])
-    label = F.col("cluster")
-    row = F.struct(F.col(id_col).alias("id"), label.alias("label"), F.col(vec).alias("vec"))
-    packed = assigned.select(
-        (base[label] + F.pmod(F.xxhash64(id_col), width[label])).cast("int").alias("block"),
-        base[label].alias("lo"), width[label].alias("w"), row.alias("r"),
-    ).groupBy("block", "lo", "w").agg(F.collect_list("r").alias("rs"))
-    cols = [F.col("rs.id").alias("ids"), F.col("rs.label").alias("labels"), F.col("rs.vec").alias("vecs")]
-    packed = packed.select("block", "lo", "w", *cols)
-    left = packed.select(
-        F.col("block").alias("lb"), F.col("ids").alias("lids"), F.col("labels").alias("llabels"),
-        F.col("vecs").alias("lvecs"), F.explode(F.sequence("lo", F.col("lo") + F.col("w") - 1)).alias("rb"))
-    right = packed.select(F.col("block").cast("int").alias("rb"), F.col("ids").alias("rids"),
-                          F.col("labels").alias("rlabels"), F.col("vecs").alias("rvecs"))
-    return left.join(right, "rb").repartition(F.col("lb"), F.col("rb"))
+def _within_label_pairs(some: DataFrame, every: DataFrame, counts: dict[int, int], sizes: dict[int, int], vec: str, id_col: str,
+                        block_rows: int) -> DataFrame:
+    """Blocks of some rows of each cluster next to all blocks of the cluster; a big cluster splits into many blocks."""
+
+    def packed(df: DataFrame, rows: dict[int, int]) -> tuple[DataFrame, dict, dict]:
+        width = {c: max(1, math.ceil(n / block_rows)) for c, n in sorted(rows.items())}
+        first = dict(zip(width, np.cumsum([0, *width.values()])[:-1].tolist()))
+        of = lambda m: F.create_map(*[F.lit(x) for c in m for x in (c, m[c])])[F.col("cluster")]
+        blocks = df.select((of(first) + F.pmod(F.xxhash64(id_col), of(width))).cast("int").alias("block"), "cluster",
+                           F.struct(F.col(id_col).alias("id"), F.col(vec).alias("vec")).alias("r"))
+        return blocks.groupBy("block", "cluster").agg(F.collect_list("r").alias("rs")), first, width
+
+    left, _, _ = packed(some, counts)
+    right, first, width = packed(every, sizes)
+    lo = F.create_map(*[F.lit(x) for c in first for x in (c, first[c])])[F.col("cluster")]
+    hi = F.create_map(*[F.lit(x) for c in first for x in (c, first[c] + width[c] - 1)])[F.col("cluster")]
+    left = left.select("cluster", F.col("block").alias("lb"), F.col("rs.id").alias("lids"), F.col("rs.vec").alias("lvecs"),
+                       F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("rb"))
+    return left.join(right.select(F.col("block").alias("rb"), F.col("rs.vec").alias("rvecs")), "rb").repartition("lb", "rb")
+
+
+def _distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
+    return _exact_euclid(a, b) if p == 2 else distance_matrix(a, b, p)
+
+
+def _per_cluster(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(cluster, rows, vectors) of a batch of (…, cluster, vec)."""
+    labels, x = batch.column("cluster").to_numpy(), np.asarray(list_matrix(batch.column("vec")), dtype=float)
+    for c in np.unique(labels):
+        rows = np.flatnonzero(labels == c)
+        yield int(c), rows, x[rows]
+
+
+def _sums_to(table: DataFrame, chosen: dict[int, np.ndarray], p: float) -> dict[int, np.ndarray]:
+    """Summed distances of a few chosen vectors of each cluster to all its points: one pass, one row per task and vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = {c: np.zeros(len(v)) for c, v in chosen.items()}
+        for batch in batches:
+            for c, _, x in _per_cluster(batch):
+                if c in acc:
+                    acc[c] += _distances(chosen[c], x, p).sum(axis=1)
+        for c, s in acc.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), c, dtype=np.int32)), pa.array(np.arange(len(s), dtype=np.int32)), pa.array(s)],
+                                             names=["cluster", "at", "total"])
+
+    out = {c: np.zeros(len(v)) for c, v in chosen.items()}
+    parts = table.select("cluster", "vec").mapInArrow(run, "cluster int, at int, total double")
+    for r in parts.groupBy("cluster", "at").agg(F.sum("total").alias("total")).collect():
+        out[r["cluster"]][r["at"]] = r["total"]
+    return out
+
+
+def _cells(table: DataFrame, width: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(means, counts) of the regions of each cluster."""
+    sums = table.groupBy("cluster", "region").agg(F.count("*").alias("n"), F.array(*[F.avg(F.col("vec")[i]) for i in range(width)]).alias("mean"))
+    found: dict[int, list] = {}
+    for r in sums.collect():
+        found.setdefault(r["cluster"], []).append((r["mean"], r["n"]))
+    return {c: (np.array([m for m, _ in v]), np.array([n for _, n in v], dtype=float)) for c, v in found.items()}
 
 
 def medoids(assigned: DataFrame, vec: str, p: float = 2, id_col: str = "object_id",
-            block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(cluster, id, vec, cost): the member with the smallest summed distance to its cluster, ties to the lowest id."""
+            block_rows: int = BLOCK_ROWS, work: dict | None = None) -> DataFrame:
+    """(cluster, id, vec, cost): the member with the smallest summed distance to its cluster, ties to the lowest id.
+
+    A norm is convex, so the distances of a point to the members of a region sum to at least their number times the
+    distance to their mean. These bounds need one distance per region; the exact sum of the member with the least bound
+    then eliminates every member whose bound is larger, and only the rest is summed exactly. Where bounds say little
+    (distances that are nearly equal, as in many dimensions) all members are left. ``work`` receives the number of
+    distances computed and of those between all members.
+    """
+    spark = assigned.sparkSession
+    table = assigned.select(F.col(id_col).alias("id"), F.col("cluster").cast("int").alias("cluster"), F.col(vec).cast("array<double>").alias("vec"))
     id_type = dict(assigned.dtypes)[id_col]
-
-    def run(batches):
+    out_type = f"cluster int, {id_col} {id_type}, cost double, {vec} array<double>"
+    table = cut_lineage(table)
+    sizes = {r["cluster"]: r["count"] for r in table.groupBy("cluster").count().collect()}
+    if not sizes:
+        forget(table)
+        return spark.createDataFrame([], out_type)
+    rows, width = sum(sizes.values()), table.select(F.size("vec")).first()[0]
+    check_model_size(len(sizes) * width, "medoids")
+    tree = grow_tree(table, "vec", min(max(1, CELLS // len(sizes)), max(1, rows // 16)), rows, "id")
+    cells = _cells(table.withColumn("region", region("vec", tree)), width)
+    check_model_size(sum(m.size for m, _ in cells.values()), "region means")
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                left, right = np.stack(r.lvecs), np.stack(r.rvecs)
-                d = _exact_euclid(left, right) if p == 2 else distance_matrix(left, right, p)
-                yield pd.DataFrame({"id": np.asarray(r.lids), "cluster": np.asarray(r.llabels), "total": d.sum(axis=1)})
-
-    parts = _within_label_pairs(assigned, vec, id_col, block_rows).select(*PAIR_COLUMNS).mapInPandas(
-        run, f"id {id_type}, cluster int, total double")
-    cost = parts.groupBy("id", "cluster").agg(F.sum("total").alias("cost"))
-    best = cost.groupBy("cluster").agg(F.min_by(F.struct("id", "cost"), F.struct("cost", "id")).alias("m"))
-    return best.select("cluster", F.col("m.id").alias(id_col), F.col("m.cost").alias("cost")).join(
-        assigned.select(id_col, vec), id_col)
+            low = np.zeros(batch.num_rows)
+            for c, at, x in _per_cluster(batch):
+                means, n = cells[c]
+                low[at] = _distances(x, means, p) @ n
+            yield batch.append_column("low", pa.array(low * (1 - 1e-9)))
+
+    bounded = cut_lineage(table.mapInArrow(bounds, f"id {id_type}, cluster int, vec array<double>, low double"), table)
+    first = {r["cluster"]: np.array([r["m"]["vec"]]) for r in
+             bounded.groupBy("cluster").agg(F.min(F.struct("low", "id", "vec")).alias("m")).collect()}
+    best = {c: float(s[0]) * (1 + 1e-9) for c, s in _sums_to(bounded, first, p).items()}
+    limit = F.create_map(*[F.lit(x) for c in best for x in (c, best[c])])[F.col("cluster")]
+    left = bounded.filter(F.col("low") <= limit).select("id", "cluster", "vec")
+    counts = {r["cluster"]: r["count"] for r in left.groupBy("cluster").count().collect()}
+    if work is not None:
+        work.update(all=sum(n * n for n in sizes.values()), distances=rows + sum(
+            sizes[c] * len(m) for c, (m, _) in cells.items()) + sum(n * sizes[c] for c, n in counts.items()))
+    if sum(counts.values()) <= min(FEW, MAX_MODEL_VALUES // max(1, width)):
+        chosen: dict[int, list] = {}
+        for r in left.collect():
+            chosen.setdefault(r["cluster"], []).append((r["id"], r["vec"]))
+        totals = _sums_to(bounded, {c: np.array([v for _, v in m]) for c, m in chosen.items()}, p)
+        near = {c: t.min() * (1 + TIE) for c, t in totals.items()}
+        found = [(c, *min((i, float(t), v) for t, (i, v) in zip(totals[c], m) if t <= near[c])) for c, m in chosen.items()]
+    else:
+        def run(batches):
+            for batch in batches:
+                for r in batch.itertuples(index=False):
+                    yield pd.DataFrame({"id": np.asarray(r.lids), "cluster": r.cluster, "total": _distances(np.stack(r.lvecs), np.stack(r.rvecs), p).sum(axis=1)})
+
+        parts = _within_label_pairs(left, bounded, counts, sizes, "vec", "id", block_rows).select("cluster", "lids", "lvecs", "rvecs").mapInPandas(
+            run, f"id {id_type}, cluster int, total double")
+        cost = parts.groupBy("id", "cluster").agg(F.sum("total").alias("cost"))
+        cost = cut_lineage(cost)
+        near = cost.groupBy("cluster").agg((F.min("cost") * (1 + TIE)).alias("near"))
+        lowest = cost.join(near, "cluster").filter("cost <= near").groupBy("cluster").agg(F.min(F.struct("id", "cost")).alias("m")).select("cluster", "m.*")
+        found = [(r["cluster"], r["id"], r["cost"], r["vec"]) for r in left.join(lowest, ["cluster", "id"]).collect()]
+        forget(cost)
+    forget(bounded)
+    return spark.createDataFrame(found, out_type)
 
 
 def kmedoids(points: DataFrame, vec: str, k: int, p: float = 2, max_iter: int = 50, id_col: str = "object_id",

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from cellweave.operators import linkage, regions
+from cellweave.operators import linkage, regions, silhouette
 
 from test_statistics import points
 
@@ -44,14 +44,12 @@ def test_least_distances_are_bounds():
     assert 40 < regions.least_distances(ext[0], e, 3)[0, 0] <= dist(x, far).min()
 
 
-@pytest.mark.parametrize("shape", ["blobs", "grid", "copies"])
+@pytest.mark.parametrize("shape", ["blobs", "ties"])
 def test_spanning_tree_over_compact_blocks(spark, shape):
     if shape == "blobs":
         x = np.concatenate([RNG.normal(c, 0.4, size=(30, 3)) for c in (-9, -3, 2, 8, 15)])
-    elif shape == "grid":
-        x = np.array([[i, j] for i in range(7) for j in range(7)], dtype=float)
     else:
-        x = np.concatenate([np.repeat([[1.0, 2.0]], 40, axis=0), RNG.normal(size=(25, 2))])
+        x = np.array([[i, j] for i in range(4) for j in range(6)] + [[1, 2]] * 20, dtype=float)
     compared = []
     edges = linkage.minimum_spanning_tree(points(spark, x), "vec", block_rows=16, compared=compared).collect()
     assert len(edges) == len(x) - 1
@@ -66,3 +64,33 @@ def test_spanning_tree_over_compact_blocks(spark, shape):
 def test_spanning_tree_of_very_few_points(spark, n):
     df = points(spark, np.arange(2 * n, dtype=float).reshape(n, 2)) if n else points(spark, np.zeros((1, 2))).limit(0)
     assert linkage.minimum_spanning_tree(df, "vec").count() == max(0, n - 1)
+
+
+def brute_medoid(x, p):
+    d = dist(x, x) if p == 2 else np.abs(x[:, None] - x[None]).sum(-1)
+    return d.sum(1).argmin(), d.sum(1).min()
+
+
+@pytest.mark.parametrize("p, few", [(2, True), (1, True), (2, False)])
+def test_medoids_by_elimination(spark, monkeypatch, p, few):
+    if not few:
+        monkeypatch.setattr(silhouette, "FEW", 0)
+    x = np.concatenate([RNG.normal(c, 0.7, size=(n, 3)) for c, n in ((-5, 900), (0, 1), (6, 500))] + [np.full((40, 3), 30.0)])
+    label = np.repeat([0, 1, 2, 3], [900, 1, 500, 40])
+    df = points(spark, x, cluster=[int(c) for c in label]).selectExpr("object_id", "vec", "cast(cluster as int) cluster")
+    work = {}
+    got = {r["cluster"]: r for r in silhouette.medoids(df, "vec", p, block_rows=100, work=work).collect()}
+    for c in range(4):
+        own = np.flatnonzero(label == c)
+        at, cost = brute_medoid(x[own], p)
+        assert got[c]["object_id"] == own[at] and got[c]["cost"] == pytest.approx(cost)
+        assert got[c]["vec"] == x[own[at]].tolist()
+    assert work["distances"] < 0.2 * work["all"]
+
+
+def test_medoids_where_nothing_can_be_eliminated(spark):
+    x = np.eye(40)
+    df = points(spark, x).selectExpr("object_id", "vec", "1 cluster")
+    (row,) = silhouette.medoids(df, "vec", block_rows=16).collect()
+    assert row["object_id"] == 0 and row["cost"] == pytest.approx(39 * np.sqrt(2))
+    assert silhouette.medoids(df.limit(0), "vec").count() == 0
