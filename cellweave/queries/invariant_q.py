@@ -15,6 +15,7 @@ from cellweave.operators import assign, classify, kmeans, normalize, silhouette
 from cellweave.operators.order_stats import quantile
 from cellweave.queries import base as B
 from cellweave.queries import cluster_base as C
+from cellweave.session import cut_lineage
 
 W, r = B.with_sql, B.r
 
@@ -46,7 +47,7 @@ def kmedians_fixed_point(spark, sf):
     z = _points(spark, sf)
     fit = kmeans.kmedians(z, "vec", 4)
     a = kmeans.assign(z, "vec", fit)
-    long = a.select("cluster", F.posexplode("vec").alias("feature", "value"))
+    long = cut_lineage(a.select("cluster", F.posexplode("vec").alias("feature", "value")))
     gap = max(abs(fit.centroids[x["cluster"], x["feature"]] - x["m"])
               for x in quantile(long, ["cluster", "feature"], "value", 0.5, "m").collect())
     return _totals(a, shift=gap, changed=fit.changed[-1])

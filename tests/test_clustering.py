@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.operators import assign, gap, kdtree, kmeans, linkage, seeds, silhouette
+from cellweave.functions.partials import packed_blocks
+from cellweave.functions.vectors import distance_matrix
+from cellweave.operators import assign, gap, kdtree, kmeans, linkage, member_medians, seeds, silhouette
 
 from test_statistics import points
 
@@ -284,3 +286,39 @@ def test_gap_curve_equals_single_fits(blobs):
             logs.append(math.log(gap.within_cluster_distance(assign_nearest(s, "vec", fit.centroids))))
         assert r["gap"] == pytest.approx(np.mean(logs[1:]) - logs[0], rel=1e-9)
         assert r["sk"] == pytest.approx(np.std(logs[1:]) * math.sqrt(1.5), abs=1e-9)
+
+
+def _blocks(spark, x):
+    return packed_blocks(spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "object_id long, vec array<double>").repartition(3), "vec", 64)
+
+
+def test_member_medians_are_exact(spark):
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 5, 1501) / 4.0, rng.normal(size=1501) * 1e-7 + 3.0, rng.standard_cauchy(1501) * 1e6])
+    for rows in (x, x[:-1], np.repeat(x[:3], 700, axis=0), x[:1]):
+        c = np.array([rows[0], rows[-1] + 0.5, [1e9, 1e9, 1e9]])
+        near = np.abs(rows[:, None] - c[None]).sum(axis=2)
+        best = near.argmin(axis=1)
+        found, inertia, changed = member_medians.member_medians(_blocks(spark, rows), c, None, lambda a, b: distance_matrix(a, b, 1))
+        want = np.array([np.median(rows[best == j], axis=0) if (best == j).any() else np.full(3, np.nan) for j in range(3)])
+        assert np.allclose(found, want, rtol=1e-12, atol=0, equal_nan=True)
+        assert np.isclose(inertia, near.min(axis=1).sum()) and changed == len(rows)
+        assert member_medians.member_medians(_blocks(spark, rows), c, c, lambda a, b: distance_matrix(a, b, 1))[2] == 0
+
+
+def test_median_rounds_are_few_passes(spark):
+    """A round used to run a sketch, a histogram and two joins over one row per point and feature."""
+    rng = np.random.default_rng(6)
+    points = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(3000, 3)).tolist())], "object_id long, vec array<double>").persist()
+    spark.sparkContext.setJobGroup("medians", "medians")
+    fit = kmeans.kmedians(points, "vec", 3, max_iter=6)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("medians")
+    spark.sparkContext.setJobGroup("", "")
+    points.unpersist()
+    assert len(jobs) <= 10 + 6 * fit.rounds
+
+
+def test_far_points_are_cut_down_before_the_driver(spark):
+    points = spark.range(5000).repartition(20).select(F.col("id").alias("object_id"), F.array(F.col("id").cast("double")).alias("vec"))
+    assert kmeans.farthest_first(points, "vec", 3)[1] == [0, 4999, 2499]
+    assert [v.tolist() for v in kmeans.farthest_points(points, "vec", np.array([[0.0]]), 2, 2, None, "object_id")] == [[4999.0], [4998.0]]
