@@ -11,6 +11,7 @@ from cellweave.operators import grouping, masks, normalize, profiles, validation
 from cellweave.queries import base as B
 from cellweave.queries import cluster_base as C
 from cellweave.queries.quality_q import split
+from cellweave.session import cut_lineage
 
 W, r = B.with_sql, B.r
 K = 6
@@ -59,12 +60,19 @@ def _well_profiles(spark, sf):
     return profiles.hard_profiles(rows, "vec", c), c
 
 
-def _map(spark, sf, metric, threshold=0.0):
-    prof, c = _well_profiles(spark, sf)
+def _map(spark, sf, metric, threshold=0.0, made=None):
+    """Map of the well profiles, or of those ``made`` before for several maps."""
+    prof, c = made or _well_profiles(spark, sf)
     a = profiles.bin_similarity(c) if metric == "quadratic_chi" else None
     return profiles.distance_map(prof, metric, threshold, a, 0.5, K)
 
 
+def _stored_profiles(spark, sf):
+    """Well profiles that several maps start from, summed once."""
+    prof, c = _well_profiles(spark, sf)
+    return cut_lineage(prof), c
+
+
 def _map_query(metric, threshold=0.0):
     return lambda spark, sf: _map(spark, sf, metric, threshold).select("row_group", "col_group", r("distance"))
 
@@ -169,22 +177,23 @@ def treatment_map(spark, sf):
     prof = profiles.soft_profiles(cells.withColumn("group_name", F.col("treatment")), "vec", c)
     heat = profiles.distance_map(prof, "l1_norm", k=K)
     rnd = validation.random_split_distances(cells, "treatment", "vec", c, "l1_norm", "seed_key", FREE)
-    rep = validation.replicate_split_distances(cells, "treatment", "vec", c, "l1_norm", FREE, "plate")
+    rep = cut_lineage(validation.replicate_split_distances(cells, "treatment", "vec", c, "l1_norm", FREE, "plate"))
     limit = rep.agg(F.avg("distance")).first()[0]
     return validation.treatment_map(heat, rnd, rep, "treatment", limit).select(
         "row_group", "col_group", r("distance"), "is_flagged")
 
 
 def combined_map(spark, sf):
-    return validation.combine_maps(_map(spark, sf, "l1_norm").union(_map(spark, sf, "l1_norm", 0.4))).select(
+    made = _stored_profiles(spark, sf)
+    return validation.combine_maps(_map(spark, sf, "l1_norm", made=made).union(_map(spark, sf, "l1_norm", 0.4, made))).select(
         "row_group", "col_group", r("distance"))
 
 
 def _runs(spark, sf):
     """Diagonal entries of random and plate split maps for two numbers of clusters."""
-    out = None
+    out, scored = None, B.z_cells(spark, sf)
     for k, label in ((6, C.LABEL), (3, C.COARSE)):
-        z, c, _ = C.z_model(spark, sf, label, k)
+        z, c, _ = C.z_model(spark, sf, label, k, scored)
         cells = z.drop("cluster").withColumn("is_non_control", F.lit(True))
         parts = [
             validation.random_split_distances(cells, "treatment", "vec", c, "l1_norm", "seed_key",
@@ -208,10 +217,10 @@ def diagonal_by_clusters(spark, sf):
 
 
 def _curve(spark, sf):
-    out = None
+    out, made = None, _stored_profiles(spark, sf)
     for metric in ("l1_norm", "l2_norm"):
         for t in (0, 20, 40):
-            q = profiles.map_quality(_map(spark, sf, metric, t / 100)).select(
+            q = profiles.map_quality(_map(spark, sf, metric, t / 100, made)).select(
                 F.lit(metric).alias("metric"), F.lit(t).alias("param1"), r("quality"))
             out = q if out is None else out.union(q)
     return out

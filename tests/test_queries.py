@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from cellweave.operators import quality
 from oracle import compare, connection
 
 QUICK = [
@@ -36,3 +37,13 @@ def test_contract():
 def test_scan_is_pruned(spark, sf):
     plan = entry.queries()["qc_code_counts"](spark, sf)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<l_quantity:double,l_extendedprice:double,l_discount:double>" in plan
+
+
+@pytest.mark.parametrize("name", ["quality_curve", "diagonal_by_clusters", "treatment_map"])
+def test_quality_control_runs_once_for_all_maps(spark, sf, name, monkeypatch):
+    """Each map and split used to run the quality control anew, several times over."""
+    calls = []
+    real = quality.run_quality_control
+    monkeypatch.setattr(quality, "run_quality_control", lambda *a: calls.append(1) or real(*a))
+    plan = entry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(calls) == 1 and "l_orderkey" not in plan
