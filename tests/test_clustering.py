@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions.partials import packed_blocks
-from cellweave.functions.vectors import distance_matrix
+from cellweave.functions.vectors import distance_matrix, nearest_rows
 from cellweave.operators import assign, gap, kdtree, kmeans, linkage, member_medians, seeds, silhouette
 
 from test_statistics import points
@@ -322,3 +322,13 @@ def test_far_points_are_cut_down_before_the_driver(spark):
     points = spark.range(5000).repartition(20).select(F.col("id").alias("object_id"), F.array(F.col("id").cast("double")).alias("vec"))
     assert kmeans.farthest_first(points, "vec", 3)[1] == [0, 4999, 2499]
     assert [v.tolist() for v in kmeans.farthest_points(points, "vec", np.array([[0.0]]), 2, 2, None, "object_id")] == [[4999.0], [4998.0]]
+
+
+def test_nearest_rows_break_ties_like_the_distances(spark):
+    x = np.random.default_rng(8).integers(0, 4, size=(500, 3)) / 2.0
+    c = np.concatenate([x[:4], x[:2], x[4:7] + 0.25])
+    d = distance_matrix(x, c)
+    best, low = nearest_rows(x, c)
+    assert best.tolist() == d.argmin(axis=1).tolist() and low.tolist() == d.min(axis=1).tolist()
+    sums = kmeans.member_sums(x, c, None, 2, None)
+    assert np.allclose(sums[:, :3], [x[best == j].sum(axis=0) for j in range(len(c))]) and sums[:, 3].tolist() == np.bincount(best, minlength=len(c)).tolist()
