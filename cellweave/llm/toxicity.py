@@ -53,6 +53,9 @@ _LETTER = re.compile(r"[^\W\d_]")
 _STRETCH = re.compile(r"([^\W\d_])\1\1|([^\W\d_])\2.*([^\W\d_])\3")
 _DOUBLED = re.compile(r"(.)\1")
 _LONG_RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
+#: What a pair of brackets holds, and a number with its sign: neither bracket nor sign stands for a letter there.
+_PAIRED = re.compile(r"\(([^()]+)\)[.,;:?!\"']*")
+_AMOUNT = re.compile(r"\$[0-9]+|[0-9]+%")
 _ALIKE = re.compile(r"[0-9@$!|+(<€£¡*#%&]+")
 _JOINTS = re.compile(r"[./\\_,;:?\"'=~\[\]{}…–—-]+")
 _BETWEEN = r"[\s.,\-_*/\\]"
@@ -263,10 +266,15 @@ def suspicious(w: str, core: str) -> bool:
     """Look-alikes among or next to letters or at least two kinds of them alone, a letter three times, or two letters twice each."""
     if not w.isalpha() and _INNER.search(w):
         if _LETTER.search(w):
-            if _INNER.search(core) or len(w) - len(core) > 1 or _RIM_END.search(w) or _RIM_START.match(w) and not ("(" in w and ")" in w):
+            paired = _PAIRED.fullmatch(w)
+            rim = paired[1] if paired else w
+            if _INNER.search(core) or len(rim) - len(rim.strip(_EDGE)) > 1 or _RIM_END.search(rim) or _RIM_START.match(rim) and not (
+                    "(" in rim and ")" in rim):
                 return True
         else:
             alone = w.strip(".,;:?\"')]}[{")
+            if _AMOUNT.fullmatch(alone):
+                return False
             if _ALIKE.fullmatch(alone) and len(set(alone)) > 1 or len(_JOINTS.split(alone)) > 1 and any(
                     _ALIKE.fullmatch(x) and len(set(x)) > 1 for x in _JOINTS.split(alone)):
                 return True
