@@ -1,12 +1,13 @@
 """Clustering operators against brute force and invariants on small seeded data."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cellweave.functions.partials import packed_blocks
 from cellweave.functions.vectors import distance_matrix, nearest_rows
-from cellweave.operators import assign, gap, kdtree, kmeans, linkage, member_medians, seeds, silhouette
+from cellweave.operators import assign, blocks, gap, kdtree, kmeans, linkage, member_medians, seeds, silhouette
 
 from test_statistics import points
 
@@ -332,3 +333,17 @@ def test_nearest_rows_break_ties_like_the_distances(spark):
     assert best.tolist() == d.argmin(axis=1).tolist() and low.tolist() == d.min(axis=1).tolist()
     sums = kmeans.member_sums(x, c, None, 2, None)
     assert np.allclose(sums[:, :3], [x[best == j].sum(axis=0) for j in range(len(c))]) and sums[:, 3].tolist() == np.bincount(best, minlength=len(c)).tolist()
+
+
+def test_grown_blocks_are_copied_less_and_sum_the_same(spark):
+    x = np.random.default_rng(9).normal(size=(400, 3))
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "object_id long, vec array<double>")
+
+    def kernel(lids, llabels, left, rids, rlabels, right):
+        return pd.DataFrame({"id": lids, "low": np.sqrt(((left[:, None] - right[None]) ** 2).sum(-1)).sum(axis=1), "size": len(lids) * len(rids)})
+
+    rows = blocks.blocked_reduce(frame, "object_id", "vec", None, kernel, "id long, low double, size long", block_rows=8).toPandas()
+    want = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)).sum(axis=1)
+    assert np.allclose(rows.groupby("id")["low"].sum().sort_index(), want)
+    # 16 blocks of 25 points instead of 50 of 8: each point meets that many blocks, and a call no more pairs than some blocks of 8
+    assert len(rows) == 400 * 16 and rows["size"].max() <= 4 * 64
