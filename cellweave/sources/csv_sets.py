@@ -5,27 +5,39 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Callable, Sequence
+from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-ROWS = "base string, kind string, row_no bigint, image_values map<string,string>, values map<string,string>, error string"
+#: One row per set with objects, one per empty set and one per fault. A set's rows hold the texts in the order of ``names``.
+SETS = ("base string, kind string, image_values map<string,string>, names array<string>, rows array<array<string>>, "
+        "error string")
 
 
-def list_files(spark: SparkSession, path: str, image_postfix: str, object_postfixes: Sequence[str],
-               extension: str = ".csv") -> DataFrame:
-    """(path, base, kind) of every file whose name ends with a known postfix; contents are not read."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", f"*{extension}").load(path).select("path"))
+def _files(spark: SparkSession, path: str, extension: str) -> DataFrame:
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", f"*{extension}").load(path))
+
+
+def _listed(files: DataFrame, image_postfix: str, object_postfixes: Sequence[str], extension: str) -> DataFrame:
+    """Adds base and kind; files whose name ends with no known postfix go."""
     kind, base = F.lit(None).cast("string"), F.lit(None).cast("string")
     for postfix in [image_postfix, *object_postfixes]:
         tail = postfix + extension
         hit = F.col("path").endswith(tail)
         kind = F.when(hit, F.lit(postfix)).otherwise(kind)
         base = F.when(hit, F.expr(f"substring(path, 1, length(path) - {len(tail)})")).otherwise(base)
-    return files.select("path", base.alias("base"), kind.alias("kind")).filter(F.col("kind").isNotNull())
+    return files.withColumns({"base": base, "kind": kind}).filter(F.col("kind").isNotNull())
+
+
+def list_files(spark: SparkSession, path: str, image_postfix: str, object_postfixes: Sequence[str],
+               extension: str = ".csv") -> DataFrame:
+    """(path, base, kind) of every file whose name ends with a known postfix; contents are not read."""
+    return _listed(_files(spark, path, extension), image_postfix, object_postfixes, extension).select("path", "base", "kind")
 
 
 def incomplete_sets(files: DataFrame, image_postfix: str, object_postfixes: Sequence[str]) -> DataFrame:
@@ -35,6 +47,72 @@ def incomplete_sets(files: DataFrame, image_postfix: str, object_postfixes: Sequ
     return expected.join(files.select("base", "kind"), ["base", "kind"], "left_anti")
 
 
+def _table(content: bytes, delimiter: str) -> tuple[list[str], list[list]]:
+    """Header and rows of a file as csv.DictReader sees them: no blank rows, missing values null."""
+    lines = csv.reader(io.StringIO(content.decode("utf-8")), delimiter=delimiter)
+    header = next(lines, [])
+    return header, [x + [None] * (len(header) - len(x)) for x in lines if x]
+
+
+def _fitting(base: str, names: list[str], rows: list[list]) -> list[list]:
+    """The rows, none of which may have more values than there are names."""
+    widest = max(map(len, rows), default=0)
+    if widest > len(names):
+        raise ValueError(f"{base}: a row has {widest} values, the header {len(names)}")
+    return rows
+
+
+def _glue(base: str, tables: dict, image_kind: str, kinds: Sequence[str]) -> list[dict]:
+    """Rows of SETS for one complete set."""
+    names, lines = tables[image_kind]
+    image = dict(zip(names, _fitting(base, names, lines[:1])[0])) if lines else {}
+    counts = {k: len(tables[k][1]) for k in kinds}
+    row = {"base": base, "image_values": list(image.items()), "names": [], "rows": None, "error": None}
+    if len(set(counts.values())) > 1:
+        return [{**row, "kind": "error", "error": f"row counts differ: {counts}"}]
+    out = []
+    if counts[kinds[0]]:
+        column = {}  # of equal names the first gives the place, the last the values
+        width = 0
+        for k in kinds:
+            prefix = k.strip("_") + "_"
+            for i, n in enumerate(tables[k][0]):
+                column[n if n.startswith(prefix) else prefix + n] = width + i
+            width += len(tables[k][0])
+        glued = [list(chain.from_iterable(x)) for x in zip(*[_fitting(base, *tables[k]) for k in kinds])]
+        at = list(column.values())
+        if at != list(range(width)):
+            glued = [[x[i] for i in at] for x in glued]
+        out.append({**row, "kind": "object", "names": list(column), "rows": glued})
+    if len(lines) > 1:
+        out.append({**row, "kind": "error", "error": f"image file has {len(lines)} rows, the first is used"})
+    return out or [{**row, "kind": "empty"}]
+
+
+def _sets(files: DataFrame, image_postfix: str, object_postfixes: Sequence[str], delimiter: str, extension: str) -> DataFrame:
+    """SETS of all complete sets: one scan of the files, one shuffle by base."""
+    named = _listed(files, image_postfix, object_postfixes, extension).select("base", "kind", "content")
+    image_kind, kinds = image_postfix, list(object_postfixes)
+    wanted = {image_kind, *kinds}
+    schema = to_arrow_schema(_parse_datatype_string(SETS))
+
+    def glue(part: pa.Table) -> pa.Table:
+        found = part.column("kind").to_pylist()
+        if wanted - set(found):
+            return schema.empty_table()
+        tables = {k: _table(c.as_py(), delimiter) for k, c in zip(found, part.column("content"))}
+        return pa.Table.from_pylist(_glue(part.column("base")[0].as_py(), tables, image_kind, kinds), schema=schema)
+
+    return named.groupBy("base").applyInArrow(glue, SETS)
+
+
+def _objects(sets: DataFrame) -> DataFrame:
+    """One row per row of each set; sets without rows keep one, numbered −1."""
+    values = F.when(F.col("_row").isNull(), F.create_map().cast("map<string,string>")).otherwise(F.map_from_arrays("names", "_row"))
+    return sets.select("base", "kind", "image_values", "names", "error", F.posexplode_outer("rows").alias("_at", "_row")).select(
+        "base", "kind", F.coalesce("_at", F.lit(-1)).cast("bigint").alias("row_no"), "image_values", values.alias("values"), "error")
+
+
 def read_sets(spark: SparkSession, path: str, image_postfix: str, object_postfixes: Sequence[str],
               delimiter: str = ",", extension: str = ".csv") -> DataFrame:
     """One row per object of every complete set, all values as text, plus one error row per broken set.
@@ -42,43 +120,7 @@ def read_sets(spark: SparkSession, path: str, image_postfix: str, object_postfix
     A set is one image, so its files are small; sets are spread over the cluster
     by their base name and glued by position inside one task each.
     """
-    files = list_files(spark, path, image_postfix, object_postfixes, extension)
-    bad = incomplete_sets(files, image_postfix, object_postfixes).select("base").distinct()
-    images = files.filter(F.col("kind") == image_postfix).select("base").distinct()
-    complete = images.join(bad, "base", "left_anti")
-    contents = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", f"*{extension}").load(path).select("path", "content"))
-    keyed = contents.join(files, "path").join(complete, "base", "left_semi")
-    image_kind, kinds = image_postfix, list(object_postfixes)
-
-    def glue(pdf: pd.DataFrame) -> pd.DataFrame:
-        base = pdf["base"].iloc[0]
-        tables = {}
-        for kind, content in zip(pdf["kind"], pdf["content"]):
-            text = bytes(content).decode("utf-8")
-            tables[kind] = list(csv.DictReader(io.StringIO(text), delimiter=delimiter))
-        image = tables[image_kind][0] if tables[image_kind] else {}
-        counts = {k: len(tables[k]) for k in kinds}
-        if len(set(counts.values())) > 1:
-            return pd.DataFrame([{"base": base, "kind": "error", "row_no": -1, "image_values": image, "values": {},
-                                  "error": f"row counts differ: {counts}"}])
-        rows = []
-        for i in range(counts[kinds[0]]):
-            values = {}
-            for k in kinds:
-                prefix = k.strip("_") + "_"
-                values.update({n if n.startswith(prefix) else prefix + n: v for n, v in tables[k][i].items()})
-            rows.append({"base": base, "kind": "object", "row_no": i, "image_values": image, "values": values,
-                         "error": None})
-        if len(tables[image_kind]) > 1:
-            rows.append({"base": base, "kind": "error", "row_no": -1, "image_values": image, "values": {},
-                         "error": f"image file has {len(tables[image_kind])} rows, the first is used"})
-        if not rows:
-            rows = [{"base": base, "kind": "empty", "row_no": -1, "image_values": image, "values": {}, "error": None}]
-        return pd.DataFrame(rows)
-
-    return keyed.groupBy("base").applyInPandas(glue, ROWS)
+    return _objects(_sets(_files(spark, path, extension), image_postfix, object_postfixes, delimiter, extension))
 
 
 def infer_types(rows: DataFrame, names: Sequence[str], force_string: Sequence[str] = (),
@@ -144,20 +186,22 @@ def import_csv(spark: SparkSession, path: str, image_postfix: str, object_postfi
                extension: str = ".csv", id_columns: Sequence[str] = (),
                extractors: dict[str, Callable[[Sequence[str]], Column]] | None = None) -> dict[str, DataFrame]:
     """objects, images, errors and incomplete tables of a directory of CSV sets."""
-    rows = read_sets(spark, path, image_postfix, object_postfixes, delimiter, extension).persist()
-    good = rows.filter("kind <> 'error'")
-    image_names = map_names(good, "image_values")
-    object_names = map_names(good, "values")
+    found = _files(spark, path, extension)
+    sets = _sets(found, image_postfix, object_postfixes, delimiter, extension).persist()
+    good = sets.filter("kind <> 'error'")
     per_image = good.select("base", "image_values", F.lit(0).alias("row_no")).dropDuplicates(["base"])
+    image_names = map_names(per_image, "image_values")
+    first = good.filter(F.size("names") > 0).agg(F.min_by("names", "base")).first()
+    object_names = list(first[0] or [])
     image_types = infer_types(per_image, image_names, id_columns, "image_values")
     images = typed_columns(per_image, image_types, ["base"], "image_values")
     images = images.withColumn("image_files", image_files(image_names))
     for name, extractor in (extractors or {}).items():
         images = images.withColumn(name, extractor(images.columns))
-    only = good.filter("kind = 'object'")
+    only = _objects(sets.filter("kind = 'object'"))
     object_types = infer_types(only, object_names, id_columns)
     objects = typed_columns(only, object_types, ["base", "row_no"], features_only=True)
     objects = objects.withColumn("object_id", F.concat_ws("#", "base", F.col("row_no").cast("string")))
-    files = list_files(spark, path, image_postfix, object_postfixes, extension)
-    return {"objects": objects, "images": images, "errors": rows.filter("kind = 'error'").select("base", "error"),
+    files = _listed(found, image_postfix, object_postfixes, extension).select("base", "kind")
+    return {"objects": objects, "images": images, "errors": sets.filter("kind = 'error'").select("base", "error"),
             "incomplete": incomplete_sets(files, image_postfix, object_postfixes)}

@@ -35,6 +35,30 @@ def test_csv_sets(spark, tmp_path):
     assert "row counts differ" in t["errors"].first()["error"]
 
 
+def test_csv_import_scans_the_files_once(spark, tmp_path, monkeypatch):
+    """One listing, one shuffle of contents; odd headers, short rows and quotes as csv.DictReader reads them."""
+    for base, cells in (("a", 'Area,Area,Cells_Note\n1,2,"x,\ny"\n\n3,4\n'), ("b", None), ("c", "Area\n"), ("d", "Area\n5\n6\n")):
+        write(tmp_path / f"{base}_Image.csv", "ImageNumber,Well\n" + "".join(f"{i},w\n" for i in range(2 if base == "a" else 1)))
+        write(tmp_path / f"{base}_Nuclei.csv", "Location\n" + {"a": "7\n8\n", "b": "1\n", "c": "", "d": "9\n"}[base])
+        if cells is not None:
+            write(tmp_path / f"{base}_Cells.csv", cells)
+    rows = csv_sets.read_sets(spark, str(tmp_path), "_Image", ["_Nuclei", "_Cells"])
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("binaryFile") == 1 and "Join" not in plan
+    got = {(r["base"][-1], r["kind"], r["row_no"]): r for r in rows.collect()}
+    assert set(got) == {("a", "object", 0), ("a", "object", 1), ("a", "error", -1), ("c", "empty", -1), ("d", "error", -1)}
+    assert got["a", "object", 0]["values"] == {"Nuclei_Location": "7", "Cells_Area": "2", "Cells_Note": "x,\ny"}
+    assert got["a", "object", 1]["values"] == {"Nuclei_Location": "8", "Cells_Area": "4", "Cells_Note": None}
+    assert got["a", "object", 0]["image_values"] == {"ImageNumber": "0", "Well": "w"} and got["c", "empty", -1]["values"] == {}
+    assert "row counts differ" in got["d", "error", -1]["error"] and "2 rows" in got["a", "error", -1]["error"]
+    scans = []
+    listed = csv_sets._files
+    monkeypatch.setattr(csv_sets, "_files", lambda *a: scans.append(a) or listed(*a))
+    tables = csv_sets.import_csv(spark, str(tmp_path), "_Image", ["_Nuclei", "_Cells"])
+    assert len(scans) == 1 and tables["objects"].count() == 2 and tables["images"].count() == 2
+    assert [(r["base"][-1], r["kind"]) for r in tables["incomplete"].collect()] == [("b", "_Cells")]
+
+
 def test_dataset_and_model_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", 0.5)], "object_id bigint, treatment string, f1 double")
     dataset.save_dataset({"objects": df}, str(tmp_path / "d"), ["f1"])
