@@ -94,3 +94,26 @@ def test_medoids_where_nothing_can_be_eliminated(spark):
     (row,) = silhouette.medoids(df, "vec", block_rows=16).collect()
     assert row["object_id"] == 0 and row["cost"] == pytest.approx(39 * np.sqrt(2))
     assert silhouette.medoids(df.limit(0), "vec").count() == 0
+
+
+def test_medoids_of_nearly_equal_distances(spark):
+    """Around a member in many dimensions the regions say nothing; the spread of the cluster leaves few members."""
+    x = np.random.default_rng(5).normal(size=(3000, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = np.flatnonzero(x @ x[0] > 0.05)
+    work = {}
+    df = points(spark, x[near]).selectExpr("object_id", "vec", "0 cluster")
+    (row,) = silhouette.medoids(df, "vec", work=work).collect()
+    at, cost = brute_medoid(x[near], 2)
+    assert row["object_id"] == at and row["cost"] == pytest.approx(cost)
+    assert work["distances"] < 0.3 * work["all"]
+
+
+def test_spread_bounds_never_exceed_the_sums():
+    for x in (RNG.normal(size=(200, 4)), RNG.exponential(size=(100, 2)) ** 3, np.repeat([[1.0, 2.0], [1e3, 5.0]], 7, axis=0), np.ones((5, 3))):
+        m = x.mean(0)
+        z = x - m
+        w = (z * z).sum(1)
+        h = np.column_stack([w - w.mean(), z])
+        low = silhouette._spread_bounds(x, m, w.mean(), h.T @ h, len(x))
+        assert (low <= dist(x, x).sum(1) * (1 + 1e-9) + 1e-9).all()
