@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.model import check_model_size
+from cellweave.functions.partials import list_matrix, matrix_list
 from cellweave.operators import regions
 from cellweave.operators.blocks import BLOCK_ROWS, blocked_reduce
 from cellweave.operators.order_stats import distributed_rank, running_totals
@@ -209,147 +211,288 @@ def _jump(parents: DataFrame) -> DataFrame:
             return current
 
 
-def _shortest_edges(lids, lcomps, left, rids, rcomps, right) -> pd.DataFrame:
-    """Shortest edge of every component of two blocks to another component in them; of equally short ones the smallest ids."""
-    d = _exact_euclid(left, right)
-    d[lcomps[:, None] == rcomps[None, :]] = np.inf
-    parts = []
-    for ids, comps, others, foreign, dist in ((lids, lcomps, rids, rcomps, d), (rids, rcomps, lids, lcomps, d.T)):
-        low = dist.min(axis=1)
-        ties = dist == low[:, None]
-        lo = np.where(ties, np.minimum(ids[:, None], others[None, :]), np.iinfo(np.int64).max)
-        best_lo = lo.min(axis=1)
-        hi = np.where(ties & (lo == best_lo[:, None]), np.maximum(ids[:, None], others[None, :]), np.iinfo(np.int64).max)
-        at = hi.argmin(axis=1)
-        row = np.arange(len(ids))
-        order = np.lexsort((hi[row, at], best_lo, low, comps))
-        first = order[np.diff(comps[order], prepend=comps[order[0]] - 1) != 0]
-        keep = first[np.isfinite(low[first])]
-        parts.append(pd.DataFrame({"comp": comps[keep], "other": foreign[at[keep]], "d": low[keep], "lo": best_lo[keep], "hi": hi[keep, at[keep]]}))
-    return pd.concat(parts)
+#: Nearest points listed for each point, groups of points that meet each other, and points of a group at most.
+LISTED, GROUPS, GROUP_ROWS = 8, 12, 65_536
+#: Distances computed at a time from true differences.
+EXACT = 1 << 16
 
 
-_EDGE_ROWS = "comp bigint, other bigint, d double, lo bigint, hi bigint"
+class _Side:
+    """Points of one side of a meeting, in order of their blocks, with the extent of each block."""
 
+    def __init__(self, t: pa.Table, width: int, origin: np.ndarray | None = None):
+        t = t.sort_by("block").combine_chunks()
+        self.ids, self.comps, self.reach = (t[c].to_numpy() for c in ("id", "comp", "reach"))
+        self.x = np.asarray(list_matrix(t["vec"].combine_chunks()), dtype=float) if t.num_rows else np.empty((0, width))
+        if self.x.shape[1] != width:
+            raise ValueError("vectors of different lengths")
+        self.origin = origin if origin is not None else self.x.mean(axis=0) if len(self.x) else np.zeros(width)
+        self.y = self.x - self.origin
+        self.norms = np.einsum("ij,ij->i", self.y, self.y)
+        block = t["block"].to_numpy()
+        cuts = np.flatnonzero(np.diff(block)) + 1
+        self.tiles = [slice(int(i), int(j)) for i, j in zip([0, *cuts], [*cuts, len(block)])] if len(block) else []
 
-def _edges_between(packed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Candidates of the listed block pairs (lb, rb)."""
-    side = lambda b, x: packed.select(F.col("block").alias(b), F.col("ids").alias(f"{x}ids"), F.col("comps").alias(f"{x}comps"),
-                                      F.col("vecs").alias(f"{x}vecs"))
-    joined = pairs.join(side("lb", "l"), "lb").join(side("rb", "r"), "rb").repartition("lb", "rb")
+    def extents(self) -> np.ndarray:
+        return np.stack([regions.extent(self.x[t]) for t in self.tiles])
 
-    def run(batches):
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                yield _shortest_edges(np.asarray(r.lids), np.asarray(r.lcomps), np.stack(r.lvecs),
-                                      np.asarray(r.rids), np.asarray(r.rcomps), np.stack(r.rvecs))
 
-    return joined.select("lids", "lcomps", "lvecs", "rids", "rcomps", "rvecs").mapInPandas(run, _EDGE_ROWS)
+def _squares(left: _Side, i: slice, right: _Side, j: slice) -> np.ndarray:
+    """Squared distances of two blocks by one matrix product, known up to ``_rounding``."""
+    d = left.y[i] @ right.y[j].T
+    d *= -2.0
+    d += left.norms[i][:, None]
+    d += right.norms[j][None, :]
+    return d
 
 
-def _edges_within(packed: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                x = np.asarray(r.ids), np.asarray(r.comps), np.stack(r.vecs)
-                yield _shortest_edges(*x, *x)
+def _rounding(left: _Side, right: _Side) -> float:
+    return 8 * (left.x.shape[1] + 8) * np.finfo(float).eps * max(left.norms.max(initial=0.0), right.norms.max(initial=0.0))
 
-    return packed.select("ids", "comps", "vecs").mapInPandas(run, _EDGE_ROWS)
 
+def _true_distances(left: _Side, i: np.ndarray, right: _Side, j: np.ndarray) -> np.ndarray:
+    out = np.empty(len(i))
+    for at in range(0, len(i), EXACT):
+        diff = right.x[j[at:at + EXACT]] - left.x[i[at:at + EXACT]]
+        out[at:at + EXACT] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    return out
 
-def _nearest_foreign(described: DataFrame, p: int, n_blocks: int) -> DataFrame:
-    """(lb, rb): for every block the one with the nearest centre that may hold another component."""
 
-    def kernel(lids, llabels, left, rids, rlabels, right) -> pd.DataFrame:
-        d = regions.centre_distances(left, right, p)
-        alone = (left[:, -1] == 0)[:, None] & (right[:, -1] == 0)[None, :] & (llabels[:, None] == rlabels[None, :])
-        d[alone | (lids[:, None] == rids[None, :])] = np.inf
-        at = d.argmin(axis=1)
-        low = d[np.arange(len(lids)), at]
-        return pd.DataFrame({"lb": lids, "rb": rids[at], "d": low})[np.isfinite(low)]
+def _nearest_tiles(left: _Side, right: _Side, width: int):
+    """(tile of the left side, its tiles of the right side with the least distance to them, nearest first)."""
+    if left.tiles and right.tiles:
+        least = regions.least_distances(left.extents(), right.extents(), width)
+        for i, row in zip(left.tiles, least):
+            yield i, [(right.tiles[j], row[j]) for j in np.argsort(row, kind="stable")]
+
+
+def _fewest(row: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least values of each row."""
+    order = np.lexsort((d, row))
+    row = row[order]
+    return order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+
+
+def _listed(left: _Side, right: _Side, width: int) -> tuple[list[pa.Table], int]:
+    """The LISTED nearest points of another id within reach of each left point, and what all others are not nearer than."""
+    ids, others, ds, bounds, done = [], [], [], [], 0
+    eps = _rounding(left, right)
+    for i, tiles in _nearest_tiles(left, right, width):
+        limit = np.square(left.reach[i]) + eps
+        row, col, sq = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+        for j, least in tiles:
+            if least * least > limit.max():
+                break
+            done += 1
+            d = _squares(left, i, right, j)
+            r, c = np.nonzero(d <= limit[:, None])
+            other = left.ids[i][r] != right.ids[j][c]
+            r, c = r[other], c[other]
+            row, col, sq = np.concatenate([row, r]), np.concatenate([col, c + j.start]), np.concatenate([sq, d[r, c]])
+            keep = _fewest(row, sq, LISTED)
+            row, col, sq = row[keep], col[keep], sq[keep]
+            full = np.flatnonzero(np.bincount(row, minlength=len(limit)) >= LISTED)
+            most = np.full(len(limit), -np.inf)
+            np.maximum.at(most, row, sq)
+            limit[full] = np.minimum(limit[full], most[full])
+        ids.append(left.ids[i][row])
+        others.append(right.ids[col])
+        ds.append(_true_distances(left, row + i.start, right, col))
+        bounds.append((left.ids[i], np.sqrt(np.maximum(limit - 2 * eps, 0.0))))
+    out = [(np.concatenate(ids), np.concatenate(others), np.concatenate(ds)), tuple(map(np.concatenate, zip(*bounds)))] if ids else []
+    tables = []
+    for c in out:
+        n = len(c[0])
+        tables.append(pa.table({"id": pa.array(c[0], pa.int64()), "other": pa.array(c[1], pa.int64()) if len(c) == 3 else pa.nulls(n, pa.int64()),
+                                "d": pa.array(c[-1], pa.float64()), "work": pa.nulls(n, pa.int64())}))
+    return tables, done
+
+
+def _leaving(left: _Side, right: _Side, width: int) -> tuple[list[pa.Table], int]:
+    """Shortest edge of every component on the left to another one on the right within reach; of equal ones the smallest ids."""
+    parts, done = [], 0
+    eps = _rounding(left, right)
+    for i, tiles in _nearest_tiles(left, right, width):
+        limit, comps = np.square(left.reach[i]) + eps, left.comps[i]
+        for j, least in tiles:
+            if least * least > limit.max():
+                break
+            foreign = comps[:, None] != right.comps[j][None, :]
+            if not foreign.any():
+                continue
+            done += 1
+            d = np.where(foreign, _squares(left, i, right, j), np.inf)
+            limit = np.minimum(limit, d.min(axis=1))
+            r, c = np.nonzero(d <= (limit + 2 * eps)[:, None])
+            if not len(r):
+                continue
+            ids, other = left.ids[i][r], right.ids[j][c]
+            parts.append(_first_edges(comps[r], _true_distances(left, r + i.start, right, c + j.start), np.minimum(ids, other),
+                                      np.maximum(ids, other), right.comps[j][c]))
+    if not parts:
+        return [], done
+    best = _first_edges(*map(np.concatenate, zip(*parts)))
+    cols = dict(zip(("comp", "d", "lo", "hi", "other"), map(pa.array, best)))
+    return [pa.table({**cols, "work": pa.nulls(len(best[0]), pa.int64())})], done
+
+
+def _first_edges(comp, d, lo, hi, other) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((hi, lo, d, comp))
+    order = order[np.isfinite(d[order])]
+    order = order[np.diff(comp[order], prepend=comp[order[:1]] - 1) != 0]
+    return comp[order], d[order], lo[order], hi[order], other[order]
+
+
+_LIST_ROWS = "id bigint, other bigint, d double, work bigint"
+_EDGE_ROWS = "comp bigint, d double, lo bigint, hi bigint, other bigint, work bigint"
+
+
+def _meet(asking: DataFrame, others: DataFrame, parts: tuple[int, int], n_blocks: int, work, schema: str, width: int) -> DataFrame:
+    """``work`` on each group of asking points next to each group of others; a point is copied once per group it meets.
+
+    Rows without a key hold the number of block pairs compared.
+    """
+    n, m = parts
+    part = lambda k: F.floor(F.col("block") * k / n_blocks).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = asking.select(part(n).alias("l"), every(m).alias("r"), F.lit(True).alias("asks"), "id", "comp", "reach", "block", "vec")
+    right = others.select(every(n).alias("l"), part(m).alias("r"), F.lit(False).alias("asks"), "id", "comp",
+                          F.lit(float("inf")).alias("reach"), "block", "vec")
+
+    def run(t: pa.Table) -> pa.Table:
+        one = _Side(t.filter(t["asks"]), width)
+        found, done = work(one, _Side(t.filter(pc.invert(t["asks"])), width, one.origin), width)
+        names = [c.split()[0] for c in schema.split(", ")]
+        types = {"d": pa.float64()}
+        count = pa.table({c: pa.array([done if c == "work" else None], types.get(c, pa.int64())) for c in names})
+        return pa.concat_tables([x.select(names) for x in found] + [count])
+
+    return left.unionByName(right).repartition(n * m, "l", "r").groupBy("l", "r").applyInArrow(run, schema)
+
+
+def _block_reach(placed: DataFrame, width: int) -> DataFrame:
+    """Points (id, comp, block, vec) with the distance that holds LISTED other points of their own block."""
+
+    def run(t: pa.Table) -> pa.Table:
+        side = _Side(t.append_column("reach", pa.array(np.full(t.num_rows, np.inf))), width)
+        reach = np.full(len(side.ids), np.inf)
+        if len(reach) > LISTED:
+            eps = _rounding(side, side)
+            for at in range(0, len(reach), BLOCK_ROWS):
+                i = slice(at, at + BLOCK_ROWS)
+                d = np.where(side.ids[i][:, None] == side.ids[None, :], np.inf, _squares(side, i, side, slice(None)))
+                reach[i] = np.sqrt(np.maximum(np.partition(d, LISTED - 1, axis=1)[:, LISTED - 1], 0.0) + 2 * eps)
+        return pa.table([pa.array(side.ids), pa.array(side.comps), t["block"], matrix_list(side.x), pa.array(reach)],
+                        names=["id", "comp", "block", "vec", "reach"])
+
+    return placed.select("id", F.col("id").alias("comp"), "block", "vec").groupBy("block").applyInArrow(
+        run, "id bigint, comp bigint, block int, vec array<double>, reach double")
+
+
+def _block_bounds(points: DataFrame, width: int, n_blocks: int) -> DataFrame:
+    """(comp, upper): a component in a block of its own has an edge no longer than this to another such block."""
+    label = points.groupBy("block").agg(F.min("comp").alias("label"), F.max("comp").alias("_to")).filter("label = _to").drop("_to")
+    described = cut_lineage(regions.extents(points, "vec").join(label, "block").select("block", "label", "extent"))
 
-    near = regions.block_pairs_by(described, kernel, "lb int, rb int, d double", n_blocks)
-    return near.groupBy("lb").agg(F.min(F.struct("d", "rb")).alias("m")).select("lb", F.col("m.rb").alias("rb"))
+    def kernel(lids, llabels, left, rids, rlabels, right) -> pd.DataFrame:
+        far = regions.centre_distances(left, right, width) + left[:, -1][:, None] + right[:, -1][None, :]
+        far[llabels[:, None] == rlabels[None, :]] = np.inf
+        return pd.DataFrame({"comp": llabels, "upper": far.min(axis=1) * (1 + 1e-9)})
 
+    return regions.block_pairs_by(described, kernel, "comp bigint, upper double", n_blocks).groupBy("comp").agg(F.min("upper").alias("upper"))
 
-def _reachable(described: DataFrame, p: int, n_blocks: int) -> DataFrame:
-    """(lb, rb), lb < rb: block pairs near enough to hold a shorter edge than those known, other than the ones compared.
 
-    The array of a block ends with the longest known edge of its components, its nearest block and whether it is mixed.
-    """
+_PICK = "min(struct(d, lo, hi, other))"
 
-    def kernel(lids, llabels, left, rids, rlabels, right) -> pd.DataFrame:
-        reach = np.maximum(left[:, -3][:, None], right[:, -3][None, :])
-        near = regions.least_distances(left, right, p) <= reach
-        near &= lids[:, None] < rids[None, :]
-        near &= (left[:, -1] > 0)[:, None] | (right[:, -1] > 0)[None, :] | (llabels[:, None] != rlabels[None, :])
-        near &= (left[:, -2][:, None] != rids[None, :]) & (right[:, -2][None, :] != lids[:, None])
-        i, j = np.nonzero(near)
-        return pd.DataFrame({"lb": lids[i], "rb": rids[j]})
 
-    return regions.block_pairs_by(described, kernel, "lb int, rb int", n_blocks)
+def _searched(state: DataFrame, labels: DataFrame, asked: DataFrame, width: int, n_blocks: int, groups: int,
+              compared: list | None) -> DataFrame:
+    """Shortest edge of each component of ``asked`` (comp, reach), over all points."""
+    points = cut_lineage(state.drop("comp", "reach").join(labels, "id"))
+    wanted = asked if n_blocks == 1 else asked.join(_block_bounds(points, width, n_blocks), "comp", "left").select(
+        "comp", F.least("reach", F.coalesce("upper", F.lit(float("inf")))).alias("reach"))
+    asking = cut_lineage(points.join(wanted, "comp"))
+    parts = max(1, -(-asking.count() * groups // max(1, points.count())))
+    found = cut_lineage(_meet(asking, points, (parts, groups), n_blocks, _leaving, _EDGE_ROWS, width))
+    if compared is not None:
+        compared.append((found.agg(F.sum("work")).first()[0] or 0, n_blocks * n_blocks))
+    forget(asking)
+    forget(points)
+    return found.filter("comp IS NOT NULL").drop("work")
 
 
 def minimum_spanning_tree(points: DataFrame, vec: str, id_col: str = "object_id",
                           block_rows: int = BLOCK_ROWS, compared: list | None = None) -> DataFrame:
     """Edges (lo, hi, distance) of the Euclidean minimum spanning tree of points with long ids.
 
-    Points stand in compact blocks of known extent. In each round every component first takes the shortest edge leaving it
-    within its blocks and towards the nearest block of another component; then only blocks near enough to hold a shorter
-    edge are compared. A block pair gives one candidate per component, never all pairs; components at least halve, so
-    there are at most log₂ N rounds. ``compared`` receives (block pairs compared, all block pairs) per round.
+    One pass over the block pairs lists the nearest points of each point, and the distance below which the list is whole.
+    Borůvka rounds then read the lists alone: a component joins the other end of its shortest listed edge if no edge that is
+    not listed can be shorter. Where that settles too few components, all others but the largest are searched over all
+    points. Points stand in compact blocks of known extent, so blocks that are too far are not compared, and in a fixed
+    number of groups up to GROUPS * GROUP_ROWS points, so what is shuffled grows with the points. Of equal vectors only the
+    smallest id is compared, the others hang on it. ``compared`` receives (block pairs compared, all block pairs) per pass.
     """
     spark = points.sparkSession
-    own = cut_lineage(points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).alias("vec")))
-    rows = own.count()
-    if rows < 2:
+    own = cut_lineage(points.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("vec")))
+    if own.count() < 2:
         return spark.createDataFrame([], "lo bigint, hi bigint, distance double")
-    p = own.select(F.size("vec")).first()[0]
-    placed, n_blocks = regions.compact_blocks(own, "vec", "id", rows, block_rows)
-    state = cut_lineage(placed.select("id", "vec", "block", F.col("id").alias("comp")), own)
-    shapes = cut_lineage(regions.extents(state, "vec")) if n_blocks > 1 else None
-    used = shapes.count() if n_blocks > 1 else 1
+    width = own.select(F.size("vec")).first()[0]
+    equal = cut_lineage(own.groupBy("vec").agg(F.min("id").alias("lo"), F.collect_set("id").alias("all")))
+    apart = equal.select(F.col("lo").alias("id"), "vec")
+    rows = apart.count()
+    placed, n_blocks = regions.compact_blocks(apart, "vec", "id", rows, block_rows)
+    state = cut_lineage(_block_reach(placed, width))
+    groups = min(n_blocks, max(GROUPS, -(-rows // GROUP_ROWS)))
+    lists = cut_lineage(_meet(state, state, (groups, groups), n_blocks, _listed, _LIST_ROWS, width))
+    if compared is not None:
+        compared.append((lists.agg(F.sum("work")).first()[0] or 0, n_blocks * n_blocks))
+    bounds = cut_lineage(lists.filter("id IS NOT NULL AND other IS NULL").groupBy("id").agg(F.min("d").alias("bound")))
+    near = lists.filter("other IS NOT NULL").join(bounds, "id").filter("d < bound").select(
+        F.least("id", "other").alias("lo"), F.greatest("id", "other").alias("hi"), "d")
+    star = equal.select("lo", F.explode("all").alias("hi"), F.lit(0.0).alias("d")).filter("lo <> hi")
+    live = cut_lineage(near.union(star).distinct().select(F.col("lo").alias("lc"), F.col("hi").alias("hc"), "d", "lo", "hi"), lists)
+    labels = cut_lineage(own.select("id", F.col("id").alias("comp")).distinct(), own)
+    forget(equal)
+    inf = F.lit(float("inf"))
+    comps = cut_lineage(labels.join(bounds, "id", "left").groupBy("comp").agg(
+        F.count("*").alias("n"), F.min(F.coalesce("bound", inf)).alias("bound")), bounds)
     edges = None
     while True:
-        packed = cut_lineage(state.groupBy("block").agg(F.collect_list(F.struct("id", "comp", "vec")).alias("r")).select(
-            "block", F.col("r.id").alias("ids"), F.col("r.comp").alias("comps"), F.col("r.vec").alias("vecs")))
-        cand, done = _edges_within(packed), used
-        if used > 1:
-            present = cut_lineage(state.groupBy("block", "comp").agg(F.count("*").alias("n")))
-            label = present.groupBy("block").agg(F.min("comp").alias("label"), (F.min("comp") != F.max("comp")).cast("double").alias("mixed"))
-            seen = shapes.join(label, "block")
-            tail = lambda *cols: F.concat("extent", F.array(*[F.col(c).cast("double") if isinstance(c, str) else c for c in cols])).alias("extent")
-            nearest = cut_lineage(_nearest_foreign(seen.select("block", "label", tail("mixed")), p, used))
-            first = nearest.select(F.least("lb", "rb").alias("lb"), F.greatest("lb", "rb").alias("rb")).distinct()
-            cand = early = cut_lineage(cand.union(_edges_between(packed, first)))
-            known = early.groupBy("comp").agg(F.min("d").alias("d"))
-            reach = present.join(known, "comp", "left").groupBy("block").agg(F.max(F.coalesce("d", F.lit(float("inf")))).alias("reach"))
-            described = seen.join(reach, "block").join(nearest.toDF("block", "near"), "block", "left").withColumn("near", F.coalesce("near", F.lit(-1)))
-            rest = _reachable(described.select("block", "label", tail("reach", "near", "mixed")), p, used)
-            if compared is not None:
-                done += first.count() + rest.count()
-            cand = cand.union(_edges_between(packed, rest))
-        if compared is not None:
-            compared.append((done, used * (used + 1) // 2))
-        best = cut_lineage(cand.groupBy("comp").agg(F.min(F.struct("d", "lo", "hi", "other")).alias("m")).select(
-            "comp", "m.*"))
-        if used > 1:
-            for step in (present, nearest, early):
-                forget(step)
-        forget(packed)
-        if best.limit(1).count() == 0:
+        both = live.select(F.col("lc").alias("comp"), "d", "lo", "hi", F.col("hc").alias("other")).union(
+            live.select(F.col("hc").alias("comp"), "d", "lo", "hi", F.col("lc").alias("other")))
+        best = both.groupBy("comp").agg(F.expr(_PICK).alias("m"))
+        now = cut_lineage(comps.join(best, "comp", "left").select("comp", "n", "bound", "m.*").withColumn(
+            "sure", F.coalesce(F.col("d") < F.col("bound"), F.lit(False))))
+        total, sure, largest = now.agg(F.count("*"), F.sum(F.col("sure").cast("int")), F.max(F.struct("n", (-F.col("comp")).alias("c")))).first()
+        if total < 2:
+            break
+        picks = now.filter("sure").select("comp", "d", "lo", "hi", "other")
+        if 4 * sure < total:
+            unsure = now.filter(~F.col("sure") & (F.col("comp") != -largest["c"]))
+            found = _searched(state, labels, unsure.select("comp", F.coalesce("d", inf).alias("reach")), width, n_blocks, groups, compared)
+            found = found.union(unsure.filter("d IS NOT NULL").select("comp", "d", "lo", "hi", "other"))
+            picks = picks.union(found.groupBy("comp").agg(F.expr(_PICK).alias("m")).select("comp", "m.*"))
+        picks = cut_lineage(picks)
+        if picks.isEmpty():
             break
-        new = best.select("lo", "hi", F.col("d").alias("distance")).distinct()
-        edges = cut_lineage(new if edges is None else edges.union(new), edges)
-        # the two ends of a mutual edge: the smaller component is the root
-        back = best.select(F.col("comp").alias("other"), F.col("other").alias("_back"))
-        links = best.join(back, "other").select(
-            F.col("comp").alias("node"),
-            F.when((F.col("_back") == F.col("comp")) & (F.col("comp") < F.col("other")), F.col("comp"))
-            .otherwise(F.col("other")).alias("parent"))
-        roots = _jump(cut_lineage(links))
-        state = cut_lineage(state.join(roots.withColumnRenamed("node", "comp"), "comp").select(
-            "id", "vec", "block", F.col("parent").alias("comp")), state)
+        new = picks.select("lo", "hi", F.col("d").alias("distance")).distinct()
+        edges = cut_lineage(new if edges is None else edges.union(new).distinct(), edges)
+        # the two ends of a mutual edge: the smaller component is the root; so is one that has not picked
+        back = picks.select(F.col("comp").alias("other"), F.col("other").alias("_back"))
+        joins = picks.join(back, "other", "left").select("comp", F.when(
+            (F.col("_back") == F.col("comp")) & (F.col("comp") < F.col("other")), F.col("comp")).otherwise(F.col("other")).alias("parent"))
+        roots = _jump(cut_lineage(now.select("comp").join(joins, "comp", "left").select(
+            F.col("comp").alias("node"), F.coalesce("parent", "comp").alias("parent"))))
+        to = lambda c, out: roots.select(F.col("node").alias(c), F.col("parent").alias(out))
+        live = cut_lineage(live.join(to("lc", "_l"), "lc").join(to("hc", "_h"), "hc").filter("_l <> _h").select(
+            F.col("_l").alias("lc"), F.col("_h").alias("hc"), "d", "lo", "hi"), live)
+        labels = cut_lineage(labels.join(to("comp", "_c"), "comp").select("id", F.col("_c").alias("comp")), labels)
+        comps = cut_lineage(now.join(to("comp", "_c"), "comp").groupBy(F.col("_c").alias("comp")).agg(
+            F.sum("n").alias("n"), F.min("bound").alias("bound")), comps)
+        forget(now)
+        forget(picks)
+    for step in (state, live, labels, comps):
+        forget(step)
     if edges is None:
         return spark.createDataFrame([], "lo bigint, hi bigint, distance double")
     return edges

@@ -113,16 +113,19 @@ def compact_blocks(points: DataFrame, vec: str, id_col: str, rows: int, block_ro
     return placed.withColumn("block", block("_region", F.pmod(F.xxhash64(id_col), F.lit(1 << 31)))).drop("_region"), int(width.sum())
 
 
+def extent(x: np.ndarray) -> np.ndarray:
+    """Lowest and highest corner, centre and radius of some points."""
+    c = x.mean(axis=0)
+    return np.concatenate([x.min(0), x.max(0), c, [np.sqrt(((x - c) ** 2).sum(axis=1).max())]])
+
+
 def extents(placed: DataFrame, vec: str) -> DataFrame:
     """(block, n, extent): lowest and highest corner, centre and radius of every block in one array."""
 
     def run(batches):
         for batch in batches:
             for r in batch.itertuples(index=False):
-                x = np.stack(r.vecs)
-                c = x.mean(axis=0)
-                radius = np.sqrt(((x - c) ** 2).sum(axis=1).max())
-                yield pd.DataFrame({"block": [r.block], "n": [len(x)], "extent": [np.concatenate([x.min(0), x.max(0), c, [radius]])]})
+                yield pd.DataFrame({"block": [r.block], "n": [len(r.vecs)], "extent": [extent(np.stack(r.vecs))]})
 
     return placed.groupBy("block").agg(F.collect_list(vec).alias("vecs")).mapInPandas(run, "block int, n bigint, extent array<double>")
 

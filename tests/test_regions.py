@@ -60,6 +60,18 @@ def test_spanning_tree_over_compact_blocks(spark, shape):
         assert sum(a for a, _ in compared) < 0.4 * sum(b for _, b in compared)
 
 
+def test_spanning_tree_of_nearly_equal_distances_takes_few_passes(spark):
+    """Lists of nearest points settle the rounds; not every round compares the blocks again. Equal vectors hang on the smallest id."""
+    x = np.random.default_rng(3).normal(size=(300, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = np.concatenate([x, x[:12], x[:3]])
+    compared = []
+    edges = linkage.minimum_spanning_tree(points(spark, x), "vec", block_rows=32, compared=compared).collect()
+    np.testing.assert_allclose(sorted(e["distance"] for e in edges), prim(x), atol=1e-9)
+    assert {(e["lo"], e["hi"]) for e in edges if e["distance"] == 0} == {(i, 300 + i) for i in range(12)} | {(i, 312 + i) for i in range(3)}
+    assert len(compared) <= 3
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_spanning_tree_of_very_few_points(spark, n):
     df = points(spark, np.arange(2 * n, dtype=float).reshape(n, 2)) if n else points(spark, np.zeros((1, 2))).limit(0)
