@@ -405,13 +405,16 @@ def _block_bounds(points: DataFrame, width: int, n_blocks: int) -> DataFrame:
 _PICK = "min(struct(d, lo, hi, other))"
 
 
-def _searched(state: DataFrame, labels: DataFrame, asked: DataFrame, width: int, n_blocks: int, groups: int,
+def _searched(state: DataFrame, labels: DataFrame, bounds: DataFrame, asked: DataFrame, width: int, n_blocks: int, groups: int,
               compared: list | None) -> DataFrame:
-    """Shortest edge of each component of ``asked`` (comp, reach), over all points."""
+    """Edges (comp, d, lo, hi, other) of the components of ``asked`` (comp, reach), the shortest that is not listed among them.
+
+    Only points whose list ends (``bounds``) within the reach of their component may hold one.
+    """
     points = cut_lineage(state.drop("comp", "reach").join(labels, "id"))
     wanted = asked if n_blocks == 1 else asked.join(_block_bounds(points, width, n_blocks), "comp", "left").select(
         "comp", F.least("reach", F.coalesce("upper", F.lit(float("inf")))).alias("reach"))
-    asking = cut_lineage(points.join(wanted, "comp"))
+    asking = cut_lineage(points.join(wanted, "comp").join(bounds, "id").filter("bound <= reach").drop("bound"))
     parts = max(1, -(-asking.count() * groups // max(1, points.count())))
     found = cut_lineage(_meet(asking, points, (parts, groups), n_blocks, _leaving, _EDGE_ROWS, width))
     if compared is not None:
@@ -427,8 +430,8 @@ def minimum_spanning_tree(points: DataFrame, vec: str, id_col: str = "object_id"
 
     One pass over the block pairs lists the nearest points of each point, and the distance below which the list is whole.
     Borůvka rounds then read the lists alone: a component joins the other end of its shortest listed edge if no edge that is
-    not listed can be shorter. Where that settles too few components, all others but the largest are searched over all
-    points. Points stand in compact blocks of known extent, so blocks that are too far are not compared, and in a fixed
+    not listed can be shorter. Where that settles too few components, the points of all others but the largest whose lists
+    are too short are compared with all points. Points stand in compact blocks of known extent, so blocks that are too far are not compared, and in a fixed
     number of groups up to GROUPS * GROUP_ROWS points, so what is shuffled grows with the points. Of equal vectors only the
     smallest id is compared, the others hang on it. ``compared`` receives (block pairs compared, all block pairs) per pass.
     """
@@ -455,7 +458,7 @@ def minimum_spanning_tree(points: DataFrame, vec: str, id_col: str = "object_id"
     forget(equal)
     inf = F.lit(float("inf"))
     comps = cut_lineage(labels.join(bounds, "id", "left").groupBy("comp").agg(
-        F.count("*").alias("n"), F.min(F.coalesce("bound", inf)).alias("bound")), bounds)
+        F.count("*").alias("n"), F.min(F.coalesce("bound", inf)).alias("bound")))
     edges = None
     while True:
         both = live.select(F.col("lc").alias("comp"), "d", "lo", "hi", F.col("hc").alias("other")).union(
@@ -467,9 +470,9 @@ def minimum_spanning_tree(points: DataFrame, vec: str, id_col: str = "object_id"
         if total < 2:
             break
         picks = now.filter("sure").select("comp", "d", "lo", "hi", "other")
-        if 4 * sure < total:
+        if 8 * sure < total:
             unsure = now.filter(~F.col("sure") & (F.col("comp") != -largest["c"]))
-            found = _searched(state, labels, unsure.select("comp", F.coalesce("d", inf).alias("reach")), width, n_blocks, groups, compared)
+            found = _searched(state, labels, bounds, unsure.select("comp", F.coalesce("d", inf).alias("reach")), width, n_blocks, groups, compared)
             found = found.union(unsure.filter("d IS NOT NULL").select("comp", "d", "lo", "hi", "other"))
             picks = picks.union(found.groupBy("comp").agg(F.expr(_PICK).alias("m")).select("comp", "m.*"))
         picks = cut_lineage(picks)
@@ -491,7 +494,7 @@ def minimum_spanning_tree(points: DataFrame, vec: str, id_col: str = "object_id"
             F.sum("n").alias("n"), F.min("bound").alias("bound")), comps)
         forget(now)
         forget(picks)
-    for step in (state, live, labels, comps):
+    for step in (state, live, labels, comps, bounds):
         forget(step)
     if edges is None:
         return spark.createDataFrame([], "lo bigint, hi bigint, distance double")
