@@ -218,24 +218,33 @@ def edf_distance_matrix(pair_ks: DataFrame, weights: DataFrame | None = None) ->
     return half.union(mirror)
 
 
-def group_distances(rows: DataFrame, keys: Sequence[str], name: str, vec: str, weights: DataFrame | None = None) -> DataFrame:
-    """(keys…, row_group, col_group, distance), row_group > col_group: √Σ(w·KS)² over the features between the groups of a key.
-
-    Groups are strings; their number is that of a map. Without ``weights`` (feature, weight) every feature counts alike.
-    """
-    spark, keys = rows.sparkSession, list(keys)
+def group_pairs(rows: DataFrame, keys: Sequence[str], name: str, vec: str) -> tuple[DataFrame, list[str]]:
+    """(keys…, feature, i, j, ks) between the groups of a key, and the names of the groups i and j, which are strings."""
     names = [r[0] for r in rows.filter(F.col(name).isNotNull()).select(name).distinct().orderBy(name).collect()]
     check_model_size(len(names), "groups")
     long = numbered(rows.select(*keys, F.col(name).alias("_name"), F.posexplode(vec).alias("feature", "value")), "_name", names)
-    pairs = ks_pairs(long, [*keys, "feature"])
+    return ks_pairs(long, [*keys, "feature"]), names
+
+
+def weighted_distances(pairs: DataFrame, names: Sequence[str], keys: Sequence[str], weights: DataFrame | None = None) -> DataFrame:
+    """(keys…, row_group, col_group, distance), row_group > col_group: √Σ(w·KS)² over the features of ``group_pairs``."""
     gap = F.col("ks")
     if weights is not None:
         pairs, gap = pairs.join(weights.select("feature", "weight"), "feature"), F.col("ks") * F.col("weight")
     half = pairs.groupBy(*keys, "i", "j").agg(F.sqrt(F.sum(gap * gap)).alias("distance"))
-    left = spark.createDataFrame(list(enumerate(names)), "i int, col_group string")
+    left = pairs.sparkSession.createDataFrame(list(enumerate(names)), "i int, col_group string")
     return half.join(left, "i").join(left.toDF("j", "row_group"), "j").select(*keys, "row_group", "col_group", "distance")
 
 
+def group_distances(rows: DataFrame, keys: Sequence[str], name: str, vec: str, weights: DataFrame | None = None) -> DataFrame:
+    """(keys…, row_group, col_group, distance), row_group > col_group: √Σ(w·KS)² over the features between the groups of a key.
+
+    Groups are strings; their number is that of a map. Without ``weights`` (feature, weight) every feature counts alike.
+    """
+    pairs, names = group_pairs(rows, list(keys), name, vec)
+    return weighted_distances(pairs, names, list(keys), weights)
+
+
 def agreement_weights(rows: DataFrame, name: str, vec: str) -> DataFrame:
     """(feature, mean_ks, weight) from the KS distances of all groups: features on which groups agree weigh most."""
     names = [r[0] for r in rows.filter(F.col(name).isNotNull()).select(name).distinct().orderBy(name).collect()]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cellweave.config import SplitConfig
 from cellweave.functions.partials import PARTS, block_sums, list_matrix, packed_blocks
-from cellweave.functions.scalars import in_fraction
+from cellweave.functions.scalars import in_fraction, is_finite
 from cellweave.functions.vectors import distance_matrix, nearest_rows
 from cellweave.model import check_model_size
 from cellweave.operators import assign, edf, kmeans, profiles
@@ -27,6 +27,8 @@ from cellweave.session import cut_lineage
 
 #: Methods whose rounds are means of the nearest points.
 LLOYD = ("k-means", "swap-k-means", "lloyd")
+#: Methods that ``fit_many`` fits: random centroids take no rounds.
+FITTED = (*LLOYD, "random")
 #: Doubles of profile sums a task holds before it sends them on.
 HELD_VALUES = 4_000_000
 #: Separates the parts of a member code; kinds of groups are g(roup), r(andom split), p(replicate) and c(ontrols).
@@ -58,31 +60,47 @@ class ModelSet:
 
 
 def fit_many(points: DataFrame, vec: str, specs: Sequence[Spec], max_iter: int = 300, tol: float = 1e-4, swap_threshold: int = 1,
-             id_col: str = "object_id") -> dict[Spec, np.ndarray]:
-    """Centroids of every Lloyd-type spec, small clusters discarded and near ones merged, as ``run_clustering`` does singly.
+             id_col: str = "object_id", seed: int = 0) -> dict[Spec, np.ndarray]:
+    """Centroids of every spec of FITTED, small clusters discarded and near ones merged, as ``run_clustering`` does singly.
 
-    Farthest-first seeds of k are the first k seeds of any larger number, so each exponent is seeded once.
+    Farthest-first seeds of k are the first k seeds of any larger number, so each exponent is seeded once, and specs that
+    differ in what happens after the rounds share one fit. Random centroids are drawn in the box of the finite points.
     """
     specs = list(dict.fromkeys(specs))
-    if not specs:
-        return {}
-    order = {s: 2.0 if s.method == "swap-k-means" else s.p for s in specs}
-    seeds = {p: kmeans.farthest_first(points, vec, max(s.k for s in specs if order[s] == p), p, id_col)[0] for p in set(order.values())}
-    rules = {"k-means": (None, True), "swap-k-means": (swap_threshold, False), "lloyd": (0, False)}
-    fits = {s: kmeans.LloydFit(seeds[order[s]][:s.k], order[s], tol, rules[s.method][0], None, rules[s.method][1]) for s in specs}
-    kmeans.lloyd_rounds(points, vec, list(fits.values()), max_iter, id_col)
-    found = {s: f.result.centroids for s, f in fits.items()}
-    small = [s for s in specs if s.discard > 1 or s.target > 0]
+    found: dict[Spec, np.ndarray] = {}
+    lloyd, random = [s for s in specs if s.method in LLOYD], [s for s in specs if s.method == "random"]
+    if lloyd:
+        order = {s: 2.0 if s.method == "swap-k-means" else s.p for s in lloyd}
+        seeds = {p: kmeans.farthest_first(points, vec, max(s.k for s in lloyd if order[s] == p), p, id_col)[0] for p in set(order.values())}
+        rules = {"k-means": (None, True), "swap-k-means": (swap_threshold, False), "lloyd": (0, False)}
+        fits = {(s.method, s.k, order[s]): kmeans.LloydFit(seeds[order[s]][:s.k], order[s], tol, rules[s.method][0], None, rules[s.method][1])
+                for s in lloyd}
+        kmeans.lloyd_rounds(points, vec, list(fits.values()), max_iter, id_col)
+        found |= _cleaned(points, vec, {s: fits[s.method, s.k, order[s]].result.centroids for s in lloyd})
+    if random:
+        finite = points.filter(F.forall(vec, is_finite)).select(vec)
+        width = finite.select(F.size(vec)).first()
+        drawn = {k: kmeans.random_centroids(finite, vec, k, width[0] if width else 0, seed) for k in {s.k for s in random}}
+        found |= _cleaned(finite, vec, {s: drawn[s.k] for s in random})
+    return found
+
+
+def _cleaned(points: DataFrame, vec: str, found: dict[Spec, np.ndarray]) -> dict[Spec, np.ndarray]:
+    """``found`` without the small clusters of each spec, and merged to its target: one pass for the members, one for the sizes."""
+    small = [s for s in found if s.discard > 1 or s.target > 0]
     if not small:
         return found
-    n = found[specs[0]].shape[1]
+    n = found[small[0]].shape[1]
     blocks = packed_blocks(points, vec)
     many = blocks.rdd.getNumPartitions() > PARTS
     old = [(found[s], s.p) for s in small]
-    sums = block_sums(blocks, n, lambda x: np.vstack([kmeans.member_sums(x, c, None, p, None) for c, p in old]),
-                      sum(len(c) for c, _ in old), n + 3, many)
+    models = list({(c.tobytes(), p): (c, p) for c, p in old}.values())
+    sums = block_sums(blocks, n, lambda x: np.vstack([kmeans.member_sums(x, c, None, p, None) for c, p in models]),
+                      sum(len(c) for c, _ in models), n + 3, many)
+    own_sums = {(c.tobytes(), p): own for (c, p), own in zip(models, np.split(sums, np.cumsum([len(c) for c, _ in models])[:-1]))}
     kept: dict[Spec, np.ndarray] = {}
-    for s, own in zip(small, np.split(sums, np.cumsum([len(c) for c, _ in old])[:-1])):
+    for s, (c, p) in zip(small, old):
+        own = own_sums[c.tobytes(), p]
         keep = own[:, n] >= s.discard if s.discard > 1 else np.ones(len(own), dtype=bool)
         if s.discard > 1 and keep.any():
             found[s] = own[keep][:, :n] / own[keep][:, n][:, None]
@@ -100,9 +118,9 @@ def fit_many(points: DataFrame, vec: str, specs: Sequence[Spec], max_iter: int =
 
 def _sizes(x: np.ndarray, before: np.ndarray, after: np.ndarray, kept: np.ndarray, p: float, all_again: bool) -> np.ndarray:
     """Members of the clusters that stay, once the points of the others went to the nearest of them."""
-    own = (np.cumsum(kept) - 1)[nearest_rows(x, before, p)[0]]
+    best = nearest_rows(x, before, p)[0]
+    own, lost = (np.cumsum(kept) - 1)[best], ~kept[best]
     near = nearest_rows(x, after, p)[0]
-    lost = ~kept[nearest_rows(x, before, p)[0]]
     return np.bincount(np.where(lost | all_again, near, own), minlength=len(after))[:, None].astype(float)
 
 
@@ -294,12 +312,15 @@ def distance_many(found: DataFrame, sets: Sequence[ModelSet]) -> DataFrame:
 def edf_many(members: DataFrame, vec: str) -> DataFrame:
     """(kind, outer, row_group, col_group, distance) by KS distances of all features, weighted by their agreement between groups.
 
-    No model takes part, so this is computed once for all sets.
+    No model takes part, so this is computed once for all sets; the distances between groups, which the weights come from,
+    are among those of all kinds.
     """
     part = F.split("code", SEP)
     rows = members.select(vec, F.explode("codes").alias("code")).select(vec, part[0].alias("kind"), part[1].alias("outer"), part[2].alias("inner"))
-    weights = cut_lineage(edf.agreement_weights(rows.filter("kind = 'g'"), "inner", vec))
-    return edf.group_distances(rows, ["kind", "outer"], "inner", vec, weights)
+    pairs, names = edf.group_pairs(rows, ["kind", "outer"], "inner", vec)
+    pairs = cut_lineage(pairs)
+    weights = cut_lineage(edf.edf_weights(pairs.filter("kind = 'g'")))
+    return edf.weighted_distances(pairs, names, ["kind", "outer"], weights)
 
 
 def qualities(distances: DataFrame, found: DataFrame) -> DataFrame:

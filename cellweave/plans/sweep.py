@@ -13,7 +13,7 @@ from cellweave.config import ClusterConfig, SweepConfig
 from cellweave.operators import normalize, profiles, summaries
 from cellweave.plans import multi
 from cellweave.plans.stages import run_clustering
-from cellweave.session import cut_lineage
+from cellweave.session import cut_lineage, forget
 
 GRID_KEYS = ("method", "param1", "param2", "param3", "param4", "exp_factor", "profile_metric")
 
@@ -69,12 +69,14 @@ def run_sweep(cells: DataFrame, features: Sequence[str], controls: Sequence[str]
 
     param1 is the number of clusters, param2 the number to merge down to (if positive), param3 the exponent of the
     distance, param4 the least size of a cluster. Clusters are fitted on the cells of groups that show a phenotype
-    (``cfg.penetrance_filter``), profiles are those of the non-control cells. All Lloyd-type methods share their rounds;
-    other methods are fitted once per clustering. ``given`` names methods whose centroids (on scaled features) are there.
+    (``cfg.penetrance_filter``), profiles are those of the non-control cells. All Lloyd-type methods share their rounds, random
+    centroids their passes; other methods are fitted once per clustering. ``given`` names methods whose centroids (on scaled features) are there.
     """
     given = given or {}
     spark = cells.sparkSession
-    cells = cells.persist()
+    # every pass reads the valid cells only: the quality control runs once, and nothing else of it is kept
+    names = dict.fromkeys((id_col, "treatment", group, replicate, seed_key, "seed_key", "is_valid", "is_non_control", *features))
+    cells = cut_lineage(cells.filter("is_valid").select(*[c for c in names if c in cells.columns]))
     reference = cells.filter(F.col("is_valid") & F.col("treatment").isin(list(controls)))
     chosen = cells.filter("is_valid AND is_non_control")
     points, scaling = normalize.normalise(chosen, reference, features)
@@ -83,7 +85,7 @@ def run_sweep(cells: DataFrame, features: Sequence[str], controls: Sequence[str]
     specs = {i: multi.Spec(g["method"], int(g["param1"]), float(g["param3"]), int(g["param4"]), int(g["param2"])) for i, g in grid}
     start = fitting.filter("is_valid AND is_non_control").withColumn("vec", scaling.vector())
     start = start.select(id_col, "vec").persist(StorageLevel.MEMORY_AND_DISK)
-    fitted = multi.fit_many(start, "vec", [s for s in specs.values() if s.method in multi.LLOYD], id_col=id_col)
+    fitted = multi.fit_many(start, "vec", [s for s in specs.values() if s.method in multi.FITTED and s.method not in given], id_col=id_col)
     for s in dict.fromkeys(specs.values()):
         if s.method in given:
             fitted[s] = np.asarray(given[s.method], dtype=float)
@@ -113,5 +115,6 @@ def run_sweep(cells: DataFrame, features: Sequence[str], controls: Sequence[str]
         "method string, param1 double, param2 double, param3 double, param4 double, exp_factor double, profile_metric string, n_clusters int, set int")
     out = cut_lineage(keys.join(scores.withColumnRenamed("metric", "profile_metric"), ["set", "profile_metric"]).select(
         *GRID_KEYS, "n_clusters", "quality", "random_quality", "replicate_quality", "control_distance"))
-    cells.unpersist()
+    for step in (cells, members, found):
+        forget(step)
     return out

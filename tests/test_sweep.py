@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.config import ClusterConfig, ProfileConfig, SplitConfig, SweepConfig
-from cellweave.operators import edf, profiles, validation
+from cellweave.functions.vectors import nearest_rows
+from cellweave.operators import edf, kmeans, profiles, validation
 from cellweave.plans import multi, stages, sweep
 
 RNG = np.random.default_rng(11)
@@ -36,6 +37,33 @@ def test_fits_equal_single_fits(cells):
         assert found[s].shape == alone.centroids.shape and np.allclose(found[s], alone.centroids, atol=1e-9), s
 
 
+def test_random_centroids_are_fitted_with_the_others(spark, cells):
+    """Random specs once took a clustering run each; those that differ in what follows share their passes."""
+    specs = [multi.Spec("random", k, 2.0, d, t) for k, d, t in ((5, 0, -1), (5, 3, -1), (8, 3, -1), (8, 3, 3), (8, 0, 2), (8, 10_000, -1))]
+    odd = cells.limit(1).withColumns({"object_id": F.lit(-1).cast("bigint"), "f2": F.lit(None).cast("double")})
+    every = cells.unionByName(odd.withColumns({"is_valid": F.lit(True), "is_non_control": F.lit(True)}))
+    scaled = stages.run_clustering(every, ["f1", "f2", "f3"], ["N"], ClusterConfig("random", 2, discard_size=0, dissolve_size=0))
+    start = every.filter("is_valid AND is_non_control").withColumn("vec", scaled.scaling.vector())
+    found = {}
+    assert jobs(spark, "random", lambda: found.update(multi.fit_many(start, "vec", specs))) <= 20
+    spark.sparkContext.setJobGroup("rest", "rest")
+    for s in specs:
+        alone = stages.run_clustering(every, ["f1", "f2", "f3"], ["N"], ClusterConfig(
+            s.method, s.k, s.p, s.discard, 0, target=s.target if s.target > 0 else None))
+        assert found[s].shape == alone.centroids.shape and np.allclose(found[s], alone.centroids, atol=1e-9), s
+
+
+def test_fits_on_the_same_centres_share_the_search(monkeypatch):
+    c, before = X[[0, 100, 200]], X[[1, 101, 201]]
+    fits = [kmeans.LloydFit(c, 2, 1e-4, t, None, True) for t in (None, 0, 1)] + [kmeans.LloydFit(c, 1.0)]
+    fits[2].previous = before
+    want = np.vstack([f.sums(X) for f in fits])
+    searched = []
+    monkeypatch.setattr(kmeans, "nearest_rows", lambda *a: searched.append(a) or nearest_rows(*a))
+    assert np.array_equal(kmeans.joint_sums(X, fits), want)
+    assert len(searched) == 3  # Euclidean, Manhattan, and those of the round before
+
+
 def jobs(spark, name, work):
     spark.sparkContext.setJobGroup(name, name)
     work()
