@@ -129,3 +129,34 @@ def test_spread_bounds_never_exceed_the_sums():
         h = np.column_stack([w - w.mean(), z])
         low = silhouette._spread_bounds(x, m, w.mean(), h.T @ h, len(x))
         assert (low <= dist(x, x).sum(1) * (1 + 1e-9) + 1e-9).all()
+
+
+def test_manhattan_medoids_of_nearly_equal_distances(spark):
+    """Sums of Manhattan distances split into features: bins leave few members where regions say nothing."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2500, 32))
+    x = np.concatenate([x / np.linalg.norm(x, axis=1)[:, None], np.round(rng.normal(1e4, 2, size=(400, 32)))])
+    label = np.repeat([3, 8], [2500, 400])
+    work = {}
+    df = points(spark, x, cluster=[int(c) for c in label]).selectExpr("object_id", "vec", "cast(cluster as int) cluster")
+    got = {r["cluster"]: r for r in silhouette.medoids(df, "vec", 1, work=work).collect()}
+    for c in (3, 8):
+        own = np.flatnonzero(label == c)
+        at, cost = brute_medoid(x[own], 1)
+        assert got[c]["object_id"] == own[at] and got[c]["cost"] == pytest.approx(cost)
+    assert work["distances"] < 0.05 * work["all"]
+
+
+def test_bins_never_exceed_the_sums():
+    for x in (RNG.normal(size=(200, 4)), RNG.exponential(size=(100, 2)) ** 3, np.repeat([[1.0, 2.0], [1e3, 5.0]], 7, axis=0), np.full((5, 3), 1e6)):
+        for many in (1, 3, 30):
+            cuts = np.sort(RNG.choice(x.ravel(), size=(x.shape[1], many)), axis=1)
+            n, s = np.zeros((2, x.shape[1], many + 1))
+            for f, k in enumerate(cuts):
+                at = np.searchsorted(k, x[:, f], side="right")
+                n[f], s[f] = np.bincount(at, minlength=many + 1), np.bincount(at, x[:, f] - k[many // 2], many + 1)
+            cost = np.abs(x[:, None] - x[None]).sum((1, 2))
+            low = silhouette._Bins(cuts, n, s).bounds(x)
+            assert (low <= cost * (1 + 1e-9) + 1e-9).all()
+            if many == 30 and x.shape[1] == 4:
+                assert (low > 0.95 * cost).all()
