@@ -1,7 +1,9 @@
 """Work on compact regions against brute force, with the share of the work that was needed."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cellweave.operators import linkage, regions, silhouette
 
@@ -160,3 +162,45 @@ def test_bins_never_exceed_the_sums():
             assert (low <= cost * (1 + 1e-9) + 1e-9).all()
             if many == 30 and x.shape[1] == 4:
                 assert (low > 0.95 * cost).all()
+
+
+def test_two_groups_meet_once(spark):
+    """Distances are symmetric: n groups meet n (n + 1) / 2 times, and every point is copied n times whatever the rows."""
+    def run(one, other, itself):
+        yield pa.table({"a": [len(one.x)], "b": [len(other.x)], "itself": [itself]})
+
+    df = points(spark, RNG.normal(size=(300, 4)))
+    met = silhouette._meetings(df, "object_id", "vec", F.lit(0), run, "a bigint, b bigint, itself boolean", 50, 300).collect()
+    assert len(met) == 21 and sum(r["itself"] for r in met) == 6
+    assert sum(r["a"] * r["b"] * (1 if r["itself"] else 2) for r in met) == 300 * 300
+
+
+@pytest.mark.parametrize("width", [2, 9])
+def test_summaries_of_close_and_equal_points(spark, width):
+    x = np.concatenate([RNG.normal(size=(60, width)), 1e3 + 1e-4 * RNG.normal(size=(50, width)), np.repeat(RNG.normal(size=(10, width)), 3, axis=0)])
+    ids = [*range(139), 5]  # an id comes twice: its rows are no other points of each other
+    label = [None if i % 20 == 7 else i % 3 for i in range(140)]
+    df = spark.createDataFrame([(i, v, c) for i, v, c in zip(ids, x.tolist(), label)], "object_id bigint, vec array<double>, cluster int")
+    d, same = dist(x, x), np.equal.outer(ids, ids)
+    got = {r["object_id"]: r for r in silhouette.point_distance_summary(df, "vec", block_rows=30).collect()}
+    assert len(got) == 139
+    for i in range(139):
+        rows = [k for k in range(140) if ids[k] == i]
+        own = d[rows][~same[rows]]
+        assert got[i]["mean_distance"] == pytest.approx(own.mean(), rel=1e-9)
+        assert got[i]["nearest"] == pytest.approx(own.min(), rel=1e-9, abs=1e-12) and got[i]["farthest"] == pytest.approx(own.max(), rel=1e-9)
+    one = df.filter("cluster IS NULL OR object_id <> 5")
+    kept = [k for k in range(140) if ids[k] != 5]
+    found = {(r["id"], r["cluster"]): r for r in silhouette.point_cluster_sums(one, "vec", block_rows=30).collect()}
+    assert len(found) == 4 * len(kept)
+    for k in kept:
+        for c in (None, 0, 1, 2):
+            members = [m for m in kept if label[m] == c]
+            r = found[ids[k], c]
+            assert r["own"] == label[k] and r["n"] == len(members) and r["total"] == pytest.approx(d[k, members].sum(), rel=1e-9, abs=1e-9)
+
+
+def test_vectors_of_different_lengths_are_refused(spark):
+    df = spark.createDataFrame([(i, [1.0] * (1 + 2 * (i % 2))) for i in range(8)], "object_id bigint, vec array<double>")
+    with pytest.raises(Exception, match="different lengths"):
+        silhouette.point_distance_summary(df, "vec").collect()
