@@ -198,8 +198,29 @@ def big_cluster_scan(history: DataFrame, leaves: DataFrame, minimum: int) -> Dat
 # ---- points -------------------------------------------------------------------
 
 
+#: Links or edges that the driver follows itself: a table of two numbers each, far below what a model may hold.
+LOCAL = 1 << 20
+
+
+def _roots(node: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Root of every node by doubling steps; every parent is a node."""
+    order = np.argsort(node)
+    at = order[np.searchsorted(node[order], parent)]
+    while True:
+        further = at[at]
+        if np.array_equal(further, at):
+            return node[at]
+        at = further
+
+
 def _jump(parents: DataFrame) -> DataFrame:
-    """Follow (node, parent) links to the roots; doubles the distance per step."""
+    """Follow (node, parent) links to the roots; doubles the distance per step. Few links are followed by the driver."""
+    if parents.count() <= LOCAL:
+        t = parents.select("node", "parent").toArrow()
+        if not t["node"].null_count and not t["parent"].null_count:
+            node, parent = t["node"].to_numpy(), t["parent"].to_numpy()
+            if len(np.unique(node)) == len(node) and np.isin(parent, node).all():
+                return parents.sparkSession.createDataFrame(pa.table({"node": node, "parent": _roots(node, parent)}))
     current = parents
     while True:
         up = current.select(F.col("node").alias("parent"), F.col("parent").alias("_grand"))
@@ -501,23 +522,49 @@ def minimum_spanning_tree(points: DataFrame, vec: str, id_col: str = "object_id"
     return edges
 
 
+def _local_components(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the edges, smallest id that each reaches)."""
+    ids, ends = np.unique(np.concatenate([lo, hi]), return_inverse=True)
+    one, two = ends[:len(lo)], ends[len(lo):]
+    label = np.arange(len(ids))
+    while len(one):
+        # every component hangs itself on its smallest neighbour, if that is smaller; links end at the smallest of a chain
+        parent = np.arange(len(ids))
+        np.minimum.at(parent, one, two)
+        np.minimum.at(parent, two, one)
+        root = _roots(np.arange(len(ids)), parent)
+        label, one, two = root[label], root[one], root[two]
+        apart = one != two
+        one, two = one[apart], two[apart]
+    return ids, ids[label]
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): smallest id reachable over edges (lo, hi); min-label rounds with pointer jumping."""
-    both = edges.select(F.col("lo").alias("id"), F.col("hi").alias("to")).union(
-        edges.select(F.col("hi").alias("id"), F.col("lo").alias("to")))
-    both = cut_lineage(both)
-    labels = last = cut_lineage(nodes.select("id", F.col("id").alias("component")))
-    while True:
-        seen = both.join(labels.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.min("component").alias("_low"))
-        step = labels.join(seen, "id", "left").select(
-            "id", F.least("component", F.coalesce("_low", "component")).alias("_c"), F.col("component").alias("_old"))
-        jump = step.select(F.col("id").alias("_c"), F.col("_c").alias("_cc"))
-        step = cut_lineage(step.join(jump, "_c").select("id", F.least("_c", "_cc").alias("component"), "_old"))
-        moved = step.filter("component <> _old").limit(1).count()
-        forget(last)
-        last, labels = step, step.select("id", "component")
-        if not moved:
-            return labels
+    """(id, component): smallest id reachable over edges (lo, hi) between nodes.
+
+    Each round hangs every component on its smallest neighbour and draws the edges together, which at least halves the
+    components that have any; the driver settles the rest when at most LOCAL edges are left.
+    """
+    spark = nodes.sparkSession
+    labels = cut_lineage(nodes.select("id", F.col("id").alias("component")))
+    known = labels.select("id").distinct()
+    left = cut_lineage(edges.select("lo", "hi").filter("lo <> hi").join(known.withColumnRenamed("id", "lo"), "lo", "left_semi").join(
+        known.withColumnRenamed("id", "hi"), "hi", "left_semi").distinct())
+    while left.count() > LOCAL:
+        both = left.select(F.col("lo").alias("node"), F.col("hi").alias("to")).union(left.select(F.col("hi").alias("node"), F.col("lo").alias("to")))
+        roots = _jump(cut_lineage(both.groupBy("node").agg(F.least("node", F.min("to")).alias("parent"))))
+        to = lambda c, out: roots.select(F.col("node").alias(c), F.col("parent").alias(out))
+        labels = cut_lineage(labels.join(to("component", "_root"), "component", "left").select(
+            "id", F.coalesce("_root", "component").alias("component")), labels)
+        left = cut_lineage(left.join(to("lo", "_l"), "lo").join(to("hi", "_h"), "hi").filter("_l <> _h").select(
+            F.col("_l").alias("lo"), F.col("_h").alias("hi")).distinct(), left)
+    t = left.toArrow()
+    forget(left)
+    if not t.num_rows:
+        return labels
+    ids, roots = _local_components(t["lo"].to_numpy(), t["hi"].to_numpy())
+    moved = spark.createDataFrame(pa.table({"component": ids, "_root": roots}))
+    return cut_lineage(labels.join(moved, "component", "left").select("id", F.coalesce("_root", "component").alias("component")), labels)
 
 
 def single_linkage(points: DataFrame, vec: str, id_col: str = "object_id", **kw) -> DataFrame:

@@ -204,3 +204,27 @@ def test_vectors_of_different_lengths_are_refused(spark):
     df = spark.createDataFrame([(i, [1.0] * (1 + 2 * (i % 2))) for i in range(8)], "object_id bigint, vec array<double>")
     with pytest.raises(Exception, match="different lengths"):
         silhouette.point_distance_summary(df, "vec").collect()
+
+
+@pytest.mark.parametrize("local", [40, 1 << 20])
+def test_components_of_paths_take_few_jobs(spark, monkeypatch, local):
+    """A long path once took a round of jobs for every doubling, on all nodes; an edge to a node that is not there counts for none."""
+    monkeypatch.setattr(linkage, "LOCAL", local)
+    order = np.random.default_rng(2).permutation(400)
+    pairs = [*zip(order[:250], order[1:250]), *zip(order[250:390], order[251:390]), (order[0], order[3]), (order[395], 1000), (order[396], 1000)]
+    edges = spark.createDataFrame([(int(min(p)), int(max(p))) for p in pairs], "lo bigint, hi bigint")
+    spark.sparkContext.setJobGroup(f"components-{local}", "components")
+    got = {r["id"]: r["component"] for r in linkage.connected_components(spark.range(400), edges).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{local}"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    want = {int(i): int(min(part)) for part in (order[:250], order[250:390], *order[390:, None]) for i in part}
+    assert got == want
+    assert local < 1 << 20 or jobs <= 20
+
+
+@pytest.mark.parametrize("local", [0, 1 << 20])
+def test_links_are_followed_to_their_roots(spark, monkeypatch, local):
+    monkeypatch.setattr(linkage, "LOCAL", local)
+    links = spark.createDataFrame([(i, max(0, i - 1) if i < 30 else 40 if i > 40 else i) for i in range(50)], "node bigint, parent bigint")
+    got = {r["node"]: r["parent"] for r in linkage._jump(links).collect()}
+    assert got == {i: 0 if i < 30 else 40 if i > 40 else i for i in range(50)}
